@@ -65,12 +65,10 @@ def summarize(df: DataFrame, n_rules: int = 0, n_custom: int = 0) -> DataFrame:
                                      F.array(*[F.col(f"__m{i}") for i in range(len(fields))]))
                    if fields else F.create_map().cast("map<string,bigint>"))
     dtypes = F.create_map(*[x for f in fields for x in (F.lit(f.name), F.lit(E.pandas_dtype(f.dataType)))])
-    dup = duplicate_count(df)  # one row
-    # both sides are single-row aggregates: equi-join on a constant key
-    return (one.select("total_rows", missing_map.alias("missing_values"), F.lit(1).alias("__k"))
-            .join(dup.withColumn("__k", F.lit(1)), "__k", "left")
+    dup = duplicate_count(df).select("n_duplicates").scalar()  # one value, no join
+    return (one.select("total_rows", missing_map.alias("missing_values"))
             .select("total_rows", F.lit(len(fields)).alias("total_columns"), "missing_values",
-                    F.coalesce("n_duplicates", F.lit(0)).cast("long").alias("duplicate_rows"),
+                    F.coalesce(dup, F.lit(0)).cast("long").alias("duplicate_rows"),
                     dtypes.alias("data_types"), F.lit(n_rules).alias("rules_applied"),
                     F.lit(n_custom).alias("custom_validators")))
 
@@ -185,9 +183,10 @@ def batch_validate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_
 
 
 def _per_batch(bnums: DataFrame, frame: DataFrame) -> DataFrame:
-    """Repeat plan-time issue rows for each batch (equi-join on a constant key)."""
-    return (bnums.withColumn("__k", F.lit(1))
-            .join(F.broadcast(frame.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+    """Repeat schema-level issue rows (at most a few per column) in each batch:
+    the rows become one array value (scalar subquery) inlined per batch."""
+    arr = frame.agg(F.collect_list(F.struct(*ISSUE_COLUMNS)).alias("a")).scalar()
+    return bnums.select("batch_num", F.inline(arr))
 
 
 # --------------------------------------------------------------------------

@@ -4,9 +4,11 @@ The reference numbers rows by position; Spark has no implicit order, so every
 position-based operator takes ``order_by`` (which must be unique, e.g. end
 with a key column).  No global single-partition window is used:
 
-1. ``repartitionByRange(n, order_by)`` + ``sortWithinPartitions`` -- the range
-   bounds come from a seeded sample, so the layout is deterministic and a lost
-   partition is recomputed identically.
+1. ``repartitionByRange(n, order_by)`` + ``sortWithinPartitions`` -- ONE
+   shuffle, persisted so that the per-partition counts and the rows come from
+   the same shuffle dependency.  (Two executions of a range exchange may sample
+   different bounds; one persisted dependency has fixed bounds, and a lost
+   block is recomputed from that same dependency, so positions are stable.)
 2. The local position inside a partition is the low 33 bits of
    ``monotonically_increasing_id`` (partitions are sorted).
 3. Per-partition counts (one row per partition, so tiny and size-bounded by
@@ -15,6 +17,7 @@ with a key column).  No global single-partition window is used:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +31,20 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(1, int(conf))
 
 
-def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row_index",
-                   num_partitions: int | None = None) -> DataFrame:
+def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partitioned, partition-sorted, persisted copy of ``df`` with
+    ``__pid`` (partition) and ``__local`` (position in partition)."""
     n = _partitions(df, num_partitions)
-    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    cols = [F.col(c) if isinstance(c, str) else c for c in keys]
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_MASK))))
+    return ranged.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row_index",
+                   num_partitions: int | None = None) -> DataFrame:
+    ranged = range_sorted(df, order_by, num_partitions)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per partition: a window over n rows is cheap and bounded
     offsets = counts.select(
@@ -44,3 +54,18 @@ def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row
     out = ranged.join(F.broadcast(offsets), "__pid", "left")
     return (out.withColumn(name, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local"))
             .drop("__pid", "__local", "__off"))
+
+
+def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x",
+                  num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row within ``group`` by ``order`` (unique per
+    group), without a per-group window: a group holding a third of all rows is
+    still split over many range partitions."""
+    ranged = range_sorted(df, [group] + list(order), num_partitions)
+    stats = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__cnt"),
+                                               F.min("__local").alias("__first"))
+    w = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+    return (ranged.join(F.broadcast(stats), ["__pid", group])
+            .withColumn(name, F.col("__off") + F.col("__local") - F.col("__first"))
+            .drop("__pid", "__local", "__cnt", "__first", "__off"))
