@@ -187,9 +187,11 @@ class MedicalCodeValidator(Rule):
     name = "MedicalCodeValidator"
     description = "Validates medical codes"
 
-    def __init__(self, code_columns: dict[str, str] | None = None, patterns=None):
+    def __init__(self, code_columns: dict[str, str] | None = None, patterns=None,
+                 order_by: list[str] | None = None):
         self.code_columns = dict(code_columns or {})
         self.patterns = dict(patterns or P.CODE_PATTERNS)
+        self.order_by = tuple(order_by or ())
 
     def plan(self, df: DataFrame) -> RulePlan:
         types = {f.name: f.dataType for f in df.schema.fields}
@@ -204,7 +206,7 @@ class MedicalCodeValidator(Rule):
                 metric=code_type, agg=F.count_if(bad), severity="warning",
                 message=(lambda n, rows, t=code_type.upper(): F.format_string(
                     f"Found %d invalid {t} codes in column. Sample: ", n)),
-                sample=text, sample_when=bad))
+                sample=text, sample_when=bad, sample_order=self.order_by))
         return RulePlan(checks=checks)
 
 

@@ -56,6 +56,7 @@ class Check:
     emit: Finisher = field(default=lambda n, rows: n > 0)
     sample: Column | None = None      # per-row value to sample when the check fails
     sample_when: Column | None = None  # per-row failure predicate for the sample
+    sample_order: tuple[str, ...] = ()  # row order for "first k" samples (default: by value)
 
 
 def _fin(f: Finisher | str) -> Finisher:
@@ -89,8 +90,9 @@ def compile_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
     issues = (one.select(F.inline(F.array(*structs)))
               .where("__emit").drop("__emit"))
     sampled = [c for c in checks if c.sample is not None]
-    if sampled:
-        issues = attach_samples(df, issues, sampled)
+    for order in dict.fromkeys(c.sample_order for c in sampled):
+        group = [c for c in sampled if c.sample_order == order]
+        issues = attach_samples(df, issues, group, order_by=list(order) or None)
     return issues
 
 
@@ -118,7 +120,7 @@ def attach_samples(df: DataFrame, issues: DataFrame, checks: list[Check],
     from carecheck.functions.exprs import py_list_repr
     msg = F.when(F.col("__sample").isNotNull(),
                  F.concat(F.col("message"), py_list_repr(F.col("__sample")))).otherwise(F.col("message"))
-    repl = {"sample": F.col("__sample"), "message": msg}
+    repl = {"sample": F.coalesce(F.col("__sample"), F.col("sample")), "message": msg}
     return out.select(*[repl.get(c, F.col(c)).alias(c) for c in ISSUE_COLUMNS])
 
 
