@@ -529,3 +529,399 @@ def q_fda(spark, d):
        "GROUP BY ALL")
 def q_dtypes(spark, d):
     return K.dtype_counts(K.columns_table(spark, _all_tables(spark, d)))
+
+
+# ==========================================================================
+# Compliance engine C1-C13, C16, C18-C20
+# ==========================================================================
+ORACLE_COMPLIANCE = {
+    "names": wb(r"[A-Z][a-z]+ [A-Z][a-z]+"),
+    "ssn": P.HIPAA_SSN, "email": P.HIPAA_EMAIL, "phone": P.HIPAA_PHONE,
+    "sensitive": wb(r"race|ethnicity|religion|health|biometric|genetic|sexuality"),
+}
+DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+PATIENT_COLS = [e.rsplit(" AS ", 1)[-1] if " AS " in e else e for e in PATIENTS]
+TEMPLATE_COLS = [e.rsplit(" AS ", 1)[-1] if " AS " in e else e for e in ORDERS_TEMPLATE]
+
+
+def _violations_sql(table_sql: str, cols: list[str], rules: list[C.CustomRule] = (), builtin: bool = True) -> str:
+    parts = []
+    import re as _re
+    for c in cols:
+        t = f"CAST({c} AS VARCHAR)"
+        if builtin:
+            for key, _, std, rid, sev, msg, rec in P.HIPAA_CHECKS + P.GDPR_CHECKS:
+                parts.append(f"SELECT '{std}' AS standard, '{rid}' AS rule_id, '{sev}' AS severity, '{c}' AS field, "
+                             f"{sq(msg % c)} AS message, {sq(rec)} AS recommendation FROM {table_sql} "
+                             f"HAVING coalesce(bool_or({rm(t, ORACLE_COMPLIANCE[key])}), false)")
+        for r in rules:
+            if r.field_pattern is not None and not _re.search(r.field_pattern, c, _re.IGNORECASE):
+                continue
+            pat = r.pattern.replace(r"\b(19|20)\d{2}\b", wb(r"(19|20)\d{2}"))
+            parts.append(f"SELECT 'CUSTOM' AS standard, {sq(r.name)} AS rule_id, {sq(r.severity)} AS severity, "
+                         f"'{c}' AS field, {sq(f'Custom rule {chr(39)}{r.name}{chr(39)} violation: {r.description}')} AS message, "
+                         f"{sq(r.recommendation or P.DEFAULT_CUSTOM_RECOMMENDATION)} AS recommendation FROM {table_sql} "
+                         f"HAVING coalesce(bool_or({rm(t, pat)}), false)")
+    if builtin:
+        for row in C.fda_violation_rows(cols):
+            parts.append("SELECT " + ", ".join(f"{sq(v)} AS {k}" for v, k in zip(
+                row, ["standard", "rule_id", "severity", "field", "message", "recommendation"])))
+    return "\nUNION ALL\n".join(parts)
+
+
+def _coding_sql(table_sql: str, cols: list[str]) -> dict[str, str]:
+    out = {}
+    for std, cs in C.coding_columns(cols).items():
+        pat = "^(?:" + P.CODING_CHECKS[std][0] + ")"
+        if not cs:
+            out[std] = "0"
+        else:
+            out[std] = "(SELECT " + " + ".join(
+                f"count_if(NOT {rm(f'CAST({c} AS VARCHAR)', pat)})" for c in cs) + f" FROM {table_sql})"
+    return out
+
+
+def _scores_sql(table_sql: str, cols: list[str]) -> str:
+    v = _violations_sql(table_sql, cols)
+    cod = _coding_sql(table_sql, cols)
+    rows = [("hipaa", "(SELECT count(*) FROM v WHERE standard = 'HIPAA')", 10),
+            ("gdpr", "(SELECT count(*) FROM v WHERE standard = 'GDPR')", 10),
+            ("fda", "(SELECT count(*) FROM v WHERE standard = 'FDA')", 20),
+            ("icd10", cod["icd10"], 10), ("loinc", cod["loinc"], 10), ("cpt", cod["cpt"], 10)]
+    sel = "\nUNION ALL\n".join(f"SELECT '{s}' AS standard, CAST({n} AS BIGINT) AS violations_count, {p} AS pen"
+                                for s, n, p in rows)
+    return (f"WITH v AS ({v}), c AS ({sel}), s AS (SELECT standard, violations_count, "
+            "CAST(greatest(0, 100 - pen * violations_count) AS DOUBLE) AS score FROM c) "
+            "SELECT standard, score, CASE WHEN score >= 90 THEN 'low' WHEN score >= 70 THEN 'medium' "
+            "WHEN score >= 50 THEN 'high' ELSE 'critical' END AS risk_level, violations_count, "
+            "violations_count = 0 AS compliant FROM s")
+
+
+def _patients(spark, d):
+    return _derive(spark, d, "part", PATIENTS)
+
+
+PATIENTS_SQL = _sql_derive("part", PATIENTS)
+
+
+@query("compliance_violations_documents", _violations_sql("documents", DOC_COLS))
+def q_cv_docs(spark, d):
+    return C.compliance_report(_t(spark, d, "documents")).violations
+
+
+@query("compliance_violations_patients", _violations_sql(PATIENTS_SQL, PATIENT_COLS))
+def q_cv_pat(spark, d):
+    return C.compliance_report(_patients(spark, d)).violations
+
+
+@query("compliance_scores_documents", _scores_sql("documents", DOC_COLS))
+def q_cs_docs(spark, d):
+    return C.compliance_report(_t(spark, d, "documents")).scores()
+
+
+@query("compliance_scores_patients", _scores_sql(PATIENTS_SQL, PATIENT_COLS))
+def q_cs_pat(spark, d):
+    return C.compliance_report(_patients(spark, d)).scores()
+
+
+def _overall_sql(table_sql, cols) -> str:
+    return (f"WITH sc AS ({_scores_sql(table_sql, cols)}), v AS ({_violations_sql(table_sql, cols)}) "
+            "SELECT round(avg(score), 6) AS overall_score, CASE WHEN avg(score) >= 90 THEN 'low' WHEN avg(score) >= 70 "
+            "THEN 'medium' WHEN avg(score) >= 50 THEN 'high' ELSE 'critical' END AS risk_level, "
+            "(SELECT count(*) FROM v) AS total_violations, "
+            "(SELECT count_if(severity = 'critical') FROM v) AS critical_violations, "
+            "(SELECT count_if(severity = 'high') FROM v) AS high_violations, "
+            "(SELECT count_if(severity = 'medium') FROM v) AS medium_violations, "
+            "(SELECT count_if(severity = 'low') FROM v) AS low_violations FROM sc")
+
+
+def _overall_out(df):
+    return df.select(_r("overall_score").alias("overall_score"), "risk_level", "total_violations",
+                     "critical_violations", "high_violations", "medium_violations", "low_violations")
+
+
+@query("compliance_overall_patients", _overall_sql(PATIENTS_SQL, PATIENT_COLS))
+def q_co_pat(spark, d):
+    return _overall_out(C.compliance_report(_patients(spark, d)).overall())
+
+
+@query("compliance_overall_documents", _overall_sql("documents", DOC_COLS))
+def q_co_docs(spark, d):
+    return _overall_out(C.compliance_report(_t(spark, d, "documents")).overall())
+
+
+@query("compliance_recommendations_patients",
+       f"WITH sc AS ({_scores_sql(PATIENTS_SQL, PATIENT_COLS)}) SELECT standard, ordinal, recommendation FROM ("
+       + " UNION ALL ".join(f"SELECT '{s}' AS standard, {i} AS ordinal, {sq(r)} AS recommendation"
+                            for s, recs in P.STANDARD_RECOMMENDATIONS.items() for i, r in enumerate(recs))
+       + ") x WHERE (SELECT violations_count FROM sc WHERE sc.standard = x.standard) > 0")
+def q_crec(spark, d):
+    return C.compliance_report(_patients(spark, d)).recommendations()
+
+
+@query("compliance_flags",
+       f"WITH sc AS ({_scores_sql(PATIENTS_SQL, PATIENT_COLS)}) SELECT "
+       "(SELECT score >= 80 AND score = 100 FROM sc WHERE standard = 'hipaa') AS hipaa, "
+       "(SELECT score >= 80 FROM sc WHERE standard = 'icd10') AS icd10, "
+       "(SELECT score >= 80 FROM sc WHERE standard = 'loinc') AS loinc, "
+       "(SELECT score >= 80 FROM sc WHERE standard = 'cpt') AS cpt, true AS fhir, true AS omop")
+def q_flags(spark, d):
+    return C.compliance_report(_patients(spark, d)).flags()
+
+
+@query("compliance_json",
+       f"WITH sc AS ({_scores_sql('documents', DOC_COLS)}) SELECT string_agg(standard, ',' ORDER BY standard) AS "
+       "standards_checked, bool_and(compliant) AS overall_compliant, CAST(sum(violations_count) AS BIGINT) AS total_issues FROM sc")
+def q_cjson(spark, d):
+    j = S.compliance_json(C.compliance_report(_t(spark, d, "documents")).scores())
+    return j.select(F.array_join(F.array_sort("standards_checked"), ",").alias("standards_checked"),
+                    "overall_compliant", F.col("total_issues").cast("long").alias("total_issues"))
+
+
+CUSTOM_RULES = [C.CustomRule("secret_token", r"token\s*=\s*\"", "Secrets must not be stored", "high", "text"),
+                C.CustomRule("test_marker", r"\bTEST\b", "Test values present", "low", None)]
+
+
+@query("custom_rule_hits", _violations_sql("documents", DOC_COLS, CUSTOM_RULES, builtin=False).replace(
+    r"\bTEST\b", wb("TEST")))
+def q_custom(spark, d):
+    v = C.compliance_report(_t(spark, d, "documents"), CUSTOM_RULES).violations
+    return v.where(F.col("standard") == "CUSTOM")
+
+
+def _template_query(name):
+    from carecheck.operators.rulesets import template_rules
+    rules = template_rules(name)
+    sql = _violations_sql(_sql_derive("orders", ORDERS_TEMPLATE), TEMPLATE_COLS, rules, builtin=False)
+
+    def fn(spark, d):
+        df = _derive(spark, d, "orders", ORDERS_TEMPLATE)
+        v = C.compliance_report(df, template=name).violations
+        return v.where(F.col("standard") == "CUSTOM")
+    query(f"template_{name}", sql)(fn)
+
+
+for _tname in ["clinical_trials", "ehr", "laboratory", "imaging", "research"]:
+    _template_query(_tname)
+
+
+def _docs_phi_issues(spark, d):
+    return V.validate(_t(spark, d, "documents"), [R.PHIDetector()]).issues
+
+
+_DOC_PHI_ISSUES = _phi_oracle("documents", "documents", ["text", "lang", "source"], DOC_COLS)
+
+
+@query("standards_report",
+       f"WITH i AS ({_DOC_PHI_ISSUES}), m AS (SELECT "
+       "count_if(contains(lower(message), 'phi') OR contains(lower(message), 'pii')) AS hipaa, "
+       "count_if(contains(lower(message), 'icd10') OR contains(lower(message), 'diagnosis')) AS icd10, "
+       "count_if(contains(lower(message), 'loinc') OR contains(lower(message), 'lab')) AS loinc, "
+       "count_if(contains(lower(message), 'cpt') OR contains(lower(message), 'procedure')) AS cpt, "
+       "count_if(contains(lower(message), 'fhir')) AS fhir, count_if(contains(lower(message), 'omop')) AS omop FROM i), "
+       "dd AS (SELECT " + " + ".join(
+           f"CAST(count_if({rm(f'CAST({c} AS VARCHAR)', p)}) > 0 AS INTEGER)"
+           for c in DOC_COLS for p in [r"\d{3}-\d{2}-\d{4}", r"@.*\."]) + " AS data_phi FROM documents) "
+       "SELECT 'hipaa' AS standard, CAST(hipaa + data_phi AS BIGINT) AS n_issues, "
+       "CASE WHEN hipaa + data_phi > 0 THEN 50.0 ELSE 100.0 END AS score, hipaa + data_phi = 0 AS compliant FROM m, dd "
+       + " ".join(f"UNION ALL SELECT '{s}', CAST({s} AS BIGINT), CAST(greatest(0, 100 - 10 * {s}) AS DOUBLE), {s} = 0 FROM m"
+                  for s in ["icd10", "loinc", "cpt", "fhir", "omop"]))
+def q_std_report(spark, d):
+    return C.standards_report(_t(spark, d, "documents"), _docs_phi_issues(spark, d))
+
+
+@query("cli_standards_report",
+       f"WITH i AS ({_DOC_PHI_ISSUES}) SELECT "
+       "count_if(contains(lower(message), 'phi') OR contains(lower(message), 'pii')) AS hipaa_issues, "
+       "count_if(contains(lower(message), 'icd-10') OR contains(lower(message), 'icd10')) AS icd10_issues, "
+       "count_if(contains(lower(message), 'loinc')) AS loinc_issues, "
+       "count_if(contains(lower(message), 'cpt')) AS cpt_issues FROM i")
+def q_cli_report(spark, d):
+    return C.cli_standards_report(_docs_phi_issues(spark, d))
+
+
+# ==========================================================================
+# PHI inventory H1-H3, audit U1
+# ==========================================================================
+ORACLE_HIPAA_PHI = {
+    "ssn": wb(r"\d{3}-\d{2}-\d{4}") + "|" + wb(r"\d{9}"),
+    "email": ORACLE_PHI_VALUE["email"],
+    "phone": wb(r"\d{3}[-.]?\d{3}[-.]?\d{4}"),
+    "date": wb(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}") + "|" + wb(r"\d{4}-\d{2}-\d{2}"),
+    "address": wb(r"\d+\s+[A-Za-z\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)"),
+    "medical_record": wb(r"MRN\s*\d+") + "|" + wb(r"Medical\s*Record\s*\d+"),
+    "account_number": wb(r"Account\s*#?\s*\d+") + "|" + wb(r"Acct\s*#?\s*\d+"),
+    "insurance_id": wb(r"Insurance\s*ID\s*\d+") + "|" + wb(r"Policy\s*#\s*\d+"),
+    "license_number": wb(r"License\s*#\s*\d+") + "|" + wb(r"Lic\s*#\s*\d+"),
+    "vehicle_id": wb(r"VIN\s*\d+") + "|" + wb(r"Vehicle\s*ID\s*\d+"),
+    "device_id": wb(r"Device\s*ID\s*\d+") + "|" + wb(r"Serial\s*#\s*\d+"),
+    "ip_address": wb(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"),
+    "url": f"(?:^|{_NONWORD})https?://[^\\s]*{_WORD}",
+    "biometric": f"(?:^|{_NONWORD})Fingerprint|Retina|Iris|Voice\\s*Pattern(?:{_NONWORD}|$)",
+}
+PAGE_COLS = ["page_id", "url", "html"]
+
+
+def _inventory_sql(table: str, cols: list[str], key: str) -> str:
+    parts = []
+    for c in cols:
+        t = f"CAST({c} AS VARCHAR)"
+        for ptype, pat in ORACLE_HIPAA_PHI.items():
+            hit = rm(t, pat)
+            parts.append(
+                f"SELECT '{c}' AS column_name, '{ptype}' AS phi_type, CAST(count_if({hit}) AS BIGINT) AS instances, "
+                f"(SELECT string_agg(v, '<|>' ORDER BY k) FROM (SELECT {key} AS k, {t} AS v FROM {table} WHERE {hit} "
+                f"ORDER BY {key} LIMIT 3)) AS sample_text FROM {table}")
+    return "SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE instances > 0"
+
+
+def _inventory(spark, d, table, key):
+    inv = H.phi_inventory(_t(spark, d, table), order_by=[key])
+    return inv.select("column_name", "phi_type", "instances",
+                      F.array_join("sample_values", "<|>").alias("sample_text"))
+
+
+@query("phi_inventory_documents", _inventory_sql("documents", DOC_COLS, "doc_id"))
+def q_inv_docs(spark, d):
+    return _inventory(spark, d, "documents", "doc_id")
+
+
+@query("phi_inventory_pages", _inventory_sql("pages", PAGE_COLS, "page_id"))
+def q_inv_pages(spark, d):
+    return _inventory(spark, d, "pages", "page_id")
+
+
+@query("phi_score",
+       f"SELECT count(*) = 0 AS compliant, CAST(greatest(0, 100 - 10 * count(DISTINCT column_name)) AS BIGINT) AS "
+       f"compliance_score, count(*) AS total_phi_instances, count(DISTINCT column_name) AS phi_columns FROM "
+       f"({_inventory_sql('pages', PAGE_COLS, 'page_id')})")
+def q_phi_score(spark, d):
+    return H.phi_score(H.phi_inventory(_t(spark, d, "pages")))
+
+
+@query("phi_recommendations",
+       f"WITH inv AS ({_inventory_sql('pages', PAGE_COLS, 'page_id')}) SELECT ordinal, recommendation FROM ("
+       f"SELECT 0 AS ordinal, {sq(P.PHI_FOUND_RECOMMENDATION)} AS recommendation, (SELECT count(*) FROM inv) > 0 AS on_ "
+       + " ".join(f"UNION ALL SELECT {i}, {sq(r)}, EXISTS (SELECT 1 FROM inv WHERE phi_type = '{t}')"
+                  for i, (t, r) in enumerate(P.PHI_TYPE_RECOMMENDATIONS, start=1))
+       + f" UNION ALL SELECT {len(P.PHI_TYPE_RECOMMENDATIONS) + 1}, {sq(P.NO_PHI_RECOMMENDATION)}, "
+         "(SELECT count(*) FROM inv) = 0) WHERE on_")
+def q_phi_recs(spark, d):
+    return H.phi_recommendations(H.phi_inventory(_t(spark, d, "pages")))
+
+
+_AUDIT_ORACLE = {"ssn": wb(r"\d{3}-\d{2}-\d{4}"), "email": ORACLE_PHI_VALUE["email"],
+                 "phone": wb(r"\d{3}[-.]?\d{3}[-.]?\d{4}")}
+
+
+def _audit_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for pname, _ in P.AUDIT_PATTERNS:
+        for c in cols:
+            parts.append(f"SELECT '{pname}' AS pattern_name, '{c}' AS column_name, "
+                         f"'Sensitive data detected in column ''{c}'' without encryption' AS issue, "
+                         f"'Encrypt column ''{c}'' or apply anonymization' AS recommendation FROM {table} "
+                         f"HAVING coalesce(bool_or({rm(f'CAST({c} AS VARCHAR)', _AUDIT_ORACLE[pname])}), false)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("plaintext_audit", _audit_sql("pages", PAGE_COLS))
+def q_audit(spark, d):
+    return H.plaintext_audit(_t(spark, d, "pages"))[0]
+
+
+@query("audit_summary",
+       f"SELECT count(*) AS n_issues, CAST(greatest(0, 100 - 15 * count(*)) AS BIGINT) AS security_score, "
+       f"CASE WHEN greatest(0, 100 - 15 * count(*)) >= 80 THEN 'SECURE' ELSE 'NEEDS_ATTENTION' END AS overall_status "
+       f"FROM ({_audit_sql('pages', PAGE_COLS)})")
+def q_audit_sum(spark, d):
+    return H.plaintext_audit(_t(spark, d, "pages"))[1]
+
+
+# ==========================================================================
+# De-identification A1-A5, sanitising D1-D2
+# ==========================================================================
+ANON_SPARK = ["c_custkey", "c_name AS patient_name",
+              "CASE c_custkey % 5 WHEN 0 THEN date_format(date_add(DATE'1950-01-01', CAST(c_custkey * 7 AS INT)), 'yyyy-MM-dd') "
+              "WHEN 1 THEN date_format(date_add(DATE'1950-01-01', CAST(c_custkey * 7 AS INT)), 'MM/dd/yyyy') "
+              "WHEN 2 THEN date_format(date_add(DATE'1950-01-01', CAST(c_custkey * 7 AS INT)), 'dd/MM/yyyy') "
+              "WHEN 3 THEN date_format(date_add(DATE'1950-01-01', CAST(c_custkey * 7 AS INT)), 'yyyy/MM/dd') "
+              "ELSE 'unknown' END AS birth_date",
+              "CAST(c_nationkey AS STRING) || ' Main Street' AS home_address",
+              "CAST(c_custkey AS STRING) AS account_id", "c_mktsegment", "c_acctbal"]
+_D = "(DATE '1950-01-01' + CAST(c_custkey * 7 AS INTEGER))"
+ANON_SQL = ("(SELECT c_custkey, c_name AS patient_name, CASE c_custkey % 5 "
+            f"WHEN 0 THEN strftime({_D}, '%Y-%m-%d') WHEN 1 THEN strftime({_D}, '%m/%d/%Y') "
+            f"WHEN 2 THEN strftime({_D}, '%d/%m/%Y') WHEN 3 THEN strftime({_D}, '%Y/%m/%d') ELSE 'unknown' END AS birth_date, "
+            "CAST(c_nationkey AS VARCHAR) || ' Main Street' AS home_address, CAST(c_custkey AS VARCHAR) AS account_id, "
+            "c_mktsegment, c_acctbal FROM customer)")
+_YEAR_SQL = ("coalesce(CAST(year(try_strptime(birth_date, '%Y-%m-%d')) AS VARCHAR), "
+             "CAST(year(try_strptime(birth_date, '%m/%d/%Y')) AS VARCHAR), "
+             "CAST(year(try_strptime(birth_date, '%d/%m/%Y')) AS VARCHAR), "
+             "CAST(year(try_strptime(birth_date, '%Y/%m/%d')) AS VARCHAR), birth_date)")
+
+
+@query("anon_safe_harbor",
+       "SELECT c_custkey, printf('Patient_%04d', row_number() OVER (ORDER BY c_custkey) - 1) AS patient_name, "
+       f"{_YEAR_SQL} AS birth_date, '[REDACTED]' AS home_address, "
+       "printf('ID_%06d', row_number() OVER (ORDER BY c_custkey) - 1) AS account_id, "
+       "left(sha256(c_mktsegment || 'salt'), 8) AS c_mktsegment, "
+       f"left(sha256(CAST(c_acctbal AS VARCHAR) || 'salt'), 8) AS c_acctbal FROM {ANON_SQL}")
+def q_anon(spark, d):
+    df = _derive(spark, d, "customer", ANON_SPARK)
+    return H.anonymize(df, ["patient_name", "birth_date", "home_address", "account_id", "c_mktsegment",
+                            "c_acctbal", "absent_column"], salt=SALT, order_by=["c_custkey"])
+
+
+@query("anon_hash",
+       "SELECT c_custkey, left(sha256(c_name || 'salt'), 8) AS c_name, "
+       "left(sha256(CAST(c_nationkey AS VARCHAR) || 'salt'), 8) AS c_nationkey FROM customer")
+def q_anon_hash(spark, d):
+    df = _t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return H.anonymize(df, ["c_name", "c_nationkey"], method="hash", salt=SALT)
+
+
+_EMAIL_EXPR = ("CASE WHEN c_custkey % 3 = 0 THEN 'no-at-sign' ELSE lower(c_mktsegment) || '@' || "
+               "CAST(c_nationkey AS STRING) || '@x.org' END AS email")
+
+
+@query("anon_mask",
+       "SELECT c_custkey, '***-***-' || right(phone, 4) AS phone, '***-**-' || right(ssn, 4) AS ssn, "
+       "left(c_name, 3) || '***' AS c_name, "
+       "CASE WHEN contains(email, '@') THEN left(email, 3) || '***@' || split_part(email, '@', 2) ELSE email END AS email "
+       f"FROM {_sql_derive('customer', CUSTOMER_PII + [_EMAIL_EXPR])}")
+def q_anon_mask(spark, d):
+    df = _derive(spark, d, "customer", CUSTOMER_PII + [_EMAIL_EXPR]).select(
+        "c_custkey", "phone", "ssn", "c_name", "email")
+    return H.anonymize(df, ["phone", "ssn", "c_name", "email"], method="mask")
+
+
+@query("date_to_year", f"SELECT c_custkey, {_YEAR_SQL} AS birth_year FROM {ANON_SQL}")
+def q_date_year(spark, d):
+    df = _derive(spark, d, "customer", ANON_SPARK)
+    return df.select("c_custkey", H.generalize_date(F.col("birth_date"), df.schema["birth_date"].dataType)
+                     .alias("birth_year"))
+
+
+def _sanitize_sql(col: str) -> str:
+    out = col
+    for pat in P.SANITIZE_PATTERNS:
+        out = f"regexp_replace({out}, {sq('(?i)' + pat)}, '', 'g')"
+    out = f"regexp_replace({out}, {sq(P.SANITIZE_TAG)}, '', 'g')"
+    for lit in P.SANITIZE_LITERALS:
+        out = f"replace({out}, {sq(lit)}, '')"
+    return out
+
+
+@query("sanitize_text", f"SELECT page_id, url, {_sanitize_sql('html')} AS html FROM pages")
+def q_sanitize(spark, d):
+    return H.sanitize(_t(spark, d, "pages"))
+
+
+@query("sanitize_filename",
+       "SELECT page_id, NOT regexp_matches(url, '[<>:\"|?*\\\\/]') AS valid, "
+       "translate(url, '<>:\"|?*\\/', '_________') AS sanitized FROM pages")
+def q_sanitize_fn(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select("page_id", H.filename_valid(F.col("url")).alias("valid"),
+                    H.sanitize_filename(F.col("url")).alias("sanitized"))
