@@ -90,8 +90,9 @@ def outlier_rows(df: DataFrame, key: list[str], exact: bool = True, strict: bool
     b = bounds_scalar(iqr_bounds(df, cols, exact), cols)
     flags = F.array(*[F.when(F.coalesce(_outlier(c, types[c], i, b), F.lit(False)), F.lit(c))
                       for i, c in enumerate(cols)])
-    return (df.select(*[F.col(E.quote(k)) for k in key],
-                     F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("column_name")))
+    # plain explode + filter: a scalar subquery may not sit inside a lambda
+    return (df.select(*[F.col(E.quote(k)) for k in key], F.explode(flags).alias("column_name"))
+            .where(F.col("column_name").isNotNull()))
 
 
 # --------------------------------------------------------------------------

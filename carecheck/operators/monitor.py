@@ -67,7 +67,8 @@ def running_stats(run_log: DataFrame, num_partitions: int | None = None) -> Data
                     F.col("cum_failed").cast("long").alias("failed_validations"),
                     (F.col("cum_total") - F.col("cum_failed")).cast("long").alias("successful_validations"),
                     (F.col("cum_failed") / F.greatest(F.lit(1.0), F.col("cum_total"))).alias("failure_rate"),
-                    (F.col("cum_time") / F.col("cum_total")).alias("average_processing_time"))
+                    (F.col("cum_time") / F.col("cum_total")).alias("average_processing_time"),
+                    F.col("cum_time").alias("total_processing_time"))
 
 
 def _alert(alert_id: Column, ts: Column, atype: str, severity: Column | str, message: Column,

@@ -925,3 +925,468 @@ def q_sanitize_fn(spark, d):
     p = _t(spark, d, "pages")
     return p.select("page_id", H.filename_valid(F.col("url")).alias("valid"),
                     H.sanitize_filename(F.col("url")).alias("sanitized"))
+
+
+# ==========================================================================
+# Analytics Q1-Q6, N1-N3, T1-T2, X1-X4
+# ==========================================================================
+_NUM_EV = ["event_id", "user_id", "value"]
+
+
+def _iqr_cte(table_sql: str, cols: list[str]) -> str:
+    return ", ".join(
+        f"b_{c} AS (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, "
+        f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {table_sql})"
+        for c in cols)
+
+
+def _outliers_expr(c: str) -> str:
+    return f"count_if({c} < (SELECT lo FROM b_{c}) OR {c} > (SELECT hi FROM b_{c}))"
+
+
+_QUALITY_SQL = (
+    f"WITH {_iqr_cte(_EVN, _NUM_EV)}, s AS (SELECT count(*) AS n, "
+    + " + ".join(f"count_if({c} IS NULL)" for c in _EV_COLS) + " AS nulls, "
+    + ", ".join(f"{_outliers_expr(c)} AS o_{c}" for c in _NUM_EV)
+    + f", max(ts) AS tmax FROM {_EVN}), m AS (SELECT 1 - nulls / (n * 7.0) AS completeness, CAST(1.0 AS DOUBLE) AS consistency, "
+    + "(" + " + ".join(f"(1 - o_{c} / n)" for c in _NUM_EV) + f" + {len(_EV_COLS) - len(_NUM_EV)}) / {len(_EV_COLS)}.0 AS accuracy, "
+    f"CASE WHEN tmax IS NULL THEN 0.0 ELSE greatest(0.0, 1 - floor(epoch(TIMESTAMP '{AS_OF}' - tmax) / 86400) / 365.0) END "
+    "AS timeliness FROM s) ")
+
+
+@query("quality_metrics",
+       _QUALITY_SQL + "SELECT round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, "
+       "round(accuracy, 6) AS accuracy, round(timeliness, 6) AS timeliness, "
+       "round(0.3 * completeness + 0.25 * consistency + 0.25 * accuracy + 0.2 * timeliness, 6) AS overall_quality FROM m")
+def q_quality(spark, d):
+    v = A.Profile(_events_nulls(spark, d), as_of=AS_OF).metric_values()
+    return v.select(*[_r(c).alias(c) for c in v.columns])
+
+
+def _sev_sql(col: str, metric: str) -> str:
+    th = P.QUALITY_THRESHOLDS[metric]
+    return "CASE " + " ".join(f"WHEN {col} >= {t} THEN '{lvl}'" for t, lvl in th) + " ELSE 'critical' END"
+
+
+@query("metric_severity",
+       _QUALITY_SQL + "SELECT metric, round(value, 6) AS value, severity FROM ("
+       + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, {_sev_sql(m, m)} AS severity FROM m"
+                            for m in ["completeness", "consistency", "accuracy", "timeliness"]) + ")")
+def q_metric_sev(spark, d):
+    m = A.Profile(_events_nulls(spark, d), as_of=AS_OF).metrics()
+    return m.select("metric", _r("value").alias("value"), "severity")
+
+
+@query("anomalies",
+       f"WITH {_iqr_cte(_EVN, _NUM_EV)}, s AS (SELECT count(*) AS n, "
+       + ", ".join(f"count_if({c} IS NULL) AS m_{c}" for c in _EV_COLS) + ", "
+       + ", ".join(f"{_outliers_expr(c)} AS o_{c}" for c in _NUM_EV) + f" FROM {_EVN}) "
+       + " UNION ALL ".join(
+           f"SELECT '{c}' AS column_name, 'outlier' AS anomaly_type, CASE WHEN o_{c} < n * 0.1 THEN 'medium' ELSE 'high' END "
+           f"AS severity, o_{c} AS n_affected FROM s WHERE n - m_{c} > 0 AND o_{c} > 0" for c in _NUM_EV)
+       + " UNION ALL "
+       + " UNION ALL ".join(
+           f"SELECT '{c}', 'missing_pattern', 'high', n FROM s WHERE n - m_{c} > 0 AND m_{c} / n > 0.2" for c in _EV_COLS))
+def q_anomalies(spark, d):
+    return A.Profile(_events_nulls(spark, d), as_of=AS_OF).anomalies().select(
+        "column_name", "anomaly_type", "severity", "n_affected")
+
+
+@query("outlier_rows",
+       f"WITH {_iqr_cte(_EVN, _NUM_EV)} " + " UNION ALL ".join(
+           f"SELECT event_id, '{c}' AS column_name FROM {_EVN} WHERE {c} < (SELECT lo FROM b_{c}) OR {c} > (SELECT hi FROM b_{c})"
+           for c in _NUM_EV))
+def q_outlier_rows(spark, d):
+    return A.outlier_rows(_events_nulls(spark, d), ["event_id"])
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("numeric_summary", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, "
+    f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max, "
+    f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.75), 6) AS q75, "
+    f"count_if({c} IS NULL) AS missing_count FROM lineitem" for c in _LI_NUM))
+def q_numeric(spark, d):
+    s = A.numeric_summary(_t(spark, d, "lineitem"))
+    return s.select("column_name", *[_r(c).alias(c) for c in ["mean", "median", "std", "min", "max", "q25", "q75"]],
+                    "missing_count")
+
+
+@query("categorical_summary", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_values, "
+    f"(SELECT {c} FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS most_common, "
+    f"(SELECT count(*) FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS most_common_count, "
+    f"count_if({c} IS NULL) AS missing_count FROM orders" for c in ["o_orderstatus", "o_orderpriority"]))
+def q_cat(spark, d):
+    return A.categorical_summary(_t(spark, d, "orders"))[0]
+
+
+@query("top5_values", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, "
+    f"{c} AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5"
+    for c in ["o_orderstatus", "o_orderpriority"]))
+def q_top5(spark, d):
+    return A.categorical_summary(_t(spark, d, "orders"))[1].select(
+        "column_name", F.col("rank").cast("long").alias("rank"), "value", "n")
+
+
+@query("dataset_info", "SELECT count(*) AS rows, 6 AS columns FROM orders")
+def q_dsinfo(spark, d):
+    return A.dataset_info(_t(spark, d, "orders")).select("rows", "columns")
+
+
+def _trend_sql(table_sql: str, tcol: str, tie: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS metric, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS xbar, "
+            f"count(*) AS n FROM (SELECT CAST({c} AS DOUBLE) AS y, CAST(row_number() OVER (ORDER BY {tcol}, {tie}) - 1 AS DOUBLE) AS x "
+            f"FROM {table_sql} WHERE {c} IS NOT NULL)")
+    return (f"WITH r AS ({' UNION ALL '.join(parts)}), p AS (SELECT min({tcol}) AS t0, max({tcol}) AS t1 FROM {table_sql}) "
+            "SELECT metric, CASE WHEN b > 0.01 THEN 'increasing' WHEN b < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend, "
+            "round(b, 6) AS slope, round(CASE WHEN syy = 0 THEN 0.0 ELSE b * b * (sxx - n * xbar * xbar) / syy END, 6) AS confidence, "
+            "strftime(t0, '%Y-%m-%d %H:%M:%S') AS period_start, strftime(t1, '%Y-%m-%d %H:%M:%S') AS period_end, n "
+            "FROM r, p WHERE n >= 3")
+
+
+def _trend_out(df):
+    return df.select("metric", "trend", _r("slope").alias("slope"), _r("confidence").alias("confidence"),
+                     F.date_format("period_start", "yyyy-MM-dd HH:mm:ss").alias("period_start"),
+                     F.date_format("period_end", "yyyy-MM-dd HH:mm:ss").alias("period_end"), "n")
+
+
+@query("trend", _trend_sql(_EVN, "ts", "event_id", _NUM_EV))
+def q_trend(spark, d):
+    return _trend_out(A.trends(_events_nulls(spark, d), "ts", ["event_id"]))
+
+
+_MONTHLY_SQL = ("(SELECT date_trunc('month', o_orderdate) AS month, CAST(count(*) AS BIGINT) AS n_orders, "
+                "sum(o_totalprice) AS revenue FROM orders GROUP BY 1)")
+
+
+@query("trend_monthly_orders", _trend_sql(_MONTHLY_SQL, "month", "n_orders", ["n_orders", "revenue"]))
+def q_trend_monthly(spark, d):
+    o = _t(spark, d, "orders")
+    m = o.groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("revenue"))
+    return _trend_out(A.trends(m, "month", ["n_orders"]))
+
+
+@query("trend_r2",
+       "SELECT metric, round(regr_r2(y, x), 6) AS confidence FROM (SELECT 'value' AS metric, value AS y, "
+       f"CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS DOUBLE) AS x FROM {_EVN} WHERE value IS NOT NULL) GROUP BY metric")
+def q_trend_r2(spark, d):
+    t = A.trends(_events_nulls(spark, d).select("ts", "event_id", "value"), "ts", ["event_id"], r2=True)
+    return t.where(F.col("metric") == "value").select("metric", _r("confidence").alias("confidence"))
+
+
+JSON_MIX = ["event_id", "CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN CAST(user_id AS STRING) "
+            "ELSE '\"' || event_type || '\"' END AS payload", "props"]
+
+
+@query("mixed_types",
+       "SELECT column_name, count(*) AS n_types, CAST(sum(n) AS BIGINT) AS n_values FROM (SELECT column_name, t, count(*) AS n "
+       "FROM (SELECT 'payload' AS column_name, json_type(payload) AS t FROM " + _sql_derive("events", JSON_MIX)
+       + " UNION ALL SELECT 'props', json_type(props) FROM events) GROUP BY ALL) GROUP BY column_name HAVING count(*) > 1")
+def q_mixed(spark, d):
+    m = A.mixed_types(_derive(spark, d, "events", JSON_MIX), ["payload", "props"])
+    return m.select("column_name", F.col("n_types").cast("long").alias("n_types"),
+                    F.col("n_values").cast("long").alias("n_values"))
+
+
+@query("consistency",
+       "SELECT round((3 - 0.5 * count(*)) / 3.0, 6) AS consistency FROM (SELECT column_name FROM (SELECT 'payload' AS "
+       "column_name, json_type(payload) AS t FROM " + _sql_derive("events", JSON_MIX)
+       + " UNION ALL SELECT 'props', json_type(props) FROM events) GROUP BY column_name HAVING count(DISTINCT t) > 1)")
+def q_consistency(spark, d):
+    c = A.consistency(_derive(spark, d, "events", JSON_MIX), ["payload", "props"])
+    return c.select(_r("consistency").alias("consistency"))
+
+
+# ==========================================================================
+# Monitoring M1-M15
+# ==========================================================================
+_RL = RUN_LOG_SQL
+_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _ts(c="ts"):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+
+
+@query("run_stats",
+       "SELECT count(*) AS total_validations, count_if(is_valid) AS successful_validations, "
+       "count_if(NOT is_valid) AS failed_validations, round(avg(duration_s), 6) AS average_processing_time, "
+       f"strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_validation_time, "
+       f"round(count_if(is_valid) / greatest(1, count(*)), 6) AS success_rate FROM {_RL}")
+def q_run_stats(spark, d):
+    s = M.run_stats(run_log(spark, d))
+    return s.select("total_validations", "successful_validations", "failed_validations",
+                    _r("average_processing_time").alias("average_processing_time"),
+                    F.date_format("last_validation_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_validation_time"),
+                    _r("success_rate").alias("success_rate"))
+
+
+_RUNNING_SQL = ("SELECT run_id, ts, count(*) OVER w AS total_validations, count_if(NOT is_valid) OVER w AS failed_validations, "
+                "count_if(is_valid) OVER w AS successful_validations, "
+                "count_if(NOT is_valid) OVER w / greatest(1, count(*) OVER w) AS failure_rate, "
+                f"avg(duration_s) OVER w AS average_processing_time, sum(duration_s) OVER w AS total_processing_time FROM {_RL} "
+                "WINDOW w AS (ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
+@query("running_stats",
+       "SELECT run_id, total_validations, failed_validations, successful_validations, round(failure_rate, 6) AS failure_rate, "
+       f"round(total_processing_time, 6) AS total_processing_time FROM ({_RUNNING_SQL})")
+def q_running(spark, d):
+    r = M.running_stats(run_log(spark, d))
+    return r.select("run_id", "total_validations", "failed_validations", "successful_validations",
+                    _r("failure_rate").alias("failure_rate"),
+                    _r("total_processing_time").alias("total_processing_time"))
+
+
+def _status_sql(m: str, v: str) -> str:
+    w = "CASE " + " ".join(f"WHEN {m} = '{k}' THEN {a}" for k, (a, _) in P.MONITOR_THRESHOLDS.items()) + \
+        f" ELSE {P.DEFAULT_METRIC_THRESHOLDS[0]} END"
+    c = "CASE " + " ".join(f"WHEN {m} = '{k}' THEN {b}" for k, (_, b) in P.MONITOR_THRESHOLDS.items()) + \
+        f" ELSE {P.DEFAULT_METRIC_THRESHOLDS[1]} END"
+    return f"CASE WHEN {v} >= {w} THEN 'normal' WHEN {v} >= {c} THEN 'warning' ELSE 'critical' END"
+
+
+@query("metric_status",
+       f"SELECT run_id, metric, round(metric_value, 6) AS value, {_status_sql('metric', 'metric_value')} AS status FROM {_RL}")
+def q_metric_status(spark, d):
+    s = M.metric_samples(run_log(spark, d))
+    return s.select("run_id", "metric", _r("value").alias("value"), "status")
+
+
+_POS_SQL = (f"(SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts, run_id) - 1 AS pos, "
+            f"count(*) OVER (PARTITION BY metric) AS n_m FROM {_RL})")
+
+
+@query("history_100",
+       f"SELECT metric, run_id, round(metric_value, 6) AS value, pos FROM {_POS_SQL} WHERE pos >= n_m - 100")
+def q_history(spark, d):
+    h = M.history(run_log(spark, d))
+    return h.select("metric", "run_id", _r("value").alias("value"), "pos")
+
+
+@query("degradation",
+       "SELECT 'quality_degradation:' || metric || ':' || run_id AS alert_id, "
+       "CASE WHEN tr > -0.2 THEN 'medium' ELSE 'high' END AS severity, "
+       "'Quality degradation detected in ' || metric AS message, round(tr, 6) AS trend FROM "
+       f"(SELECT *, metric_value - lag(metric_value, 2) OVER (PARTITION BY metric ORDER BY ts, run_id) AS tr FROM {_RL}) "
+       "WHERE tr < -0.1")
+def q_degradation(spark, d):
+    a = M.degradation_alerts(run_log(spark, d))
+    return a.select("alert_id", "severity", "message",
+                    _r(F.col("details")["trend"].cast("double")).alias("trend"))
+
+
+@query("failure_rate_alerts",
+       f"SELECT 'anomaly_detected:failure_rate:' || run_id AS alert_id, 'high' AS severity, "
+       f"round(failure_rate, 6) AS failure_rate FROM ({_RUNNING_SQL}) WHERE failure_rate > 0.3")
+def q_failure(spark, d):
+    a = M.failure_rate_alerts(run_log(spark, d))
+    return a.select("alert_id", "severity", _r(F.col("details")["failure_rate"].cast("double")).alias("failure_rate"))
+
+
+@query("critical_violations",
+       "SELECT 'compliance_violation:' || run_id AS alert_id, 'critical' AS severity, "
+       f"'Critical compliance violations detected: 1' AS message FROM {_RL} WHERE has_critical")
+def q_critical(spark, d):
+    return M.critical_violation_alerts(run_log(spark, d)).select("alert_id", "severity", "message")
+
+
+@query("issue_volume",
+       "SELECT 'anomaly_detected:issues:' || run_id AS alert_id, 'high' AS severity, "
+       f"'High number of validation issues: ' || n_issues AS message FROM {_RL} WHERE n_issues > 10")
+def q_volume(spark, d):
+    return M.issue_volume_alerts(run_log(spark, d)).select("alert_id", "severity", "message")
+
+
+def _orders_runs(spark, d):
+    return _derive(spark, d, "orders", ORDERS_RUNS_SPARK)
+
+
+@query("inactivity_gaps",
+       "SELECT 'system_error:inactivity:' || run_id AS alert_id, 'medium' AS severity, "
+       "CAST(epoch(ts) - epoch(prev) AS BIGINT) AS gap_seconds FROM (SELECT run_id, ts, "
+       f"lag(ts) OVER (ORDER BY ts, run_id) AS prev FROM {ORDERS_RUNS_SQL}) WHERE epoch(ts) - epoch(prev) > 3600")
+def q_inactivity(spark, d):
+    a = M.inactivity_alerts(_orders_runs(spark, d))
+    return a.select("alert_id", "severity", F.col("details")["gap_seconds"].cast("long").alias("gap_seconds"))
+
+
+_ALERTS_SQL = (
+    "SELECT 'quality_degradation:' || metric || ':' || run_id AS alert_id, ts, 'quality_degradation' AS alert_type FROM "
+    f"(SELECT *, metric_value - lag(metric_value, 2) OVER (PARTITION BY metric ORDER BY ts, run_id) AS tr FROM {_RL}) WHERE tr < -0.1 "
+    f"UNION ALL SELECT 'anomaly_detected:failure_rate:' || run_id, ts, 'anomaly_detected' FROM ({_RUNNING_SQL}) WHERE failure_rate > 0.3 "
+    f"UNION ALL SELECT 'compliance_violation:' || run_id, ts, 'compliance_violation' FROM {_RL} WHERE has_critical "
+    f"UNION ALL SELECT 'anomaly_detected:issues:' || run_id, ts, 'anomaly_detected' FROM {_RL} WHERE n_issues > 10 "
+    "UNION ALL SELECT 'system_error:inactivity:' || run_id, ts, 'system_error' FROM (SELECT run_id, ts, "
+    f"lag(ts) OVER (ORDER BY ts, run_id) AS prev FROM {_RL}) WHERE epoch(ts) - epoch(prev) > 3600")
+RETAIN_AS_OF = "2024-01-29 00:00:00"
+
+
+@query("alert_retention",
+       f"SELECT alert_type, count(*) AS n FROM ({_ALERTS_SQL}) WHERE ts >= TIMESTAMP '{RETAIN_AS_OF}' - INTERVAL 7 DAY "
+       "GROUP BY alert_type")
+def q_retention(spark, d):
+    kept = M.retain(M.all_alerts(run_log(spark, d)), RETAIN_AS_OF)
+    return kept.groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _actions(spark, d):
+    """Acknowledge / resolve actions derived from the run log (every 3rd / 5th run)."""
+    rl = _derive(spark, d, "events", ["event_id", "ts"])
+    ids = F.concat(F.lit("anomaly_detected:issues:"), F.col("event_id").cast("string"))
+    ack = rl.where(F.col("event_id") % 3 == 0).select(ids.alias("alert_id"), "ts", F.lit("acknowledge").alias("action"))
+    res = rl.where(F.col("event_id") % 5 == 0).select(ids.alias("alert_id"), "ts", F.lit("resolve").alias("action"))
+    return ack.unionByName(res)
+
+
+@query("active_alerts",
+       "SELECT 'anomaly_detected:issues:' || run_id AS alert_id, CAST(event_id % 3 = 0 AS BOOLEAN) AS acknowledged "
+       f"FROM (SELECT *, CAST(run_id AS BIGINT) AS event_id FROM {_RL}) WHERE n_issues > 10 AND event_id % 5 <> 0")
+def q_active(spark, d):
+    a = M.apply_actions(M.issue_volume_alerts(run_log(spark, d)), _actions(spark, d))
+    return M.active_alerts(a).select("alert_id", "acknowledged")
+
+
+TRENDS_AS_OF = "2024-01-15 12:00:00"
+
+
+@query("quality_trends",
+       f"SELECT run_id, round(metric_value, 6) AS value FROM {_RL} WHERE metric = 'click' AND "
+       f"ts >= TIMESTAMP '{TRENDS_AS_OF}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{TRENDS_AS_OF}'")
+def q_qtrends(spark, d):
+    t = M.quality_trends(run_log(spark, d), "click", TRENDS_AS_OF, 24)
+    return t.select("run_id", _r("value").alias("value"))
+
+
+@query("perf_stats",
+       "SELECT count(*) AS total_validations, round(avg(duration_s), 6) AS average_time, round(min(duration_s), 6) AS min_time, "
+       "round(max(duration_s), 6) AS max_time, CAST(sum(n_rows) AS BIGINT) AS total_rows_processed, "
+       f"round(sum(n_rows) / sum(duration_s), 6) AS average_rows_per_second FROM {_RL}")
+def q_perf(spark, d):
+    s = M.perf_stats(run_log(spark, d))[0]
+    return s.select("total_validations", _r("average_time").alias("average_time"), _r("min_time").alias("min_time"),
+                    _r("max_time").alias("max_time"), F.col("total_rows_processed").cast("long").alias("total_rows_processed"),
+                    _r("average_rows_per_second").alias("average_rows_per_second"))
+
+
+@query("perf_last10",
+       f"SELECT run_id, round(duration_s, 6) AS duration_s, pos FROM (SELECT *, row_number() OVER (ORDER BY ts, run_id) - 1 AS pos, "
+       f"count(*) OVER () AS n FROM {_RL}) WHERE pos >= n - 10")
+def q_perf_last(spark, d):
+    t = M.perf_stats(run_log(spark, d))[1]
+    return t.select("run_id", _r("duration_s").alias("duration_s"), "pos")
+
+
+BENCH_RUNS = ["event_type AS dataset", "user_id % 7 AS size", "value / 100 AS seconds", "user_id % 10 <> 0 AS ok"]
+
+
+@query("benchmark_summary",
+       "SELECT dataset, round(avg(CASE WHEN ok THEN seconds END), 6) AS mean_time, "
+       "round(coalesce(stddev_samp(CASE WHEN ok THEN seconds END), 0), 6) AS std_time, "
+       "round(min(CASE WHEN ok THEN seconds END), 6) AS min_time, round(max(CASE WHEN ok THEN seconds END), 6) AS max_time, "
+       f"round(avg(CAST(ok AS DOUBLE)), 6) AS success_rate, count(*) AS runs FROM {_sql_derive('events', BENCH_RUNS)} GROUP BY dataset")
+def q_bench_summary(spark, d):
+    b = M.benchmark_summary(_derive(spark, d, "events", BENCH_RUNS))
+    return b.select("dataset", *[_r(c).alias(c) for c in ["mean_time", "std_time", "min_time", "max_time", "success_rate"]],
+                    "runs")
+
+
+# ==========================================================================
+# Sources S6/S7, sinks K3, batch validation V18/V19
+# ==========================================================================
+@query("ragged_columns",
+       "WITH p AS (SELECT p_partkey, p_name, p_size, p_partkey // 10 AS chunk FROM part), "
+       "n AS (SELECT chunk, p_name, row_number() OVER (PARTITION BY chunk ORDER BY p_partkey) AS i FROM p), "
+       "s AS (SELECT chunk, p_size, row_number() OVER (PARTITION BY chunk ORDER BY p_partkey) AS i FROM p WHERE p_size > 25) "
+       "SELECT n.chunk, n.p_name, s.p_size, 'part' AS source FROM n LEFT JOIN s ON n.chunk = s.chunk AND n.i = s.i")
+def q_ragged(spark, d):
+    p = _t(spark, d, "part")
+    # bounded payloads: at most 10 rows per chunk
+    payload = p.groupBy(F.floor(F.col("p_partkey") / 10).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("__n"),
+        F.array_sort(F.collect_list(F.when(F.col("p_size") > 25, F.struct("p_partkey", "p_size")))).alias("__s"))
+    payload = payload.select("chunk", F.transform("__n", lambda x: x["p_name"]).alias("p_name"),
+                             F.transform("__s", lambda x: x["p_size"]).alias("p_size"), F.lit("part").alias("source"))
+    rows = payload.select("chunk", F.inline(F.arrays_zip(
+        F.col("p_name").alias("p_name"), F.col("p_size").alias("p_size"),
+        F.array_repeat(F.col("source"), F.size("p_name")).alias("source"))))
+    return rows.where(F.col("p_name").isNotNull())
+
+
+@query("file_admission",
+       "SELECT page_id, file_name, admitted FROM (SELECT page_id, split_part(url, '/', -1) AS file_name, length(html) AS len "
+       "FROM pages) SELECT_SUB"
+       .replace(" SELECT_SUB", "")
+       .replace("admitted FROM", "(contains(file_name, '.') AND lower(split_part(file_name, '.', -1)) IN ("
+                + ", ".join(sq(e) for e in P.ALLOWED_EXTENSIONS) + f") AND len <= {P.MAX_UPLOAD_BYTES} AND "
+                "regexp_matches(file_name, '^[a-zA-Z0-9._-]+$')) AS admitted FROM"))
+def q_files(spark, d):
+    pg = _t(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.length("html").alias("length"))
+    return S.admit_files(pg).select("page_id", "file_name", "admitted")
+
+
+@query("report_lines",
+       f"WITH i AS ({MISSING_SQL}), c AS (SELECT count(*) AS t, count_if(severity = 'error') AS e, "
+       "count_if(severity = 'warning') AS w, count_if(severity = 'info') AS f FROM i), "
+       "n AS (SELECT *, row_number() OVER (ORDER BY severity, check_id) - 1 AS k FROM i) "
+       "SELECT CAST(line_no AS BIGINT) AS line_no, line FROM ("
+       "SELECT 0 AS line_no, 'Medical Data Validation Report' AS line UNION ALL SELECT 1, repeat('=', 40) "
+       "UNION ALL SELECT 2, 'Timestamp: ' UNION ALL SELECT 3, 'Overall Status: ' || CASE WHEN e = 0 THEN '✅ VALID' "
+       "ELSE '❌ INVALID' END FROM c UNION ALL SELECT 4, '' UNION ALL SELECT 5, 'Summary:' "
+       "UNION ALL SELECT 6, '  - Total Issues: ' || t FROM c UNION ALL SELECT 7, '  - Errors: ' || e FROM c "
+       "UNION ALL SELECT 8, '  - Warnings: ' || w FROM c UNION ALL SELECT 9, '  - Info: ' || f FROM c "
+       "UNION ALL SELECT 10, '' UNION ALL SELECT 11, 'Issues Found:' FROM c WHERE t > 0 "
+       "UNION ALL SELECT 12, repeat('-', 20) FROM c WHERE t > 0 "
+       "UNION ALL SELECT 100 + 3 * k, (k + 1) || '. [' || upper(severity) || '] ' || message FROM n "
+       "UNION ALL SELECT 101 + 3 * k, '   Location: Column: ' || column_name FROM n WHERE column_name IS NOT NULL "
+       "UNION ALL SELECT 102 + 3 * k, '' FROM n)")
+def q_report(spark, d):
+    iss = _quality_issues(spark, d)
+    return S.report_lines(iss, V.severity_counts(iss))
+
+
+_ORD_NULLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+              "CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority"]
+
+
+@query("batch_validation",
+       "SELECT batch_num, min(k) AS start_row, max(k) + 1 AS end_row, CAST(count_if(o_orderpriority IS NULL) > 0 AS BIGINT) "
+       "AS issues_count, true AS is_valid FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, "
+       "CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS batch_num FROM "
+       f"{_sql_derive('orders', _ORD_NULLS)}) GROUP BY batch_num")
+def q_batches(spark, d):
+    df = _derive(spark, d, "orders", _ORD_NULLS)
+    return V.batch_validate(df, [R.DataQualityChecker()], ["o_orderkey"], 1000)[1]
+
+
+@query("batch_issues",
+       "SELECT batch_num, 'missing:o_orderpriority' AS check_id, n AS n_affected FROM (SELECT "
+       "CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS batch_num, o_orderpriority FROM "
+       f"{_sql_derive('orders', _ORD_NULLS)}) GROUP BY batch_num HAVING count_if(o_orderpriority IS NULL) > 0 "
+       "QUALIFY true".replace("QUALIFY true", "").replace("AS n_affected FROM", "AS n_affected FROM (SELECT batch_num, "
+       "count_if(o_orderpriority IS NULL) AS n FROM").replace("GROUP BY batch_num HAVING", "GROUP BY batch_num) WHERE n > 0 --"))
+def q_batch_issues(spark, d):
+    df = _derive(spark, d, "orders", _ORD_NULLS)
+    return V.batch_validate(df, [R.DataQualityChecker()], ["o_orderkey"], 1000)[0].select(
+        "batch_num", "check_id", "n_affected")
+
+
+@query("changed_batches")
+def q_changed(spark, d):
+    """Rows-only check: batches of orders whose content changed against a
+    stored fingerprint table (here: the same orders with every 5000th price
+    perturbed)."""
+    o = _t(spark, d, "orders")
+    cur = V.batch_fingerprints(o, ["o_orderkey"], 1000, "rules-v1")
+    old = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5000 == 0, F.col("o_totalprice") + 1)
+                       .otherwise(F.col("o_totalprice")))
+    stored = V.batch_fingerprints(old, ["o_orderkey"], 1000, "rules-v1")
+    return V.changed_batches(cur, stored).select("batch_num", "n_rows")
