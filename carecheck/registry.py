@@ -138,7 +138,7 @@ RUN_LOG_SCALARS = [
     "value / 100 AS duration_s",
     "event_type AS metric",
     "value / 500 AS metric_value",
-    "(event_type = 'error' AND value > 400) AS has_critical",
+    "(event_type = 'error' AND value > 200) AS has_critical",
 ]
 
 
