@@ -26,6 +26,11 @@ TABLE = "data"
 class RulePlan:
     checks: list[Check] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)
+    rows: list[tuple] = field(default_factory=list)  # plan-time issue rows (schema facts)
+
+
+def _schema_row(check_id: str, rule: str, severity: str, column: str | None, message: str) -> tuple:
+    return (check_id, rule, severity, column, "schema", None, None, message, None)
 
 
 class Rule:
@@ -64,27 +69,20 @@ class SchemaValidator(Rule):
             self.name = name
 
     def plan(self, df: DataFrame) -> RulePlan:
-        spark = df.sparkSession
-        cols = K.columns_table(spark, {TABLE: df})
-        frames = []
-        if self.required_columns:
-            req = spark.createDataFrame([(TABLE, c) for c in self.required_columns],
-                                        "table_name string, column_name string")
-            miss = K.required_missing(cols, req)
-            frames.append(_catalog_issues(
-                miss, self.name, F.concat(F.lit("required:"), "column_name"), "error",
-                F.col("column_name"),
-                F.format_string("Required column '%s' is missing", "column_name")))
-        if self.column_types:
-            exp = spark.createDataFrame([(TABLE, c, t) for c, t in self.column_types.items()],
-                                        "table_name string, column_name string, expected_type string")
-            bad = K.type_mismatches(cols, exp, strict=self.strict_types)
-            frames.append(_catalog_issues(
-                bad, self.name, F.concat(F.lit("type:"), "column_name"), "error",
-                F.col("column_name"),
-                F.format_string("Column '%s' has type '%s' but expected '%s'",
-                                "column_name", "pandas_type", "expected_type")))
-        return RulePlan(frames=frames)
+        """Schema facts are known at plan time: no job is needed.  (The same
+        checks over many tables run as catalog joins, see ``plans.catalog``.)"""
+        types = {f.name: f.dataType for f in df.schema.fields}
+        rows = [_schema_row(f"required:{c}", self.name, "error", c, f"Required column '{c}' is missing")
+                for c in self.required_columns if c not in types]
+        for c, expected in self.column_types.items():
+            if c not in types:
+                continue
+            actual = E.pandas_dtype(types[c])
+            match_on = actual if self.strict_types else E.widened_dtype(types[c])
+            if not E.type_compatible(match_on, expected):
+                rows.append(_schema_row(f"type:{c}", self.name, "error", c,
+                                        f"Column '{c}' has type '{actual}' but expected '{expected}'"))
+        return RulePlan(rows=rows)
 
 
 # --------------------------------------------------------------------------
@@ -99,13 +97,9 @@ class PHIDetector(Rule):
         self.keywords = list(keywords or P.PHI_NAME_KEYWORDS)
 
     def plan(self, df: DataFrame) -> RulePlan:
-        spark = df.sparkSession
-        cols = K.columns_table(spark, {TABLE: df})
-        named = cols.where(K.keyword_hit("column_name", self.keywords))
-        frames = [_catalog_issues(
-            named, self.name, F.concat(F.lit("phi_name:"), "column_name"), "warning",
-            F.col("column_name"),
-            F.format_string("Column '%s' may contain PHI/PII based on name", "column_name"))]
+        rows = [_schema_row(f"phi_name:{c}", self.name, "warning", c,
+                            f"Column '{c}' may contain PHI/PII based on name")
+                for c in df.columns if any(k in c.lower() for k in self.keywords)]
         checks = []
         for f in df.schema.fields:
             if not E.is_string(f.dataType):
@@ -120,23 +114,36 @@ class PHIDetector(Rule):
                     severity="warning",
                     message=(lambda n, rows, label=label, c=f.name: F.format_string(
                         f"Found %d potential {label} values in column '%s'", n, F.lit(c)))))
-        return RulePlan(checks=checks, frames=frames)
+        return RulePlan(checks=checks, rows=rows)
 
 
 # --------------------------------------------------------------------------
 # V5, V6, V7
 # --------------------------------------------------------------------------
 def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows minus distinct rows over all columns (NULLs and NaNs compare equal).
-
-    One hash aggregate on all columns: map-side partial aggregation collapses
-    repeated rows per task before the shuffle, so a hot duplicate never lands
-    as a whole group in one task.  ``keys`` adds grouping keys (e.g. batch).
+    """Rows minus distinct rows over all columns (NULLs and NaNs compare equal),
+    per group of ``keys`` (e.g. a batch number).
+
+    Exact, in two steps: rows are first grouped by a 96-bit fingerprint
+    (``xxhash64`` + ``hash``), which shuffles 12 bytes per row instead of the
+    row; only rows whose fingerprint occurs more than once are then grouped by
+    their full values.  Both aggregations are partial-then-final, so a row
+    repeated in a third of the table is pre-counted per task and never lands
+    as a whole group in one task.
     """
     keys = keys or []
-    allcols = [F.col(E.quote(c)) for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys, *allcols).agg(F.count(F.lit(1)).alias("__n"))
-    return grouped.groupBy(*keys).agg(F.sum(F.col("__n") - 1).alias("n_duplicates"))
+    data = [c for c in df.columns if c not in keys]
+    cols = [F.col(E.quote(c)) for c in data]
+    fp = df.select(*keys, *cols, F.xxhash64(*cols).alias("__h1"), F.hash(*cols).alias("__h2"))
+    cand = (fp.groupBy(*keys, "__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+            .where(F.col("__n") > 1).select(*keys, "__h1", "__h2"))
+    rows = fp.join(cand, [*keys, "__h1", "__h2"], "left_semi")
+    grouped = rows.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("__n"))
+    out = grouped.groupBy(*keys).agg(F.sum(F.col("__n") - 1).alias("n_duplicates"))
+    if keys:
+        return out
+    # a global aggregate over zero candidate rows yields one row with NULL
+    return out.select(F.coalesce("n_duplicates", F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 class DataQualityChecker(Rule):

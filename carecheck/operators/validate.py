@@ -73,11 +73,10 @@ def summarize(df: DataFrame, n_rules: int = 0, n_custom: int = 0) -> DataFrame:
                     F.lit(n_custom).alias("custom_validators")))
 
 
-def _failure_issue(spark, rule_name: str, err: Exception, custom: bool) -> DataFrame:
+def _failure_row(rule_name: str, err: Exception, custom: bool) -> tuple:
     kind = "Custom validator" if custom else "Rule"
     msg = f"{kind} '{rule_name}' failed: {str(err).splitlines()[0] if str(err) else err!r}"
-    return issue_rows(spark, [(f"failed:{rule_name}", rule_name, "error", None, "failure",
-                               None, None, msg, None)])
+    return (f"failed:{rule_name}", rule_name, "error", None, "failure", None, None, msg, None)
 
 
 def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None) -> tuple[list[Check], list[DataFrame]]:
@@ -86,6 +85,7 @@ def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None)
     custom = custom or set()
     checks: list[Check] = []
     frames: list[DataFrame] = []
+    rows: list[tuple] = []
     spark = df.sparkSession
     for i, r in enumerate(rules):
         try:
@@ -94,8 +94,11 @@ def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None)
                 df.select(c.agg)  # analysis check, no job
             checks.extend(p.checks)
             frames.extend(p.frames)
+            rows.extend(p.rows)
         except (AnalysisException, ValueError, TypeError, KeyError) as e:
-            frames.append(_failure_issue(spark, getattr(r, "name", type(r).__name__), e, i in custom))
+            rows.append(_failure_row(getattr(r, "name", type(r).__name__), e, i in custom))
+    if rows:
+        frames.append(issue_rows(spark, rows))  # one local relation for all plan-time findings
     return checks, frames
 
 
@@ -163,7 +166,8 @@ def batch_validate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_
             checks.extend(p.checks)
             # schema-level findings are identical in every batch
             bnums = data.select("batch_num").distinct()
-            for fr in p.frames:
+            static = list(p.frames) + ([issue_rows(df.sparkSession, p.rows)] if p.rows else [])
+            for fr in static:
                 frames.append(_per_batch(bnums, fr))
     parts = [compile_checks_by(data, checks, ["batch_num"])] if checks else []
     issues = union_all(parts + frames) if (parts or frames) else None
