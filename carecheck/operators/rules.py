@@ -161,9 +161,9 @@ class DataQualityChecker(Rule):
                 out.append(Check(
                     check_id=f"missing:{f.name}", rule_name=self.name, column=f.name,
                     metric="missing", agg=miss,
-                    severity=lambda n, rows: F.when(n * 100.0 / rows > 50, "error").otherwise("warning"),
+                    severity=lambda n, rows: F.when(F.try_divide(n * 100.0, rows) > 50, "error").otherwise("warning"),
                     message=lambda n, rows, c=f.name: F.format_string(
-                        "Column '%s' has %d missing values (%.1f%%)", F.lit(c), n, n * 100.0 / rows)))
+                        "Column '%s' has %d missing values (%.1f%%)", F.lit(c), n, F.try_divide(n * 100.0, rows))))
             if self.empty:
                 out.append(Check(
                     check_id=f"empty:{f.name}", rule_name=self.name, column=f.name,
