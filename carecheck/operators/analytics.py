@@ -57,22 +57,18 @@ def iqr_bounds(df: DataFrame, columns: list[str], exact: bool = True) -> DataFra
 
 
 def bounds_scalar(bounds: DataFrame, columns: list[str]) -> Column:
-    """The bounds of all columns as ONE struct value (lo_i, hi_i), used as an
-    uncorrelated scalar subquery: computed once, inlined into pass 2, no join.
+    """The IQR bounds of all columns as ONE struct literal (lo_i, hi_i).
 
-    The one-row table is checkpointed (reliable checkpoint in the cluster's
-    ``spark.checkpoint.dir``): this ends pass 1, cuts its lineage, and makes
-    the value deterministic for the aggregate that reads it (the rank-based
-    quantile plan uses partition ids, which Catalyst treats as nondeterministic).
-    """
-    from carecheck.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(bounds.sparkSession)
+    Pass 1 (quantiles) ends here: its result has a fixed size -- two numbers
+    per numeric column, independent of the data volume -- and is inlined into
+    pass 2 as a literal, so pass 2 is a plain single-scan aggregate."""
+    got = {r["column_name"]: (r["lower"], r["upper"]) for r in bounds.collect()}
     fields = []
     for i, c in enumerate(columns):
-        fields.append(F.max(F.when(F.col("column_name") == c, F.col("lower"))).alias(f"lo{i}"))
-        fields.append(F.max(F.when(F.col("column_name") == c, F.col("upper"))).alias(f"hi{i}"))
-    one = bounds.agg(F.struct(*fields).alias("b")).checkpoint(eager=True)
-    return one.scalar()
+        lo, hi = got.get(c, (None, None))
+        fields.append(F.lit(lo).cast("double").alias(f"lo{i}"))
+        fields.append(F.lit(hi).cast("double").alias(f"hi{i}"))
+    return F.struct(*fields)
 
 
 def _outlier(name: str, dt, i: int, b: Column) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
-from carecheck.plans.aggplan import Check
 from carecheck.plans.rowindex import with_row_index
 
 
@@ -29,22 +28,29 @@ def _found(t: Column, pat: str) -> Column:
 def phi_inventory(df: DataFrame, patterns: dict[str, str] | None = None, k: int = 3,
                   order_by: list[str] | None = None) -> DataFrame:
     """H1: (column_name, phi_type, pattern, instances, sample_values) for every
-    (column, type) with at least one matching row.  Samples are the first ``k``
-    matching values by ``order_by`` (default: by value), taken with a partial
-    per-task top-k before the shuffle."""
+    (column, type) with at least one matching row.
+
+    Pass 1 is one fused aggregate of all (column, type) counts.  Its result
+    has a fixed size (one integer per column and PHI type, independent of the
+    data volume) and is used to plan pass 2, which evaluates only the
+    predicates that matched somewhere and takes their first ``k`` values by
+    ``order_by`` (default: by value) with a partial per-task top-k before the
+    shuffle."""
+    spark = df.sparkSession
     patterns = patterns or P.HIPAA_PHI_PATTERNS
     checks = []
     for f in df.schema.fields:
         t = E.as_text(f.name, f.dataType)
         for ptype, pat in patterns.items():
-            hit = _found(t, pat)
-            checks.append((f.name, ptype, pat, hit, t))
-    one = df.agg(*[F.count_if(h).alias(f"__c{i}") for i, (_, _, _, h, _) in enumerate(checks)])
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(pt).alias("phi_type"),
-                        F.lit(pat).alias("pattern"), F.col(f"__c{i}").alias("instances"))
-               for i, (c, pt, pat, _, _) in enumerate(checks)]
-    inv = one.select(F.inline(F.array(*structs))).where("instances > 0")
-    samples = _first_values(df, [(f"{c}\u0000{pt}", h, t) for c, pt, _, h, t in checks], k, order_by)
+            checks.append((f.name, ptype, pat, _found(t, pat), t))
+    counts = df.agg(*[F.count_if(h).alias(f"c{i}") for i, (_, _, _, h, _) in enumerate(checks)]).first()
+    live = [(c, pt, pat, h, t, int(counts[f"c{i}"])) for i, (c, pt, pat, h, t) in enumerate(checks)
+            if counts[f"c{i}"]]
+    schema = "column_name string, phi_type string, pattern string, instances long"
+    inv = spark.createDataFrame([(c, pt, pat, n) for c, pt, pat, _, _, n in live], schema)
+    if not live:
+        return inv.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    samples = _first_values(df, [(f"{c}\u0000{pt}", h, t) for c, pt, _, h, t, _ in live], k, order_by)
     samples = samples.select(F.split_part("__cid", F.lit("\u0000"), F.lit(1)).alias("column_name"),
                              F.split_part("__cid", F.lit("\u0000"), F.lit(2)).alias("phi_type"),
                              "sample_values")
@@ -58,7 +64,8 @@ def _first_values(df: DataFrame, items: list[tuple[str, Column, Column]], k: int
     stacked = F.array(*[F.when(pred, F.struct(F.lit(cid).alias("cid"), val.cast("string").alias("v")))
                         for cid, pred, val in items])
     keys = [F.col(E.quote(o)) for o in (order_by or [])]
-    base = df.select(*keys, F.explode(F.filter(stacked, lambda s: s.isNotNull())).alias("s"))
+    # explode + filter (no lambda: the predicates may hold a scalar subquery)
+    base = df.select(*keys, F.explode(stacked).alias("s")).where(F.col("s").isNotNull())
     w = Window.partitionBy("s.cid").orderBy(*(keys or [F.col("s.v")]))
     top = base.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
     return (top.groupBy(F.col("s.cid").alias("__cid"))

@@ -124,6 +124,19 @@ def attach_samples(df: DataFrame, issues: DataFrame, checks: list[Check],
     return out.select(*[repl.get(c, F.col(c)).alias(c) for c in ISSUE_COLUMNS])
 
 
+def materialized_scalar(one_row: DataFrame) -> Column:
+    """The single value of a one-row, one-column DataFrame as a scalar
+    subquery over a reliable checkpoint of that row.
+
+    Ends a pass (the aggregate runs once, eagerly), cuts its lineage, and lets
+    later passes reference the value any number of times without re-running
+    the aggregate.  The checkpoint goes to the cluster's shared
+    ``spark.checkpoint.dir`` (set only when unset, e.g. in tests)."""
+    from carecheck.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(one_row.sparkSession)
+    return one_row.checkpoint(eager=True).scalar()
+
+
 def empty_issues(spark) -> DataFrame:
     return spark.createDataFrame([], ISSUE_SCHEMA)
 
