@@ -1390,3 +1390,64 @@ def q_changed(spark, d):
                        .otherwise(F.col("o_totalprice")))
     stored = V.batch_fingerprints(old, ["o_orderkey"], 1000, "rules-v1")
     return V.changed_batches(cur, stored).select("batch_num", "n_rows")
+
+
+# ==========================================================================
+# Validation profiles applied to derived tables
+# ==========================================================================
+HEART = ["l_orderkey", "l_linenumber",
+         "CAST(floor(l_quantity * 3) AS BIGINT) AS age", "l_linenumber % 2 AS sex", "l_linenumber AS cp",
+         "CAST(floor(l_extendedprice / 500) AS BIGINT) AS trestbps",
+         "CAST(floor(l_extendedprice / 150) AS BIGINT) AS chol",
+         "l_discount * 100 AS oldpeak"]
+COVID = ["o_orderdate AS date", "o_orderpriority AS location", "CAST(floor(o_totalprice) AS BIGINT) AS total_cases",
+         "o_custkey - 700 AS new_cases", "CAST(floor(o_totalprice / 1000) AS BIGINT) AS total_deaths",
+         "o_totalprice * 10 AS population"]
+
+
+def _profile_query(name: str, table: str, exprs: list[str]) -> str:
+    """Oracle: the profile's required/type/range/date rows evaluated in SQL."""
+    from carecheck.operators.rulesets import PROFILE_SCHEMA  # noqa: F401 - documents the row shape
+    cols = [e.rsplit(" AS ", 1)[-1] if " AS " in e else e for e in exprs]
+    src = _sql_derive(table, exprs)
+    parts = []
+    rules = [r for r in P.PROFILE_RULES if r[0] == name]
+    for _, kind, c, a, b in rules:
+        if kind == "required" and c not in cols:
+            parts.append(f"SELECT 'required:{c}' AS check_id, 'error' AS severity, '{c}' AS column_name, "
+                         f"CAST(NULL AS BIGINT) AS n_affected, 'Required column ''{c}'' is missing' AS message")
+    types = f"(SELECT column_name, data_type FROM (DESCRIBE SELECT * FROM {src}) d(column_name, data_type, n, k, dflt, ex))"
+    for _, kind, c, a, b in rules:
+        if kind == "type" and c in cols:
+            parts.append(
+                f"SELECT 'type:{c}' AS check_id, 'error' AS severity, '{c}' AS column_name, "
+                f"CAST(NULL AS BIGINT) AS n_affected, 'Column ''{c}'' has type ''' || "
+                f"{_pandas_type_sql('data_type')} || ''' but expected ''{a}''' AS message "
+                f"FROM {types} WHERE column_name = '{c}' AND NOT EXISTS (SELECT 1 FROM (VALUES {_COMPAT_VALUES}) m(t, n) "
+                f"WHERE m.t = {_widened_type_sql('data_type')} AND m.n = lower('{a}'))")
+    for _, kind, c, a, b in rules:
+        if kind == "range" and c in cols:
+            for bound, op, word, cid in ((a, "<", "below minimum", "range_min"), (b, ">", "above maximum", "range_max")):
+                if bound is not None:
+                    parts.append(f"SELECT '{cid}:{c}' AS check_id, 'warning' AS severity, '{c}' AS column_name, "
+                                 f"n AS n_affected, 'Column ''{c}'' has ' || n || ' values {word} {bound}' AS message FROM (SELECT count_if({c} {op} {bound}) AS n FROM {src}) WHERE n > 0")
+        if kind == "date" and c in cols:
+            for bound, op, word, cid in ((a, "<", "before", "date_min"), (b, ">", "after", "date_max")):
+                if bound is not None:
+                    parts.append(f"SELECT '{cid}:{c}' AS check_id, 'warning' AS severity, '{c}' AS column_name, "
+                                 f"n AS n_affected, 'Column ''{c}'' has ' || n || ' dates {word} {bound}' AS message FROM (SELECT count_if({c} {op} TIMESTAMP '{bound}') AS n FROM {src}) WHERE n > 0")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _profile_fn(name, table, exprs):
+    from carecheck.operators.rulesets import profile_catalog, profile_rules
+
+    def fn(spark, d):
+        rules = profile_rules(name, profile_catalog(spark))
+        return _issues_out(V.validate(_derive(spark, d, table, exprs), rules).issues)
+    return fn
+
+
+query("profile_heart_disease", _profile_query("heart_disease", "lineitem", HEART))(
+    _profile_fn("heart_disease", "lineitem", HEART))
+query("profile_covid19", _profile_query("covid19", "orders", COVID))(_profile_fn("covid19", "orders", COVID))
