@@ -403,3 +403,26 @@ def severity_distribution(issues: DataFrame) -> DataFrame:
 def issues_per_column(issues: DataFrame) -> DataFrame:
     return (issues.where(F.col("column_name").isNotNull()).groupBy("column_name")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# --------------------------------------------------------------------------
+# Full report
+# --------------------------------------------------------------------------
+def full_report(df: DataFrame, time_column: str | None = None, tie_breaker: list[str] | None = None,
+                as_of: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
+    """Quality metrics (with overall score), anomalies, trends and the
+    statistical summaries of one table, as DataFrames.  The quantile pass is
+    shared by the metrics and anomalies (one ``Profile``)."""
+    p = Profile(df, time_column, as_of, exact)
+    cat, top = categorical_summary(df)
+    return {
+        "quality_metrics": p.metrics(),
+        "overall": p.metric_values().select("overall_quality"),
+        "anomalies": p.anomalies(),
+        "trends": trends(df, p.time_column, tie_breaker),
+        "dataset_info": dataset_info(df),
+        "missing_data": missing_summary(df),
+        "numeric_summary": numeric_summary(df, exact),
+        "categorical_summary": cat,
+        "top_values": top,
+    }

@@ -1451,3 +1451,24 @@ def _profile_fn(name, table, exprs):
 query("profile_heart_disease", _profile_query("heart_disease", "lineitem", HEART))(
     _profile_fn("heart_disease", "lineitem", HEART))
 query("profile_covid19", _profile_query("covid19", "orders", COVID))(_profile_fn("covid19", "orders", COVID))
+
+
+# ==========================================================================
+# P1-P3 input preparation
+# ==========================================================================
+COVID_RAW = ["event_id", "CASE WHEN event_id % 7 = 0 THEN 'not a date' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS date",
+             "NULLIF(event_type, 'error') AS location", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS new_cases",
+             "CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS total_cases", "props"]
+
+
+@query("covid_clean",
+       "SELECT event_id, strftime(try_strptime(date, '%Y-%m-%d'), '%Y-%m-%d %H:%M:%S') AS date, "
+       "coalesce(location, '0') AS location, "
+       "coalesce(new_cases, 0) AS new_cases, coalesce(total_cases, 0) AS total_cases FROM "
+       + _sql_derive("events", COVID_RAW))
+def q_covid_clean(spark, d):
+    from carecheck.operators import prep
+    raw = _derive(spark, d, "events", COVID_RAW)
+    kept = prep.select_existing(raw, ["event_id", "date", "location", "new_cases", "total_cases", "iso_code"])
+    out = prep.coerce_and_fill(kept, "date", formats=["yyyy-MM-dd"])
+    return out.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
