@@ -64,12 +64,24 @@ def _hit(c: Column) -> Column:
 
 @dataclass
 class ComplianceReport:
-    one: DataFrame                 # one-row fused aggregate
+    agg: DataFrame                 # one-row fused aggregate (lazy)
     violation_structs: list        # per-violation struct columns over ``one``
     standard_counts: dict          # standard -> Column over ``one``
     template_applied: str | None
     n_rows: Column
     fda_rows: list
+    _one: DataFrame | None = None
+
+    @property
+    def one(self) -> DataFrame:
+        """The fused aggregate, run once on first use and kept as a reliable
+        checkpoint (one row) so violations, scores, overall and flags do not
+        re-scan the data."""
+        if self._one is None:
+            from carecheck.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(self.agg.sparkSession)
+            self._one = self.agg.checkpoint(eager=True)
+        return self._one
 
     @property
     def violations(self) -> DataFrame:
