@@ -72,15 +72,30 @@ class ComplianceReport:
     fda_rows: list
     _one: DataFrame | None = None
 
+    chunks: list | None = None     # column-group aggregates for wide tables
+
     @property
     def one(self) -> DataFrame:
         """The fused aggregate, run once on first use and kept as a reliable
         checkpoint (one row) so violations, scores, overall and flags do not
-        re-scan the data."""
+        re-scan the data.  Wide tables run one aggregate per column group (each
+        reads only its columns) and the one-row results are assembled."""
         if self._one is None:
             from carecheck.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(self.agg.sparkSession)
-            self._one = self.agg.checkpoint(eager=True)
+            spark = self.agg.sparkSession
+            ensure_checkpoint_dir(spark)
+            if not self.chunks:
+                self._one = self.agg.checkpoint(eager=True)
+            else:
+                merged: dict = {}
+                schema_fields = []
+                for ch in self.chunks:  # each result is one row of at most MAX_AGGS values
+                    r = ch.first()
+                    merged.update(r.asDict())
+                    schema_fields += [f for f in ch.schema.fields if f.name not in {x.name for x in schema_fields}]
+                names = [f.name for f in schema_fields]
+                self._one = spark.createDataFrame([tuple(merged[n] for n in names)],
+                                                  T.StructType(schema_fields))
         return self._one
 
     @property
@@ -239,7 +254,14 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
 
     one = df.agg(*aggs)
     total = {s: (sum_cols(v) if v else F.lit(0)) for s, v in counts.items()}
-    return ComplianceReport(one, structs, total, template, F.col("__rows"), fda_rows)
+    chunks = None
+    from carecheck.plans.aggplan import MAX_AGGS_PER_SCAN
+    if len(aggs) > MAX_AGGS_PER_SCAN:
+        # aggregates were added column by column: consecutive slices are column groups
+        rest = aggs[1:]
+        chunks = [df.agg(aggs[0], *rest[i:i + MAX_AGGS_PER_SCAN - 1])
+                  for i in range(0, len(rest), MAX_AGGS_PER_SCAN - 1)]
+    return ComplianceReport(one, structs, total, template, F.col("__rows"), fda_rows, chunks=chunks)
 
 
 def sum_cols(cols: list[Column]) -> Column:

@@ -63,11 +63,33 @@ def _fin(f: Finisher | str) -> Finisher:
     return f if callable(f) else _const(f)
 
 
-def compile_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """Run all ``checks`` in ONE aggregation and return issue rows."""
-    spark = df.sparkSession
-    if not checks:
-        return spark.createDataFrame([], ISSUE_SCHEMA)
+# Aggregates per scan.  Spark turns whole-stage codegen off for operators
+# with more than ``spark.sql.codegen.maxFields`` (100) output fields, so wide
+# tables are split into column groups; each group's scan reads only its own
+# columns, so the total I/O stays about one pass over the data.
+MAX_AGGS_PER_SCAN = 90
+
+
+def _chunks(checks: list[Check], size: int) -> list[list[Check]]:
+    by_col: dict = {}
+    for c in checks:
+        key = c.column if c.column else (c.check_id.split(":")[1] if ":" in c.check_id else c.check_id)
+        by_col.setdefault(key, []).append(c)
+    out, cur = [], []
+    for group in by_col.values():
+        if cur and len(cur) + len(group) > size:
+            out.append(cur)
+            cur = []
+        while len(group) > size:
+            out.append(group[:size])
+            group = group[size:]
+        cur = cur + group
+    if cur:
+        out.append(cur)
+    return out
+
+
+def _compile_chunk(df: DataFrame, checks: list[Check]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     aggs += [c.agg.cast("long").alias(f"__c{i}") for i, c in enumerate(checks)]
     one = df.agg(*aggs)
@@ -87,8 +109,19 @@ def compile_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
             F.lit(None).cast("array<string>").alias("sample"),
             F.coalesce(c.emit(n, rows), F.lit(False)).alias("__emit"),
         ))
-    issues = (one.select(F.inline(F.array(*structs)))
-              .where("__emit").drop("__emit"))
+    return one.select(F.inline(F.array(*structs))).where("__emit").drop("__emit")
+
+
+def compile_checks(df: DataFrame, checks: list[Check], max_aggs: int = MAX_AGGS_PER_SCAN) -> DataFrame:
+    """Run all ``checks`` as fused aggregations (one per column group of at
+    most ``max_aggs`` aggregates) and return issue rows."""
+    spark = df.sparkSession
+    if not checks:
+        return spark.createDataFrame([], ISSUE_SCHEMA)
+    parts = [_compile_chunk(df, ch) for ch in _chunks(checks, max_aggs)]
+    issues = parts[0]
+    for p in parts[1:]:
+        issues = issues.unionByName(p)
     sampled = [c for c in checks if c.sample is not None]
     for order in dict.fromkeys(c.sample_order for c in sampled):
         group = [c for c in sampled if c.sample_order == order]

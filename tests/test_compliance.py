@@ -139,3 +139,14 @@ def test_options_rule_set():
     assert names == ["DataQualityChecker"]  # quality always on (parity)
     names = [type(r).__name__ for r in RS.rules_from_options(phi=False, quality=False, always_quality=False)]
     assert names == []
+
+
+def test_wide_table_compliance_chunks(spark):
+    cols = [f"note_{i}" for i in range(30)]
+    data = [tuple(("John Doe" if (r + i) % 5 == 0 else "x") for i in range(30)) for r in range(10)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
+    rep = C.compliance_report(df)
+    assert rep.chunks is not None and len(rep.chunks) >= 2  # 30 cols x 5 patterns > 90 aggregates
+    v = rows(rep.violations)
+    assert len([x for x in v if x["rule_id"] == "PHI_NAME_DETECTED"]) == 30
+    assert scores(rep)["hipaa"]["violations_count"] == 30

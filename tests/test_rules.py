@@ -165,3 +165,15 @@ def test_empty_table_all_columns_empty(spark):
     df = spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType())]))
     out = rows(V.validate(df, [R.DataQualityChecker()]).issues)
     assert [i["check_id"] for i in out] == ["empty:a"]
+
+
+def test_wide_table_chunks_keep_results(spark):
+    from carecheck.plans import aggplan
+    cols = [f"c{i}" for i in range(120)]
+    data = [tuple(None if (r + i) % 7 == 0 else r for i in range(120)) for r in range(20)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} long" for c in cols))
+    checks = R.DataQualityChecker(duplicates=False).missing_checks(df)
+    assert len(aggplan._chunks(checks, aggplan.MAX_AGGS_PER_SCAN)) == 3  # 240 checks, 90 per scan
+    out = {i["check_id"]: i["n_affected"] for i in rows(V.validate(df, [R.DataQualityChecker()]).issues)}
+    expect = {f"missing:c{i}": sum(1 for r in range(20) if (r + i) % 7 == 0) for i in range(120)}
+    assert {k: v for k, v in out.items() if k.startswith("missing:")} == {k: v for k, v in expect.items() if v}
