@@ -177,3 +177,8 @@ def test_wide_table_chunks_keep_results(spark):
     out = {i["check_id"]: i["n_affected"] for i in rows(V.validate(df, [R.DataQualityChecker()]).issues)}
     expect = {f"missing:c{i}": sum(1 for r in range(20) if (r + i) % 7 == 0) for i in range(120)}
     assert {k: v for k, v in out.items() if k.startswith("missing:")} == {k: v for k, v in expect.items() if v}
+
+
+def test_duplicates_signed_zero(spark):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (1.0, "b")], "x double, y string")
+    assert R.duplicate_count(df).collect()[0]["n_duplicates"] == 1
