@@ -31,14 +31,30 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(1, int(conf))
 
 
-def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, partition-sorted, persisted copy of ``df`` with
-    ``__pid`` (partition) and ``__local`` (position in partition)."""
+MATERIALIZE_CONF = "carecheck.rowindex.materialize"
+
+
+def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int | None = None,
+                 materialize: str | None = None) -> DataFrame:
+    """Range-partitioned, partition-sorted copy of ``df`` with ``__pid``
+    (partition) and ``__local`` (position in partition), materialised once so
+    that every consumer sees the same partitioning.
+
+    ``materialize`` (default: session setting ``carecheck.rowindex.materialize``,
+    else ``persist``): ``persist`` keeps the sorted rows in the block manager
+    (memory, spilling to disk; a lost block is recomputed from the same
+    shuffle dependency, hence the same range bounds); ``checkpoint`` writes
+    them to the cluster's shared ``spark.checkpoint.dir`` and cuts lineage."""
     n = _partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in keys]
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_MASK))))
+    mode = materialize or df.sparkSession.conf.get(MATERIALIZE_CONF, "persist")
+    if mode == "checkpoint":
+        from carecheck.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        return ranged.checkpoint(eager=True)
     return ranged.persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -87,3 +87,13 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "check_id" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_row_index_checkpoint_mode(spark):
+    spark.conf.set("carecheck.rowindex.materialize", "checkpoint")
+    try:
+        df = spark.range(0, 300).selectExpr("id * 13 % 300 AS k")
+        idx = sorted((r["k"], r["i"]) for r in rows(with_row_index(df, ["k"], "i", num_partitions=5)))
+        assert [i for _, i in idx] == list(range(300))
+    finally:
+        spark.conf.unset("carecheck.rowindex.materialize")
