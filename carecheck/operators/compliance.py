@@ -252,6 +252,8 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
                       f"Custom rule '{r.name}' violation: {r.description}",
                       r.recommendation or P.DEFAULT_CUSTOM_RECOMMENDATION)
 
+    from carecheck.session import spread
+    df = spread(df)
     one = df.agg(*aggs)
     total = {s: (sum_cols(v) if v else F.lit(0)) for s, v in counts.items()}
     chunks = None

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
 from carecheck.plans.rowindex import with_row_index
+from carecheck.session import spread
 
 
 def _found(t: Column, pat: str) -> Column:
@@ -43,7 +44,7 @@ def phi_inventory(df: DataFrame, patterns: dict[str, str] | None = None, k: int
         t = E.as_text(f.name, f.dataType)
         for ptype, pat in patterns.items():
             checks.append((f.name, ptype, pat, _found(t, pat), t))
-    counts = df.agg(*[F.count_if(h).alias(f"c{i}") for i, (_, _, _, h, _) in enumerate(checks)]).first()
+    counts = spread(df).agg(*[F.count_if(h).alias(f"c{i}") for i, (_, _, _, h, _) in enumerate(checks)]).first()
     live = [(c, pt, pat, h, t, int(counts[f"c{i}"])) for i, (c, pt, pat, h, t) in enumerate(checks)
             if counts[f"c{i}"]]
     schema = "column_name string, phi_type string, pattern string, instances long"
@@ -108,7 +109,7 @@ def plaintext_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     for pname, pat in P.AUDIT_PATTERNS:
         for f in df.schema.fields:
             items.append((pname, f.name, _found(E.as_text(f.name, f.dataType), pat)))
-    one = df.agg(*[F.bool_or(h).alias(f"__h{i}") for i, (_, _, h) in enumerate(items)])
+    one = spread(df).agg(*[F.bool_or(h).alias(f"__h{i}") for i, (_, _, h) in enumerate(items)])
     structs = [F.struct(F.lit(p).alias("pattern_name"), F.lit(c).alias("column_name"),
                         F.lit(f"Sensitive data detected in column '{c}' without encryption").alias("issue"),
                         F.lit(f"Encrypt column '{c}' or apply anonymization").alias("recommendation"),
@@ -248,7 +249,7 @@ def sanitize_text(c: Column) -> Column:
 def sanitize(df: DataFrame) -> DataFrame:
     """D1 over every string column; NULL stays NULL."""
     repl = {f.name: sanitize_text(F.col(E.quote(f.name))) for f in df.schema.fields if E.is_string(f.dataType)}
-    return df.withColumns(repl)
+    return spread(df).withColumns(repl)
 
 
 _BAD_FILENAME = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in P.FILENAME_BAD_CHARS) + "]"

@@ -17,6 +17,7 @@ from carecheck.functions import exprs as E
 from carecheck.plans.aggplan import (ISSUE_COLUMNS, Check, compile_checks, empty_issues,
                                      issue_rows, union_all)
 from carecheck.plans.rowindex import with_row_index
+from carecheck.session import spread
 from carecheck.operators.rules import (DataQualityChecker, Rule, RulePlan, conform_issues,
                                        duplicate_count)
 
@@ -107,7 +108,7 @@ def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | N
     custom_validators = custom_validators or []
     allr = list(rules) + list(custom_validators)
     checks, frames = plan_rules(df, allr, custom=set(range(len(rules), len(allr))))
-    parts = [compile_checks(df, checks)] if checks else []
+    parts = [compile_checks(spread(df), checks)] if checks else []
     parts += frames
     issues = union_all(parts) if parts else empty_issues(df.sparkSession)
     return ValidationResult(df, issues.select(*ISSUE_COLUMNS), list(rules), len(custom_validators))

@@ -56,3 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """Location for an intermediate table that cuts lineage (shared folder)."""
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+
+
+def spread(df):
+    """Give CPU-heavy per-row work (regex over text, many checks) at least the
+    default parallelism.
+
+    An input read as fewer partitions than the cluster has cores (a few small
+    files, a single parquet row group) is round-robin repartitioned before the
+    work; an input that already has enough partitions -- every large input --
+    is returned unchanged, so no shuffle is added at scale."""
+    if df.isStreaming:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
