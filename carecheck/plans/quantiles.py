@@ -30,6 +30,9 @@ QSCHEMA = "column_name string, prob double, value double"
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
+    """Runs now (one distributed sort) and returns the small result --
+    ``len(columns) x len(probs)`` rows -- as a local DataFrame, releasing the
+    sorted copy immediately."""
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], QSCHEMA)
@@ -64,7 +67,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     res = lohi.join(F.broadcast(targets.select("cid", "prob", "__h", "__lo")), ["cid", "prob"])
     value = F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))
     names = F.array(*[F.lit(c) for c in columns])
-    return res.select(F.get(names, F.col("cid")).alias("column_name"), "prob", value.alias("value"))
+    out = res.select(F.get(names, F.col("cid")).alias("column_name"), "prob", value.alias("value")).collect()
+    ranged.unpersist()
+    return spark.createDataFrame([tuple(r) for r in out], QSCHEMA)
 
 
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],

@@ -32,6 +32,14 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 MATERIALIZE_CONF = "carecheck.rowindex.materialize"
+_PERSISTED: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist the range-sorted copies kept for lazily returned results
+    (call after the results have been written or collected)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
 
 
 def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int | None = None,
@@ -55,7 +63,9 @@ def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int |
         from carecheck.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         return ranged.checkpoint(eager=True)
-    return ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(kept)
+    return kept
 
 
 def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row_index",
