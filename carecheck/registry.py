@@ -238,6 +238,34 @@ def query(name: str, oracle: str | None = None):
 ISSUE_OUT = ["check_id", "severity", "column_name", "n_affected", "message"]
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; Spark's counts are BIGINT.  Wrap
+    every ``count_if(...)`` (with its OVER clause, if any) in a BIGINT cast."""
+    import re as _re
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        end = k + 1
+        m = _re.match(r"\s+OVER\s+(\w+|\([^)]*\))", sql[end:])
+        if m:
+            end += m.end()
+        out.append(sql[i:j])
+        out.append("CAST(" + bigint_counts(sql[j + len(key):k]).join(["count_if(", ")"]) + sql[k + 1:end] + " AS BIGINT)")
+        i = end
+
+
 def _issues_out(df: DataFrame) -> DataFrame:
     return df.select(*ISSUE_OUT)
 
@@ -1368,11 +1396,10 @@ def q_batches(spark, d):
 
 
 @query("batch_issues",
-       "SELECT batch_num, 'missing:o_orderpriority' AS check_id, n AS n_affected FROM (SELECT "
-       "CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS batch_num, o_orderpriority FROM "
-       f"{_sql_derive('orders', _ORD_NULLS)}) GROUP BY batch_num HAVING count_if(o_orderpriority IS NULL) > 0 "
-       "QUALIFY true".replace("QUALIFY true", "").replace("AS n_affected FROM", "AS n_affected FROM (SELECT batch_num, "
-       "count_if(o_orderpriority IS NULL) AS n FROM").replace("GROUP BY batch_num HAVING", "GROUP BY batch_num) WHERE n > 0 --"))
+       "SELECT batch_num, 'missing:o_orderpriority' AS check_id, n AS n_affected FROM (SELECT batch_num, "
+       "count_if(o_orderpriority IS NULL) AS n FROM (SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 "
+       f"AS BIGINT) AS batch_num, o_orderpriority FROM {_sql_derive('orders', _ORD_NULLS)}) GROUP BY batch_num) "
+       "WHERE n > 0")
 def q_batch_issues(spark, d):
     df = _derive(spark, d, "orders", _ORD_NULLS)
     return V.batch_validate(df, [R.DataQualityChecker()], ["o_orderkey"], 1000)[0].select(
