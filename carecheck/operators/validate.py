@@ -212,3 +212,29 @@ def changed_batches(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Batches whose (rows, content hash, rule-set hash) are not in ``stored``."""
     keys = ["batch_num", "n_rows", "content_hash", "ruleset_hash"]
     return current.join(stored.select(*keys), keys, "left_anti")
+
+
+# --------------------------------------------------------------------------
+# Run-log record of a validation (input of the monitors, M1-M8)
+# --------------------------------------------------------------------------
+def run_record(result: ValidationResult, run_id: str, duration_s: float | None = None,
+               compliance=None) -> DataFrame:
+    """One run-log row (``operators.monitor.RUN_LOG_SCHEMA``) for a validation:
+    validity and issue count from the issues, row count from the data, and --
+    when a compliance report is given -- ``compliance_score`` (overall / 100)
+    and its violations."""
+    counts = severity_counts(result.issues).select(
+        F.struct("is_valid", "total_issues").alias("c")).scalar()
+    base = result.data.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts"), counts["is_valid"].alias("is_valid"),
+        "n_rows", counts["total_issues"].cast("long").alias("n_issues"),
+        F.lit(duration_s).cast("double").alias("duration_s"))
+    vt = "array<struct<standard:string,severity:string,field:string,message:string>>"
+    if compliance is None:
+        return base.select("*", F.create_map().cast("map<string,double>").alias("metrics"),
+                           F.array().cast(vt).alias("violations"))
+    score = compliance.overall().select((F.col("overall_score") / 100.0).alias("s")).scalar()
+    viol = compliance.violations.agg(F.collect_list(  # violations of one run: bounded by checks
+        F.struct("standard", "severity", "field", "message")).alias("v")).scalar()
+    return base.select("*", F.create_map(F.lit("compliance_score"), score).alias("metrics"),
+                       F.coalesce(viol, F.array().cast(vt)).alias("violations"))

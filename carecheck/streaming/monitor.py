@@ -158,3 +158,40 @@ def alert_callback(fn: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
         except Exception as e:  # noqa: BLE001 - callback errors are swallowed by design
             log.warning("alert callback failed in epoch %s: %s", epoch_id, e)
     return run
+
+
+# --------------------------------------------------------------------------
+# Streaming validation feeding the run log
+# --------------------------------------------------------------------------
+def validate_stream(stream: DataFrame, rules: list, run_log_path: str, issues_path: str,
+                    checkpoint_location: str, trigger: dict | None = None, compliance: bool = False):
+    """Validate every micro-batch of ``stream`` with ``rules``; append its
+    issues (with ``run_id``) to ``issues_path`` and one run-log row to
+    ``run_log_path`` (parquet).  ``run_id`` is the epoch id, so a re-executed
+    epoch after a failure is recognisable and deduplicated by readers
+    (``read_run_log``).  Returns the started ``StreamingQuery``."""
+    import time as _time
+
+    from carecheck.operators.compliance import compliance_report
+    from carecheck.operators.validate import run_record, validate
+
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        t0 = _time.time()
+        res = validate(batch, rules)
+        issues = res.issues.withColumn("run_id", F.lit(str(epoch_id)))
+        issues.write.mode("append").parquet(issues_path)
+        rep = compliance_report(batch) if compliance else None
+        run_record(res, str(epoch_id), _time.time() - t0, rep).write.mode("append").parquet(run_log_path)
+
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(**trigger) if trigger else w.trigger(availableNow=True)
+    return w.start()
+
+
+def read_run_log(spark, run_log_path: str) -> DataFrame:
+    """The run log written by ``validate_stream``, one row per run id (a replayed
+    epoch keeps its latest record)."""
+    from pyspark.sql import Window
+    df = spark.read.parquet(run_log_path)
+    w = Window.partitionBy("run_id").orderBy(F.col("ts").desc())
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

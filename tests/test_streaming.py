@@ -74,3 +74,21 @@ def test_run_stats_and_callback(spark):
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination(180)
     assert sum(seen) == len(rows(M.issue_volume_alerts(df)))
+
+
+def test_validate_stream_feeds_run_log(spark):
+    from carecheck.operators import rules as R
+    recs = [(i, True, 0, {}) for i in range(12)]
+    _, d = _write_split(spark, recs, 3)
+    src = spark.readStream.schema(M.RUN_LOG_SCHEMA).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(d).select("run_id", "n_rows", "n_issues")
+    src = src.selectExpr("run_id", "CASE WHEN CAST(run_id AS INT) % 2 = 0 THEN NULL ELSE n_rows END AS n_rows", "n_issues")
+    out = tempfile.mkdtemp(prefix="carecheck-vs-")
+    q = SM.validate_stream(src, [R.DataQualityChecker()], os.path.join(out, "runs"), os.path.join(out, "issues"),
+                           os.path.join(out, "ck"), compliance=True)
+    q.awaitTermination(180)
+    runs = rows(SM.read_run_log(spark, os.path.join(out, "runs")))
+    assert len(runs) == 3 and all(r["n_rows"] == 4 for r in runs)
+    assert all(r["is_valid"] is True and r["n_issues"] == 1 for r in runs)  # 50 % missing: a warning
+    assert all("compliance_score" in r["metrics"] for r in runs)
+    assert M.run_stats(SM.read_run_log(spark, os.path.join(out, "runs"))).first()["total_validations"] == 3
