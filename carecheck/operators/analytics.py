@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
 from carecheck.plans.quantiles import quantile_wide, quantiles
-from carecheck.plans.rowindex import with_row_index
 
 METRIC_SCHEMA = "metric string, name string, value double, unit string, description string, severity string"
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
 from carecheck.operators.analytics import _dense_rank_in_group
 from carecheck.plans.rowindex import with_row_index

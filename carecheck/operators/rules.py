@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
-from carecheck.plans import catalog as K
 from carecheck.plans.aggplan import ISSUE_COLUMNS, Check
 
-TABLE = "data"
 
 
 @dataclass
@@ -42,17 +40,6 @@ class Rule:
         raise NotImplementedError
 
 
-def _catalog_issues(df: DataFrame, rule_name: str, check_id: Column, severity: str,
-                    column: Column, message: Column) -> DataFrame:
-    """Issue rows from a catalog query result ``df``."""
-    return df.select(
-        check_id.alias("check_id"), F.lit(rule_name).alias("rule_name"),
-        F.lit(severity).alias("severity"), column.cast("string").alias("column_name"),
-        F.lit("schema").alias("metric"), F.lit(None).cast("long").alias("n_affected"),
-        F.lit(None).cast("long").alias("n_rows"), message.alias("message"),
-        F.lit(None).cast("array<string>").alias("sample"))
-
-
 # --------------------------------------------------------------------------
 # V1, V2
 # --------------------------------------------------------------------------

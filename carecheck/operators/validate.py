@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -17,8 +17,7 @@ from carecheck.functions import exprs as E
 from carecheck.plans.aggplan import (ISSUE_COLUMNS, Check, compile_checks, empty_issues,
                                      issue_rows, union_all)
 from carecheck.plans.rowindex import with_row_index
-from carecheck.operators.rules import (DataQualityChecker, Rule, RulePlan, conform_issues,
-                                       duplicate_count)
+from carecheck.operators.rules import DataQualityChecker, Rule, RulePlan, duplicate_count
 
 
 @dataclass

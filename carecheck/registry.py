@@ -1434,7 +1434,6 @@ COVID = ["o_orderdate AS date", "o_orderpriority AS location", "CAST(floor(o_tot
 
 def _profile_query(name: str, table: str, exprs: list[str]) -> str:
     """Oracle: the profile's required/type/range/date rows evaluated in SQL."""
-    from carecheck.operators.rulesets import PROFILE_SCHEMA  # noqa: F401 - documents the row shape
     cols = [e.rsplit(" AS ", 1)[-1] if " AS " in e else e for e in exprs]
     src = _sql_derive(table, exprs)
     parts = []
