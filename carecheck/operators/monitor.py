@@ -183,6 +183,13 @@ def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
             .withColumn("resolved", F.coalesce("resolved", F.lit(False))))
 
 
+def action_results(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Per action, whether it applied (``True`` when the alert id exists)."""
+    ids = alerts.select("alert_id").distinct().withColumn("__known", F.lit(True))
+    return (actions.join(ids, "alert_id", "left")
+            .select("alert_id", "ts", "action", F.coalesce("__known", F.lit(False)).alias("applied")))
+
+
 def active_alerts(alerts_with_flags: DataFrame) -> DataFrame:
     """Unresolved alerts."""
     return alerts_with_flags.where(~F.col("resolved"))

@@ -166,6 +166,10 @@ def empty_rule_store(spark: SparkSession) -> DataFrame:
 
 def rule_rows(spark: SparkSession, rules: list[CustomRule], ruleset: str = "custom",
               version: int = 1) -> DataFrame:
+    """Rule-catalog rows; a rule needs a name and a pattern (ValueError otherwise)."""
+    for r in rules:
+        if not r.name or not r.pattern:
+            raise ValueError("Rule name and pattern are required")
     return spark.createDataFrame(
         [(ruleset, r.name, r.description, r.pattern, r.severity, r.field_pattern, r.recommendation,
           version) for r in rules], RULE_CATALOG_SCHEMA)
@@ -185,6 +189,11 @@ def delete_rules(store: DataFrame, ruleset: str, rule_ids: list[str]) -> DataFra
     return store.join(F.broadcast(doomed), ["ruleset", "rule_id"], "left_anti")
 
 
+def rule_exists(store: DataFrame, ruleset: str, rule_id: str) -> bool:
+    """Whether a rule is stored (the reference answers 404 / False otherwise)."""
+    return not store.where((F.col("ruleset") == ruleset) & (F.col("rule_id") == rule_id)).isEmpty()
+
+
 def load_rules(store: DataFrame, ruleset: str = "custom") -> list[CustomRule]:
     """Chosen rule rows (small) compiled for the compliance engine."""
     return rules_from_rows(store.where(F.col("ruleset") == ruleset).collect())

@@ -26,6 +26,8 @@ class ValidationResult:
     issues: DataFrame
     rules: list[Rule] = field(default_factory=list)
     custom_validators: int = 0
+    compliance: object = None        # ComplianceReport when requested
+    analytics: dict | None = None    # name -> DataFrame when requested
 
     # V14 ------------------------------------------------------------------
     def counts(self) -> DataFrame:
@@ -101,15 +103,40 @@ def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None)
     return checks, frames
 
 
-def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | None = None) -> ValidationResult:
-    """Run ``rules`` then ``custom_validators`` over ``df``."""
+def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | None = None,
+             compliance: bool = False, template: str | None = None, custom_rules: list | None = None,
+             analytics: bool = False, time_column: str | None = None, as_of: str | None = None) -> ValidationResult:
+    """Run ``rules`` then ``custom_validators`` over ``df``; optionally the
+    compliance engine (``compliance``/``template``/``custom_rules``) and the
+    analytics report.  A failing rule becomes an ``error`` issue, a failing
+    compliance stage a ``warning`` and a failing analytics stage an ``info``
+    issue; the other stages still run."""
     custom_validators = custom_validators or []
     allr = list(rules) + list(custom_validators)
     checks, frames = plan_rules(df, allr, custom=set(range(len(rules), len(allr))))
     parts = [compile_checks(df, checks)] if checks else []
     parts += frames
+    extra: list[tuple] = []
+    rep = None
+    if compliance or template is not None or custom_rules:
+        try:
+            from carecheck.operators.compliance import compliance_report
+            rep = compliance_report(df, custom_rules, template=template)
+        except (AnalysisException, ValueError, TypeError, KeyError) as e:
+            extra.append(("failed:compliance", "ComplianceEngine", "warning", None, "failure", None, None,
+                          f"Compliance validation failed: {str(e).splitlines()[0]}", None))
+    report = None
+    if analytics:
+        try:
+            from carecheck.operators.analytics import full_report
+            report = full_report(df, time_column, as_of=as_of)
+        except (AnalysisException, ValueError, TypeError, KeyError) as e:
+            extra.append(("failed:analytics", "AdvancedAnalytics", "info", None, "failure", None, None,
+                          f"Analytics failed: {str(e).splitlines()[0]}", None))
+    if extra:
+        parts.append(issue_rows(df.sparkSession, extra))
     issues = union_all(parts) if parts else empty_issues(df.sparkSession)
-    return ValidationResult(df, issues.select(*ISSUE_COLUMNS), list(rules), len(custom_validators))
+    return ValidationResult(df, issues.select(*ISSUE_COLUMNS), list(rules), len(custom_validators), rep, report)
 
 
 # --------------------------------------------------------------------------

@@ -58,3 +58,27 @@ def test_custom_template_and_rule_targets(spark):
     cols = K.columns_table(spark, {"t": spark.createDataFrame([("a", "b")], "patient_id string, note string")})
     tg = {(r["column_name"], r["rule_id"]) for r in rows(C.rule_targets(cols, RS.template_rules("ehr")))}
     assert ("patient_id", "patient_id_format") in tg and ("note", "patient_id_format") not in tg
+
+
+def test_validate_with_compliance_and_analytics(spark):
+    import json
+    df = spark.createDataFrame([("John Doe", 30.0), ("Jane Roe", None)], "patient_name string, age double")
+    r = V.validate(df, [R.DataQualityChecker()], compliance=True, template="unknown_tpl", analytics=True)
+    assert rows(r.compliance.overall())[0]["template_applied"] == "unknown_tpl"
+    assert "quality_metrics" in r.analytics
+    doc = json.loads(rows(S.result_document(r.issues))[0]["json"])
+    assert doc["total_issues"] == 1 and doc["issues"][0]["column"] == "age"
+
+
+def test_rule_store_checks_and_action_results(spark):
+    import pytest
+    from carecheck.operators import monitor as M
+    with pytest.raises(ValueError):
+        RS.rule_rows(spark, [C.CustomRule("", "x")])
+    store = RS.rule_rows(spark, [C.CustomRule("r1", "a")])
+    assert RS.rule_exists(store, "custom", "r1") and not RS.rule_exists(store, "custom", "r2")
+    alerts = spark.createDataFrame([("a1",)], "alert_id string")
+    acts = spark.createDataFrame([("a1", datetime(2024, 1, 1), "resolve"), ("zz", datetime(2024, 1, 1), "resolve")],
+                                 "alert_id string, ts timestamp, action string")
+    got = {r["alert_id"]: r["applied"] for r in rows(M.action_results(alerts, acts))}
+    assert got == {"a1": True, "zz": False}
