@@ -40,7 +40,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     vals = F.array(*[F.struct(F.lit(i).alias("cid"), E.clean(c, types[c]).cast("double").alias("v"))
                      for i, c in enumerate(columns)])
-    long = (df.select(F.monotonically_increasing_id().alias("__tie"), F.explode(vals).alias("s"))
+    # deterministic tie-breaker (row hash): splits a value repeated in many rows
+    # over range partitions without making the shuffle input nondeterministic
+    long = (df.select(F.xxhash64(*[F.col(E.quote(c)) for c in df.columns]).alias("__tie"),
+                      F.explode(vals).alias("s"))
             .select(F.col("s.cid").alias("cid"), F.col("s.v").alias("v"), "__tie")
             .where(F.col("v").isNotNull()))
     ranged = range_sorted(long, ["cid", "v", "__tie"], n)

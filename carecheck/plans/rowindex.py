@@ -48,17 +48,21 @@ def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int |
     (partition) and ``__local`` (position in partition), materialised once so
     that every consumer sees the same partitioning.
 
-    ``materialize`` (default: session setting ``carecheck.rowindex.materialize``,
-    else ``persist``): ``persist`` keeps the sorted rows in the block manager
-    (memory, spilling to disk; a lost block is recomputed from the same
-    shuffle dependency, hence the same range bounds); ``checkpoint`` writes
-    them to the cluster's shared ``spark.checkpoint.dir`` and cuts lineage."""
+    ``materialize`` (default: session setting ``carecheck.rowindex.materialize``;
+    else ``checkpoint`` when the cluster names a shared ``spark.checkpoint.dir``,
+    ``persist`` otherwise): ``checkpoint`` writes the sorted rows to the shared
+    folder and cuts lineage, so a lost executor costs nothing to recompute;
+    ``persist`` keeps them in the block manager (memory, spilling to disk; a
+    lost block is recomputed from the same shuffle dependency, hence the same
+    range bounds)."""
     n = _partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in keys]
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_MASK))))
-    mode = materialize or df.sparkSession.conf.get(MATERIALIZE_CONF, "persist")
+    from carecheck.session import cluster_checkpoint_dir
+    default = "checkpoint" if cluster_checkpoint_dir(df.sparkSession) else "persist"
+    mode = materialize or df.sparkSession.conf.get(MATERIALIZE_CONF, default)
     if mode == "checkpoint":
         from carecheck.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)

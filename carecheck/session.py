@@ -37,6 +37,16 @@ def get_spark(master: str | None = None, app: str = "carecheck", shuffle_partiti
     return spark
 
 
+OWN_CHECKPOINT_CONF = "carecheck.checkpoint.local"
+
+
+def cluster_checkpoint_dir(spark: SparkSession) -> bool:
+    """True when ``spark.checkpoint.dir`` was named by the cluster (shared
+    storage), False when we created a local scratch folder (tests)."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get(OWN_CHECKPOINT_CONF, "false") != "true"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
@@ -49,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="carecheck-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+        spark.conf.set(OWN_CHECKPOINT_CONF, "true")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
