@@ -182,3 +182,36 @@ def test_wide_table_chunks_keep_results(spark):
 def test_duplicates_signed_zero(spark):
     df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (1.0, "b")], "x double, y string")
     assert R.duplicate_count(df).collect()[0]["n_duplicates"] == 1
+
+
+def test_f33_dirty_demo_end_to_end(spark):
+    data = [(0, "P001", 38, 98.6, "I10", "1985-03-15", "A", None),
+            (1, "P002", 33, 99.2, "INVALID", "1990-07-22", "A", None),
+            (2, None, 45, 97.8, "J45.909", "INVALID_DATE", "A", None),
+            (3, "P004", 150, 98.9, "F32.1", "1982-04-30", "A", None),
+            (4, "P005", 35, 110.0, "G43.909", "1988-09-12", "A", None)]
+    df = spark.createDataFrame(data, "k long, patient_id string, age long, temperature double, icd10_code string, "
+                                     "date_of_birth string, duplicate_col string, empty_col string")
+    r = V.validate(df.drop("k"), [
+        R.SchemaValidator(["patient_id", "age"], {"age": "int", "temperature": "float"}),
+        R.PHIDetector(), R.DataQualityChecker(),
+        R.MedicalCodeValidator({"icd10_code": "icd10"}),
+        R.RangeValidator({"age": {"min": 0, "max": 120}, "temperature": {"min": 95.0, "max": 105.0}}),
+        R.DateValidator(["date_of_birth"], "1900-01-01", "2024-12-31")])
+    msgs = sorted(i["message"] for i in rows(r.issues))
+    assert msgs == sorted([
+        "Column 'patient_id' may contain PHI/PII based on name",
+        "Column 'date_of_birth' may contain PHI/PII based on name",
+        "Found 4 potential DATE values in column 'date_of_birth'",
+        "Column 'patient_id' has 1 missing values (20.0%)",
+        "Column 'empty_col' has 5 missing values (100.0%)",
+        "Column 'empty_col' is completely empty",
+        "Found 3 invalid ICD10 codes in column. Sample: ['G43.909', 'INVALID', 'J45.909']",
+        "Column 'age' has 1 values above maximum 120",
+        "Column 'temperature' has 1 values above maximum 105.0",
+        "Column 'date_of_birth' has 1 invalid date values"])
+    c = r.counts().first()
+    assert (c.total_issues, c.error_count, c.is_valid) == (10, 3, False)
+    # with an explicit row order the sample follows the rows, as in the reference
+    r2 = V.validate(df, [R.MedicalCodeValidator({"icd10_code": "icd10"}, order_by=["k"])])
+    assert rows(r2.issues)[0]["sample"] == ["INVALID", "J45.909", "G43.909"]
