@@ -121,11 +121,15 @@ def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     types = {f.name: f.dataType for f in df.schema.fields}
     data = [c for c in df.columns if c not in keys]
+    # NaN counts as missing (equal to NULL, as in pandas); -0.0 + 0.0 == 0.0 so
+    # equal values hash equally
+    norm = {c: (E.clean(c, types[c]) + F.lit(0.0).cast(types[c])) if E.is_floating(types[c])
+            else F.col(E.quote(c)) for c in data}
+    cols = [norm[c].alias(c) for c in data]
+    fp = df.select(*keys, *cols).select(*keys, *[F.col(E.quote(c)) for c in data],
+                                         F.xxhash64(*[F.col(E.quote(c)) for c in data]).alias("__h1"),
+                                         F.hash(*[F.col(E.quote(c)) for c in data]).alias("__h2"))
     cols = [F.col(E.quote(c)) for c in data]
-    # equal values must hash equally: -0.0 + 0.0 == 0.0 (NaN is already canonical)
-    hashed = [F.col(E.quote(c)) + F.lit(0.0).cast(types[c]) if E.is_floating(types[c]) else F.col(E.quote(c))
-              for c in data]
-    fp = df.select(*keys, *cols, F.xxhash64(*hashed).alias("__h1"), F.hash(*hashed).alias("__h2"))
     cand = (fp.groupBy(*keys, "__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
             .where(F.col("__n") > 1).select(*keys, "__h1", "__h2"))
     rows = fp.join(cand, [*keys, "__h1", "__h2"], "left_semi")
