@@ -58,11 +58,13 @@ def run_stats(run_log: DataFrame) -> DataFrame:
 
 
 def running_stats(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """M1 (per record) and M5 input: running totals after each run in (ts, run_id) order."""
-    r = running_sums(run_log, ["ts", "run_id"], {
+    """M1 (per record) and M5 input: running totals after each run in (ts, run_id)
+    order; ``pos`` is the run's 0-based position (one sort serves M1, M5, M8)."""
+    r = running_sums(run_log.select("run_id", "ts", "is_valid", "duration_s"), ["ts", "run_id"], {
         "total": F.lit(1), "failed": (~F.col("is_valid")).cast("int"), "time": F.col("duration_s")},
         num_partitions)
-    return r.select("run_id", "ts", F.col("cum_total").cast("long").alias("total_validations"),
+    return r.select("run_id", "ts", (F.col("cum_total") - 1).cast("long").alias("pos"),
+                    F.col("cum_total").cast("long").alias("total_validations"),
                     F.col("cum_failed").cast("long").alias("failed_validations"),
                     (F.col("cum_total") - F.col("cum_failed")).cast("long").alias("successful_validations"),
                     (F.col("cum_failed") / F.greatest(F.lit(1.0), F.col("cum_total"))).alias("failure_rate"),
@@ -77,9 +79,11 @@ def _alert(alert_id: Column, ts: Column, atype: str, severity: Column | str, mes
             sev.alias("severity"), message.alias("message"), details.alias("details")]
 
 
-def failure_rate_alerts(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def failure_rate_alerts(run_log: DataFrame, num_partitions: int | None = None,
+                        stats: DataFrame | None = None) -> DataFrame:
     """M5: after every run whose running failure rate exceeds 0.3."""
-    r = running_stats(run_log, num_partitions).where(F.col("failure_rate") > P.FAILURE_RATE_LIMIT)
+    stats = stats if stats is not None else running_stats(run_log, num_partitions)
+    r = stats.where(F.col("failure_rate") > P.FAILURE_RATE_LIMIT)
     return r.select(*_alert(
         F.concat(F.lit("anomaly_detected:failure_rate:"), "run_id"), F.col("ts"), "anomaly_detected", "high",
         F.format_string("High validation failure rate detected: %.1f%%", F.col("failure_rate") * 100),
@@ -142,9 +146,11 @@ def history(run_log: DataFrame, keep: int = P.HISTORY_LENGTH, num_partitions: in
 
 
 def inactivity_alerts(run_log: DataFrame, num_partitions: int | None = None,
-                      gap_seconds: int = P.INACTIVITY_SECONDS) -> DataFrame:
-    """M8 (batch): a gap of more than ``gap_seconds`` between consecutive runs."""
-    idx = with_row_index(run_log.select("run_id", "ts"), ["ts", "run_id"], "pos", num_partitions)
+                      gap_seconds: int = P.INACTIVITY_SECONDS, stats: DataFrame | None = None) -> DataFrame:
+    """M8 (batch): a gap of more than ``gap_seconds`` between consecutive runs
+    (equi-join of each run with the run at the previous position)."""
+    idx = (stats.select("run_id", "ts", "pos") if stats is not None else
+           with_row_index(run_log.select("run_id", "ts"), ["ts", "run_id"], "pos", num_partitions))
     prev = idx.select((F.col("pos") + 1).alias("pos"), F.col("ts").alias("prev_ts"))
     j = idx.join(prev, "pos").withColumn(
         "__gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp")))
@@ -157,9 +163,12 @@ def inactivity_alerts(run_log: DataFrame, num_partitions: int | None = None,
 
 
 def all_alerts(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    parts = [degradation_alerts(run_log, num_partitions), failure_rate_alerts(run_log, num_partitions),
+    """M4-M8 together: two sorts of the run log (by metric for degradation, by
+    time for running rates and gaps), shared by the monitors that need them."""
+    stats = running_stats(run_log, num_partitions)
+    parts = [degradation_alerts(run_log, num_partitions), failure_rate_alerts(run_log, stats=stats),
              critical_violation_alerts(run_log), issue_volume_alerts(run_log),
-             inactivity_alerts(run_log, num_partitions)]
+             inactivity_alerts(run_log, stats=stats)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
