@@ -257,6 +257,13 @@ SANITIZE_LITERALS = [";", "--", "/*", "*/"]
 # Filename characters replaced by "_" (D2), in order.
 FILENAME_BAD_CHARS = ["<", ">", ":", '"', "|", "?", "*", "\\", "/"]
 
+# Text report layout (K3): title, rule widths, status words.
+REPORT_TITLE = "Medical Data Validation Report"
+REPORT_RULE = "=" * 40
+REPORT_ISSUES_RULE = "-" * 20
+REPORT_VALID = "✅ VALID"
+REPORT_INVALID = "❌ INVALID"
+
 # Upload admission.
 ALLOWED_EXTENSIONS = ["csv", "xlsx", "xls", "json", "parquet"]
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024

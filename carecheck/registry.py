@@ -1366,7 +1366,7 @@ def q_files(spark, d):
        "count_if(severity = 'warning') AS w, count_if(severity = 'info') AS f FROM i), "
        "n AS (SELECT *, row_number() OVER (ORDER BY severity, check_id) - 1 AS k FROM i) "
        "SELECT CAST(line_no AS BIGINT) AS line_no, line FROM ("
-       "SELECT 0 AS line_no, 'Medical Data Validation Report' AS line UNION ALL SELECT 1, repeat('=', 40) "
+       f"SELECT 0 AS line_no, {sq(P.REPORT_TITLE)} AS line UNION ALL SELECT 1, repeat('=', 40) "
        "UNION ALL SELECT 2, 'Timestamp: ' UNION ALL SELECT 3, 'Overall Status: ' || CASE WHEN e = 0 THEN '✅ VALID' "
        "ELSE '❌ INVALID' END FROM c UNION ALL SELECT 4, '' UNION ALL SELECT 5, 'Summary:' "
        "UNION ALL SELECT 6, '  - Total Issues: ' || t FROM c UNION ALL SELECT 7, '  - Errors: ' || e FROM c "

@@ -127,15 +127,15 @@ def report_lines(issues: DataFrame, counts: DataFrame, order_by: list[str] | Non
                  F.format_string("%d. [%s] %s", F.col("__i") + 1, F.upper("severity"), F.col("message")).alias("line")),
         F.struct((base + 1).alias("line_no"), loc.alias("line")),
         F.struct((base + 2).alias("line_no"), F.lit("").alias("line"))))).where(F.col("line").isNotNull())
-    fixed = ["Medical Data Validation Report", "=" * 40, f"Timestamp: {timestamp}"]
+    fixed = [P.REPORT_TITLE, P.REPORT_RULE, f"Timestamp: {timestamp}"]
     heads = [F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(fixed)]
-    status = F.concat(F.lit("Overall Status: "), F.when(F.col("is_valid"), "✅ VALID").otherwise("❌ INVALID"))
+    status = F.concat(F.lit("Overall Status: "), F.when(F.col("is_valid"), P.REPORT_VALID).otherwise(P.REPORT_INVALID))
     more = [status, F.lit(""), F.lit("Summary:"),
             F.format_string("  - Total Issues: %d", "total_issues"), F.format_string("  - Errors: %d", "error_count"),
             F.format_string("  - Warnings: %d", "warning_count"), F.format_string("  - Info: %d", "info_count"),
             F.lit(""),
             F.when(F.col("total_issues") > 0, F.lit("Issues Found:")),
-            F.when(F.col("total_issues") > 0, F.lit("-" * 20))]
+            F.when(F.col("total_issues") > 0, F.lit(P.REPORT_ISSUES_RULE))]
     heads += [F.struct(F.lit(len(fixed) + i).cast("long").alias("line_no"), c.alias("line"))
               for i, c in enumerate(more)]
     head = counts.select(F.inline(F.array(*heads))).where(F.col("line").isNotNull())

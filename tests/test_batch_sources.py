@@ -78,7 +78,8 @@ def test_report_and_json(spark):
     c = rows(S.result_json(r.issues))[0]
     assert c["is_valid"] is False and c["error_count"] == 2
     lines = [x["line"] for x in sorted(rows(S.report_lines(r.issues, r.counts())), key=lambda x: x["line_no"])]
-    assert lines[0] == "Medical Data Validation Report" and "Overall Status: ❌ INVALID" in lines
+    from carecheck.functions import patterns as P
+    assert lines[0] == P.REPORT_TITLE and "Overall Status: ❌ INVALID" in lines
     assert any(line.startswith("1. [ERROR]") for line in lines)
 
 
