@@ -150,3 +150,21 @@ def test_wide_table_compliance_chunks(spark):
     v = rows(rep.violations)
     assert len([x for x in v if x["rule_id"] == "PHI_NAME_DETECTED"]) == 30
     assert scores(rep)["hipaa"]["violations_count"] == 30
+
+
+def test_f22_other_templates(spark):
+    cases = {
+        "ehr": ([("P12345678", "120", "10 mg"), ("X1", "80", "5 ml")], "patient_id string, bp string, dosage string",
+                {("patient_id_format", "patient_id"), ("vital_signs_range", "bp"), ("medication_dosage", "dosage")}),
+        "laboratory": ([("5.2 (3.5-5.0 mmol)", "SP123456-001", "completed"), ("x", "y", "z")],
+                       "result string, specimen string, status string",
+                       {("lab_result_format", "result"), ("specimen_id_format", "specimen"), ("test_status", "status")}),
+        "imaging": ([("1.2.3.4.5.6", "CT", "3"), ("1.2", "XY", "9")], "dicom_uid string, modality string, quality string",
+                    {("dicom_uid_format", "dicom_uid"), ("modality_codes", "modality"), ("image_quality_score", "quality")}),
+        "research": ([("R123456", "consented", "1985"), ("X", "n", "x")], "id string, consent string, birth_year string",
+                     {("deidentified_id", "id"), ("consent_status", "consent"), ("data_anonymization", "birth_year")}),
+    }
+    for name, (data, schema, expected) in cases.items():
+        rep = C.compliance_report(spark.createDataFrame(data, schema), template=name)
+        got = {(x["rule_id"], x["field"]) for x in rows(rep.violations) if x["standard"] == "CUSTOM"}
+        assert expected <= got, name
