@@ -19,6 +19,8 @@ other column statistics.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,110 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return spark.createDataFrame([tuple(r) for r in out], QSCHEMA)
 
 
+BAND_LIMIT = 50_000      # values per target collected in the final refine pass
+SKETCH_ACCURACY = 10_000
+
+
+SORT_BELOW = 10_000_000  # values per column up to which one distributed sort is used
+
+
+def refined_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                      band_limit: int = BAND_LIMIT, accuracy: int = SKETCH_ACCURACY,
+                      num_partitions: int | None = None, sort_below: int | None = 0) -> DataFrame:
+    """Exact quantiles from scans and aggregations only -- no shuffle of the data.
+
+    For every (column, probability) the two order statistics around
+    ``h = (n - 1) p`` are bracketed by a value band ``[lo, hi]``:
+
+    1. a ``percentile_approx`` sketch over the current band proposes a tighter
+       band around the target ranks (relative error ``1/accuracy``);
+    2. exact ``count_if`` passes verify it: values below ``lo`` must not reach
+       the lower target rank and ``lo..hi`` must cover the upper one;
+    3. repeat until every band holds at most ``band_limit`` values (each round
+       shrinks a band by about ``accuracy / 6``), then collect the band values --
+       bounded by ``band_limit`` per target -- and pick the order statistics.
+
+    A bracket that fails verification three times falls back to the
+    distributed-sort method for that column, as does the whole computation
+    when no column has more than ``sort_below`` values (size checked by the
+    first, counting pass).  Result: ``len(columns) x len(probs)`` rows."""
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], QSCHEMA)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    vals = {c: E.clean(c, types[c]).cast("double") for c in columns}
+    counts = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if sort_below and max(counts[f"n{i}"] for i in range(len(columns))) <= sort_below:
+        # small input: one shuffle of at most sort_below values per column is cheaper
+        return exact_quantiles(df, columns, probs, num_partitions)
+    targets = []  # dicts: col, prob, klo, khi, lo, hi, below, band, tries
+    results = {}
+    for i, c in enumerate(columns):
+        n = counts[f"n{i}"]
+        for p in probs:
+            if n == 0:
+                continue
+            h = (n - 1) * float(p)
+            targets.append({"col": c, "prob": float(p), "h": h, "klo": int(math.floor(h)), "khi": int(math.ceil(h)),
+                            "lo": None, "hi": None, "below": 0, "band": n, "tries": 0})
+    fallback: set[str] = set()
+    eps = 1.0 / accuracy
+    for _ in range(12):
+        active = [t for t in targets if t["band"] > band_limit and t["col"] not in fallback]
+        if not active:
+            break
+        # one sketch per (column, band): targets still on the whole column share it
+        groups: dict = {}
+        for j, t in enumerate(active):
+            m = (3 * (t["tries"] + 1)) * eps + 1.0 / t["band"]
+            f_lo = max(0.0, (t["klo"] - t["below"]) / t["band"] - m)
+            f_hi = min(1.0, (t["khi"] - t["below"] + 1) / t["band"] + m)
+            groups.setdefault((t["col"], t["lo"], t["hi"]), []).append((j, f_lo, f_hi))
+        sketches, where = [], {}
+        for g, ((col, lo, hi), members) in enumerate(groups.items()):
+            v = vals[col]
+            inband = v if lo is None else F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)
+            fr = [x for _, a, b in members for x in (a, b)]
+            sketches.append(F.percentile_approx(inband, F.array(*[F.lit(x) for x in fr]), accuracy).alias(f"g{g}"))
+            for pos, (j, _, _) in enumerate(members):
+                where[j] = (g, 2 * pos)
+        got_sk = df.agg(*sketches).first()
+        sk = {f"s{j}": got_sk[f"g{g}"][pos:pos + 2] for j, (g, pos) in where.items()}
+        checks = []
+        for j, t in enumerate(active):
+            lo, hi = sk[f"s{j}"]
+            v = vals[t["col"]]
+            checks += [F.count_if(v < F.lit(lo)).alias(f"b{j}"),
+                       F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"w{j}")]
+        ck = df.agg(*checks).first()
+        for j, t in enumerate(active):
+            lo, hi = sk[f"s{j}"]
+            below, band = ck[f"b{j}"], ck[f"w{j}"]
+            if below <= t["klo"] and below + band - 1 >= t["khi"] and band < t["band"]:
+                t.update(lo=lo, hi=hi, below=below, band=band, tries=0)
+            else:
+                t["tries"] += 1
+                if t["tries"] >= 3:
+                    fallback.add(t["col"])
+    done = [t for t in targets if t["col"] not in fallback]
+    if done:
+        # final pass: the band values of every target, at most band_limit each
+        lists = []
+        for j, t in enumerate(done):
+            v = vals[t["col"]]
+            inband = v if t["lo"] is None else F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
+            lists.append(F.collect_list(inband).alias(f"l{j}"))
+        got = df.agg(*lists).first()
+        for j, t in enumerate(done):
+            xs = sorted(got[f"l{j}"])
+            a, b = xs[t["klo"] - t["below"]], xs[t["khi"] - t["below"]]
+            results[(t["col"], t["prob"])] = a + (t["h"] - t["klo"]) * (b - a)
+    rows = [(c, p, v) for (c, p), v in results.items()]
+    if fallback:
+        rows += [tuple(r) for r in exact_quantiles(df, sorted(fallback), probs, num_partitions).collect()]
+    return spark.createDataFrame(rows, QSCHEMA)
+
+
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      accuracy: int = 10000) -> DataFrame:
     spark = df.sparkSession
@@ -92,10 +198,18 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True,
-              num_partitions: int | None = None) -> DataFrame:
-    if exact:
+              num_partitions: int | None = None, method: str = "auto") -> DataFrame:
+    """Per-column quantiles.  ``exact`` uses ``method='refine'`` (scans and
+    aggregations only, see ``refined_quantiles``), ``'sort'`` (one distributed
+    sort, see ``exact_quantiles``) or ``'auto'``: sort up to ``SORT_BELOW``
+    values per column, refine above; otherwise ``percentile_approx``."""
+    if not exact:
+        return approx_quantiles(df, columns, probs)
+    if method == "sort":
         return exact_quantiles(df, columns, probs, num_partitions)
-    return approx_quantiles(df, columns, probs)
+    if method == "refine":
+        return refined_quantiles(df, columns, probs, num_partitions=num_partitions)
+    return refined_quantiles(df, columns, probs, num_partitions=num_partitions, sort_below=SORT_BELOW)
 
 
 def quantile_wide(q: DataFrame, probs: dict[str, float]) -> DataFrame:

@@ -82,3 +82,15 @@ def test_mixed_types(spark):
     m = rows(A.mixed_types(df))
     assert m[0]["n_types"] == 3
     assert abs(rows(A.consistency(df))[0]["consistency"] - 0.5) < 1e-12
+
+
+def test_refined_quantiles_large_with_hot_value(spark):
+    import numpy as np
+    from carecheck.plans.quantiles import refined_quantiles
+    rng = np.random.default_rng(7)
+    xs = np.concatenate([np.full(7000, 42.0), rng.normal(40, 15, 13000).round(3)])
+    df = spark.createDataFrame([(float(x),) for x in xs], "v double").repartition(6)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = {r["prob"]: r["value"] for r in rows(refined_quantiles(df, ["v"], probs, band_limit=200, accuracy=500))}
+    for p in probs:
+        assert abs(got[p] - float(np.quantile(xs, p))) < 1e-9

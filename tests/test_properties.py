@@ -71,3 +71,19 @@ def test_running_sums(spark, recs, parts):
     for i in order:
         acc += recs[i][1]
         assert out[i] == acc
+
+
+@SETTINGS
+@given(st.lists(small_vals, min_size=1, max_size=120), st.integers(2, 40))
+def test_refined_quantiles_match_numpy(spark, vals, limit):
+    from carecheck.plans.quantiles import refined_quantiles
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    # a tiny band limit and sketch accuracy force several refine rounds
+    got = {r["prob"]: r["value"] for r in rows(refined_quantiles(df, ["v"], [0.0, 0.1, 0.5, 0.77, 1.0],
+                                                                 band_limit=limit, accuracy=20))}
+    clean = np.array([v for v in vals if v is not None and not math.isnan(v)])
+    if len(clean) == 0:
+        assert got == {}
+        return
+    for p, v in got.items():
+        assert math.isclose(v, float(np.quantile(clean, p)), rel_tol=1e-9, abs_tol=1e-9)
