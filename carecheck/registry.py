@@ -1349,13 +1349,13 @@ def q_ragged(spark, d):
     return rows.where(F.col("p_name").isNotNull())
 
 
+_EXTS = ", ".join(sq(e) for e in P.ALLOWED_EXTENSIONS)
+
+
 @query("file_admission",
-       "SELECT page_id, file_name, admitted FROM (SELECT page_id, split_part(url, '/', -1) AS file_name, length(html) AS len "
-       "FROM pages) SELECT_SUB"
-       .replace(" SELECT_SUB", "")
-       .replace("admitted FROM", "(contains(file_name, '.') AND lower(split_part(file_name, '.', -1)) IN ("
-                + ", ".join(sq(e) for e in P.ALLOWED_EXTENSIONS) + f") AND len <= {P.MAX_UPLOAD_BYTES} AND "
-                "regexp_matches(file_name, '^[a-zA-Z0-9._-]+$')) AS admitted FROM"))
+       "SELECT page_id, file_name, (contains(file_name, '.') AND lower(split_part(file_name, '.', -1)) IN "
+       f"({_EXTS}) AND len <= {P.MAX_UPLOAD_BYTES} AND regexp_matches(file_name, '^[a-zA-Z0-9._-]+$')) AS admitted "
+       "FROM (SELECT page_id, split_part(url, '/', -1) AS file_name, length(html) AS len FROM pages)")
 def q_files(spark, d):
     pg = _t(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.length("html").alias("length"))
     return S.admit_files(pg).select("page_id", "file_name", "admitted")
