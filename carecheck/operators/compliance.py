@@ -66,6 +66,7 @@ def _hit(c: Column) -> Column:
 class ComplianceReport:
     agg: DataFrame                 # one-row fused aggregate (lazy)
     violation_structs: list        # per-violation struct columns over ``one``
+    violation_hits: list           # (severity, hit Column over ``one``) per violation struct
     standard_counts: dict          # standard -> Column over ``one``
     template_applied: str | None
     n_rows: Column
@@ -126,24 +127,27 @@ class ComplianceReport:
                                     n.alias("violations_count"), (n == 0).alias("compliant")))
         return self.one.select(F.inline(F.array(*structs)))
 
+    def _score(self, std: str) -> Column:
+        n = self.standard_counts[std].cast("long")
+        return F.greatest(F.lit(0), F.lit(100) - F.lit(P.SCORE_PENALTY[std]) * n).cast("double")
+
     def overall(self) -> DataFrame:
-        """C12 + severity summary (Quirk 14) + template (C17); C21 on empty input."""
-        v = self.violations.agg(F.struct(
-            F.count(F.lit(1)).alias("total_violations"),
-            *[F.count_if(F.col("severity") == s).alias(f"{s}_violations")
-              for s in ("critical", "high", "medium", "low")]).alias("v")).scalar()
-        rows = self.one.select(self.n_rows.alias("n_rows")).scalar()
-        out = self.scores().agg(F.avg("score").alias("overall_score")).select(
-            "overall_score", rows.alias("n_rows"),
-            *[v[c].alias(c) for c in ("total_violations", "critical_violations", "high_violations",
-                                      "medium_violations", "low_violations")])
-        empty = F.col("n_rows") == 0
-        score = F.when(empty, F.lit(100.0)).otherwise(F.col("overall_score"))
-        return out.select(
+        """C12 + severity summary (Quirk 14) + template (C17); C21 on empty input.
+        Pure arithmetic over the one-row aggregate: a single select."""
+        avg = sum_cols([self._score(s) for s in STANDARDS]) / len(STANDARDS)
+
+        def n_with(sev: str | None) -> Column:
+            hits = [h.cast("long") for s, h in self.violation_hits if sev is None or s == sev]
+            fda = sum(1 for r in self.fda_rows if sev is None or r[2] == sev)
+            return (sum_cols(hits) if hits else F.lit(0).cast("long")) + F.lit(fda)
+
+        empty = self.n_rows == 0
+        score = F.when(empty, F.lit(100.0)).otherwise(avg)
+        counts = [("total_violations", None), ("critical_violations", "critical"), ("high_violations", "high"),
+                  ("medium_violations", "medium"), ("low_violations", "low")]
+        return self.one.select(
             score.alias("overall_score"), E.risk_level(score).alias("risk_level"),
-            *[F.when(empty, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
-              for c in ("total_violations", "critical_violations", "high_violations",
-                        "medium_violations", "low_violations")],
+            *[F.when(empty, F.lit(0)).otherwise(n_with(sev)).cast("long").alias(c) for c, sev in counts],
             F.lit(self.template_applied).cast("string").alias("template_applied"))
 
     def recommendations(self) -> DataFrame:
@@ -158,8 +162,7 @@ class ComplianceReport:
 
     def flags(self) -> DataFrame:
         """hipaa = score >= 80 and no violations; codes = score >= 80."""
-        s = self.scores()
-        p = s.groupBy().pivot("standard", STANDARDS).agg(F.first("score"))
+        p = self.one.select(*[self._score(s).alias(s) for s in STANDARDS])
         return p.select(
             ((F.col("hipaa") >= 80) & (F.col("hipaa") == 100)).alias("hipaa"),
             (F.col("icd10") >= 80).alias("icd10"), (F.col("loinc") >= 80).alias("loinc"),
@@ -197,6 +200,7 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
 
     aggs = [F.count(F.lit(1)).alias("__rows")]
     structs = []
+    vhits: list = []
     counts: dict[str, list[Column]] = {s: [] for s in STANDARDS}
     k = 0
 
@@ -208,6 +212,7 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
         return F.col(name)
 
     def violation(hit: Column, std, rid, sev, field, msg, rec):
+        vhits.append((sev, hit))
         structs.append(F.struct(F.lit(std).alias("standard"), F.lit(rid).alias("rule_id"),
                                 F.lit(sev).alias("severity"), F.lit(field).alias("field"),
                                 F.lit(msg).alias("message"), F.lit(rec).alias("recommendation"),
@@ -263,7 +268,7 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
         rest = aggs[1:]
         chunks = [df.agg(aggs[0], *rest[i:i + MAX_AGGS_PER_SCAN - 1])
                   for i in range(0, len(rest), MAX_AGGS_PER_SCAN - 1)]
-    return ComplianceReport(one, structs, total, template, F.col("__rows"), fda_rows, chunks=chunks)
+    return ComplianceReport(one, structs, vhits, total, template, F.col("__rows"), fda_rows, chunks=chunks)
 
 
 def sum_cols(cols: list[Column]) -> Column:
