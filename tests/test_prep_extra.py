@@ -82,3 +82,21 @@ def test_rule_store_checks_and_action_results(spark):
                                  "alert_id string, ts timestamp, action string")
     got = {r["alert_id"]: r["applied"] for r in rows(M.action_results(alerts, acts))}
     assert got == {"a1": True, "zz": False}
+
+
+def test_odd_column_names(spark):
+    from carecheck.operators import phi as H
+    df = spark.createDataFrame([("John Doe", 1.0, "a@b.com", datetime(2024, 1, 1)),
+                                ("Jane Roe", None, "x", datetime(2024, 1, 2)),
+                                ("Jim Poe", 3.0, "y", datetime(2024, 1, 3))],
+                               "`patient.name` string, `lab value` double, `e-mail` string, `visit date` timestamp")
+    r = V.validate(df, [R.PHIDetector(), R.DataQualityChecker(), R.RangeValidator({"lab value": {"min": 2}}),
+                        R.DateValidator(["visit date"], "2024-01-02")])
+    ids = {i["check_id"] for i in rows(r.issues)}
+    assert {"missing:lab value", "range_min:lab value", "date_min:visit date"} <= ids
+    assert rows(C.compliance_report(df).overall())[0]["total_violations"] > 0
+    assert rows(H.phi_inventory(df))
+    rep = A.full_report(df, as_of="2024-02-01 00:00:00")
+    assert rows(rep["trends"]) == [] and rows(rep["numeric_summary"])[0]["column_name"] == "lab value"
+    assert rows(H.anonymize(df, ["patient.name", "e-mail"], order_by=["visit date"]))
+    assert R.duplicate_count(df).first()["n_duplicates"] == 0
