@@ -1498,3 +1498,11 @@ def q_covid_clean(spark, d):
     kept = prep.select_existing(raw, ["event_id", "date", "location", "new_cases", "total_cases", "iso_code"])
     out = prep.coerce_and_fill(kept, "date", formats=["yyyy-MM-dd"])
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("audit_recommendations",
+       f"SELECT CAST(0 AS BIGINT) AS ordinal, recommendation FROM ({_audit_sql('pages', PAGE_COLS)}) "
+       + " ".join(f"UNION ALL SELECT CAST({1_000_000 + i} AS BIGINT), {sq(r)}"
+                  for i, r in enumerate(P.AUDIT_FIXED_RECOMMENDATIONS)))
+def q_audit_recs(spark, d):
+    return H.audit_recommendations(H.plaintext_audit(_t(spark, d, "pages"))[0])

@@ -195,3 +195,35 @@ def read_run_log(spark, run_log_path: str) -> DataFrame:
     df = spark.read.parquet(run_log_path)
     w = Window.partitionBy("run_id").orderBy(F.col("ts").desc())
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+# --------------------------------------------------------------------------
+# M2/M3: bounded per-metric history
+# --------------------------------------------------------------------------
+HISTORY_SCHEMA = T.StructType([
+    T.StructField("metric", T.StringType()),
+    T.StructField("history", T.ArrayType(T.StructType([
+        T.StructField("run_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+        T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())]))),
+])
+_HIST_STATE = T.StructType([T.StructField("history", HISTORY_SCHEMA["history"].dataType)])
+
+
+def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (metric,) = key
+    hist = list(state.get[0]) if state.exists and state.get[0] is not None else []
+    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "run_id"])
+    for row in batch.itertuples(index=False):
+        hist.append((row.run_id, row.ts, float(row.value), row.status))
+    hist = [tuple(h) for h in hist[-P.HISTORY_LENGTH:]]
+    state.update((hist,))
+    yield pd.DataFrame({"metric": [metric], "history": [hist]})
+
+
+def history_stream(stream: DataFrame) -> DataFrame:
+    """M3: the last 100 samples (with M2 status) per metric; state is at most
+    100 samples per metric.  Write with outputMode ``update``."""
+    samples = M.metric_samples(stream).select("metric", "run_id", F.col("ts").cast("timestamp").alias("ts"),
+                                              "value", "status")
+    return samples.groupBy("metric").applyInPandasWithState(
+        _history, HISTORY_SCHEMA, _HIST_STATE, "update", GroupStateTimeout.NoTimeout)

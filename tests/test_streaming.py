@@ -92,3 +92,17 @@ def test_validate_stream_feeds_run_log(spark):
     assert all(r["is_valid"] is True and r["n_issues"] == 1 for r in runs)  # 50 % missing: a warning
     assert all("compliance_score" in r["metrics"] for r in runs)
     assert M.run_stats(SM.read_run_log(spark, os.path.join(out, "runs"))).first()["total_validations"] == 3
+
+
+def test_history_stream_matches_batch(spark):
+    recs = [(i, True, 0, {"completeness": (i % 17) / 17, "accuracy": 0.9}) for i in range(130)]
+    df, d = _write_split(spark, recs, 3)
+    out = rows(_run(spark, SM.history_stream(_stream(spark, d)), "hist_stream", "update"))
+    last = {}
+    for r in out:  # update mode: the latest row per metric is the current history
+        last[r["metric"]] = r["history"]
+    batch = rows(M.history(df))
+    for metric in ("completeness", "accuracy"):
+        want = sorted((r["run_id"], r["status"]) for r in batch if r["metric"] == metric)
+        assert sorted((h["run_id"], h["status"]) for h in last[metric]) == want
+        assert len(last[metric]) == 100
