@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from carecheck.functions import exprs as E
-from carecheck.plans.aggplan import (ISSUE_COLUMNS, Check, compile_checks, empty_issues,
+from carecheck.plans.aggplan import (ISSUE_COLUMNS, Check, attach_samples, compile_checks, empty_issues,
                                      issue_rows, union_all)
 from carecheck.plans.rowindex import with_row_index
 from carecheck.operators.rules import DataQualityChecker, Rule, RulePlan, duplicate_count
@@ -159,7 +159,12 @@ def compile_checks_by(df: DataFrame, checks: list[Check], keys: list[str]) -> Da
             F.lit(c.metric).alias("metric"), n.alias("n_affected"), rows.alias("n_rows"),
             msg.cast("string").alias("message"), F.lit(None).cast("array<string>").alias("sample"),
             F.coalesce(c.emit(n, rows), F.lit(False)).alias("__emit")))
-    return (grouped.select(*keys, F.inline(F.array(*structs))).where("__emit").drop("__emit"))
+    issues = grouped.select(*keys, F.inline(F.array(*structs))).where("__emit").drop("__emit")
+    sampled = [c for c in checks if c.sample is not None]
+    for order in dict.fromkeys(c.sample_order for c in sampled):
+        group = [c for c in sampled if c.sample_order == order]
+        issues = attach_samples(df, issues, group, order_by=list(order) or None, group_keys=keys)
+    return issues
 
 
 def batch_validate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_size: int = 10000,

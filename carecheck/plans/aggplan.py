@@ -130,31 +130,38 @@ def compile_checks(df: DataFrame, checks: list[Check], max_aggs: int = MAX_AGGS_
 
 
 def attach_samples(df: DataFrame, issues: DataFrame, checks: list[Check],
-                   k: int = 3, order_by: list[str] | None = None) -> DataFrame:
-    """First ``k`` failing values per check (by ``order_by``, else by value).
+                   k: int = 3, order_by: list[str] | None = None,
+                   group_keys: list[str] | None = None) -> DataFrame:
+    """First ``k`` failing values per check (and per ``group_keys``, e.g. the
+    batch), by ``order_by``, else by value.
 
     Planned as a partial ``WindowGroupLimit`` per task before the shuffle, so
-    at most ``k`` rows per check and task move -- never a whole group.
+    at most ``k`` rows per check and task move -- never a whole group.  The
+    result (k values per check and group) is joined back to the issue rows.
     """
+    from carecheck.functions.exprs import quote
+    gk = list(group_keys or [])
     stacked = F.array(*[
         F.when(c.sample_when, F.struct(F.lit(c.check_id).alias("cid"),
                                        c.sample.cast("string").alias("v")))
         for c in checks])
-    keys = [F.col(o) for o in (order_by or [])]
-    base = df.select(*keys, F.explode(F.filter(stacked, lambda s: s.isNotNull())).alias("s"))
+    keys = [F.col(quote(o)) for o in (order_by or [])]
+    base = df.select(*[F.col(quote(g)) for g in gk], *keys,
+                     F.explode(F.filter(stacked, lambda s: s.isNotNull())).alias("s"))
     from pyspark.sql import Window
-    w = Window.partitionBy("s.cid").orderBy(*(keys or [F.col("s.v")]))
+    w = Window.partitionBy(*[F.col(quote(g)) for g in gk], F.col("s.cid")).orderBy(*(keys or [F.col("s.v")]))
     top = (base.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-           .groupBy(F.col("s.cid").alias("check_id"))
+           .groupBy(*[F.col(quote(g)) for g in gk], F.col("s.cid").alias("check_id"))
            .agg(F.array_sort(F.collect_list(F.struct("__rn", F.col("s.v").alias("v"))))
                 .alias("__s")))
-    top = top.select("check_id", F.transform("__s", lambda x: x["v"]).alias("__sample"))
-    out = issues.join(F.broadcast(top), "check_id", "left")
+    top = top.select(*gk, "check_id", F.transform("__s", lambda x: x["v"]).alias("__sample"))
+    # per-batch samples grow with the number of batches: a regular join then
+    out = issues.join(top if gk else F.broadcast(top), gk + ["check_id"], "left")
     from carecheck.functions.exprs import py_list_repr
     msg = F.when(F.col("__sample").isNotNull(),
                  F.concat(F.col("message"), py_list_repr(F.col("__sample")))).otherwise(F.col("message"))
     repl = {"sample": F.coalesce(F.col("__sample"), F.col("sample")), "message": msg}
-    return out.select(*[repl.get(c, F.col(c)).alias(c) for c in ISSUE_COLUMNS])
+    return out.select(*gk, *[repl.get(c, F.col(c)).alias(c) for c in ISSUE_COLUMNS])
 
 
 def materialized_scalar(one_row: DataFrame) -> Column:

@@ -98,3 +98,11 @@ def test_row_index_checkpoint_mode(spark):
         assert [i for _, i in idx] == list(range(300))
     finally:
         spark.conf.unset("carecheck.rowindex.materialize")
+
+
+def test_batch_code_samples_per_batch(spark):
+    df = spark.createDataFrame([(i, "A01" if i % 3 else f"BAD{i}") for i in range(12)], "k long, dx string")
+    issues, _ = V.batch_validate(df, [R.MedicalCodeValidator({"dx": "icd10"}, order_by=["k"])], ["k"], 6)
+    got = {r["batch_num"]: (r["n_affected"], r["sample"], r["message"]) for r in rows(issues)}
+    assert got[0] == (2, ["BAD0", "BAD3"], "Found 2 invalid ICD10 codes in column. Sample: ['BAD0', 'BAD3']")
+    assert got[1][1] == ["BAD6", "BAD9"]
