@@ -362,6 +362,31 @@ def numeric_summary(df: DataFrame, exact: bool = True, strict: bool = True) -> D
         "column_name", "mean", "median", "std", "min", "max", "q25", "q75", "missing_count")
 
 
+def categorical_summary_approx(df: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """X4 from sketches only (no value-level shuffle): ``approx_count_distinct``
+    and ``approx_top_k`` per string column, in one aggregate.  For very large,
+    high-cardinality text columns where the exact summary would shuffle every
+    distinct value."""
+    cols = string_columns(df)
+    aggs = []
+    for i, c in enumerate(cols):
+        col = F.col(E.quote(c))
+        aggs += [F.approx_count_distinct(col).alias(f"__u{i}"), F.count_if(col.isNull()).alias(f"__m{i}"),
+                 F.expr(f"approx_top_k({E.quote(c)}, {int(top)})").alias(f"__t{i}")]
+    one = df.agg(*aggs)
+    structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"__u{i}").cast("long").alias("unique_values"),
+                        F.col(f"__m{i}").cast("long").alias("missing_count"), F.col(f"__t{i}").alias("top"))
+               for i, c in enumerate(cols)]
+    per = one.select(F.inline(F.array(*structs)))
+    topv = per.select("column_name", F.posexplode("top").alias("pos", "t")).select(
+        "column_name", (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.item").alias("value"),
+        F.col("t.count").cast("long").alias("n"))
+    summ = per.select("column_name", "unique_values", F.col("top")[0]["item"].alias("most_common"),
+                      F.coalesce(F.col("top")[0]["count"], F.lit(0)).cast("long").alias("most_common_count"),
+                      "missing_count")
+    return summ, topv
+
+
 def categorical_summary(df: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(summary, top_values)``.
 

@@ -94,3 +94,11 @@ def test_refined_quantiles_large_with_hot_value(spark):
     got = {r["prob"]: r["value"] for r in rows(refined_quantiles(df, ["v"], probs, band_limit=200, accuracy=500))}
     for p in probs:
         assert abs(got[p] - float(np.quantile(xs, p))) < 1e-9
+
+
+def test_categorical_summary_approx(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [("c",), (None,)], "c string")
+    s, top = A.categorical_summary_approx(df)
+    r = rows(s)[0]
+    assert (r["unique_values"], r["most_common"], r["most_common_count"], r["missing_count"]) == (3, "a", 5, 1)
+    assert [(t["rank"], t["value"], t["n"]) for t in sorted(rows(top), key=lambda t: t["rank"])][:2] == [(1, "a", 5), (2, "b", 3)]
