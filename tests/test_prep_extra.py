@@ -100,3 +100,16 @@ def test_odd_column_names(spark):
     assert rows(rep["trends"]) == [] and rows(rep["numeric_summary"])[0]["column_name"] == "lab value"
     assert rows(H.anonymize(df, ["patient.name", "e-mail"], order_by=["visit date"]))
     assert R.duplicate_count(df).first()["n_duplicates"] == 0
+
+
+def test_command_line_entry(spark, tmp_path):
+    import json as _json
+    from carecheck.__main__ import main
+    src = tmp_path / "in.csv"
+    src.write_text("patient_name,ssn,age\nJohn Doe,123-45-6789,30\nJane Roe,,\n")
+    out = tmp_path / "out"
+    code = main(["validate", str(src), "--compliance", "--out", str(out)])
+    assert code == 0  # only warnings: missing values below 50 %
+    assert spark.read.parquet(str(out / "issues")).count() > 0
+    assert spark.read.parquet(str(out / "violations")).count() > 0
+    assert main(["profile", str(src), "--as-of", "2024-01-01 00:00:00", "--out", str(tmp_path / "p")]) == 0
