@@ -1267,12 +1267,11 @@ def q_retention(spark, d):
 
 
 def _actions(spark, d):
-    """Acknowledge / resolve actions derived from the run log (every 3rd / 5th run)."""
-    rl = _derive(spark, d, "events", ["event_id", "ts"])
-    ids = F.concat(F.lit("anomaly_detected:issues:"), F.col("event_id").cast("string"))
-    ack = rl.where(F.col("event_id") % 3 == 0).select(ids.alias("alert_id"), "ts", F.lit("acknowledge").alias("action"))
-    res = rl.where(F.col("event_id") % 5 == 0).select(ids.alias("alert_id"), "ts", F.lit("resolve").alias("action"))
-    return ack.unionByName(res)
+    """One operator action per run of the run log: resolve every 5th run's
+    alert, acknowledge every 3rd, otherwise none (a no-op action)."""
+    return _derive(spark, d, "events", [
+        "'anomaly_detected:issues:' || CAST(event_id AS STRING) AS alert_id", "ts",
+        "CASE WHEN event_id % 5 = 0 THEN 'resolve' WHEN event_id % 3 = 0 THEN 'acknowledge' ELSE 'none' END AS action"])
 
 
 @query("active_alerts",
