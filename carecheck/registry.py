@@ -1345,7 +1345,7 @@ def q_ragged(spark, d):
     rows = payload.select("chunk", F.inline(F.arrays_zip(
         F.col("p_name").alias("p_name"), F.col("p_size").alias("p_size"),
         F.array_repeat(F.col("source"), F.size("p_name")).alias("source"))))
-    return rows.where(F.col("p_name").isNotNull())
+    return rows
 
 
 _EXTS = ", ".join(sq(e) for e in P.ALLOWED_EXTENSIONS)
