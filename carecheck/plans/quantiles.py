@@ -48,6 +48,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                       F.explode(vals).alias("s"))
             .select(F.col("s.cid").alias("cid"), F.col("s.v").alias("v"), "__tie")
             .where(F.col("v").isNotNull()))
+    from carecheck.plans.rowindex import _strategy, rank_in_group
+    if _strategy(df) == "buckets":
+        ranked_b = rank_in_group(long, "cid", ["v", "__tie"], "__rank", n)
+        cnt = long.groupBy("cid").agg(F.count(F.lit(1)).alias("__n"))
+        pr0 = F.array(*[F.lit(float(p)) for p in probs])
+        targets0 = (cnt.select("cid", "__n", F.explode(pr0).alias("prob"))
+                    .withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
+                    .withColumn("__lo", F.floor("__h").cast("long"))
+                    .withColumn("__hi", F.ceil("__h").cast("long")))
+        picks0 = ranked_b.join(F.broadcast(targets0.select("cid", "prob", "__lo", "__hi")), "cid").where(
+            (F.col("__rank") == F.col("__lo")) | (F.col("__rank") == F.col("__hi")))
+        lohi0 = picks0.groupBy("cid", "prob").agg(
+            F.max(F.when(F.col("__rank") == F.col("__lo"), F.col("v"))).alias("__vlo"),
+            F.max(F.when(F.col("__rank") == F.col("__hi"), F.col("v"))).alias("__vhi"))
+        res0 = lohi0.join(F.broadcast(targets0.select("cid", "prob", "__h", "__lo")), ["cid", "prob"])
+        value0 = F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))
+        names0 = F.array(*[F.lit(c) for c in columns])
+        out0 = res0.select(F.get(names0, F.col("cid")).alias("column_name"), "prob", value0.alias("value")).collect()
+        return spark.createDataFrame([tuple(r) for r in out0], QSCHEMA)
     ranged = range_sorted(long, ["cid", "v", "__tie"], n)
     stats = ranged.groupBy("__pid", "cid").agg(F.count(F.lit(1)).alias("__cnt"),
                                                F.min("__local").alias("__first"))

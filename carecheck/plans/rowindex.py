@@ -2,17 +2,28 @@
 
 The reference numbers rows by position; Spark has no implicit order, so every
 position-based operator takes ``order_by`` (which must be unique, e.g. end
-with a key column).  No global single-partition window is used:
-
-1. ``repartitionByRange(n, order_by)`` + ``sortWithinPartitions`` -- ONE
-   shuffle, persisted so that the per-partition counts and the rows come from
-   the same shuffle dependency.  (Two executions of a range exchange may sample
-   different bounds; one persisted dependency has fixed bounds, and a lost
-   block is recomputed from that same dependency, so positions are stable.)
-2. The local position inside a partition is the low 33 bits of
-   ``monotonically_increasing_id`` (partitions are sorted).
-3. Per-partition counts (one row per partition, so tiny and size-bounded by
-   ``n``) are prefix-summed and broadcast back as offsets.
+with a key column).  No global single-partition window is used.
+
+Default strategy, ``buckets`` (deterministic, nothing materialised):
+
+1. a fixed-seed sample of the order keys (about ``SAMPLE_PER_BUCKET`` rows per
+   bucket, so bounded by the bucket count) is sorted by Spark and cut into
+   ``n`` ranges; the boundaries become literals (they travel as JSON that
+   Spark parses back, so types and ordering are Spark's own);
+2. every row gets its bucket from a binary-search ``CASE`` over those
+   literals -- a monotone, deterministic function of the key;
+3. ``row_number()`` over ``PARTITION BY bucket ORDER BY keys`` gives the local
+   position (buckets are balanced by the sample, so a key holding a third of
+   all rows -- made unique by the tie-breaking key columns -- is still split);
+4. per-bucket counts (at most ``n`` rows) are prefix-summed and broadcast back.
+
+Every step is a deterministic function of the input, so a lost executor
+recomputes exactly the same positions; there is no cached copy to manage.
+
+Strategy ``materialize`` (session setting ``carecheck.rowindex.strategy``):
+one ``repartitionByRange`` + ``sortWithinPartitions``, kept once (checkpoint
+on a cluster, persist in tests) so counts and rows share one partitioning,
+with local positions from ``monotonically_increasing_id``.
 """
 
 from __future__ import annotations
@@ -22,6 +33,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOCAL_MASK = (1 << 33) - 1
+STRATEGY_CONF = "carecheck.rowindex.strategy"
+SAMPLE_PER_BUCKET = 20
+SAMPLE_SEED = 20241203
+
+
+def _strategy(df: DataFrame) -> str:
+    return df.sparkSession.conf.get(STRATEGY_CONF, "buckets")
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def key_buckets(df: DataFrame, keys: list[str], n: int) -> Column:
+    """A deterministic bucket id in ``[0, n)`` that is monotone in the order of
+    ``keys`` (NULLs first, NaN last, as Spark sorts)."""
+    key = F.struct(*[F.col(_q(k)).alias(f"k{i}") for i, k in enumerate(keys)])
+    if n <= 1:
+        return F.lit(0)
+    total = df.count()
+    if total == 0:
+        return F.lit(0)
+    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
+    # bounded sample (about SAMPLE_PER_BUCKET x n rows), sorted by Spark
+    sample = (df.select(key.alias("__k")).sample(False, frac, SAMPLE_SEED)
+              .orderBy(*[F.col(f"__k.k{i}") for i in range(len(keys))])
+              .select(F.to_json("__k").alias("j")).collect())
+    if len(sample) < 2:
+        return F.lit(0)
+    stype = df.select(key.alias("__k")).schema["__k"].dataType
+    picks = [sample[int(i * len(sample) / n)]["j"] for i in range(1, n)]
+    bounds = []
+    for j in picks:
+        if not bounds or bounds[-1] != j:
+            bounds.append(j)
+    lits = [F.from_json(F.lit(j), stype) for j in bounds]
+
+    def build(lo: int, hi: int) -> Column:  # bucket in [lo, hi] given bounds[lo-1] <= key < bounds[hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < lits[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds))
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -74,6 +129,15 @@ def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int |
 
 def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
+    if _strategy(df) == "buckets" and all(isinstance(c, str) for c in order_by):
+        n = _partitions(df, num_partitions)
+        data = df.withColumn("__b", key_buckets(df, list(order_by), n))
+        counts = data.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
+        offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(
+            Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+        w = Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in order_by])
+        out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(offsets), "__b", "left")
+        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off")
     ranged = range_sorted(df, order_by, num_partitions)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per partition: a window over n rows is cheap and bounded
@@ -90,7 +154,16 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x"
                   num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row within ``group`` by ``order`` (unique per
     group), without a per-group window: a group holding a third of all rows is
-    still split over many range partitions."""
+    still split over many buckets."""
+    if _strategy(df) == "buckets":
+        n = _partitions(df, num_partitions)
+        data = df.withColumn("__b", key_buckets(df, [group] + list(order), n))
+        stats = data.groupBy("__b", group).agg(F.count(F.lit(1)).alias("__cnt"))
+        wg = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(wg), F.lit(0))).drop("__cnt")
+        w = Window.partitionBy("__b", group).orderBy(*[F.col(_q(c)) for c in order])
+        out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(stats), ["__b", group], "left")
+        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off")
     ranged = range_sorted(df, [group] + list(order), num_partitions)
     stats = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__cnt"),
                                                F.min("__local").alias("__first"))
