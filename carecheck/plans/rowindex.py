@@ -6,9 +6,9 @@ with a key column).  No global single-partition window is used.
 
 Default strategy, ``buckets`` (deterministic, nothing materialised):
 
-1. a fixed-seed sample of the order keys (about ``SAMPLE_PER_BUCKET`` rows per
-   bucket, so bounded by the bucket count) is sorted by Spark and cut into
-   ``n`` ranges; the boundaries become literals (they travel as JSON that
+1. a sample of the order keys -- the ``SAMPLE_PER_BUCKET x n`` keys with the
+   smallest key hash, a distributed top-k bounded by the bucket count -- is
+   sorted by Spark and cut into ``n`` ranges; the boundaries become literals (they travel as JSON that
    Spark parses back, so types and ordering are Spark's own);
 2. every row gets its bucket from a binary-search ``CASE`` over those
    literals -- a monotone, deterministic function of the key;
@@ -52,12 +52,10 @@ def key_buckets(df: DataFrame, keys: list[str], n: int) -> Column:
     key = F.struct(*[F.col(_q(k)).alias(f"k{i}") for i, k in enumerate(keys)])
     if n <= 1:
         return F.lit(0)
-    total = df.count()
-    if total == 0:
-        return F.lit(0)
-    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
-    # bounded sample (about SAMPLE_PER_BUCKET x n rows), sorted by Spark
-    sample = (df.select(key.alias("__k")).sample(False, frac, SAMPLE_SEED)
+    # bounded, deterministic sample: the SAMPLE_PER_BUCKET x n keys with the
+    # smallest key hash (a distributed top-k, one job), then sorted by Spark
+    sample = (df.select(key.alias("__k"), F.xxhash64(key, F.lit(SAMPLE_SEED)).alias("__h"))
+              .orderBy("__h").limit(SAMPLE_PER_BUCKET * n)
               .orderBy(*[F.col(f"__k.k{i}") for i in range(len(keys))])
               .select(F.to_json("__k").alias("j")).collect())
     if len(sample) < 2:
