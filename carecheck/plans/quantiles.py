@@ -50,23 +50,50 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             .where(F.col("v").isNotNull()))
     from carecheck.plans.rowindex import _strategy, rank_in_group
     if _strategy(df) == "buckets":
-        ranked_b = rank_in_group(long, "cid", ["v", "__tie"], "__rank", n)
-        cnt = long.groupBy("cid").agg(F.count(F.lit(1)).alias("__n"))
-        pr0 = F.array(*[F.lit(float(p)) for p in probs])
-        targets0 = (cnt.select("cid", "__n", F.explode(pr0).alias("prob"))
-                    .withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
-                    .withColumn("__lo", F.floor("__h").cast("long"))
-                    .withColumn("__hi", F.ceil("__h").cast("long")))
-        picks0 = ranked_b.join(F.broadcast(targets0.select("cid", "prob", "__lo", "__hi")), "cid").where(
-            (F.col("__rank") == F.col("__lo")) | (F.col("__rank") == F.col("__hi")))
-        lohi0 = picks0.groupBy("cid", "prob").agg(
-            F.max(F.when(F.col("__rank") == F.col("__lo"), F.col("v"))).alias("__vlo"),
-            F.max(F.when(F.col("__rank") == F.col("__hi"), F.col("v"))).alias("__vhi"))
-        res0 = lohi0.join(F.broadcast(targets0.select("cid", "prob", "__h", "__lo")), ["cid", "prob"])
-        value0 = F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))
-        names0 = F.array(*[F.lit(c) for c in columns])
-        out0 = res0.select(F.get(names0, F.col("cid")).alias("column_name"), "prob", value0.alias("value")).collect()
-        return spark.createDataFrame([tuple(r) for r in out0], QSCHEMA)
+        # Per-(bucket, column) counts (a table of at most n + #columns rows)
+        # locate every target rank in one bucket; only those buckets are
+        # shuffled and sorted -- about 2 x #targets buckets, not all values.
+        from carecheck.plans.rowindex import key_buckets
+        data = long.withColumn("__b", key_buckets(long, ["cid", "v", "__tie"], n))
+        cnts = sorted((r["cid"], r["__b"], r["c"]) for r in
+                      data.groupBy("cid", "__b").agg(F.count(F.lit(1)).alias("c")).collect())
+        per_col: dict = {}
+        for cid, b, c in cnts:
+            per_col.setdefault(cid, []).append((b, c))
+        wanted: dict = {}      # (cid, bucket) -> set of local 0-based indices
+        targets = []           # (cid, prob, h, (bucket, local) lo, (bucket, local) hi)
+        for cid, parts in per_col.items():
+            total = sum(c for _, c in parts)
+
+            def locate(rank, parts=parts):
+                acc = 0
+                for b, c in parts:
+                    if rank < acc + c:
+                        return b, rank - acc
+                    acc += c
+                raise ValueError("rank out of range")
+            for p in probs:
+                h = (total - 1) * float(p)
+                lo, hi = locate(int(math.floor(h))), locate(int(math.ceil(h)))
+                for b, i in (lo, hi):
+                    wanted.setdefault((cid, b), set()).add(i)
+                targets.append((cid, float(p), h, lo, hi))
+        if not targets:
+            return spark.createDataFrame([], QSCHEMA)
+        # the wanted (column, bucket) pairs: at most 2 per target, broadcast
+        want = spark.createDataFrame([(cid, b, sorted(idx)) for (cid, b), idx in wanted.items()],
+                                     "cid int, __b int, __want array<long>")
+        w = Window.partitionBy("cid", "__b").orderBy("v", "__tie")
+        picked = (data.join(F.broadcast(want), ["cid", "__b"])
+                  .withColumn("__i", F.row_number().over(w) - 1)
+                  .where(F.array_contains("__want", F.col("__i")))
+                  .select("cid", "__b", "__i", "v").collect())          # at most 2 rows per target
+        val = {(r["cid"], r["__b"], r["__i"]): r["v"] for r in picked}
+        out = []
+        for cid, p, h, lo, hi in targets:
+            a, b2 = val[(cid, *lo)], val[(cid, *hi)]
+            out.append((columns[cid], p, a + (h - math.floor(h)) * (b2 - a)))
+        return spark.createDataFrame(out, QSCHEMA)
     ranged = range_sorted(long, ["cid", "v", "__tie"], n)
     stats = ranged.groupBy("__pid", "cid").agg(F.count(F.lit(1)).alias("__cnt"),
                                                F.min("__local").alias("__first"))
@@ -100,7 +127,7 @@ BAND_LIMIT = 50_000      # values per target collected in the final refine pass
 SKETCH_ACCURACY = 10_000
 
 
-SORT_BELOW = 10_000_000  # values per column up to which one distributed sort is used
+SORT_BELOW = 1_000_000   # values per column up to which Spark's exact percentile is used
 
 
 def refined_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -120,9 +147,10 @@ def refined_quantiles(df: DataFrame, columns: list[str], probs: list[float],
        bounded by ``band_limit`` per target -- and pick the order statistics.
 
     A bracket that fails verification three times falls back to the
-    distributed-sort method for that column, as does the whole computation
-    when no column has more than ``sort_below`` values (size checked by the
-    first, counting pass).  Result: ``len(columns) x len(probs)`` rows."""
+    distributed-sort method for that column.  When no column has more than
+    ``sort_below`` values (size checked by the first, counting pass) Spark's
+    exact ``percentile`` runs instead, in one aggregate.  Result:
+    ``len(columns) x len(probs)`` rows."""
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], QSCHEMA)
@@ -130,8 +158,14 @@ def refined_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     vals = {c: E.clean(c, types[c]).cast("double") for c in columns}
     counts = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if sort_below and max(counts[f"n{i}"] for i in range(len(columns))) <= sort_below:
-        # small input: one shuffle of at most sort_below values per column is cheaper
-        return exact_quantiles(df, columns, probs, num_partitions)
+        # size checked: at most sort_below values per column, so Spark's exact
+        # percentile (which buffers the distinct values of a column in the
+        # final task) has a proven memory bound -- one aggregate, no shuffle
+        pr = F.array(*[F.lit(float(p)) for p in probs])
+        one = df.agg(*[F.percentile(vals[c], pr).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return spark.createDataFrame(
+            [(c, float(p), float(one[f"q{i}"][j])) for i, c in enumerate(columns) if one[f"q{i}"] is not None
+             for j, p in enumerate(probs)], QSCHEMA)
     targets = []  # dicts: col, prob, klo, khi, lo, hi, below, band, tries
     results = {}
     for i, c in enumerate(columns):
@@ -219,9 +253,10 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True,
               num_partitions: int | None = None, method: str = "auto") -> DataFrame:
     """Per-column quantiles.  ``exact`` uses ``method='refine'`` (scans and
-    aggregations only, see ``refined_quantiles``), ``'sort'`` (one distributed
-    sort, see ``exact_quantiles``) or ``'auto'``: sort up to ``SORT_BELOW``
-    values per column, refine above; otherwise ``percentile_approx``."""
+    aggregations only, see ``refined_quantiles``), ``'sort'`` (bucketed sort,
+    see ``exact_quantiles``) or ``'auto'``: Spark's exact ``percentile`` up to
+    ``SORT_BELOW`` values per column (bounded memory), refine above; otherwise
+    ``percentile_approx``."""
     if not exact:
         return approx_quantiles(df, columns, probs)
     if method == "sort":
