@@ -87,3 +87,23 @@ def test_refined_quantiles_match_numpy(spark, vals, limit):
         return
     for p, v in got.items():
         assert math.isclose(v, float(np.quantile(clean, p)), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_materialize_strategy_paths(spark):
+    spark.conf.set("carecheck.rowindex.strategy", "materialize")
+    try:
+        recs = [(i % 4, (i * 7) % 11, i) for i in range(80)]
+        df = spark.createDataFrame(recs, "g long, v long, uid long")
+        idx = {r["uid"]: r["i"] for r in rows(with_row_index(df, ["v", "uid"], "i", num_partitions=5))}
+        assert [idx[u] for _, u in sorted((v, u) for _, v, u in recs)] == list(range(80))
+        rk = {r["uid"]: r["x"] for r in rows(rank_in_group(df, "g", ["v", "uid"], "x", num_partitions=5))}
+        for g in range(4):
+            members = sorted((v, u) for gg, v, u in recs if gg == g)
+            assert [rk[u] for _, u in members] == list(range(len(members)))
+        cs = {r["uid"]: r["cum_v"] for r in rows(running_sums(df, ["uid"], {"v": F.col("v")}, 5))}
+        acc = 0
+        for _, v, u in sorted(recs, key=lambda t: t[2]):
+            acc += v
+            assert cs[u] == acc
+    finally:
+        spark.conf.unset("carecheck.rowindex.strategy")
