@@ -46,6 +46,18 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+TIE = "__tie_h"
+
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """Append a deterministic row hash used as the last ordering key: equal
+    ``order_by`` values (a non-unique or hot key) are then split over buckets
+    and ordered deterministically."""
+    if TIE in df.columns:
+        return df
+    return df.withColumn(TIE, F.xxhash64(*[F.col(_q(c)) for c in df.columns]))
+
+
 def key_buckets(df: DataFrame, keys: list[str], n: int) -> Column:
     """A deterministic bucket id in ``[0, n)`` that is monotone in the order of
     ``keys`` (NULLs first, NaN last, as Spark sorts)."""
@@ -129,13 +141,15 @@ def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row
                    num_partitions: int | None = None) -> DataFrame:
     if _strategy(df) == "buckets" and all(isinstance(c, str) for c in order_by):
         n = _partitions(df, num_partitions)
-        data = df.withColumn("__b", key_buckets(df, list(order_by), n))
+        tied = with_tie(df)
+        keys = list(order_by) + [TIE]
+        data = tied.withColumn("__b", key_buckets(tied, keys, n))
         counts = data.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
         offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(
             Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-        w = Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in order_by])
+        w = Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in keys])
         out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(offsets), "__b", "left")
-        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off")
+        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off", TIE)
     ranged = range_sorted(df, order_by, num_partitions)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # one row per partition: a window over n rows is cheap and bounded
@@ -155,13 +169,15 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x"
     still split over many buckets."""
     if _strategy(df) == "buckets":
         n = _partitions(df, num_partitions)
-        data = df.withColumn("__b", key_buckets(df, [group] + list(order), n))
+        tied = with_tie(df)
+        order = list(order) + [TIE]
+        data = tied.withColumn("__b", key_buckets(tied, [group] + order, n))
         stats = data.groupBy("__b", group).agg(F.count(F.lit(1)).alias("__cnt"))
         wg = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(wg), F.lit(0))).drop("__cnt")
         w = Window.partitionBy("__b", group).orderBy(*[F.col(_q(c)) for c in order])
         out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(stats), ["__b", group], "left")
-        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off")
+        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off", TIE)
     ranged = range_sorted(df, [group] + list(order), num_partitions)
     stats = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__cnt"),
                                                F.min("__local").alias("__first"))

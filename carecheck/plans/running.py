@@ -22,7 +22,7 @@ from carecheck.plans.rowindex import range_sorted
 def running_sums(df: DataFrame, order_by: list[str], measures: dict[str, Column],
                  num_partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``{prefix}{name}`` = inclusive running sum of each measure (double)."""
-    from carecheck.plans.rowindex import _q, _strategy, key_buckets
+    from carecheck.plans.rowindex import TIE, _q, _strategy, key_buckets, with_tie
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     names = list(measures)
@@ -30,17 +30,19 @@ def running_sums(df: DataFrame, order_by: list[str], measures: dict[str, Column]
                            for i, k in enumerate(names)})
     if _strategy(df) == "buckets":
         # deterministic buckets + a JVM window per bucket, no Python
-        data = base.withColumn("__b", key_buckets(df, order_by, n))
+        tied = with_tie(base)
+        keys = list(order_by) + [TIE]
+        data = tied.withColumn("__b", key_buckets(tied, keys, n))
         totals = data.groupBy("__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
         wo = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
         offsets = totals.select("__b", *[F.coalesce(F.sum(f"__t{i}").over(wo), F.lit(0.0)).alias(f"__o{i}")
                                          for i in range(len(names))])
-        w = (Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in order_by])
+        w = (Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in keys])
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         local = data.withColumns({f"__l{i}": F.sum(f"__v{i}").over(w) for i in range(len(names))})
         res = local.join(F.broadcast(offsets), "__b", "left").withColumns(
             {f"{prefix}{nm}": F.col(f"__o{i}") + F.col(f"__l{i}") for i, nm in enumerate(names)})
-        return res.drop("__b", *[f"__{p}{i}" for i in range(len(names)) for p in ("v", "o", "l")])
+        return res.drop("__b", TIE, *[f"__{p}{i}" for i in range(len(names)) for p in ("v", "o", "l")])
     ranged = range_sorted(base, order_by, n).drop("__local")
     totals = ranged.groupBy("__pid").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over #partitions rows only

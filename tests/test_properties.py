@@ -107,3 +107,14 @@ def test_materialize_strategy_paths(spark):
             assert cs[u] == acc
     finally:
         spark.conf.unset("carecheck.rowindex.strategy")
+
+
+def test_hot_non_unique_key_is_split(spark):
+    # a key value held by half of the rows: buckets still split it (row-hash tie)
+    df = spark.range(0, 4000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k", "id")
+    data = df.withColumn("__t", F.xxhash64("k", "id"))
+    from carecheck.plans.rowindex import key_buckets
+    b = data.select(key_buckets(data, ["k", "__t"], 8).alias("b"), "k").where("k = 7")
+    assert b.select("b").distinct().count() >= 3
+    idx = sorted(r["i"] for r in rows(with_row_index(df, ["k"], "i", num_partitions=8)))
+    assert idx == list(range(4000))
