@@ -91,8 +91,8 @@ def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None)
     for i, r in enumerate(rules):
         try:
             p: RulePlan = r.plan(df)
-            for c in p.checks:
-                df.select(c.agg)  # analysis check, no job
+            if p.checks:
+                df.select(*[c.agg for c in p.checks])  # one analysis per rule, no job
             checks.extend(p.checks)
             frames.extend(p.frames)
             rows.extend(p.rows)
