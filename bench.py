@@ -1,6 +1,7 @@
 """Benchmark: headline workloads at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries": {...}, "sf"}.
+``BENCH_ONLY=name1,name2`` times a subset (for iterating).
 Each query is timed end to end (plan + execute); results are collected when
 small or written to the ``noop`` sink when row-sized.
 """
@@ -82,6 +83,9 @@ def main():
             t("lineitem").selectExpr("date_format(l_shipdate, 'yyyy-MM-dd') AS ship"),
             [R.DateValidator(["ship"], "1993-01-01", "1998-01-01")]).issues),
     }
+    only = [w for w in os.environ.get("BENCH_ONLY", "").split(",") if w]
+    if only:  # iterate on a subset; the default run times every workload
+        work = {k: v for k, v in work.items() if k in only}
     # warm-up: one untimed pass over the smallest data set (JVM JIT, Python
     # workers, codegen of shared operators), then the timed pass at SF_DIR
     if warm_dir and os.path.isdir(warm_dir):
