@@ -142,6 +142,14 @@ def report_lines(issues: DataFrame, counts: DataFrame, order_by: list[str] | Non
     return head.unionByName(body)
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """K3 sink: the report lines as one text file, in line order.  A report
+    has a few lines per issue (bounded by the checks, not by the data), so a
+    single output file is appropriate."""
+    lines.orderBy("line_no").select(F.coalesce("line", F.lit("")).alias("value")).coalesce(1) \
+        .write.mode("overwrite").text(path)
+
+
 def compliance_json(scores: DataFrame) -> DataFrame:
     """K2: standards_checked, overall_compliant, total_issues, details as JSON."""
     return scores.agg(

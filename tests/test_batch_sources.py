@@ -106,3 +106,13 @@ def test_batch_code_samples_per_batch(spark):
     got = {r["batch_num"]: (r["n_affected"], r["sample"], r["message"]) for r in rows(issues)}
     assert got[0] == (2, ["BAD0", "BAD3"], "Found 2 invalid ICD10 codes in column. Sample: ['BAD0', 'BAD3']")
     assert got[1][1] == ["BAD6", "BAD9"]
+
+
+def test_write_report_text(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a")], "x double, y string")
+    r = V.validate(df, [R.DataQualityChecker()])
+    S.write_report(S.report_lines(r.issues, r.counts()), str(tmp_path / "rep"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "rep").glob("part-*")))
+    from carecheck.functions import patterns as P
+    assert text.splitlines()[0] == P.REPORT_TITLE
+    assert "1. [ERROR]" in text
