@@ -4,7 +4,20 @@ plus the equivalent DuckDB SQL used as an independent oracle.
 
 Derived inputs (nulls, codes, contact strings, ...) are deterministic
 functions of the table rows written as SQL expression text accepted by both
-Spark ``selectExpr`` and DuckDB, so the same rows feed both sides.
+Spark ``selectExpr`` and DuckDB, so the same rows feed both sides.  They only
+add columns; no query filters, samples or caps the tables.
+
+Oracle conventions:
+
+* Java's ``\b`` treats Unicode letters/digits as word characters, DuckDB's RE2
+  does not; the oracle spells boundaries as ``(?:^|[^\p{L}\p{Nd}\p{Mn}_])`` ...
+  ``(?:[^\p{L}\p{Nd}\p{Mn}_]|$)`` (``wb``), which is exact for existence checks.
+* Doubles are rounded to 6 places on both sides; counts are BIGINT on both
+  sides (``bigint_counts`` casts DuckDB's HUGEINT ``count_if``).
+* Timestamps are compared as formatted text; floor is explicit where a double
+  becomes an integer (DuckDB's cast rounds, Spark's truncates).
+* Messages with a ``%.1f`` percentage are only compared where no exact tie
+  can occur (Java rounds half-up, C/Python half-even).
 """
 
 from __future__ import annotations
