@@ -1,4 +1,4 @@
-"""Registered queries: one per operator of the inventory, each reading the
+r"""Registered queries: one per operator of the inventory, each reading the
 test tables (whole tables, whole texts) and running the library operators,
 plus the equivalent DuckDB SQL used as an independent oracle.
 
