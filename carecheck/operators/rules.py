@@ -144,9 +144,21 @@ class DataQualityChecker(Rule):
     name = "DataQualityChecker"
     description = "Performs general data quality checks"
 
-    def __init__(self, missing: bool = True, duplicates: bool = True, empty: bool = True):
+    def __init__(self, missing: bool = True, duplicates: bool | str = True, empty: bool = True):
+        """``duplicates``: True / "exact" (default, one fingerprint shuffle),
+        "approx" (HyperLogLog estimate inside the fused scan, no shuffle; the
+        issue message says it is an estimate) or False."""
         self.missing, self.duplicates, self.empty = missing, duplicates, empty
 
+    def approx_duplicate_check(self, df: DataFrame) -> Check:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        cols = [(E.clean(c, types[c]) + F.lit(0.0).cast(types[c])) if E.is_floating(types[c])
+                else F.col(E.quote(c)) for c in df.columns]
+        est = F.count(F.lit(1)) - F.approx_count_distinct(F.xxhash64(*cols), 0.01)
+        return Check(check_id="duplicates", rule_name=self.name, column=None, metric="duplicates_estimate",
+                     agg=F.greatest(est, F.lit(0)), severity="warning",
+                     message=lambda n, rows: F.format_string("Found about %d duplicate rows (estimate)", n))
+
     def missing_checks(self, df: DataFrame) -> list[Check]:
         out = []
         for f in df.schema.fields:
@@ -177,8 +189,11 @@ class DataQualityChecker(Rule):
             F.lit(None).cast("array<string>").alias("sample"))
 
     def plan(self, df: DataFrame) -> RulePlan:
+        checks = self.missing_checks(df)
+        if self.duplicates == "approx":
+            return RulePlan(checks=checks + [self.approx_duplicate_check(df)])
         frames = [self.duplicate_frame(df)] if self.duplicates else []
-        return RulePlan(checks=self.missing_checks(df), frames=frames)
+        return RulePlan(checks=checks, frames=frames)
 
 
 # --------------------------------------------------------------------------

@@ -215,3 +215,13 @@ def test_f33_dirty_demo_end_to_end(spark):
     # with an explicit row order the sample follows the rows, as in the reference
     r2 = V.validate(df, [R.MedicalCodeValidator({"icd10_code": "icd10"}, order_by=["k"])])
     assert rows(r2.issues)[0]["sample"] == ["INVALID", "J45.909", "G43.909"]
+
+
+def test_approx_duplicates_in_fused_scan(spark):
+    df = spark.range(0, 3000).selectExpr("id % 2000 AS a")          # 1000 duplicate rows
+    out = rows(V.validate(df, [R.DataQualityChecker(duplicates="approx")]).issues)
+    d = [i for i in out if i["check_id"] == "duplicates"][0]
+    assert abs(d["n_affected"] - 1000) <= 150 and "estimate" in d["message"]
+    plan = V.validate(df, [R.DataQualityChecker(duplicates="approx")]).issues._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "hashpartitioning" not in plan  # no shuffle of rows or fingerprints
