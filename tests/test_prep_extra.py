@@ -124,13 +124,20 @@ def test_spread_only_touches_small_inputs(spark):
     assert spread(big) is big  # enough partitions: no extra shuffle
 
 
-def test_fused_validation_scans_once():
+def test_fused_validation_scans_once(spark):
     import re
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     issues = V.validate(li, [R.PHIDetector(), R.DataQualityChecker(duplicates=False),
                              R.RangeValidator({"l_quantity": {"min": 5}}),
                              R.DateValidator(["l_shipdate"], "1993-01-01")]).issues
     plan = issues._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet", plan)) == 1
+
+
+def test_column_pruning_reaches_the_scan(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    issues = V.validate(li, [R.RangeValidator({"l_quantity": {"min": 5}, "l_tax": {"max": 0.07}})]).issues
+    plan = issues._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema: "):].split("\n")[0]
+    assert "l_quantity" in schema and "l_tax" in schema and "l_comment" not in schema
+    assert "l_extendedprice" not in schema and "l_shipdate" not in schema
