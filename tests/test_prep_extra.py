@@ -141,3 +141,12 @@ def test_column_pruning_reaches_the_scan(spark):
     schema = plan[plan.index("ReadSchema: "):].split("\n")[0]
     assert "l_quantity" in schema and "l_tax" in schema and "l_comment" not in schema
     assert "l_extendedprice" not in schema and "l_shipdate" not in schema
+
+
+def test_command_line_compliance(spark, tmp_path):
+    from carecheck.__main__ import main
+    src = tmp_path / "in.json"
+    src.write_text('[{"subject_id": "AB123456", "visit_date": "2024-01-01", "adverse_event": "12345678"}]')
+    assert main(["compliance", str(src), "--template", "clinical_trials", "--out", str(tmp_path / "c")]) == 0
+    v = spark.read.parquet(str(tmp_path / "c" / "violations"))
+    assert v.where("standard = 'CUSTOM'").count() == 3
