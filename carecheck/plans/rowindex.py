@@ -176,8 +176,13 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x"
         wg = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(wg), F.lit(0))).drop("__cnt")
         w = Window.partitionBy("__b", group).orderBy(*[F.col(_q(c)) for c in order])
-        out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(stats), ["__b", group], "left")
-        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off", TIE)
+        left = data.withColumn("__rn", F.row_number().over(w)).alias("__d")
+        right = F.broadcast(stats.select(F.col("__b").alias("__sb"), F.col(_q(group)).alias("__sg"), "__off"))
+        # null-safe on the group: a NULL group is a group too
+        out = left.join(right, (F.col("__b") == F.col("__sb")) & F.col(f"__d.{_q(group)}").eqNullSafe(F.col("__sg")),
+                        "left")
+        return (out.withColumn(name, F.col("__off") + F.col("__rn") - 1)
+                .drop("__b", "__rn", "__off", "__sb", "__sg", TIE))
     ranged = range_sorted(df, [group] + list(order), num_partitions)
     stats = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__cnt"),
                                                F.min("__local").alias("__first"))

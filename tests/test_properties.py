@@ -118,3 +118,9 @@ def test_hot_non_unique_key_is_split(spark):
     assert b.select("b").distinct().count() >= 3
     idx = sorted(r["i"] for r in rows(with_row_index(df, ["k"], "i", num_partitions=8)))
     assert idx == list(range(4000))
+
+
+def test_rank_in_group_with_null_group(spark):
+    df = spark.createDataFrame([(None, 3, 0), (None, 1, 1), ("a", 2, 2), ("a", 1, 3)], "g string, v long, uid long")
+    out = {r["uid"]: r["x"] for r in rows(rank_in_group(df, "g", ["v", "uid"], "x", num_partitions=2))}
+    assert out == {1: 0, 0: 1, 3: 0, 2: 1}
