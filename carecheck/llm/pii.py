@@ -80,11 +80,23 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                            F.when(some, F.col("t")).alias("t"), *KINDS), "pii")
 
 
+def _each(kind: str, f) -> Column:
+    """``f(kind, span)`` over the kind's spans."""
+    return F.transform(kind, lambda x: f(kind, x))
+
+
+def _entity(kind: str, x: Column) -> Column:
+    return F.concat(F.lit(kind + ":"), F.lower(F.regexp_replace(x["m"], "[\\x20()-]", "")))
+
+
+def _listed(kind: str, x: Column) -> Column:
+    return F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string"))
+
+
 def contexts(found: DataFrame) -> DataFrame:
     """One row per entity occurrence and term near it: ``rid, entity, ctx, term, s, e``."""
-    every = F.concat(*[F.transform(k, lambda x, k=k: F.struct(
-        F.concat(F.lit(k + ":"), F.lower(F.regexp_replace(x["m"], "[\\x20()-]", ""))).alias("entity"),
-        x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])
+    every = F.concat(*[_each(k, lambda k, x: F.struct(_entity(k, x).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))
+                       for k in KINDS])
     d = found.filter("t is not null").select("rid", "t", every.alias("spans")).withColumn("x", F.explode("spans"))
     left = F.substring_index(F.expr("substring(t, greatest(1, x.s + 1 - %d), least(x.s, %d))" % (CONTEXT_CHARS, CONTEXT_CHARS)), "\n", -1)
     right = F.substring_index(F.expr("substring(t, x.e + 1, %d)" % CONTEXT_CHARS), "\n", 1)
@@ -104,8 +116,7 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, text: str =
              .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("support"))
              .filter(F.col("support") >= MIN_SUPPORT))
     joint = stored(joint, "pii-joint")
-    n_e = (found.filter("t is not null").select(F.explode(F.concat(*[F.transform(k, lambda x, k=k: F.concat(
-        F.lit(k + ":"), F.lower(F.regexp_replace(x["m"], "[\\x20()-]", "")))) for k in KINDS])).alias("entity"))
+    n_e = (found.filter("t is not null").select(F.explode(F.concat(*[_each(k, _entity) for k in KINDS])).alias("entity"))
         .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
     total = lines.agg(F.count(F.lit(1)).alias("n_all"))
@@ -134,7 +145,7 @@ def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def redacted(found: DataFrame) -> DataFrame:
     """``doc_id, text``: the texts with their spans replaced (rows without spans keep a null text: unchanged)."""
     label = {k: f"[{k.upper()}]" for k in KINDS}
-    parts = [F.transform(k, lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label[k]).alias("r"))) for k in KINDS]
+    parts = [_each(k, lambda k, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label[k]).alias("r"))) for k in KINDS]
     parts.append(F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"),
                                                           F.when(x["m"] == "remove", "").otherwise("[TERM]").alias("r"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -153,9 +164,8 @@ def redacted(found: DataFrame) -> DataFrame:
 def pii(docs: DataFrame) -> DataFrame:
     """The contract's digest of ``sanitise``."""
     f = sanitise(docs)
-    listed = {k: F.transform(k, lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))) for k in KINDS}
-    terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string")))
-    base = F.concat(*listed.values())
+    terms = F.transform("terms", lambda x: _listed("term", x))
+    base = F.concat(*[_each(k, _listed) for k in KINDS])
     return f.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS],
                     F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
                     F.array_join(F.concat(base, terms), ",").alias("spans"))

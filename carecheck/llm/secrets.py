@@ -110,10 +110,13 @@ def secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     f = findings(docs, ledger_path or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}")
     of = lambda name: F.coalesce(F.col("found")[name], F.array().cast("array<struct<s:int,e:int>>"))
 
-    def listed(rules, first=0) -> Column:
-        every = F.concat(*[F.transform(of(r.name), lambda x, r=r, i=i: F.struct(
-            x["s"].alias("s"), F.lit(first + i).alias("i"), F.concat_ws(":", F.lit(r.name), x["s"].cast("string"), x["e"].cast("string")).alias("w")))
-            for i, r in enumerate(rules)])
+    def ranked(i: int, name: str) -> Column:
+        return F.transform(of(name), lambda x: F.struct(
+            x["s"].alias("s"), F.lit(i).alias("i"),
+            F.concat_ws(":", F.lit(name), x["s"].cast("string"), x["e"].cast("string")).alias("w")))
+
+    def listed(rules) -> Column:
+        every = F.concat(*[ranked(i, r.name) for i, r in enumerate(rules)])
         return F.array_join(F.transform(F.sort_array(every), lambda x: x["w"]), ",")
 
     return f.select("doc_id", *[F.size(of(r.name)).cast("bigint").alias(f"n_{r.name}") for r in BASE],
