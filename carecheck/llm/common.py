@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -123,3 +124,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
+
+
+def grouped_links(rows: DataFrame, verify, edges: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Components ``(node, root)`` of the links that ``verify(pairs)`` confirms among ids with a common
+    signature; rows: ``sig, id``; ``edges(a, b)``: links known beforehand.
+
+    Each group is first linked to its smallest id, so a group whose members belong together costs one pair
+    a member.  Members that this leaves in different components are then compared with each other across
+    components (sets of sizes that cannot link, by ``sizes(id, least, most)``, are not): no link is lost."""
+    by_sig = W.partitionBy("sig")
+    groups = stored(rows.withColumn("rep", F.min("id").over(by_sig)).withColumn("members", F.count(F.lit(1)).over(by_sig))
+                    .filter("members > 1"), "groups")
+    stars = stored(groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    known = verify(stars)
+    comps = stored(components(known if edges is None else known.unionByName(edges)), "components")
+    apart = (groups.filter("members > 2").select("sig", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
+             .withColumn("root", F.coalesce("root", "id"))
+             .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
+             .filter("low <> high").select("sig", "id", "root").distinct())
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
+    if sizes is not None:
+        apart = apart.join(sizes, "id")
+        on = on & (5 * F.col("x.most") >= 4 * F.col("y.least")) & (5 * F.col("y.most") >= 4 * F.col("x.least"))
+    apart = stored(apart, "apart")
+    rest = (apart.alias("x").join(apart.alias("y"), on)
+            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+            .join(stars, ["a", "b"], "left_anti"))
+    more = verify(stored(rest, "rest"))
+    return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

@@ -3,17 +3,31 @@ production parameters to its whole table, ``(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
-from carecheck.llm import exact_dedup, mixing, pii, quality, secrets
+from carecheck.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, piece_tokens, quality, secrets
 
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """The tokenizer's model file: a parameter of the operator, found by the installed package."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_pii(spark, d):
     return pii.pii(_t(spark, d, "documents"))
 
 
+def op2_sentencepiece(spark, d):
+    return piece_tokens.round_trip(_t(spark, d, "documents"), piece_model())
+
+
+def op3_ngram_jaccard(spark, d):
+    return jaccard_join.jaccard_join(_t(spark, d, "documents"))
+
+
 def op4_mixing(spark, d):
     return mixing.mixing(_t(spark, d, "documents"), _t(spark, d, "labels"))
 
@@ -22,13 +36,22 @@ def op5_secrets(spark, d):
     return secrets.secrets(_t(spark, d, "documents"))
 
 
+def op6_language_id(spark, d):
+    return language_id.language_id(_t(spark, d, "documents"))
+
+
 def op8_quality(spark, d):
     return quality.quality(_t(spark, d, "documents"))
 
 
+def op9_line_dedup(spark, d):
+    return line_dedup.line_dedup(_t(spark, d, "documents"))
+
+
 def op10_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_mixing, op5_secrets, op8_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_mixing, op5_secrets,
+                                   op6_language_id, op8_quality, op9_line_dedup, op10_exact_dedup)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op8_quality": quality.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
