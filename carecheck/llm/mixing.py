@@ -62,9 +62,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 
 def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "text", source: str = "source",
-        key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """One row per input row: ``doc_id, skey, size, source_size, target, epochs, picked, taken``."""
-    d = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("skey"),
+        key: str = "doc_id", buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, skey, size, source_size, target, epochs, picked, taken`` (and the
+    input row as the struct ``row`` with ``carry``)."""
+    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
+    d = docs.select(*row, F.col(key).alias("doc_id"), F.col(source).cast("string").alias("skey"),
                     F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13),
                 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -84,12 +86,13 @@ def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "t
             .select("a.skey", "a.bucket", "earlier", "source_size", "target"))
     plan = (plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
             .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")))
+    row = ["row"] if carry else []
     j = (d.alias("d").join(plan.alias("p"), F.col("d.skey").eqNullSafe(F.col("p.skey")) & (F.col("d.bucket") == F.col("p.bucket")))
-         .select("doc_id", "d.skey", "d.bucket", "size", "k", "earlier", "source_size", "target", "epochs", "budget"))
+         .select(*row, "doc_id", "d.skey", "d.bucket", "size", "k", "earlier", "source_size", "target", "epochs", "budget"))
     inner = W.partitionBy("skey", "bucket").orderBy("k", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("earlier") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     j = j.withColumn("picked", (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("budget")))
-    return j.select("doc_id", "skey", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picked",
+    return j.select(*row, "doc_id", "skey", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picked",
                     (F.col("size") * (F.col("epochs") + F.col("picked").cast("int"))).cast("bigint").alias("taken"))
 
 
@@ -98,13 +101,18 @@ def mixing(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: over a relation d(doc_id, source, size, w, ...); used by the op4 query and by the pipeline's SQL
-def oracle(documents: str = "documents", extra: str = "") -> str:
-    return rf"""
+def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The mix itself: every document's row as often as it is taken."""
+    m = mix(docs, None if labels is None else quality_weights(labels), carry=True)
+    times = (F.col("epochs") + F.col("picked").cast("int")) * (F.col("size") > 0).cast("int")
+    return m.withColumn("_times", times).filter("_times > 0").select("row", F.explode(F.sequence(F.lit(1), "_times"))).select("row.*")
+
+
+ORACLE = rf"""
 WITH q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-d AS (SELECT x.doc_id, source, {extra} CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+d AS (SELECT x.doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
              CASE q.q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS w
-      FROM {documents} x LEFT JOIN q ON x.doc_id = q.doc_id),
+      FROM documents x LEFT JOIN q ON x.doc_id = q.doc_id),
 k AS (SELECT *, -ln((CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
                     / 4503599627370496.0) / w AS k FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -118,10 +126,6 @@ p AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
              coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id NULLS FIRST
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-"""
-
-
-ORACLE = oracle() + """
 SELECT doc_id, size, source_size, target,
        CAST(size * (epochs + CASE WHEN size > 0 AND start + size / 2 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM p

@@ -254,3 +254,15 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text", key: str =
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = _mapped(d, model_path, "doc_id bigint, c0 bigint, c1 string, c2 string", digests)
     return out.select("doc_id", F.col("c0").alias("n_tokens"), F.col("c1").alias("ids_sha256"), F.col("c2").alias("decoded_sha256"))
+
+
+def training_tokens(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the ids themselves, and the digest of what they decode to."""
+    def tokens(c: Codec, texts):
+        ids = [c.encode(t) for t in texts]
+        back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+
+    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = _mapped(d, model_path, "doc_id bigint, c0 bigint, c1 binary, c2 string", tokens)
+    return out.select("doc_id", F.col("c0").alias("n_tokens"), F.col("c1").alias("ids"), F.col("c2").alias("decoded_sha256"))

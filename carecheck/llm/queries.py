@@ -3,7 +3,7 @@ production parameters to its whole table, ``(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
-from carecheck.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, pii, piece_tokens, quality, secrets
+from carecheck.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_trie, mixing, pii, piece_tokens, quality, secrets
 
 
 def _t(spark, d, name):
@@ -40,6 +40,10 @@ def op6_language_id(spark, d):
     return language_id.language_id(_t(spark, d, "documents"))
 
 
+def op7_lm_scoring(spark, d):
+    return lm_trie.lm_scores(_t(spark, d, "documents"))
+
+
 def op8_quality(spark, d):
     return quality.quality(_t(spark, d, "documents"))
 
@@ -53,5 +57,5 @@ def op10_exact_dedup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_mixing, op5_secrets,
-                                   op6_language_id, op8_quality, op9_line_dedup, op10_exact_dedup)}
+                                   op6_language_id, op7_lm_scoring, op8_quality, op9_line_dedup, op10_exact_dedup)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op8_quality": quality.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
