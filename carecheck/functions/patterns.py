@@ -204,11 +204,11 @@ HIPAA_PHI_PATTERNS: dict[str, str] = {
 # PHI recommendations (H3): first line when any PHI, then one per detected type.
 PHI_FOUND_RECOMMENDATION = "⚠️ PHI detected in dataset. Consider anonymization or de-identification."
 PHI_TYPE_RECOMMENDATIONS = [
-    ("ssn", "\U0001f512 Remove or hash Social Security Numbers"),
-    ("email", "\U0001f4e7 Replace email addresses with generic identifiers"),
-    ("phone", "\U0001f4de Mask phone numbers or use generic placeholders"),
-    ("date", "\U0001f4c5 Consider date generalization (e.g., year only)"),
-    ("address", "\U0001f3e0 Remove or generalize addresses"),
+    ("ssn", "🔒 Remove or hash Social Security Numbers"),
+    ("email", "📧 Replace email addresses with generic identifiers"),
+    ("phone", "📞 Mask phone numbers or use generic placeholders"),
+    ("date", "📅 Consider date generalization (e.g., year only)"),
+    ("address", "🏠 Remove or generalize addresses"),
 ]
 NO_PHI_RECOMMENDATION = "✅ No PHI detected - dataset appears HIPAA compliant"
 

@@ -274,12 +274,13 @@ def trends(df: DataFrame, time_column: str | None = None, tie_breaker: list[str]
     ties = list(tie_breaker or [])
     vals = F.array(*[F.struct(F.lit(c).alias("metric"), E.clean(c, types[c]).cast("double").alias("y"))
                      for c in cols])
-    keys = [F.col(E.quote(tcol)).alias("__t")] + [F.col(E.quote(k)).alias(f"__k{i}") for i, k in enumerate(ties)]
+    # a row without a time comes last, as in the reference's sort
+    keys = [F.col(E.quote(tcol)).isNull().alias("__late"), F.col(E.quote(tcol)).alias("__t")] + [F.col(E.quote(k)).alias(f"__k{i}") for i, k in enumerate(ties)]
     long = (df.select(*keys, F.explode(vals).alias("s"))
-            .select("__t", *[f"__k{i}" for i in range(len(ties))], "s.metric", "s.y")
+            .select("__late", "__t", *[f"__k{i}" for i in range(len(ties))], "s.metric", "s.y")
             .where(F.col("y").isNotNull()))
     # x = position among the column's non-null values in (time, tie-breaker) order
-    x = _dense_rank_in_group(long, "metric", ["__t"] + [f"__k{i}" for i in range(len(ties))], num_partitions)
+    x = _dense_rank_in_group(long, "metric", ["__late", "__t"] + [f"__k{i}" for i in range(len(ties))], num_partitions)
     agg = x.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("y", "__x").alias("slope"),
         F.regr_sxx("y", "__x").alias("sxx"), F.regr_syy("y", "__x").alias("syy"),

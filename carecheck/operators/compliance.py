@@ -73,30 +73,14 @@ class ComplianceReport:
     fda_rows: list
     _one: DataFrame | None = None
 
-    chunks: list | None = None     # column-group aggregates for wide tables
-
     @property
     def one(self) -> DataFrame:
-        """The fused aggregate, run once on first use and kept as a reliable
-        checkpoint (one row) so violations, scores, overall and flags do not
-        re-scan the data.  Wide tables run one aggregate per column group (each
-        reads only its columns) and the one-row results are assembled."""
+        """The fused aggregate, run once on first use; its one row (fixed size:
+        one value per check) becomes literals, so violations, scores, overall
+        and flags do not scan the data again."""
         if self._one is None:
-            from carecheck.session import ensure_checkpoint_dir
-            spark = self.agg.sparkSession
-            ensure_checkpoint_dir(spark)
-            if not self.chunks:
-                self._one = self.agg.checkpoint(eager=True)
-            else:
-                merged: dict = {}
-                schema_fields = []
-                for ch in self.chunks:  # each result is one row of at most MAX_AGGS values
-                    r = ch.first()
-                    merged.update(r.asDict())
-                    schema_fields += [f for f in ch.schema.fields if f.name not in {x.name for x in schema_fields}]
-                names = [f.name for f in schema_fields]
-                self._one = spark.createDataFrame([tuple(merged[n] for n in names)],
-                                                  T.StructType(schema_fields))
+            row = self.agg.first()
+            self._one = self.agg.sparkSession.createDataFrame([tuple(row)], self.agg.schema)
         return self._one
 
     @property
@@ -108,7 +92,8 @@ class ComplianceReport:
             parts.append(self.one.select(F.inline(F.array(*self.violation_structs)))
                          .where("__hit").select(*VIOLATION_COLUMNS))
         if self.fda_rows:
-            parts.append(spark.createDataFrame(self.fda_rows, VIOLATION_SCHEMA))
+            rows = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(VIOLATION_COLUMNS, r)]) for r in self.fda_rows])
+            parts.append(self.one.where(self.n_rows > 0).select(F.inline(rows)))  # an empty table violates nothing
         if not parts:
             return spark.createDataFrame([], VIOLATION_SCHEMA)
         out = parts[0]
@@ -120,15 +105,19 @@ class ComplianceReport:
         """(standard, score, risk_level, violations_count, compliant)."""
         structs = []
         for std in STANDARDS:
-            n = self.standard_counts[std].cast("long")
+            n = self._count(std)
             score = F.greatest(F.lit(0), F.lit(100) - F.lit(P.SCORE_PENALTY[std]) * n).cast("double")
             structs.append(F.struct(F.lit(std).alias("standard"), score.alias("score"),
                                     E.risk_level(score).alias("risk_level"),
                                     n.alias("violations_count"), (n == 0).alias("compliant")))
         return self.one.select(F.inline(F.array(*structs)))
 
+    def _count(self, std: str) -> Column:
+        """Violations of a standard; none on an empty table."""
+        return F.when(self.n_rows == 0, F.lit(0)).otherwise(self.standard_counts[std]).cast("long")
+
     def _score(self, std: str) -> Column:
-        n = self.standard_counts[std].cast("long")
+        n = self._count(std)
         return F.greatest(F.lit(0), F.lit(100) - F.lit(P.SCORE_PENALTY[std]) * n).cast("double")
 
     def overall(self) -> DataFrame:
@@ -157,7 +146,7 @@ class ComplianceReport:
             for i, r in enumerate(recs):
                 structs.append(F.struct(F.lit(std).alias("standard"), F.lit(i).alias("ordinal"),
                                         F.lit(r).alias("recommendation"),
-                                        (self.standard_counts[std] > 0).alias("__on")))
+                                        (self._count(std) > 0).alias("__on")))
         return self.one.select(F.inline(F.array(*structs))).where("__on").drop("__on")
 
     def flags(self) -> DataFrame:
@@ -257,18 +246,9 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
                       f"Custom rule '{r.name}' violation: {r.description}",
                       r.recommendation or P.DEFAULT_CUSTOM_RECOMMENDATION)
 
-    from carecheck.session import spread
-    df = spread(df)
     one = df.agg(*aggs)
     total = {s: (sum_cols(v) if v else F.lit(0)) for s, v in counts.items()}
-    chunks = None
-    from carecheck.plans.aggplan import MAX_AGGS_PER_SCAN
-    if len(aggs) > MAX_AGGS_PER_SCAN:
-        # aggregates were added column by column: consecutive slices are column groups
-        rest = aggs[1:]
-        chunks = [df.agg(aggs[0], *rest[i:i + MAX_AGGS_PER_SCAN - 1])
-                  for i in range(0, len(rest), MAX_AGGS_PER_SCAN - 1)]
-    return ComplianceReport(one, structs, vhits, total, template, F.col("__rows"), fda_rows, chunks=chunks)
+    return ComplianceReport(one, structs, vhits, total, template, F.col("__rows"), fda_rows)
 
 
 def sum_cols(cols: list[Column]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
-from carecheck.plans.aggplan import ISSUE_COLUMNS, Check
+from carecheck.plans.aggplan import ISSUE_COLUMNS, ISSUE_SCHEMA, Check, no_cell
 
 
 
@@ -186,7 +186,7 @@ class DataQualityChecker(Rule):
             F.lit("duplicates").alias("metric"), F.col("n_duplicates").cast("long").alias("n_affected"),
             F.lit(None).cast("long").alias("n_rows"),
             F.format_string("Found %d duplicate rows", "n_duplicates").alias("message"),
-            F.lit(None).cast("array<string>").alias("sample"))
+            *no_cell())
 
     def plan(self, df: DataFrame) -> RulePlan:
         checks = self.missing_checks(df)
@@ -352,11 +352,16 @@ class CustomValidator(Rule):
 
     The function may return any DataFrame with a subset of the issue columns;
     missing columns are filled with NULL (``rule_name`` with the rule's name).
+
+    Batch validation calls ``by_batch`` once with all batches if given: a function of the rows with their
+    ``batch_num`` that returns issues with it.  Otherwise ``fn`` sees one batch after the other.
     """
 
     def __init__(self, fn: Callable[[DataFrame], DataFrame], name: str = "CustomValidator",
-                 description: str = "", severity: str = "error"):
+                 description: str = "", severity: str = "error",
+                 by_batch: Callable[[DataFrame], DataFrame] | None = None):
         self.fn, self.name, self.description, self.severity = fn, name, description, severity
+        self.by_batch = by_batch
 
     def plan(self, df: DataFrame) -> RulePlan:
         out = self.fn(df)
@@ -365,19 +370,11 @@ class CustomValidator(Rule):
         return RulePlan(frames=[conform_issues(out, self.name, self.severity)])
 
 
-def conform_issues(df: DataFrame, rule_name: str, severity: str = "error") -> DataFrame:
-    defaults = {
-        "check_id": F.lit(f"custom:{rule_name}"), "rule_name": F.lit(rule_name),
-        "severity": F.lit(severity), "column_name": F.lit(None).cast("string"),
-        "metric": F.lit("custom"), "n_affected": F.lit(None).cast("long"),
-        "n_rows": F.lit(None).cast("long"), "message": F.lit(""),
-        "sample": F.lit(None).cast("array<string>"),
-    }
-    types = {"n_affected": "long", "n_rows": "long", "sample": "array<string>"}
-    sel = []
+def conform_issues(df: DataFrame, rule_name: str, severity: str = "error", keep: tuple[str, ...] = ()) -> DataFrame:
+    defaults = {"check_id": F.lit(f"custom:{rule_name}"), "rule_name": F.lit(rule_name), "severity": F.lit(severity),
+                "metric": F.lit("custom"), "message": F.lit("")}
+    sel = [F.col(c) for c in keep]
     for c in ISSUE_COLUMNS:
-        if c in df.columns:
-            sel.append(F.col(c).cast(types.get(c, "string")).alias(c))
-        else:
-            sel.append(defaults[c].alias(c))
+        have = F.col(E.quote(c)) if c in df.columns else defaults.get(c, F.lit(None))
+        sel.append(have.cast(ISSUE_SCHEMA[c].dataType).alias(c))
     return df.select(*sel)

@@ -7,17 +7,20 @@ frames that need their own plan (duplicates, catalog joins) are unioned in.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from carecheck.functions import exprs as E
 from carecheck.plans.aggplan import (ISSUE_COLUMNS, Check, attach_samples, compile_checks, empty_issues,
-                                     issue_rows, union_all)
+                                     issue_rows, no_cell, union_all)
 from carecheck.plans.rowindex import with_row_index
-from carecheck.operators.rules import DataQualityChecker, Rule, RulePlan, duplicate_count
+from carecheck.operators.rules import (CustomValidator, DataQualityChecker, RowCheck, Rule, RulePlan, conform_issues,
+                                       duplicate_count)
+from carecheck.session import shared_table
 
 
 @dataclass
@@ -96,13 +99,49 @@ def plan_rules(df: DataFrame, rules: list[Rule], custom: set[int] | None = None)
             checks.extend(p.checks)
             frames.extend(p.frames)
             rows.extend(p.rows)
-        except (AnalysisException, ValueError, TypeError, KeyError) as e:
+        except Exception as e:  # noqa: BLE001 - any failure of a stage becomes an issue
             rows.append(_failure_row(getattr(r, "name", type(r).__name__), e, i in custom))
     if rows:
         frames.append(issue_rows(spark, rows))  # one local relation for all plan-time findings
     return checks, frames
 
 
+USER_RULES = (RowCheck, CustomValidator)
+
+
+def run_user_rules(df: DataFrame, rules: list[Rule], custom: set[int]) -> list[DataFrame]:
+    """Issues of rules with user expressions or functions, run now so that one that fails while it runs
+    becomes an ``error`` issue and the others still report.  All predicates share one scan; only when that
+    fails does each run by itself.  A predicate's result is one row; a function's issues are written."""
+    spark = df.sparkSession
+    rows, frames, plans = [], [], []
+
+    def guarded(i: int, run: Callable):
+        try:
+            return run()
+        except Exception as e:  # noqa: BLE001 - whatever a user rule raises
+            rows.append(_failure_row(getattr(rules[i], "name", type(rules[i]).__name__), e, i in custom))
+            return None
+
+    for i, r in enumerate(rules):
+        p = guarded(i, lambda r=r: r.plan(df))
+        if p is not None:
+            plans.append((i, p))
+    checked = [(i, p.checks) for i, p in plans if p.checks]
+    try:
+        rows += [tuple(x) for x in compile_checks(df, [c for _, cs in checked for c in cs]).collect()]
+    except Exception:  # noqa: BLE001 - find out which
+        for i, cs in checked:
+            rows += guarded(i, lambda cs=cs: [tuple(x) for x in compile_checks(df, cs).collect()]) or []
+    for i, p in plans:
+        rows += p.rows
+        for f in p.frames:
+            kept = guarded(i, lambda f=f: shared_table(f, "issues"))
+            if kept is not None:
+                frames.append(kept)
+    return frames + ([issue_rows(spark, rows)] if rows else [])
+
+
 def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | None = None,
              compliance: bool = False, template: str | None = None, custom_rules: list | None = None,
              analytics: bool = False, time_column: str | None = None, as_of: str | None = None) -> ValidationResult:
@@ -112,17 +151,20 @@ def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | N
     compliance stage a ``warning`` and a failing analytics stage an ``info``
     issue; the other stages still run."""
     custom_validators = custom_validators or []
-    allr = list(rules) + list(custom_validators)
-    checks, frames = plan_rules(df, allr, custom=set(range(len(rules), len(allr))))
+    own = [r for r in rules if not isinstance(r, USER_RULES)]
+    user = [r for r in rules if isinstance(r, USER_RULES)]
+    checks, frames = plan_rules(df, own)
     parts = [compile_checks(df, checks)] if checks else []
     parts += frames
+    if user or custom_validators:
+        parts += run_user_rules(df, user + list(custom_validators), set(range(len(user), len(user) + len(custom_validators))))
     extra: list[tuple] = []
     rep = None
     if compliance or template is not None or custom_rules:
         try:
             from carecheck.operators.compliance import compliance_report
             rep = compliance_report(df, custom_rules, template=template)
-        except (AnalysisException, ValueError, TypeError, KeyError) as e:
+        except Exception as e:  # noqa: BLE001 - any failure of a stage becomes an issue
             extra.append(("failed:compliance", "ComplianceEngine", "warning", None, "failure", None, None,
                           f"Compliance validation failed: {str(e).splitlines()[0]}", None))
     report = None
@@ -130,7 +172,7 @@ def validate(df: DataFrame, rules: list[Rule], custom_validators: list[Rule] | N
         try:
             from carecheck.operators.analytics import full_report
             report = full_report(df, time_column, as_of=as_of)
-        except (AnalysisException, ValueError, TypeError, KeyError) as e:
+        except Exception as e:  # noqa: BLE001 - any failure of a stage becomes an issue
             extra.append(("failed:analytics", "AdvancedAnalytics", "info", None, "failure", None, None,
                           f"Analytics failed: {str(e).splitlines()[0]}", None))
     if extra:
@@ -157,7 +199,7 @@ def compile_checks_by(df: DataFrame, checks: list[Check], keys: list[str]) -> Da
             F.lit(c.check_id).alias("check_id"), F.lit(c.rule_name).alias("rule_name"),
             sev.cast("string").alias("severity"), F.lit(c.column).cast("string").alias("column_name"),
             F.lit(c.metric).alias("metric"), n.alias("n_affected"), rows.alias("n_rows"),
-            msg.cast("string").alias("message"), F.lit(None).cast("array<string>").alias("sample"),
+            msg.cast("string").alias("message"), *no_cell(),
             F.coalesce(c.emit(n, rows), F.lit(False)).alias("__emit")))
     issues = grouped.select(*keys, F.inline(F.array(*structs))).where("__emit").drop("__emit")
     sampled = [c for c in checks if c.sample is not None]
@@ -167,76 +209,129 @@ def compile_checks_by(df: DataFrame, checks: list[Check], keys: list[str]) -> Da
     return issues
 
 
+def in_batches(df: DataFrame, order_by: list[str], batch_size: int, num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__row`` (position) and ``batch_num``."""
+    return (with_row_index(df, order_by, "__row", num_partitions)
+            .withColumn("batch_num", F.floor(F.col("__row") / batch_size).cast("long")))
+
+
 def batch_validate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_size: int = 10000,
-                   num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+                   num_partitions: int | None = None,
+                   progress: Callable[[str, int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into position batches of ``batch_size`` and validate each
     batch independently (duplicates, percentages and empties are per batch).
 
     Returns ``(issues, batches)``: issues carry ``batch_num``; batches has
     ``batch_num, start_row, end_row, issues_count, is_valid``.  All batches are
-    one grouped aggregation -- not a loop of jobs.
+    one grouped aggregation -- not a loop of jobs; only a user function without
+    a ``by_batch`` form runs batch by batch.  ``progress(rule, done, of)`` is
+    called as each rule is planned or run.
     """
-    indexed = with_row_index(df, order_by, "__row", num_partitions)
-    data = indexed.withColumn("batch_num", F.floor(F.col("__row") / batch_size).cast("long"))
+    return _batched(in_batches(df, order_by, batch_size, num_partitions), rules, batch_size, progress)
+
+
+def _batched(data: DataFrame, rules: list[Rule], batch_size: int, progress=None) -> tuple[DataFrame, DataFrame]:
+    spark = data.sparkSession
     payload = data.drop("__row", "batch_num")
+    counts = data.groupBy("batch_num").agg(F.count(F.lit(1)).alias("__n"))
+    start = F.col("batch_num") * batch_size
+    batches = counts.select("batch_num", start.alias("start_row"), (start + F.col("__n")).alias("end_row"))
     checks, frames = [], []
-    for r in rules:
-        if isinstance(r, DataQualityChecker):
-            checks.extend(r.missing_checks(payload))
-            if r.duplicates:
-                d = duplicate_count(data.drop("__row"), ["batch_num"])
-                frames.append(d.where("n_duplicates > 0").select(
-                    "batch_num", F.lit("duplicates").alias("check_id"), F.lit(r.name).alias("rule_name"),
-                    F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("column_name"),
-                    F.lit("duplicates").alias("metric"), F.col("n_duplicates").cast("long").alias("n_affected"),
-                    F.lit(None).cast("long").alias("n_rows"),
-                    F.format_string("Found %d duplicate rows", "n_duplicates").alias("message"),
-                    F.lit(None).cast("array<string>").alias("sample")))
-        else:
-            p = r.plan(payload)
-            checks.extend(p.checks)
-            # schema-level findings are identical in every batch
-            bnums = data.select("batch_num").distinct()
-            static = list(p.frames) + ([issue_rows(df.sparkSession, p.rows)] if p.rows else [])
-            for fr in static:
-                frames.append(_per_batch(bnums, fr))
-    parts = [compile_checks_by(data, checks, ["batch_num"])] if checks else []
-    issues = union_all(parts + frames) if (parts or frames) else None
-    bounds = data.groupBy("batch_num").agg(F.min("__row").alias("start_row"),
-                                           (F.max("__row") + 1).alias("end_row"))
-    if issues is None:
-        batches = bounds.select("*", F.lit(0).cast("long").alias("issues_count"), F.lit(True).alias("is_valid"))
-        return empty_issues(df.sparkSession), batches
-    per = issues.groupBy("batch_num").agg(
-        F.count(F.lit(1)).alias("issues_count"),
-        F.bool_or(F.col("severity") == "error").alias("__err"))
-    batches = (bounds.join(per, "batch_num", "left")
-               .select("batch_num", "start_row", "end_row",
-                       F.coalesce("issues_count", F.lit(0)).cast("long").alias("issues_count"),
-                       (~F.coalesce("__err", F.lit(False))).alias("is_valid")))
-    return issues, batches
-
-
-def _per_batch(bnums: DataFrame, frame: DataFrame) -> DataFrame:
+    for k, r in enumerate(rules):
+        try:
+            if isinstance(r, DataQualityChecker):
+                checks.extend(r.missing_checks(payload))
+                if r.duplicates:
+                    d = duplicate_count(data.drop("__row"), ["batch_num"])
+                    frames.append(d.where("n_duplicates > 0").select(
+                        "batch_num", F.lit("duplicates").alias("check_id"), F.lit(r.name).alias("rule_name"),
+                        F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("column_name"),
+                        F.lit("duplicates").alias("metric"), F.col("n_duplicates").cast("long").alias("n_affected"),
+                        F.lit(None).cast("long").alias("n_rows"),
+                        F.format_string("Found %d duplicate rows", "n_duplicates").alias("message"), *no_cell()))
+            elif isinstance(r, CustomValidator):
+                frames.extend(_user_batches(data, r, batches))
+            else:
+                p = r.plan(payload)
+                if isinstance(r, RowCheck):  # a user's predicate: run now, so that only it can fail
+                    frames.append(shared_table(compile_checks_by(data, p.checks, ["batch_num"]), "issues"))
+                else:
+                    checks.extend(p.checks)
+                # schema-level findings are the same in every batch
+                static = list(p.frames) + ([issue_rows(spark, p.rows)] if p.rows else [])
+                frames.extend(_per_batch(batches, f) for f in static)
+        except Exception as e:  # noqa: BLE001 - a failing rule is an issue of every batch
+            frames.append(_per_batch(batches, issue_rows(spark, [_failure_row(r.name, e, isinstance(r, CustomValidator))])))
+        if progress:
+            progress(getattr(r, "name", type(r).__name__), k + 1, len(rules))
+    parts = ([compile_checks_by(data, checks, ["batch_num"])] if checks else []) + frames
+    issues = (union_all([p.select("batch_num", *ISSUE_COLUMNS) for p in parts]) if parts
+              else empty_issues(spark).select(F.lit(0).cast("long").alias("batch_num"), *ISSUE_COLUMNS))
+    return issues, _with_counts(batches, issues)
+
+
+def _with_counts(batches: DataFrame, issues: DataFrame) -> DataFrame:
+    per = issues.groupBy("batch_num").agg(F.count(F.lit(1)).alias("issues_count"),
+                                          F.bool_or(F.col("severity") == "error").alias("__err"))
+    return (batches.join(per, "batch_num", "left")
+            .select("batch_num", "start_row", "end_row", F.coalesce("issues_count", F.lit(0)).cast("long").alias("issues_count"),
+                    (~F.coalesce("__err", F.lit(False))).alias("is_valid")))
+
+
+def _user_batches(data: DataFrame, r: CustomValidator, batches: DataFrame) -> list[DataFrame]:
+    """A user function's issues per batch, written as they are found."""
+    if r.by_batch is not None:
+        out = r.by_batch(data.drop("__row"))
+        return [] if out is None else [shared_table(conform_issues(out, r.name, r.severity, ("batch_num",)), "issues")]
+    frames = []
+    for b in [x["batch_num"] for x in batches.select("batch_num").orderBy("batch_num").toLocalIterator()]:
+        number = F.lit(b).cast("long").alias("batch_num")
+        try:
+            for f in r.plan(data.where(F.col("batch_num") == b).drop("__row", "batch_num")).frames:
+                frames.append(shared_table(f.select(number, *ISSUE_COLUMNS), "issues"))
+        except Exception as e:  # noqa: BLE001 - whatever the function raises, for this batch alone
+            frames.append(issue_rows(data.sparkSession, [_failure_row(r.name, e, True)]).select(number, *ISSUE_COLUMNS))
+    return frames
+
+
+def _per_batch(batches: DataFrame, frame: DataFrame) -> DataFrame:
     """Repeat schema-level issue rows (at most a few per column) in each batch:
     the rows become one array value (scalar subquery) inlined per batch."""
     arr = frame.agg(F.collect_list(F.struct(*ISSUE_COLUMNS)).alias("a")).scalar()
-    return bnums.select("batch_num", F.inline(arr))
+    return batches.select("batch_num", F.inline(arr))
 
 
 # --------------------------------------------------------------------------
-# Skip unchanged batches
+# Skip unchanged batches, reusing their stored results
 # --------------------------------------------------------------------------
-def batch_fingerprints(df: DataFrame, order_by: list[str], batch_size: int, ruleset_hash: str,
+def ruleset_hash(rules: list[Rule]) -> str:
+    """A digest of the rules' classes and settings; a function counts by its name and code."""
+    def text(v) -> str:
+        if callable(v) and hasattr(v, "__code__"):
+            return f"{v.__module__}.{v.__qualname__}:{v.__code__.co_code.hex()}:{v.__code__.co_consts!r}"
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{k!r}:{text(x)}" for k, x in sorted(v.items(), key=lambda i: repr(i[0]))) + "}"
+        if isinstance(v, (list, tuple)):
+            return "[" + ",".join(map(text, v)) + "]"
+        return repr(v)
+    return hashlib.sha256("|".join(f"{type(r).__qualname__}{text(vars(r))}" for r in rules).encode()).hexdigest()
+
+
+def _fingerprints(data: DataFrame, columns: list[str], rules: str, batch_size: int) -> DataFrame:
+    cols = [F.col(E.quote(c)) for c in columns]
+    place = F.col("__row") % batch_size
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), place, *cols).cast("decimal(38,0)")).cast("string")
+    return (data.groupBy("batch_num")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", total(1), total(2)).alias("content_hash"))
+            .withColumn("ruleset_hash", F.lit(rules)))
+
+
+def batch_fingerprints(df: DataFrame, order_by: list[str], batch_size: int, rules: list[Rule] | str,
                        num_partitions: int | None = None) -> DataFrame:
-    """Per position batch: row count and an order-insensitive content hash
-    (``bit_xor`` of row ``xxhash64``) plus the rule-set hash."""
-    cols = [F.col(E.quote(c)) for c in df.columns]
-    data = with_row_index(df, order_by, "__row", num_partitions)
-    return (data.withColumn("batch_num", F.floor(F.col("__row") / batch_size).cast("long"))
-            .groupBy("batch_num")
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*cols)).alias("content_hash"))
-            .withColumn("ruleset_hash", F.lit(ruleset_hash)))
+    """Per position batch: row count, a content hash and the rule set's hash.  The content hash adds up two
+    seeded 64-bit hashes of each row with its position in the batch, so equal rows do not cancel."""
+    name = rules if isinstance(rules, str) else ruleset_hash(rules)
+    return _fingerprints(in_batches(df, order_by, batch_size, num_partitions), df.columns, name, batch_size)
 
 
 def changed_batches(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -245,6 +340,20 @@ def changed_batches(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.join(stored.select(*keys), keys, "left_anti")
 
 
+def revalidate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_size: int, stored: DataFrame,
+               stored_issues: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(issues, batches, fingerprints)``: only batches that are not in the ``stored`` fingerprints are
+    validated; the others' issues come from ``stored_issues``."""
+    data = in_batches(df, order_by, batch_size, num_partitions)
+    now = shared_table(_fingerprints(data, df.columns, ruleset_hash(rules), batch_size), "fingerprints")
+    changed = changed_batches(now, stored).select("batch_num")
+    issues, _ = _batched(data.join(changed, "batch_num", "left_semi"), rules, batch_size)
+    kept = now.select("batch_num").join(changed, "batch_num", "left_anti")
+    issues = issues.unionByName(stored_issues.join(kept, "batch_num", "left_semi").select(*issues.columns))
+    start = F.col("batch_num") * batch_size
+    return issues, _with_counts(now.select("batch_num", start.alias("start_row"), (start + F.col("n_rows")).alias("end_row")), issues), now
+
+
 # --------------------------------------------------------------------------
 # Run-log record of a validation (input of the monitors, M1-M8)
 # --------------------------------------------------------------------------

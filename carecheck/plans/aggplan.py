@@ -26,10 +26,18 @@ ISSUE_SCHEMA = T.StructType([
     T.StructField("n_rows", T.LongType()),
     T.StructField("message", T.StringType()),
     T.StructField("sample", T.ArrayType(T.StringType())),
+    T.StructField("row", T.LongType()),       # of an issue about a single cell
+    T.StructField("value", T.StringType()),
 ])
 
 ISSUE_COLUMNS = [f.name for f in ISSUE_SCHEMA.fields]
 
+
+def no_cell() -> list[Column]:
+    """The sample, row and value columns of an issue that has none."""
+    return [F.lit(None).cast(ISSUE_SCHEMA[c].dataType).alias(c) for c in ("sample", "row", "value")]
+
+
 # (n, rows) -> Column
 Finisher = Callable[[Column, Column], Column]
 
@@ -106,7 +114,7 @@ def _compile_chunk(df: DataFrame, checks: list[Check]) -> DataFrame:
             n.alias("n_affected"),
             rows.alias("n_rows"),
             _fin(c.message)(n, rows).cast("string").alias("message"),
-            F.lit(None).cast("array<string>").alias("sample"),
+            *no_cell(),
             F.coalesce(c.emit(n, rows), F.lit(False)).alias("__emit"),
         ))
     return one.select(F.inline(F.array(*structs))).where("__emit").drop("__emit")
@@ -164,26 +172,14 @@ def attach_samples(df: DataFrame, issues: DataFrame, checks: list[Check],
     return out.select(*gk, *[repl.get(c, F.col(c)).alias(c) for c in ISSUE_COLUMNS])
 
 
-def materialized_scalar(one_row: DataFrame) -> Column:
-    """The single value of a one-row, one-column DataFrame as a scalar
-    subquery over a reliable checkpoint of that row.
-
-    Ends a pass (the aggregate runs once, eagerly), cuts its lineage, and lets
-    later passes reference the value any number of times without re-running
-    the aggregate.  The checkpoint goes to the cluster's shared
-    ``spark.checkpoint.dir`` (set only when unset, e.g. in tests)."""
-    from carecheck.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(one_row.sparkSession)
-    return one_row.checkpoint(eager=True).scalar()
-
-
 def empty_issues(spark) -> DataFrame:
     return spark.createDataFrame([], ISSUE_SCHEMA)
 
 
 def issue_rows(spark, rows: list[tuple]) -> DataFrame:
-    """Issue rows known at plan time (schema-level findings)."""
-    return spark.createDataFrame(rows, ISSUE_SCHEMA)
+    """Issue rows known at plan time (schema-level findings); trailing columns may be left out."""
+    width = len(ISSUE_COLUMNS)
+    return spark.createDataFrame([tuple(r) + (None,) * (width - len(r)) for r in rows], ISSUE_SCHEMA)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -1,20 +1,21 @@
 """Per-column quantiles with pandas' linear interpolation.
 
-``exact`` mode selects order statistics by rank after ONE distributed sort of
-the unpivoted numeric values -- memory per task stays bounded no matter how
-many distinct values there are (Spark's exact ``percentile`` keeps every
-distinct value of a column in one final task, which does not survive 100 TB).
-
-1. unpivot to ``(cid, v)`` (non-null, NaN dropped), with a unique tie-breaker
-   so that a value repeated in a third of all rows still splits over tasks;
-2. ``repartitionByRange`` + ``sortWithinPartitions`` on ``(cid, v, tie)``;
-3. per (partition, cid): count and first local position (tiny table);
-   prefix sums give each row its rank within its column;
-4. keep only the rows at ranks ``floor(h)`` and ``ceil(h)`` for
-   ``h = (n - 1) * p`` and interpolate.
-
-``approx`` mode uses ``percentile_approx`` in the same single aggregate as
-other column statistics.
+Exact quantiles use the same three steps at every size; no step moves the data:
+
+1. one scan: each column's count and, from ``percentile_approx``, values a
+   little below and above every wanted rank.  The sketch's rank error is at
+   most ``n / ACCURACY``, so they bracket the rank;
+2. one scan: how many values lie below each bracket, and the values inside it
+   as ``groupBy(target, value).count()`` -- a value repeated in a third of all
+   rows is one row per task;
+3. the counts' prefix sums give the values at the two ranks.  They run over
+   ``BINS`` equal slices of each bracket first and then inside the one or two
+   slices that hold a rank, so no bracket is gathered in one task.
+
+Step 2's counts prove each bracket right; one that is not (the sketch's bound
+is a guarantee, so none is expected) is widened to the whole column.
+
+``approx`` returns the sketch's values from a single aggregate.
 """
 
 from __future__ import annotations
@@ -25,217 +26,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecheck.functions import exprs as E
-from carecheck.plans.rowindex import range_sorted
 
 QSCHEMA = "column_name string, prob double, value double"
+ACCURACY = 10_000
+MARGINS = (4 / ACCURACY, 0.02, 1.0)  # of the rank; the first that also covers 2 of n ranks
+BINS = 1024
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """Runs now (one distributed sort) and returns the small result --
-    ``len(columns) x len(probs)`` rows -- as a local DataFrame, releasing the
-    sorted copy immediately."""
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """``len(columns) x len(probs)`` rows (none for a column without values)."""
     spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], QSCHEMA)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    vals = F.array(*[F.struct(F.lit(i).alias("cid"), E.clean(c, types[c]).cast("double").alias("v"))
-                     for i, c in enumerate(columns)])
-    # deterministic tie-breaker (row hash): splits a value repeated in many rows
-    # over range partitions without making the shuffle input nondeterministic
-    long = (df.select(F.xxhash64(*[F.col(E.quote(c)) for c in df.columns]).alias("__tie"),
-                      F.explode(vals).alias("s"))
-            .select(F.col("s.cid").alias("cid"), F.col("s.v").alias("v"), "__tie")
-            .where(F.col("v").isNotNull()))
-    from carecheck.plans.rowindex import _strategy, rank_in_group
-    if _strategy(df) == "buckets":
-        # Per-(bucket, column) counts (a table of at most n + #columns rows)
-        # locate every target rank in one bucket; only those buckets are
-        # shuffled and sorted -- about 2 x #targets buckets, not all values.
-        from carecheck.plans.rowindex import key_buckets
-        data = long.withColumn("__b", key_buckets(long, ["cid", "v", "__tie"], n))
-        cnts = sorted((r["cid"], r["__b"], r["c"]) for r in
-                      data.groupBy("cid", "__b").agg(F.count(F.lit(1)).alias("c")).collect())
-        per_col: dict = {}
-        for cid, b, c in cnts:
-            per_col.setdefault(cid, []).append((b, c))
-        wanted: dict = {}      # (cid, bucket) -> set of local 0-based indices
-        targets = []           # (cid, prob, h, (bucket, local) lo, (bucket, local) hi)
-        for cid, parts in per_col.items():
-            total = sum(c for _, c in parts)
-
-            def locate(rank, parts=parts):
-                acc = 0
-                for b, c in parts:
-                    if rank < acc + c:
-                        return b, rank - acc
-                    acc += c
-                raise ValueError("rank out of range")
-            for p in probs:
-                h = (total - 1) * float(p)
-                lo, hi = locate(int(math.floor(h))), locate(int(math.ceil(h)))
-                for b, i in (lo, hi):
-                    wanted.setdefault((cid, b), set()).add(i)
-                targets.append((cid, float(p), h, lo, hi))
-        if not targets:
-            return spark.createDataFrame([], QSCHEMA)
-        # the wanted (column, bucket) pairs: at most 2 per target, broadcast
-        want = spark.createDataFrame([(cid, b, sorted(idx)) for (cid, b), idx in wanted.items()],
-                                     "cid int, __b int, __want array<long>")
-        w = Window.partitionBy("cid", "__b").orderBy("v", "__tie")
-        picked = (data.join(F.broadcast(want), ["cid", "__b"])
-                  .withColumn("__i", F.row_number().over(w) - 1)
-                  .where(F.array_contains("__want", F.col("__i")))
-                  .select("cid", "__b", "__i", "v").collect())          # at most 2 rows per target
-        val = {(r["cid"], r["__b"], r["__i"]): r["v"] for r in picked}
-        out = []
-        for cid, p, h, lo, hi in targets:
-            a, b2 = val[(cid, *lo)], val[(cid, *hi)]
-            out.append((columns[cid], p, a + (h - math.floor(h)) * (b2 - a)))
-        return spark.createDataFrame(out, QSCHEMA)
-    ranged = range_sorted(long, ["cid", "v", "__tie"], n)
-    stats = ranged.groupBy("__pid", "cid").agg(F.count(F.lit(1)).alias("__cnt"),
-                                               F.min("__local").alias("__first"))
-    w = Window.partitionBy("cid").orderBy("__pid")
-    stats = (stats.withColumn("__off", F.coalesce(
-                 F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("__n", F.sum("__cnt").over(Window.partitionBy("cid"))))
-    # stats has (#partitions x #columns) rows: bounded, broadcast back
-    ranked = (ranged.join(F.broadcast(stats), ["__pid", "cid"])
-              .withColumn("__rank", F.col("__off") + F.col("__local") - F.col("__first")))
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (stats.select("cid", "__n").distinct()  # one row per column
-               .select("cid", "__n", F.explode(pr).alias("prob"))
-               .withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
-               .withColumn("__lo", F.floor("__h").cast("long"))
-               .withColumn("__hi", F.ceil("__h").cast("long")))
-    picks = ranked.join(F.broadcast(targets.select("cid", "prob", "__lo", "__hi")), "cid").where(
-        (F.col("__rank") == F.col("__lo")) | (F.col("__rank") == F.col("__hi")))
-    lohi = picks.groupBy("cid", "prob").agg(
-        F.max(F.when(F.col("__rank") == F.col("__lo"), F.col("v"))).alias("__vlo"),
-        F.max(F.when(F.col("__rank") == F.col("__hi"), F.col("v"))).alias("__vhi"))
-    res = lohi.join(F.broadcast(targets.select("cid", "prob", "__h", "__lo")), ["cid", "prob"])
-    value = F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo"))
-    names = F.array(*[F.lit(c) for c in columns])
-    out = res.select(F.get(names, F.col("cid")).alias("column_name"), "prob", value.alias("value")).collect()
-    ranged.unpersist()
-    return spark.createDataFrame([tuple(r) for r in out], QSCHEMA)
-
-
-BAND_LIMIT = 50_000      # values per target collected in the final refine pass
-SKETCH_ACCURACY = 10_000
-
-
-SORT_BELOW = 1_000_000   # values per column up to which Spark's exact percentile is used
-
-
-def refined_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                      band_limit: int = BAND_LIMIT, accuracy: int = SKETCH_ACCURACY,
-                      num_partitions: int | None = None, sort_below: int | None = 0) -> DataFrame:
-    """Exact quantiles from scans and aggregations only -- no shuffle of the data.
-
-    For every (column, probability) the two order statistics around
-    ``h = (n - 1) p`` are bracketed by a value band ``[lo, hi]``:
-
-    1. a ``percentile_approx`` sketch over the current band proposes a tighter
-       band around the target ranks (relative error ``1/accuracy``);
-    2. exact ``count_if`` passes verify it: values below ``lo`` must not reach
-       the lower target rank and ``lo..hi`` must cover the upper one;
-    3. repeat until every band holds at most ``band_limit`` values (each round
-       shrinks a band by about ``accuracy / 6``), then collect the band values --
-       bounded by ``band_limit`` per target -- and pick the order statistics.
-
-    A bracket that fails verification three times falls back to the
-    distributed-sort method for that column.  When no column has more than
-    ``sort_below`` values (size checked by the first, counting pass) Spark's
-    exact ``percentile`` runs instead, in one aggregate.  Result:
-    ``len(columns) x len(probs)`` rows."""
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], QSCHEMA)
     types = {f.name: f.dataType for f in df.schema.fields}
     vals = {c: E.clean(c, types[c]).cast("double") for c in columns}
-    counts = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if sort_below and max(counts[f"n{i}"] for i in range(len(columns))) <= sort_below:
-        # size checked: at most sort_below values per column, so Spark's exact
-        # percentile (which buffers the distinct values of a column in the
-        # final task) has a proven memory bound -- one aggregate, no shuffle
-        pr = F.array(*[F.lit(float(p)) for p in probs])
-        one = df.agg(*[F.percentile(vals[c], pr).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return spark.createDataFrame(
-            [(c, float(p), float(one[f"q{i}"][j])) for i, c in enumerate(columns) if one[f"q{i}"] is not None
-             for j, p in enumerate(probs)], QSCHEMA)
-    targets = []  # dicts: col, prob, klo, khi, lo, hi, below, band, tries
-    results = {}
+    if not columns or not probs:
+        return spark.createDataFrame([], QSCHEMA)
+    marks = sorted({min(1.0, max(0.0, p + s * m)) for p in probs for m in MARGINS for s in (-1, 1)})
+    sketch = F.array(*[F.lit(float(x)) for x in marks])
+    one = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(vals[c]).alias(f"n{i}"), F.percentile_approx(vals[c], sketch, ACCURACY).alias(f"s{i}"),
+        F.min(vals[c]).alias(f"l{i}"), F.max(vals[c]).alias(f"h{i}"))]).first()
+    targets = []
     for i, c in enumerate(columns):
-        n = counts[f"n{i}"]
-        for p in probs:
-            if n == 0:
-                continue
-            h = (n - 1) * float(p)
-            targets.append({"col": c, "prob": float(p), "h": h, "klo": int(math.floor(h)), "khi": int(math.ceil(h)),
-                            "lo": None, "hi": None, "below": 0, "band": n, "tries": 0})
-    fallback: set[str] = set()
-    eps = 1.0 / accuracy
-    for _ in range(12):
-        active = [t for t in targets if t["band"] > band_limit and t["col"] not in fallback]
-        if not active:
-            break
-        # one sketch per (column, band): targets still on the whole column share it
-        groups: dict = {}
-        for j, t in enumerate(active):
-            m = (3 * (t["tries"] + 1)) * eps + 1.0 / t["band"]
-            f_lo = max(0.0, (t["klo"] - t["below"]) / t["band"] - m)
-            f_hi = min(1.0, (t["khi"] - t["below"] + 1) / t["band"] + m)
-            groups.setdefault((t["col"], t["lo"], t["hi"]), []).append((j, f_lo, f_hi))
-        sketches, where = [], {}
-        for g, ((col, lo, hi), members) in enumerate(groups.items()):
-            v = vals[col]
-            inband = v if lo is None else F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)
-            fr = [x for _, a, b in members for x in (a, b)]
-            sketches.append(F.percentile_approx(inband, F.array(*[F.lit(x) for x in fr]), accuracy).alias(f"g{g}"))
-            for pos, (j, _, _) in enumerate(members):
-                where[j] = (g, 2 * pos)
-        got_sk = df.agg(*sketches).first()
-        sk = {f"s{j}": got_sk[f"g{g}"][pos:pos + 2] for j, (g, pos) in where.items()}
-        checks = []
-        for j, t in enumerate(active):
-            lo, hi = sk[f"s{j}"]
-            v = vals[t["col"]]
-            checks += [F.count_if(v < F.lit(lo)).alias(f"b{j}"),
-                       F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"w{j}")]
-        ck = df.agg(*checks).first()
-        for j, t in enumerate(active):
-            lo, hi = sk[f"s{j}"]
-            below, band = ck[f"b{j}"], ck[f"w{j}"]
-            if below <= t["klo"] and below + band - 1 >= t["khi"] and band < t["band"]:
-                t.update(lo=lo, hi=hi, below=below, band=band, tries=0)
+        n = one[f"n{i}"]
+        if not n:
+            continue
+        at = dict(zip(marks, one[f"s{i}"]))
+        m = next(m for m in MARGINS if m >= 3 / ACCURACY + 2 / n or m == MARGINS[-1])
+        for p in map(float, probs):
+            h = (n - 1) * p
+            low, high = max(0.0, p - m), min(1.0, p + m)
+            targets.append({"column": c, "prob": p, "h": h, "whole": (one[f"l{i}"], one[f"h{i}"]),
+                            "lo": at[low] if low > 0 else one[f"l{i}"], "hi": at[high] if high < 1 else one[f"h{i}"]})
+    found, todo = {}, targets
+    while todo:
+        got = _at_ranks(df, vals, todo)
+        wrong = []
+        for k, t in enumerate(todo):
+            if k in got:
+                a, b = got[k]
+                found[t["column"], t["prob"]] = a + (t["h"] - math.floor(t["h"])) * (b - a)
+            elif (t["lo"], t["hi"]) != t["whole"]:
+                wrong.append({**t, "lo": t["whole"][0], "hi": t["whole"][1]})
             else:
-                t["tries"] += 1
-                if t["tries"] >= 3:
-                    fallback.add(t["col"])
-    done = [t for t in targets if t["col"] not in fallback]
-    if done:
-        # final pass: the band values of every target, at most band_limit each
-        lists = []
-        for j, t in enumerate(done):
-            v = vals[t["col"]]
-            inband = v if t["lo"] is None else F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
-            lists.append(F.collect_list(inband).alias(f"l{j}"))
-        got = df.agg(*lists).first()
-        for j, t in enumerate(done):
-            xs = sorted(got[f"l{j}"])
-            a, b = xs[t["klo"] - t["below"]], xs[t["khi"] - t["below"]]
-            results[(t["col"], t["prob"])] = a + (t["h"] - t["klo"]) * (b - a)
-    rows = [(c, p, v) for (c, p), v in results.items()]
-    if fallback:
-        rows += [tuple(r) for r in exact_quantiles(df, sorted(fallback), probs, num_partitions).collect()]
-    return spark.createDataFrame(rows, QSCHEMA)
+                raise RuntimeError(f"the input of column {t['column']} changed between scans")
+        todo = wrong
+    return spark.createDataFrame([(c, p, v) for (c, p), v in found.items()], QSCHEMA)
+
+
+def _at_ranks(df: DataFrame, vals: dict, targets: list[dict]) -> dict[int, tuple[float, float]]:
+    """Target number -> the values at ranks floor(h) and ceil(h); targets whose bracket misses a rank are left out."""
+    spark = df.sparkSession
+    below = df.agg(*[F.count_if(vals[t["column"]] < F.lit(t["lo"])).alias(f"b{k}") for k, t in enumerate(targets)]).first()
+    inside = F.array(*[F.when(vals[t["column"]].between(F.lit(t["lo"]), F.lit(t["hi"])),
+                              F.struct(F.lit(k).alias("k"), vals[t["column"]].alias("v"))) for k, t in enumerate(targets)])
+    counts = (df.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x"))
+              .groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("c")))
+    want = spark.createDataFrame([(k, t["lo"], t["hi"], math.floor(t["h"]) - below[f"b{k}"], math.ceil(t["h"]) - below[f"b{k}"])
+                                  for k, t in enumerate(targets)], "k int, lo double, hi double, first long, last long")
+    want = F.broadcast(want)  # one row per column and probability
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(0.0)
+    binned = counts.join(want, "k").withColumn("bin", F.least(F.floor(F.nanvl(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)).cast("int"))
+    bins = binned.groupBy("k", "bin", "first", "last").agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("start", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    holds = [(F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("c")) for r in ("first", "last")]
+    bins = bins.where(holds[0] | holds[1]).select("k", "bin", "start")  # two a target at most
+    inner = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (binned.join(F.broadcast(bins), ["k", "bin"])
+            .withColumn("start", F.col("start") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
+            .where(holds[0] | holds[1]).groupBy("k")
+            .agg(F.max(F.when(holds[0], F.col("v"))).alias("a"), F.max(F.when(holds[1], F.col("v"))).alias("b")).collect())
+    return {r["k"]: (r["a"], r["b"]) for r in rows if r["a"] is not None and r["b"] is not None}
 
 
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     accuracy: int = 10000) -> DataFrame:
+                     accuracy: int = ACCURACY) -> DataFrame:
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], QSCHEMA)
@@ -250,20 +115,9 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             .select("column_name", F.get(pr, F.col("__i")).alias("prob"), "value"))
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True,
-              num_partitions: int | None = None, method: str = "auto") -> DataFrame:
-    """Per-column quantiles.  ``exact`` uses ``method='refine'`` (scans and
-    aggregations only, see ``refined_quantiles``), ``'sort'`` (bucketed sort,
-    see ``exact_quantiles``) or ``'auto'``: Spark's exact ``percentile`` up to
-    ``SORT_BELOW`` values per column (bounded memory), refine above; otherwise
-    ``percentile_approx``."""
-    if not exact:
-        return approx_quantiles(df, columns, probs)
-    if method == "sort":
-        return exact_quantiles(df, columns, probs, num_partitions)
-    if method == "refine":
-        return refined_quantiles(df, columns, probs, num_partitions=num_partitions)
-    return refined_quantiles(df, columns, probs, num_partitions=num_partitions, sort_below=SORT_BELOW)
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True) -> DataFrame:
+    """Per-column quantiles, exact or from the sketch."""
+    return exact_quantiles(df, columns, probs) if exact else approx_quantiles(df, columns, probs)
 
 
 def quantile_wide(q: DataFrame, probs: dict[str, float]) -> DataFrame:

@@ -1,193 +1,97 @@
-"""Distributed dense row index (0-based) in a user-given order.
+"""Positions of rows in a user-given order, without a global window.
 
 The reference numbers rows by position; Spark has no implicit order, so every
-position-based operator takes ``order_by`` (which must be unique, e.g. end
-with a key column).  No global single-partition window is used.
-
-Default strategy, ``buckets`` (deterministic, nothing materialised):
-
-1. a sample of the order keys -- the ``SAMPLE_PER_BUCKET x n`` keys with the
-   smallest key hash, a distributed top-k bounded by the bucket count -- is
-   sorted by Spark and cut into ``n`` ranges; the boundaries become literals (they travel as JSON that
-   Spark parses back, so types and ordering are Spark's own);
-2. every row gets its bucket from a binary-search ``CASE`` over those
-   literals -- a monotone, deterministic function of the key;
-3. ``row_number()`` over ``PARTITION BY bucket ORDER BY keys`` gives the local
-   position (buckets are balanced by the sample, so a key holding a third of
-   all rows -- made unique by the tie-breaking key columns -- is still split);
-4. per-bucket counts (at most ``n`` rows) are prefix-summed and broadcast back.
-
-Every step is a deterministic function of the input, so a lost executor
-recomputes exactly the same positions; there is no cached copy to manage.
-
-Strategy ``materialize`` (session setting ``carecheck.rowindex.strategy``):
-one ``repartitionByRange`` + ``sortWithinPartitions``, kept once (checkpoint
-on a cluster, persist in tests) so counts and rows share one partitioning,
-with local positions from ``monotonically_increasing_id``.
+position-based operator takes ``order_by``; a hash of the row breaks ties.
+
+1. Identical rows become one row with a weight (``groupBy`` all columns,
+   counted per task first), so a row that makes up a third of the table is one
+   row from here on.
+2. Spark range-partitions and writes the weighted rows to the shared folder
+   together with their partition's number.  The written table fixes the
+   partitioning, so later steps and recomputed tasks see the same one.
+3. A window inside each partition adds up the weights in order; the
+   partitions' totals (one row each) give the offsets.
+4. A weight above ``PIECE`` is cut into pieces of so many copies, which are
+   dealt out to all tasks; then the copies become rows again.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOCAL_MASK = (1 << 33) - 1
-STRATEGY_CONF = "carecheck.rowindex.strategy"
-SAMPLE_PER_BUCKET = 20
-SAMPLE_SEED = 20241203
+from carecheck.session import shared_table
 
-
-def _strategy(df: DataFrame) -> str:
-    return df.sparkSession.conf.get(STRATEGY_CONF, "buckets")
+TIE = "__tie_h"
+PIECE = 4096
 
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-TIE = "__tie_h"
-
-
-def with_tie(df: DataFrame) -> DataFrame:
-    """Append a deterministic row hash used as the last ordering key: equal
-    ``order_by`` values (a non-unique or hot key) are then split over buckets
-    and ordered deterministically."""
-    if TIE in df.columns:
-        return df
-    return df.withColumn(TIE, F.xxhash64(*[F.col(_q(c)) for c in df.columns]))
-
-
-def key_buckets(df: DataFrame, keys: list[str], n: int) -> Column:
-    """A deterministic bucket id in ``[0, n)`` that is monotone in the order of
-    ``keys`` (NULLs first, NaN last, as Spark sorts)."""
-    key = F.struct(*[F.col(_q(k)).alias(f"k{i}") for i, k in enumerate(keys)])
-    if n <= 1:
-        return F.lit(0)
-    # bounded, deterministic sample: the SAMPLE_PER_BUCKET x n keys with the
-    # smallest key hash (a distributed top-k, one job), then sorted by Spark
-    sample = (df.select(key.alias("__k"), F.xxhash64(key, F.lit(SAMPLE_SEED)).alias("__h"))
-              .orderBy("__h").limit(SAMPLE_PER_BUCKET * n)
-              .orderBy(*[F.col(f"__k.k{i}") for i in range(len(keys))])
-              .select(F.to_json("__k").alias("j")).collect())
-    if len(sample) < 2:
-        return F.lit(0)
-    stype = df.select(key.alias("__k")).schema["__k"].dataType
-    picks = [sample[int(i * len(sample) / n)]["j"] for i in range(1, n)]
-    bounds = []
-    for j in picks:
-        if not bounds or bounds[-1] != j:
-            bounds.append(j)
-    lits = [F.from_json(F.lit(j), stype) for j in bounds]
-
-    def build(lo: int, hi: int) -> Column:  # bucket in [lo, hi] given bounds[lo-1] <= key < bounds[hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lits[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
+def _cols(names) -> list[Column]:
+    return [F.col(_q(c)) for c in names]
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(1, int(conf))
-
-
-MATERIALIZE_CONF = "carecheck.rowindex.materialize"
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the range-sorted copies kept for lazily returned results
-    (call after the results have been written or collected)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
-
-def range_sorted(df: DataFrame, keys: list[str | Column], num_partitions: int | None = None,
-                 materialize: str | None = None) -> DataFrame:
-    """Range-partitioned, partition-sorted copy of ``df`` with ``__pid``
-    (partition) and ``__local`` (position in partition), materialised once so
-    that every consumer sees the same partitioning.
-
-    ``materialize`` (default: session setting ``carecheck.rowindex.materialize``;
-    else ``checkpoint`` when the cluster names a shared ``spark.checkpoint.dir``,
-    ``persist`` otherwise): ``checkpoint`` writes the sorted rows to the shared
-    folder and cuts lineage, so a lost executor costs nothing to recompute;
-    ``persist`` keeps them in the block manager (memory, spilling to disk; a
-    lost block is recomputed from the same shuffle dependency, hence the same
-    range bounds)."""
-    n = _partitions(df, num_partitions)
-    cols = [F.col(c) if isinstance(c, str) else c for c in keys]
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_MASK))))
-    from carecheck.session import cluster_checkpoint_dir
-    default = "checkpoint" if cluster_checkpoint_dir(df.sparkSession) else "persist"
-    mode = materialize or df.sparkSession.conf.get(MATERIALIZE_CONF, default)
-    if mode == "checkpoint":
-        from carecheck.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        return ranged.checkpoint(eager=True)
-    kept = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(kept)
-    return kept
-
-
-def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "row_index",
+    return n or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def weighted_ranges(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
+    """The distinct rows of ``df`` with ``__w`` (copies), the tie-breaking hash and ``__p``, a partition
+    number that increases in the order of ``keys`` and the hash; a written table."""
+    tied = df.withColumn(TIE, F.xxhash64(*_cols(df.columns)))
+    once = tied.groupBy(*_cols(tied.columns)).agg(F.count(F.lit(1)).alias("__w"))
+    return shared_table(once.repartitionByRange(_partitions(df, num_partitions), *_cols(keys), F.col(TIE))
+                        .withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def expanded(df: DataFrame) -> DataFrame:
+    """Every weighted row as often as it counts, ``__j`` numbering its copies from 0.  Only rows heavier
+    than a piece are moved to other tasks first."""
+    first = F.lit(0).cast("long")
+    heavy = df.where(F.col("__w") > PIECE).withColumn("__from", F.explode(F.sequence(first, F.col("__w") - 1, F.lit(PIECE).cast("long"))))
+    pieces = df.where(F.col("__w") <= PIECE).withColumn("__from", first).unionByName(heavy.repartition(_partitions(df, None)))
+    last = F.least(F.col("__from") + PIECE, F.col("__w")) - 1
+    return pieces.withColumn("__j", F.explode(F.sequence("__from", last))).drop("__from", "__w")
+
+
+def _local(keys: list[str], extra: tuple = ()):
+    return (Window.partitionBy("__p", *_cols(extra)).orderBy(*_cols(keys), F.col(TIE))
+            .rowsBetween(Window.unboundedPreceding, -1))
+
+
+def prefix_sums(ranges: DataFrame, sums: dict[str, Column], keys: list[str], group: str | None = None) -> DataFrame:
+    """Adds each name of ``sums``: the sum of its expression over all rows before, in the order of ``keys``
+    (within ``group``)."""
+    by = (group,) if group else ()
+    part = ranges.groupBy("__p", *_cols(by)).agg(*[F.sum(e).alias(f"__t{i}") for i, e in enumerate(sums.values())])
+    upto = Window.partitionBy(*_cols(by)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(F.col("__p").alias("__op"), *[F.col(_q(g)).alias("__og") for g in by],
+                          *[F.coalesce(F.sum(f"__t{i}").over(upto), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))])
+    here = ranges.withColumns({f"__s{i}": F.coalesce(F.sum(e).over(_local(keys, by)), F.lit(0)) for i, e in enumerate(sums.values())})
+    on = F.col("__p") == F.col("__op")
+    if group:
+        on = on & F.col(_q(group)).eqNullSafe(F.col("__og"))
+    out = here.join(offsets, on)
+    out = out.withColumns({name: F.col(f"__o{i}") + F.col(f"__s{i}") for i, name in enumerate(sums)})
+    return out.drop("__op", "__og", *[f"__{x}{i}" for x in "os" for i in range(len(sums))])
+
+
+def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
-    if _strategy(df) == "buckets" and all(isinstance(c, str) for c in order_by):
-        n = _partitions(df, num_partitions)
-        tied = with_tie(df)
-        keys = list(order_by) + [TIE]
-        data = tied.withColumn("__b", key_buckets(tied, keys, n))
-        counts = data.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
-        offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(
-            Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-        w = Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in keys])
-        out = data.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(offsets), "__b", "left")
-        return out.withColumn(name, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off", TIE)
-    ranged = range_sorted(df, order_by, num_partitions)
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    # one row per partition: a window over n rows is cheap and bounded
-    offsets = counts.select(
-        "__pid",
-        (F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__off"))
-    out = ranged.join(F.broadcast(offsets), "__pid", "left")
-    return (out.withColumn(name, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local"))
-            .drop("__pid", "__local", "__off"))
+    """``df`` with the 0-based position of each row in the given order."""
+    ranges = weighted_ranges(df, order_by, num_partitions)
+    out = expanded(prefix_sums(ranges, {name: F.col("__w")}, order_by))
+    return out.withColumn(name, F.col(_q(name)) + F.col("__j")).drop("__p", "__j", TIE)
 
 
 def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x",
                   num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row within ``group`` by ``order`` (unique per
-    group), without a per-group window: a group holding a third of all rows is
-    still split over many buckets."""
-    if _strategy(df) == "buckets":
-        n = _partitions(df, num_partitions)
-        tied = with_tie(df)
-        order = list(order) + [TIE]
-        data = tied.withColumn("__b", key_buckets(tied, [group] + order, n))
-        stats = data.groupBy("__b", group).agg(F.count(F.lit(1)).alias("__cnt"))
-        wg = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(wg), F.lit(0))).drop("__cnt")
-        w = Window.partitionBy("__b", group).orderBy(*[F.col(_q(c)) for c in order])
-        left = data.withColumn("__rn", F.row_number().over(w)).alias("__d")
-        right = F.broadcast(stats.select(F.col("__b").alias("__sb"), F.col(_q(group)).alias("__sg"), "__off"))
-        # null-safe on the group: a NULL group is a group too
-        out = left.join(right, (F.col("__b") == F.col("__sb")) & F.col(f"__d.{_q(group)}").eqNullSafe(F.col("__sg")),
-                        "left")
-        return (out.withColumn(name, F.col("__off") + F.col("__rn") - 1)
-                .drop("__b", "__rn", "__off", "__sb", "__sg", TIE))
-    ranged = range_sorted(df, [group] + list(order), num_partitions)
-    stats = ranged.groupBy("__pid", group).agg(F.count(F.lit(1)).alias("__cnt"),
-                                               F.min("__local").alias("__first"))
-    w = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-    return (ranged.join(F.broadcast(stats), ["__pid", group])
-            .withColumn(name, F.col("__off") + F.col("__local") - F.col("__first"))
-            .drop("__pid", "__local", "__cnt", "__first", "__off"))
+    """0-based position of each row within ``group`` by ``order``; a group of any size spreads over many
+    partitions.  A null group is a group too."""
+    keys = [group, *order]
+    ranges = weighted_ranges(df, keys, num_partitions)
+    out = expanded(prefix_sums(ranges, {name: F.col("__w")}, keys, group))
+    return out.withColumn(name, F.col(_q(name)) + F.col("__j")).drop("__p", "__j", TIE)

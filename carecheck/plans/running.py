@@ -1,71 +1,20 @@
-"""Running (cumulative) sums in a global order without a single-partition window.
-
-1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)``;
-2. per-partition totals (one row per partition) -> exclusive prefix sums,
-   broadcast back as offsets;
-3. the in-partition running sum is computed by ``mapInPandas`` over the
-   partition's Arrow batches, carrying the running total across batches.
-
-``order`` must be unique (end with a key) so positions are deterministic and
-a lost task recomputes the same values.
-"""
+"""Running (cumulative) sums in a global order without a single-partition window
+(see ``plans.rowindex`` for how the order is dealt out)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from carecheck.plans.rowindex import range_sorted
+from carecheck.plans.rowindex import TIE, expanded, prefix_sums, weighted_ranges
 
 
 def running_sums(df: DataFrame, order_by: list[str], measures: dict[str, Column],
                  num_partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``{prefix}{name}`` = inclusive running sum of each measure (double)."""
-    from carecheck.plans.rowindex import TIE, _q, _strategy, key_buckets, with_tie
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    names = list(measures)
-    base = df.withColumns({f"__v{i}": F.coalesce(measures[k].cast("double"), F.lit(0.0))
-                           for i, k in enumerate(names)})
-    if _strategy(df) == "buckets":
-        # deterministic buckets + a JVM window per bucket, no Python
-        tied = with_tie(base)
-        keys = list(order_by) + [TIE]
-        data = tied.withColumn("__b", key_buckets(tied, keys, n))
-        totals = data.groupBy("__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
-        wo = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
-        offsets = totals.select("__b", *[F.coalesce(F.sum(f"__t{i}").over(wo), F.lit(0.0)).alias(f"__o{i}")
-                                         for i in range(len(names))])
-        w = (Window.partitionBy("__b").orderBy(*[F.col(_q(c)) for c in keys])
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        local = data.withColumns({f"__l{i}": F.sum(f"__v{i}").over(w) for i in range(len(names))})
-        res = local.join(F.broadcast(offsets), "__b", "left").withColumns(
-            {f"{prefix}{nm}": F.col(f"__o{i}") + F.col(f"__l{i}") for i, nm in enumerate(names)})
-        return res.drop("__b", TIE, *[f"__{p}{i}" for i in range(len(names)) for p in ("v", "o", "l")])
-    ranged = range_sorted(base, order_by, n).drop("__local")
-    totals = ranged.groupBy("__pid").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over #partitions rows only
-    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t{i}").over(w), F.lit(0.0)).alias(f"__o{i}")
-                                       for i in range(len(names))])
-
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField(f"__l{i}", T.DoubleType())
-                                                      for i in range(len(names))])
-    k = len(names)
-
-    def local_cumsum(batches):
-        run = [0.0] * k
-        for pdf in batches:
-            for i in range(k):
-                c = pdf[f"__v{i}"].astype("float64").cumsum() + run[i]
-                if len(c):
-                    run[i] = float(c.iloc[-1])
-                pdf[f"__l{i}"] = c
-            yield pdf
-
-    local = ranged.mapInPandas(local_cumsum, out_schema)
-    res = local.join(F.broadcast(offsets), "__pid", "left")
-    res = res.withColumns({f"{prefix}{name}": F.coalesce(F.col(f"__o{i}"), F.lit(0.0)) + F.col(f"__l{i}")
-                           for i, name in enumerate(names)})
-    drop = ["__pid"] + [f"__{p}{i}" for i in range(k) for p in ("v", "o", "l")]
-    return res.drop(*drop)
+    values = {f"__v{i}": F.coalesce(m.cast("double"), F.lit(0.0)) for i, m in enumerate(measures.values())}
+    ranges = weighted_ranges(df.withColumns(values), order_by, num_partitions)
+    sums = {f"{prefix}{name}": F.col(f"__v{i}") * F.col("__w") for i, name in enumerate(measures)}
+    out = expanded(prefix_sums(ranges, sums, order_by))
+    out = out.withColumns({name: F.col(name) + F.col(f"__v{i}") * (F.col("__j") + 1) for i, name in enumerate(sums)})
+    return out.drop("__p", "__j", TIE, *values)

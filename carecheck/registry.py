@@ -1349,16 +1349,13 @@ def q_bench_summary(spark, d):
        "SELECT n.chunk, n.p_name, s.p_size, 'part' AS source FROM n LEFT JOIN s ON n.chunk = s.chunk AND n.i = s.i")
 def q_ragged(spark, d):
     p = _t(spark, d, "part")
-    # bounded payloads: at most 10 rows per chunk
+    # one payload of at most 10 rows per chunk, one array a column
     payload = p.groupBy(F.floor(F.col("p_partkey") / 10).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("__n"),
         F.array_sort(F.collect_list(F.when(F.col("p_size") > 25, F.struct("p_partkey", "p_size")))).alias("__s"))
     payload = payload.select("chunk", F.transform("__n", lambda x: x["p_name"]).alias("p_name"),
                              F.transform("__s", lambda x: x["p_size"]).alias("p_size"), F.lit("part").alias("source"))
-    rows = payload.select("chunk", F.inline(F.arrays_zip(
-        F.col("p_name").alias("p_name"), F.col("p_size").alias("p_size"),
-        F.array_repeat(F.col("source"), F.size("p_name")).alias("source"))))
-    return rows
+    return S.from_columns(payload, ["p_name", "p_size"], ["chunk", "source"]).select("chunk", "p_name", "p_size", "source")
 
 
 _EXTS = ", ".join(sq(e) for e in P.ALLOWED_EXTENSIONS)
@@ -1385,9 +1382,9 @@ def q_files(spark, d):
        "UNION ALL SELECT 8, '  - Warnings: ' || w FROM c UNION ALL SELECT 9, '  - Info: ' || f FROM c "
        "UNION ALL SELECT 10, '' UNION ALL SELECT 11, 'Issues Found:' FROM c WHERE t > 0 "
        "UNION ALL SELECT 12, repeat('-', 20) FROM c WHERE t > 0 "
-       "UNION ALL SELECT 100 + 3 * k, (k + 1) || '. [' || upper(severity) || '] ' || message FROM n "
-       "UNION ALL SELECT 101 + 3 * k, '   Location: Column: ' || column_name FROM n WHERE column_name IS NOT NULL "
-       "UNION ALL SELECT 102 + 3 * k, '' FROM n)")
+       "UNION ALL SELECT 100 + 4 * k, (k + 1) || '. [' || upper(severity) || '] ' || message FROM n "
+       "UNION ALL SELECT 101 + 4 * k, '   Location: Column: ' || column_name FROM n WHERE column_name IS NOT NULL "
+       "UNION ALL SELECT 103 + 4 * k, '' FROM n)")
 def q_report(spark, d):
     iss = _quality_issues(spark, d)
     return S.report_lines(iss, V.severity_counts(iss))
@@ -1418,19 +1415,58 @@ def q_batch_issues(spark, d):
         "batch_num", "check_id", "n_affected")
 
 
-@query("changed_batches")
+@query("changed_batches",
+       "SELECT CAST((k - 1) // 1000 AS BIGINT) AS batch_num, count(*) AS n_rows FROM (SELECT o_orderkey, "
+       "row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1 HAVING count_if(o_orderkey % 5000 = 0) > 0")
 def q_changed(spark, d):
-    """Rows-only check: batches of orders whose content changed against a
-    stored fingerprint table (here: the same orders with every 5000th price
-    perturbed)."""
+    """Batches of orders whose content changed against the stored fingerprints (of the same orders with every
+    5000th price changed)."""
     o = _t(spark, d, "orders")
-    cur = V.batch_fingerprints(o, ["o_orderkey"], 1000, "rules-v1")
+    rules = [R.DataQualityChecker()]
+    cur = V.batch_fingerprints(o, ["o_orderkey"], 1000, rules)
     old = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5000 == 0, F.col("o_totalprice") + 1)
                        .otherwise(F.col("o_totalprice")))
-    stored = V.batch_fingerprints(old, ["o_orderkey"], 1000, "rules-v1")
+    stored = V.batch_fingerprints(old, ["o_orderkey"], 1000, rules)
     return V.changed_batches(cur, stored).select("batch_num", "n_rows")
 
 
+@query("revalidated_batches",
+       "SELECT batch_num, 'missing:o_orderpriority' AS check_id, n AS n_affected FROM (SELECT batch_num, "
+       "count_if(o_orderpriority IS NULL) AS n FROM (SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 "
+       f"AS BIGINT) AS batch_num, o_orderpriority FROM {_sql_derive('orders', _ORD_NULLS)}) GROUP BY batch_num) "
+       "WHERE n > 0")
+def q_revalidated(spark, d):
+    """Batches that changed since the stored run are validated again, the others' issues are read back."""
+    df = _derive(spark, d, "orders", _ORD_NULLS)
+    old = df.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5000 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")))
+    rules = [R.DataQualityChecker()]
+    issues, _ = V.batch_validate(old, rules, ["o_orderkey"], 1000)
+    stored = V.batch_fingerprints(old, ["o_orderkey"], 1000, rules)
+    return V.revalidate(df, rules, ["o_orderkey"], 1000, stored, issues)[0].select("batch_num", "check_id", "n_affected")
+
+
+@query("user_rule_batches",
+       "SELECT CAST((k - 1) // 1000 AS BIGINT) AS batch_num, 'custom:urgent' AS check_id, count(*) AS n_affected FROM (SELECT "
+       "o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+def q_user_batches(spark, d):
+    """A user's function, each batch by itself."""
+    def by_batch(df):
+        return (df.where("o_orderpriority = '1-URGENT'").groupBy("batch_num").agg(F.count(F.lit(1)).alias("n_affected")))
+
+    rule = R.CustomValidator(lambda df: by_batch(df.withColumn("batch_num", F.lit(0))), "urgent", by_batch=by_batch)
+    return V.batch_validate(_t(spark, d, "orders"), [rule], ["o_orderkey"], 1000)[0].select("batch_num", "check_id", "n_affected")
+
+
+@query("failing_rule",
+       "SELECT check_id, severity, n_affected FROM (SELECT 'custom:big' AS check_id, 'error' AS severity, "
+       "count_if(o_totalprice > 100000) AS n_affected FROM orders UNION ALL SELECT 'failed:bad', 'error', NULL) "
+       "WHERE n_affected IS NULL OR n_affected > 0")
+def q_failing(spark, d):
+    """V10d/V12: a predicate that fails while it runs becomes an issue; the other rules report."""
+    rules = [R.RowCheck("big", "o_totalprice > 100000"), R.RowCheck("bad", "cast(o_orderpriority as int) > 1")]
+    return V.validate(_t(spark, d, "orders"), rules).issues.select("check_id", "severity", "n_affected")
+
+
 # ==========================================================================
 # Validation profiles applied to derived tables
 # ==========================================================================

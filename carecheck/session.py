@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,53 +34,26 @@ def get_spark(master: str | None = None, app: str = "carecheck", shuffle_partiti
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-OWN_CHECKPOINT_CONF = "carecheck.checkpoint.local"
-
-
-def cluster_checkpoint_dir(spark: SparkSession) -> bool:
-    """True when ``spark.checkpoint.dir`` was named by the cluster (shared
-    storage), False when we created a local scratch folder (tests)."""
-    ensure_checkpoint_dir(spark)
-    return spark.conf.get(OWN_CHECKPOINT_CONF, "false") != "true"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    On a cluster the setting points at shared storage and is only read here.
-    When it is unset (local tests) a fresh scratch folder is created.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, which every
+    executor and the driver share.  Only a local session, whose executor is the
+    driver, may leave it unset: it then gets a scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="carecheck-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="carecheck-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.conf.set(OWN_CHECKPOINT_CONF, "true")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """Location for an intermediate table that cuts lineage (shared folder)."""
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
-
+    return d.rstrip("/")
 
-def spread(df):
-    """Give CPU-heavy per-row work (regex over text, many checks) at least the
-    default parallelism.
 
-    An input read as fewer partitions than the cluster has cores (a few small
-    files, a single parquet row group) is round-robin repartitioned before the
-    work; an input that already has enough partitions -- every large input --
-    is returned unchanged, so no shuffle is added at scale."""
-    if df.isStreaming:
-        return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: fixes its rows and
+    partition columns for all later steps, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    plain = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if f.dataType.typeName() == "void"})
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)

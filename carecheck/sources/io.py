@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +11,15 @@ FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet"}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None,
-               infer_schema: bool = True) -> DataFrame:
-    """Read CSV (header, inferred types), JSON (records array or JSON
-    lines) or Parquet by suffix; unknown suffix -> ValueError.  A missing path
-    raises Spark's AnalysisException at read time."""
+               infer_schema: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """Read CSV (header, inferred types), JSON or Parquet by suffix;
+    unknown suffix -> ValueError.  A missing path raises Spark's
+    AnalysisException at read time.
+
+    JSON lines are read line by line (splittable).  A single document -- an
+    array of records, or one object of columns (see ``from_columns``) -- needs
+    ``multi_line``; left open, it is taken where the first line is not an
+    object of its own (one line is read to tell)."""
     if fmt is None:
         base = path.rstrip("/").split("/")[-1]
         ext = base.rsplit(".", 1)[-1].lower() if "." in base else ""
@@ -29,14 +32,29 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
     if fmt == "csv":
         return r.option("header", True).option("inferSchema", infer_schema and schema is None).csv(path)
     if fmt == "json":
-        return r.option("multiLine", True).json(path)
+        if multi_line is None:
+            multi_line = _one_document(spark, path)
+        out = r.option("multiLine", multi_line).json(path)
+        arrays = [f.name for f in out.schema.fields if f.dataType.typeName() == "array"]
+        # one object that only holds arrays is a column-oriented payload
+        return from_columns(out, arrays) if multi_line and arrays and len(arrays) == len(out.columns) and schema is None else out
     if fmt == "parquet":
         return r.parquet(path)
     raise ValueError("Unsupported file format")
 
 
-def read_tables(spark: SparkSession, directory: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(os.path.join(directory, f"{n}.parquet")) for n in names}
+def _one_document(spark: SparkSession, path: str) -> bool:
+    """Does the first line with text not hold a whole JSON object?"""
+    first = spark.read.text(path).where(F.length(F.btrim("value")) > 0).select(
+        F.btrim("value").startswith("{").alias("opens"), F.expr("try_parse_json(value) IS NOT NULL").alias("whole"),
+        F.expr("try_variant_get(try_parse_json(value), '$', 'map<string,variant>')").alias("object")).head(2)
+    if not first:
+        return False
+    if not (first[0]["opens"] and first[0]["whole"]):
+        return True
+    # a lone one-line object whose values are all arrays holds columns
+    values = list((first[0]["object"] or {}).values())
+    return len(first) == 1 and bool(values) and all(isinstance(v.toPython(), list) for v in values)
 
 
 def from_records(spark: SparkSession, json_lines: DataFrame, schema: str) -> DataFrame:
@@ -104,7 +122,7 @@ def result_document(issues: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("total_issues"), F.count_if(s == "error").alias("error_count"),
             F.count_if(s == "warning").alias("warning_count"), F.count_if(s == "info").alias("info_count"),
             F.collect_list(F.struct("severity", "message", F.col("column_name").alias("column"),
-                                    F.col("rule_name"))).alias("issues"))).alias("json"))
+                                    F.col("rule_name"), "row", "value")).alias("issues"))).alias("json"))
 
 
 def write_issues(issues: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -120,13 +138,16 @@ def report_lines(issues: DataFrame, counts: DataFrame, order_by: list[str] | Non
     order_by = order_by or ["severity", "check_id"]
     from carecheck.plans.rowindex import with_row_index
     numbered = with_row_index(issues, order_by, "__i")
-    base = F.col("__i") * 3 + 100
-    loc = F.when(F.col("column_name").isNotNull(), F.concat(F.lit("   Location: Column: "), "column_name"))
+    base = F.col("__i") * 4 + 100
+    place = F.concat(F.coalesce(F.concat(F.lit("Column: "), "column_name"), F.lit("")),
+                     F.coalesce(F.concat(F.lit(", Row: "), F.col("row").cast("string")), F.lit("")))
+    loc = F.when(place != "", F.concat(F.lit("   Location: "), place))
     body = numbered.select(F.inline(F.array(
         F.struct(base.alias("line_no"),
                  F.format_string("%d. [%s] %s", F.col("__i") + 1, F.upper("severity"), F.col("message")).alias("line")),
         F.struct((base + 1).alias("line_no"), loc.alias("line")),
-        F.struct((base + 2).alias("line_no"), F.lit("").alias("line"))))).where(F.col("line").isNotNull())
+        F.struct((base + 2).alias("line_no"), F.concat(F.lit("   Value: "), "value").alias("line")),
+        F.struct((base + 3).alias("line_no"), F.lit("").alias("line"))))).where(F.col("line").isNotNull())
     fixed = [P.REPORT_TITLE, P.REPORT_RULE, f"Timestamp: {timestamp}"]
     heads = [F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(fixed)]
     status = F.concat(F.lit("Overall Status: "), F.when(F.col("is_valid"), P.REPORT_VALID).otherwise(P.REPORT_INVALID))

@@ -26,7 +26,7 @@ def test_exact_quantiles_with_hot_value(spark):
     # a value holding most rows still splits over range partitions and ranks stay exact
     data = [(float(v),) for v in [7] * 300 + list(range(100))]
     df = spark.createDataFrame(data, "v double")
-    q = {r["prob"]: r["value"] for r in rows(quantiles(df, ["v"], [0.1, 0.5, 0.9], num_partitions=8))}
+    q = {r["prob"]: r["value"] for r in rows(quantiles(df, ["v"], [0.1, 0.5, 0.9]))}
     import numpy as np
     arr = np.array([d[0] for d in data])
     assert q == {p: float(np.quantile(arr, p)) for p in (0.1, 0.5, 0.9)}
@@ -84,16 +84,34 @@ def test_mixed_types(spark):
     assert abs(rows(A.consistency(df))[0]["consistency"] - 0.5) < 1e-12
 
 
-def test_refined_quantiles_large_with_hot_value(spark):
+def test_exact_quantiles_beyond_the_sketch_with_a_hot_value(spark):
+    # more values than the sketch keeps exactly; one value in a third of all rows
     import numpy as np
-    from carecheck.plans.quantiles import refined_quantiles
     rng = np.random.default_rng(7)
-    xs = np.concatenate([np.full(7000, 42.0), rng.normal(40, 15, 13000).round(3)])
+    xs = np.concatenate([np.full(70_000, 42.0), rng.normal(40, 15, 130_000).round(6), [np.inf, -np.inf]])  # numpy has no quantile at an infinite end
     df = spark.createDataFrame([(float(x),) for x in xs], "v double").repartition(6)
-    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
-    got = {r["prob"]: r["value"] for r in rows(refined_quantiles(df, ["v"], probs, band_limit=200, accuracy=500))}
+    probs = [0.01, 0.25, 0.4999, 0.5, 0.75, 0.99]
+    got = {r["prob"]: r["value"] for r in rows(quantiles(df, ["v"], probs))}
     for p in probs:
-        assert abs(got[p] - float(np.quantile(xs, p))) < 1e-9
+        want = float(np.quantile(xs, p))
+        assert got[p] == want or abs(got[p] - want) < 1e-9
+
+
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch):
+    from carecheck.plans import quantiles as Q
+    monkeypatch.setattr(Q, "MARGINS", (0.5, 1.0))
+    monkeypatch.setattr(Q, "ACCURACY", 3)  # a sketch too coarse for its margin
+    df = spark.createDataFrame([(float(x * x),) for x in range(500)], "v double").repartition(3)
+    got = {r["prob"]: r["value"] for r in rows(Q.quantiles(df, ["v"], [0.1, 0.5]))}
+    assert got == {0.1: 49.9 * 49.9 + 0.09, 0.5: 249.5 * 249.5 + 0.25} or all(
+        abs(got[p] - v) < 1e-6 for p, v in ((0.1, 2401 + 0.9 * 99), (0.5, 249 ** 2 + 0.5 * 499)))
+
+
+def test_trend_puts_rows_without_a_time_last(spark):
+    base = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None, 100.0)] + [(base + timedelta(days=i), float(i)) for i in (1, 2, 3)], "ts timestamp, y double")
+    t = rows(A.trends(df))[0]
+    assert (round(t["slope"], 6), t["trend"]) == (29.8, "increasing")
 
 
 def test_categorical_summary_approx(spark):

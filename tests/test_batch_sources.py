@@ -90,14 +90,47 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_row_index_checkpoint_mode(spark):
-    spark.conf.set("carecheck.rowindex.materialize", "checkpoint")
-    try:
-        df = spark.range(0, 300).selectExpr("id * 13 % 300 AS k")
-        idx = sorted((r["k"], r["i"]) for r in rows(with_row_index(df, ["k"], "i", num_partitions=5)))
-        assert [i for _, i in idx] == list(range(300))
-    finally:
-        spark.conf.unset("carecheck.rowindex.materialize")
+def test_equal_rows_do_not_cancel_in_fingerprints(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x")], "k long, v string")
+    b = spark.createDataFrame([(2, "y"), (2, "y")], "k long, v string")
+    old = V.batch_fingerprints(a, ["k"], 2, "r")
+    assert V.changed_batches(V.batch_fingerprints(b, ["k"], 2, "r"), old).count() == 1
+    assert V.changed_batches(V.batch_fingerprints(a, ["k"], 2, "r"), old).count() == 0
+    one, two = [R.RowCheck("a", "k > 1")], [R.RowCheck("a", "k > 2")]
+    assert V.ruleset_hash(one) == V.ruleset_hash([R.RowCheck("a", "k > 1")]) != V.ruleset_hash(two)
+
+
+def test_user_rules_see_their_own_batch_and_fail_alone(spark):
+    df = spark.createDataFrame([(i, "b" if i == 1 else "a") for i in range(6)], "k long, s string")
+
+    def fn(x):
+        return x.where("s = 'b'").selectExpr("'odd' AS message", "k AS row", "s AS value")
+
+    seen = []
+    issues, batches = V.batch_validate(df, [R.CustomValidator(fn, "odd"), R.RowCheck("bad", "cast(s as int) > 1"),
+                                            R.RowCheck("late", "k > 4")], ["k"], 2, progress=lambda *x: seen.append(x))
+    got = sorted((r["batch_num"], r["check_id"], r["row"], r["value"]) for r in rows(issues))
+    assert got == [(0, "custom:odd", 1, "b"), (0, "failed:bad", None, None), (1, "failed:bad", None, None),
+                   (2, "custom:late", None, None), (2, "failed:bad", None, None)]
+    assert [r["end_row"] for r in sorted(rows(batches), key=lambda r: r["batch_num"])] == [2, 4, 6]
+    assert [x[1:] for x in seen] == [(1, 3), (2, 3), (3, 3)]
+    r = V.validate(df, [R.RowCheck("late", "k > 4"), R.RowCheck("bad", "cast(s as int) > 1"), R.DataQualityChecker()],
+                   [R.CustomValidator(lambda x: 1 / 0, "broken"), R.CustomValidator(fn, "odd")])
+    assert sorted(x["check_id"] for x in rows(r.issues)) == ["custom:late", "custom:odd", "failed:bad", "failed:broken"]
+    lines = [x["line"] for x in sorted(rows(S.report_lines(r.issues, r.counts())), key=lambda x: x["line_no"])]
+    assert "   Value: b" in lines and "   Location: , Row: 1" in lines
+
+
+def test_json_forms(spark, tmp_path):
+    forms = {"lines": '{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n{"a": 3, "b": null}\n',
+             "array": '[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"},\n {"a": 3, "b": null}]',
+             "columns": '{"a": [1, 2, 3], "b": ["x", "y", null]}',
+             "spread": '{\n "a": [1, 2, 3],\n "b": ["x", "y"]\n}'}
+    for name, text in forms.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(text)
+        got = sorted((r["a"], r["b"]) for r in rows(S.read_table(spark, str(path))))
+        assert got == [(1, "x"), (2, "y"), (3, None)], name
 
 
 def test_batch_code_samples_per_batch(spark):

@@ -115,15 +115,6 @@ def test_command_line_entry(spark, tmp_path):
     assert main(["profile", str(src), "--as-of", "2024-01-01 00:00:00", "--out", str(tmp_path / "p")]) == 0
 
 
-def test_spread_only_touches_small_inputs(spark):
-    from carecheck.session import spread
-    n = spark.sparkContext.defaultParallelism
-    small = spark.range(10).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == n
-    big = spark.range(1000).repartition(n * 2)
-    assert spread(big) is big  # enough partitions: no extra shuffle
-
-
 def test_fused_validation_scans_once(spark):
     import re
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
