@@ -223,7 +223,6 @@ SAFE_HARBOR_CATEGORIES = [
 REDACTED = "[REDACTED]"
 
 # Date formats tried by the year generaliser (A4), in order (Java pattern letters).
-GENERALIZE_DATE_FORMATS = ["y-M-d", "M/d/y", "d/M/y", "y/M/d"]
 
 # Plain-text audit (U1): patterns, penalty, pass mark and fixed advice.
 AUDIT_PATTERNS = [
@@ -309,16 +308,6 @@ HISTORY_LENGTH = 100
 #   type  -> arg1 expected type;  code -> arg1 code type
 #   range -> arg1 min, arg2 max;  date -> arg1 min date, arg2 max date
 # --------------------------------------------------------------------------
-PROFILE_DESCRIPTIONS = {
-    "clinical_trials": ("Clinical Trials", "Comprehensive validation for clinical trial datasets"),
-    "ehr": ("Electronic Health Records", "Validation for EHR/EMR datasets"),
-    "imaging": ("Medical Imaging", "Validation for medical imaging metadata"),
-    "lab": ("Laboratory Data", "Validation for laboratory test results"),
-    "covid19": ("covid19", "COVID-19 data validation profile"),
-    "ehr_real": ("ehr", "Electronic Health Records validation profile"),
-    "heart_disease": ("heart_disease", "Heart disease dataset validation profile"),
-}
-
 PROFILE_RULES = [
     ("clinical_trials", "required", "subject_id", None, None),
     ("clinical_trials", "required", "visit_date", None, None),

@@ -15,7 +15,7 @@ holds the Structured Streaming twins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecheck.functions import patterns as P
@@ -45,9 +45,10 @@ def metric_samples(run_log: DataFrame) -> DataFrame:
     return s.withColumn("status", metric_status(F.col("metric"), F.col("value")))
 
 
-def run_stats(run_log: DataFrame) -> DataFrame:
-    """M1 (final): totals, success rate, mean processing time, last time."""
-    return run_log.agg(
+def run_stats(run_log: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """M1 (final): totals, success rate, mean processing time, last time; with ``alerts`` (and their flags, see
+    ``apply_actions``) also how many are still active."""
+    out = run_log.agg(
         F.count(F.lit(1)).alias("total_validations"),
         F.count_if(F.col("is_valid")).alias("successful_validations"),
         F.count_if(~F.col("is_valid")).alias("failed_validations"),
@@ -55,6 +56,9 @@ def run_stats(run_log: DataFrame) -> DataFrame:
         F.max("ts").alias("last_validation_time")).select(
         "*", (F.col("successful_validations") / F.greatest(F.lit(1), F.col("total_validations")))
         .alias("success_rate"))
+    if alerts is None:
+        return out
+    return out.withColumn("active_alerts", alerts.agg(F.count_if(~F.col("resolved"))).scalar())
 
 
 def running_stats(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -137,12 +141,14 @@ def degradation_alerts(run_log: DataFrame, num_partitions: int | None = None) ->
                      F.lit("previous_value"), F.col("prev_value").cast("string"))))
 
 
-def history(run_log: DataFrame, keep: int = P.HISTORY_LENGTH, num_partitions: int | None = None) -> DataFrame:
-    """M3: the last ``keep`` samples per metric."""
-    s = _positioned_samples(run_log, num_partitions)
-    n = s.groupBy("metric").agg(F.count(F.lit(1)).alias("__n"))  # one row per metric
-    return (s.join(F.broadcast(n), "metric").where(F.col("pos") >= F.col("__n") - keep)
-            .select("metric", "run_id", "ts", "value", "status", "pos"))
+def history(run_log: DataFrame, keep: int = P.HISTORY_LENGTH) -> DataFrame:
+    """M3: the last ``keep`` samples per metric with their positions: a top-k per metric, limited in each
+    task before the shuffle, and one count per metric."""
+    s = metric_samples(run_log)
+    w = Window.partitionBy("metric").orderBy(F.col("ts").desc(), F.col("run_id").desc())
+    last = s.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= keep)
+    n = s.groupBy("metric").agg(F.count(F.lit(1)).alias("__n"))
+    return (last.join(n, "metric").select("metric", "run_id", "ts", "value", "status", (F.col("__n") - F.col("__k")).alias("pos")))
 
 
 def inactivity_alerts(run_log: DataFrame, num_partitions: int | None = None,
@@ -212,7 +218,7 @@ def quality_trends(run_log: DataFrame, metric: str, as_of: str, hours: int = 24)
                    & (F.col("ts").cast("timestamp") <= F.to_timestamp(F.lit(as_of))))
 
 
-def perf_stats(run_log: DataFrame, last: int = 10, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def perf_stats(run_log: DataFrame, last: int = 10) -> tuple[DataFrame, DataFrame]:
     """``(stats, last_times)``; empty log -> stats row with ``error`` set."""
     st = run_log.agg(
         F.count(F.lit(1)).alias("total_validations"), F.avg("duration_s").alias("average_time"),
@@ -221,17 +227,18 @@ def perf_stats(run_log: DataFrame, last: int = 10, num_partitions: int | None =
         F.try_divide(F.sum("n_rows").cast("double"), F.sum("duration_s")).alias("average_rows_per_second"))
     st = st.withColumn("error", F.when(F.col("total_validations") == 0,
                                        F.lit("No performance data available")))
-    idx = with_row_index(run_log.select("run_id", "ts", "duration_s"), ["ts", "run_id"], "pos", num_partitions)
+    newest = [F.col("ts").desc(), F.col("run_id").desc()]
     n = run_log.agg(F.count(F.lit(1))).scalar()
-    tail = idx.where(F.col("pos") >= n - last).select("run_id", "ts", "duration_s", "pos")
-    return st, tail
+    tail = run_log.select("run_id", "ts", "duration_s").orderBy(*newest).limit(last)
+    back = F.row_number().over(Window.orderBy(*newest))  # over ``last`` rows
+    return st, tail.withColumn("pos", n - back)
 
 
-def benchmark_summary(runs: DataFrame) -> DataFrame:
-    """``runs(dataset, size, rules, seconds, ok)`` -> per dataset stats over
+def benchmark_summary(runs: DataFrame, by: str = "dataset") -> DataFrame:
+    """``runs(dataset, size, rules, seconds, ok)`` -> per dataset (or ``by`` size or rules) statistics over
     successful runs and the success rate."""
     okv = F.when(F.col("ok"), F.col("seconds"))
-    return runs.groupBy("dataset").agg(
+    return runs.groupBy(by).agg(
         F.avg(okv).alias("mean_time"), F.coalesce(F.stddev_samp(okv), F.lit(0.0)).alias("std_time"),
         F.min(okv).alias("min_time"), F.max(okv).alias("max_time"),
         F.avg(F.col("ok").cast("double")).alias("success_rate"), F.count(F.lit(1)).alias("runs"))

@@ -96,6 +96,11 @@ def profile_rules(name: str, catalog: DataFrame | None = None) -> list[Rule] | N
     return compile_profile_rows(rows) if rows else None
 
 
+def registered_profiles() -> list[str]:
+    """The names the registry answers for (the other profiles belong to the real-data benchmarks)."""
+    return list(P.REGISTRY_PROFILES)
+
+
 def register_profile(catalog: DataFrame, name: str, rows: list[tuple]) -> DataFrame:
     """V16 ``register_profile``: append rule rows for a new profile."""
     spark = catalog.sparkSession

@@ -1339,6 +1339,35 @@ def q_bench_summary(spark, d):
                     "runs")
 
 
+_BY_SIZE = ("round(avg(CASE WHEN ok THEN seconds END), 6) AS mean_time, round(avg(CAST(ok AS DOUBLE)), 6) AS success_rate, "
+            "count(*) AS runs")
+
+
+def _bench_by(spark, d, by):
+    b = M.benchmark_summary(_derive(spark, d, "events", BENCH_RUNS + ["props AS rules"]), by)
+    return b.select(by, _r("mean_time").alias("mean_time"), _r("success_rate").alias("success_rate"), "runs")
+
+
+@query("benchmark_by_size", f"SELECT size, {_BY_SIZE} FROM {_sql_derive('events', BENCH_RUNS)} GROUP BY size")
+def q_bench_size(spark, d):
+    return _bench_by(spark, d, "size")
+
+
+@query("benchmark_by_rules", f"SELECT rules, {_BY_SIZE} FROM {_sql_derive('events', BENCH_RUNS + ['props AS rules'])} GROUP BY rules")
+def q_bench_rules(spark, d):
+    return _bench_by(spark, d, "rules")
+
+
+@query("active_alert_count",
+       "SELECT count(*) AS total_validations, (SELECT count(*) FROM (SELECT run_id FROM (SELECT run_id, max(n_issues) AS n FROM "
+       f"{_RL} GROUP BY run_id) WHERE n > 10)) AS active_alerts FROM (SELECT DISTINCT run_id FROM {_RL})")
+def q_active_count(spark, d):
+    log = run_log(spark, d)
+    alerts = M.issue_volume_alerts(log)
+    none = alerts.select("alert_id", "ts", F.lit("acknowledge").alias("action"))
+    return M.run_stats(log, M.apply_actions(alerts, none)).select("total_validations", "active_alerts")
+
+
 # ==========================================================================
 # Sources S6/S7, sinks K3, batch validation V18/V19
 # ==========================================================================
