@@ -34,6 +34,7 @@ import mmap
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ ORDER = 2
 MIN_COUNT = 2
 LAMBDA = 0.6
 ADD = 0.1
-BLOCK_CHARS = 4_000_000
-RANGE_CHARS = 4_000_000  # of text per hash range
+BLOCK_CHARS = 8_000_000
+RANGE_CHARS = 8_000_000  # of text per hash range
 GRID = 4096              # quantisation steps per unit of -log10 p
 END, BEGIN = U(0x1D872B41F2F1A3C5), U(0x9B97F7D1A65D3C11)
 
@@ -178,13 +179,14 @@ class Grams:
         return c
 
 
-def _pack(keys: np.ndarray, planes: int) -> bytes:
-    """Sorted hashes as byte planes, the most significant ``planes`` bytes (the top ones compress to nothing)."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T[:planes]).tobytes()
+def _pack(values: np.ndarray, planes: int = 8) -> bytes:
+    """The most significant ``planes`` bytes of 64-bit numbers, byte plane by byte plane, compressed: sorted
+    hashes share their top planes, small counts have empty ones."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T[:planes]))
 
 
-def _unpack(raw: bytes, planes: int) -> np.ndarray:
-    m = np.frombuffer(raw, np.uint8).reshape(planes, -1)
+def _unpack(raw: bytes, planes: int = 8) -> np.ndarray:
+    m = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(planes, -1)
     full = np.zeros((m.shape[1], 8), np.uint8)
     full[:, :planes] = m.T
     return full.view(">u8").ravel().astype(np.uint64)
@@ -207,9 +209,9 @@ def _asks(docs: DataFrame, ranges: int, order: int) -> DataFrame:
         rows = []
         for n in range(order):
             by = np.argsort(g.keys[n], kind="stable") if n == 0 else slice(None)
-            keys, counts = g.keys[n][by], g.counts(n, train)[by].astype("<u4")
+            keys, counts = g.keys[n][by], g.counts(n, train)[by]
             cut = np.concatenate(([0], np.searchsorted(keys, _bounds(ranges)), [len(keys)]))
-            rows += [(r, block, n, _pack(keys[a:b], _planes(n)), counts[a:b].tobytes())
+            rows += [(r, block, n, _pack(keys[a:b], _planes(n)), _pack(counts[a:b]))
                      for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "block", "n", "keys", "counts"])
@@ -230,7 +232,7 @@ def _answers(asks: DataFrame) -> DataFrame:
         for n in np.unique(order):
             at = np.flatnonzero(order == n)
             keys = [_unpack(table.column("keys")[int(i)].as_py(), _planes(n)) for i in at]
-            counts = [np.frombuffer(table.column("counts")[int(i)].as_py(), "<u4") for i in at]
+            counts = [_unpack(table.column("counts")[int(i)].as_py()) for i in at]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
             if n == 0:
@@ -238,7 +240,7 @@ def _answers(asks: DataFrame) -> DataFrame:
                 out.append((None, r, 0, None, int(total[word].sum()), int((total[word] > 0).sum())))
             answer = np.where(total < MIN_COUNT, 0, total) if n else total
             cut = np.cumsum([len(k) for k in keys])[:-1]
-            out += [(int(block[i]), r, int(n), c.astype("<i8").tobytes(), None, None)
+            out += [(int(block[i]), r, int(n), _pack(c), None, None)
                     for i, c in zip(at, np.split(answer[place], cut))]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))],
@@ -323,7 +325,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: i
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("n", "ascending"), ("range", "ascending")])
         which = np.array(right.column("n"))
-        counts = [np.concatenate([np.frombuffer(right.column("counts")[int(i)].as_py(), "<i8") for i in np.flatnonzero(which == k)])
+        counts = [np.concatenate([_unpack(right.column("counts")[int(i)].as_py()) for i in np.flatnonzero(which == k)]).astype(np.int64)
                   for k in range(order)]
         size, known, base, score = score_block(left.column("text").to_pylist(), counts, tokens, words, order)
         return pa.Table.from_arrays([
