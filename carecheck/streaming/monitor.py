@@ -140,9 +140,11 @@ def _source(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
 
 def source_stream(stream: DataFrame) -> DataFrame:
     """M5 (running failure rate per source) and M8 (event-time inactivity).
-    Needs a watermark on ``ts`` (see ``with_event_time``)."""
-    s = stream if "source" in stream.columns else stream.withColumn("source", F.lit("default"))
-    return s.select("source", "run_id", "ts", "is_valid").groupBy("source").applyInPandasWithState(
+    Needs a watermark on ``ts`` (see ``with_event_time``) and a ``source``
+    column: one key for the whole stream would be one task."""
+    if "source" not in stream.columns:
+        raise ValueError("the run log needs a source column")
+    return stream.select("source", "run_id", "ts", "is_valid").groupBy("source").applyInPandasWithState(
         _source, ALERT_SCHEMA, _SRC_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -165,23 +167,31 @@ def alert_callback(fn: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 # --------------------------------------------------------------------------
 def validate_stream(stream: DataFrame, rules: list, run_log_path: str, issues_path: str,
                     checkpoint_location: str, trigger: dict | None = None, compliance: bool = False):
-    """Validate every micro-batch of ``stream`` with ``rules``; append its
-    issues (with ``run_id``) to ``issues_path`` and one run-log row to
-    ``run_log_path`` (parquet).  ``run_id`` is the epoch id, so a re-executed
-    epoch after a failure is recognisable and deduplicated by readers
-    (``read_run_log``).  Returns the started ``StreamingQuery``."""
+    """Validate every micro-batch of ``stream`` with ``rules``; write its
+    issues below ``issues_path`` and one run-log row below ``run_log_path``
+    (parquet).  A run's id is a digest of the stream's checkpoint location and
+    the epoch, and its files lie in a folder of that name that is overwritten:
+    a replayed epoch replaces its own records, and several streams (or a stream
+    with a new checkpoint) can write to one path.  The batch is validated once,
+    the run log counts the written issues.  Returns the started
+    ``StreamingQuery``."""
+    import hashlib
     import time as _time
 
     from carecheck.operators.compliance import compliance_report
-    from carecheck.operators.validate import run_record, validate
+    from carecheck.operators.validate import ValidationResult, run_record, validate
+
+    name = hashlib.sha256(checkpoint_location.encode()).hexdigest()[:12]
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         t0 = _time.time()
-        res = validate(batch, rules)
-        issues = res.issues.withColumn("run_id", F.lit(str(epoch_id)))
-        issues.write.mode("append").parquet(issues_path)
+        run_id = f"{name}-{epoch_id}"
+        issues = validate(batch, rules).issues
+        where = f"{issues_path}/run_id={run_id}"
+        issues.write.mode("overwrite").parquet(where)
+        res = ValidationResult(batch, batch.sparkSession.read.schema(issues.schema).parquet(where))
         rep = compliance_report(batch) if compliance else None
-        run_record(res, str(epoch_id), _time.time() - t0, rep).write.mode("append").parquet(run_log_path)
+        run_record(res, run_id, _time.time() - t0, rep).write.mode("overwrite").parquet(f"{run_log_path}/run={run_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(**trigger) if trigger else w.trigger(availableNow=True)
@@ -189,12 +199,8 @@ def validate_stream(stream: DataFrame, rules: list, run_log_path: str, issues_pa
 
 
 def read_run_log(spark, run_log_path: str) -> DataFrame:
-    """The run log written by ``validate_stream``, one row per run id (a replayed
-    epoch keeps its latest record)."""
-    from pyspark.sql import Window
-    df = spark.read.parquet(run_log_path)
-    w = Window.partitionBy("run_id").orderBy(F.col("ts").desc())
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The run log written by ``validate_stream``, one row per run."""
+    return spark.read.parquet(run_log_path).drop("run")
 
 
 # --------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Streaming monitors driven by Trigger.AvailableNow over a split run log,
 compared with their batch twins."""
 import os
+import shutil
 import tempfile
 from datetime import datetime, timedelta
 
@@ -50,7 +51,7 @@ def test_source_stream_failure_rate_and_inactivity(spark):
     recs = [(0, False, 0, {}), (1, True, 0, {}), (2, True, 0, {}), (3, True, 0, {}),
             (200, True, 0, {}), (400, True, 0, {})]
     df, d = _write_split(spark, recs, 3)
-    out = rows(_run(spark, SM.source_stream(SM.with_event_time(_stream(spark, d), "1 minute")), "src_stream"))
+    out = rows(_run(spark, SM.source_stream(SM.with_event_time(_stream(spark, d).selectExpr("*", "'a' AS source"), "1 minute")), "src_stream"))
     fr = sorted(r["alert_id"] for r in out if r["alert_id"].startswith("anomaly_detected"))
     assert fr == sorted(r["alert_id"] for r in rows(M.failure_rate_alerts(df)))
     gaps = sorted(r["alert_id"] for r in out if r["alert_type"] == "system_error")
@@ -92,6 +93,14 @@ def test_validate_stream_feeds_run_log(spark):
     assert all(r["is_valid"] is True and r["n_issues"] == 1 for r in runs)  # 50 % missing: a warning
     assert all("compliance_score" in r["metrics"] for r in runs)
     assert M.run_stats(SM.read_run_log(spark, os.path.join(out, "runs"))).first()["total_validations"] == 3
+    # a second stream on the same paths keeps its own runs; a replayed epoch replaces its records
+    for _ in range(2):
+        SM.validate_stream(src, [R.DataQualityChecker()], os.path.join(out, "runs"), os.path.join(out, "issues"),
+                           os.path.join(out, "ck2")).awaitTermination(180)
+        ids = [r["run_id"] for r in rows(SM.read_run_log(spark, os.path.join(out, "runs")))]
+        assert len(ids) == len(set(ids)) == 6
+        assert spark.read.parquet(os.path.join(out, "issues")).count() == 6
+        shutil.rmtree(os.path.join(out, "ck2"))
 
 
 def test_history_stream_matches_batch(spark):
