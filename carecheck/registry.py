@@ -402,23 +402,38 @@ def q_missing_summary(spark, d):
                     F.array_join("columns_with_missing", ",").alias("columns_with_missing"))
 
 
+def _repeated(df: DataFrame, condition: str) -> DataFrame:
+    """Every row, those that meet the condition twice."""
+    return df.withColumn("__k", F.explode(F.when(F.expr(condition), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("__k")
+
+
+def _sql_repeated(table: str, condition: str) -> str:
+    return f"(SELECT * FROM {table} UNION ALL SELECT * FROM {table} WHERE {condition})"
+
+
+_EVN2 = _sql_repeated(_EVN, "user_id > 50")
+
+
 @query("validation_summary",
-       "SELECT count(*) AS total_rows, 7 AS total_columns, CAST(0 AS BIGINT) AS duplicate_rows, CAST("
-       + " + ".join(f"count_if({c} IS NULL)" for c in _EV_COLS) + f" AS BIGINT) AS total_missing FROM {_EVN}")
+       f"SELECT count(*) AS total_rows, {len(_EV_COLS)} AS total_columns, "
+       f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_EVN2})) AS duplicate_rows, CAST("
+       + " + ".join(f"count_if({c} IS NULL)" for c in _EV_COLS) + f" AS BIGINT) AS total_missing FROM {_EVN2}")
 def q_summary(spark, d):
-    s = V.summarize(_events_nulls(spark, d))
+    s = V.summarize(_repeated(_events_nulls(spark, d), "user_id > 50"))
     return s.select("total_rows", "total_columns", "duplicate_rows",
                     F.aggregate(F.map_values("missing_values"), F.lit(0).cast("long"),
                                 lambda a, x: a + x).alias("total_missing"))
 
 
 # ---- V6 duplicates ----------------------------------------------------------
+_DOCS2 = _sql_repeated("documents", "n_chars % 3 = 0")
+
+
 @query("duplicate_rows",
        "SELECT 'duplicates' AS check_id, n AS n_affected, 'Found ' || n || ' duplicate rows' AS message FROM "
-       "(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS n FROM documents) "
-       "WHERE n > 0")
+       f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_DOCS2})) AS n FROM {_DOCS2}) WHERE n > 0")
 def q_dups(spark, d):
-    docs = _t(spark, d, "documents").select("text", "lang")
+    docs = _repeated(_t(spark, d, "documents"), "n_chars % 3 = 0")
     r = V.validate(docs, [R.DataQualityChecker(missing=False, empty=False)])
     return r.issues.select("check_id", "n_affected", "message")
 
@@ -604,21 +619,24 @@ def _violations_sql(table_sql: str, cols: list[str], rules: list[C.CustomRule] =
                          f"{sq(r.recommendation or P.DEFAULT_CUSTOM_RECOMMENDATION)} AS recommendation FROM {table_sql} "
                          f"HAVING coalesce(bool_or({rm(t, pat)}), false)")
     if builtin:
-        for row in C.fda_violation_rows(cols):
-            parts.append("SELECT " + ", ".join(f"{sq(v)} AS {k}" for v, k in zip(
-                row, ["standard", "rule_id", "severity", "field", "message", "recommendation"])))
+        names = "[" + ", ".join(sq(c) for c in cols) + "]"
+        for std, rid, sev, tokens, prefix, rec in P.FDA_CHECKS:  # required tokens that no column name holds
+            listed = "[" + ", ".join(sq(t) for t in tokens) + "]"
+            parts.append(f"SELECT {sq(std)} AS standard, {sq(rid)} AS rule_id, {sq(sev)} AS severity, 'system' AS field, "
+                         f"{sq(prefix)} || string_agg(tok, ', ' ORDER BY i) AS message, {sq(rec)} AS recommendation FROM "
+                         f"(SELECT unnest({listed}) AS tok, unnest(range({len(tokens)})) AS i) WHERE NOT EXISTS "
+                         f"(SELECT 1 FROM (SELECT unnest({names}) AS c) WHERE contains(lower(c), tok)) HAVING count(*) > 0")
     return "\nUNION ALL\n".join(parts)
 
 
 def _coding_sql(table_sql: str, cols: list[str]) -> dict[str, str]:
     out = {}
-    for std, cs in C.coding_columns(cols).items():
-        pat = "^(?:" + P.CODING_CHECKS[std][0] + ")"
-        if not cs:
-            out[std] = "0"
-        else:
-            out[std] = "(SELECT " + " + ".join(
-                f"count_if(NOT {rm(f'CAST({c} AS VARCHAR)', pat)})" for c in cs) + f" FROM {table_sql})"
+    for std, (pattern, keywords) in P.CODING_CHECKS.items():
+        pat = "^(?:" + pattern + ")"
+        named = " OR ".join(f"contains(lower({{c}}), {sq(k)})" for k in keywords)
+        out[std] = "(SELECT " + " + ".join(
+            f"CASE WHEN {named.format(c=sq(c))} THEN count_if(NOT {rm(f'CAST({c} AS VARCHAR)', pat)}) ELSE 0 END" for c in cols
+        ) + f" FROM {table_sql})"
     return out
 
 
