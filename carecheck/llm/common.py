@@ -79,7 +79,8 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
 
 
 def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among those of ``bitmap``."""
+    """Rows of ``df`` whose key may be among those of ``bitmap``.  (Follow it with an inner join: a semi join
+    would be planned below it.)"""
     pos = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
     d = df.withColumn("_bw", F.floor(pos / 64).cast("int")).withColumn("_bb", F.pmod(pos, F.lit(64)).cast("int"))
     return (d.join(F.broadcast(bits), "_bw")
@@ -87,6 +88,20 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
             .drop("_bw", "_bb", "_bits"))
 
 
+BLOCK = 256  # ids of one representative compared with each other at a time
+
+
+def blocked(apart: DataFrame, contents: DataFrame) -> DataFrame:
+    """``rep, p, q, block, id, root, ...``: the ids that share a representative, with their ``contents(id, ...)``,
+    dealt so that every two blocks of ``BLOCK`` ids meet once as group (rep, p, q).  Ids with a common
+    signature share its representative."""
+    rows = stored(apart.select("rep", "id", "root").distinct(), "by-rep")
+    blocks = rows.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    d = (rows.join(blocks, "rep").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+         .join(contents, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return d.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "blocks")
+
+
 # ---------------------------------------------------------------- components
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` over any orderable
@@ -126,30 +141,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
 
 
-def grouped_links(rows: DataFrame, verify, edges: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None,
+                  same: DataFrame | None = None) -> DataFrame:
     """Components ``(node, root)`` of the links that ``verify(pairs)`` confirms among ids with a common
     signature; rows: ``sig, id``; ``edges(a, b)``: links known beforehand.
 
     Each group is first linked to its smallest id, so a group whose members belong together costs one pair
     a member.  Members that this leaves in different components are then compared with each other across
-    components (sets of sizes that cannot link, by ``sizes(id, least, most)``, are not): no link is lost."""
+    components, so no link is lost: ``cross(apart)`` gives at least all such pairs that link, from
+    ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
+    is compared."""
     by_sig = W.partitionBy("sig")
     groups = stored(rows.withColumn("rep", F.min("id").over(by_sig)).withColumn("members", F.count(F.lit(1)).over(by_sig))
                     .filter("members > 1"), "groups")
-    stars = stored(groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    known = verify(stars)
-    comps = stored(components(known if edges is None else known.unionByName(edges)), "components")
-    apart = (groups.filter("members > 2").select("sig", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-             .withColumn("root", F.coalesce("root", "id"))
+    stars = groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    if same is not None:
+        stars = (stars.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").filter("x <> y")
+                 .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    stars = stored(stars, "stars")
+    first = verify(stars)
+    comps = stored(components(first if edges is None else first.unionByName(edges)), "components")
+    apart = groups.filter("members > 2").select("sig", "rep", "id")
+    if same is not None:
+        apart = apart.join(same, "id").select("sig", "rep", F.col("same").alias("id")).distinct()
+    apart = (apart.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
-             .filter("low <> high").select("sig", "id", "root").distinct())
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
-    if sizes is not None:
-        apart = apart.join(sizes, "id")
-        on = on & (5 * F.col("x.most") >= 4 * F.col("y.least")) & (5 * F.col("y.most") >= 4 * F.col("x.least"))
-    apart = stored(apart, "apart")
-    rest = (apart.alias("x").join(apart.alias("y"), on)
-            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
+             .filter("low <> high").drop("low", "high"))
+    rest = cross(stored(apart, "apart")).join(stars, ["a", "b"], "left_anti")
     more = verify(stored(rest, "rest"))
     return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

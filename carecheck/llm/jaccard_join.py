@@ -21,8 +21,11 @@ no link is lost whatever the frequent set is: it affects cost only.
 
 Sets with a common signature are linked to the group's smallest document
 first; only members that remain in different components are compared with
-each other.  Each comparison is exact over the two 64-bit hashed sets.
-Identical sets of one batch are signed once, others meet through their digest.
+each other, one document for all of identical sets: block by block, by histograms
+of the sets' hashes (an eighth of the sets' size), which bound intersections
+from above.  Pairs that pass, few besides the links, are compared exactly over
+the two 64-bit hashed sets.  Identical sets of one batch are signed once,
+others meet through their digest.
 
 Cases: null or blank text has no shingles and links with nothing; rows of a
 repeated doc_id are one document; rows with a null doc_id link with nothing
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import bitmap, grouped_links, maybe_in, stored
+from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
 from carecheck.llm.shingles import mix, shingle_set, word_hashes
 
 U = np.uint64
@@ -176,29 +179,118 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, set binary")
 
 
-def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets link, by the exact comparison."""
+def histogram(values: np.ndarray) -> bytes:
+    """How many of a sorted set's hashes fall into each of equal ranges, about as many as it has; none where one
+    byte is too small."""
+    slots = 1 << max(4, len(values).bit_length())
+    cut = np.searchsorted(values, np.arange(slots, dtype=np.uint64) * U((1 << 64) // slots))
+    counts = np.diff(np.append(cut, len(values)))
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def histograms(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, histogram``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, h = zip(*((i, len(s), histogram(s)) for i, s in _sets(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())],
+                                             names=["doc_id", "n", "histogram"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, histogram binary")
+
+
+def may_link(m: int, n: int, x: bytes, y: bytes) -> bool:
+    """False only if sets of these sizes and histograms cannot link."""
+    if 5 * min(m, n) < 4 * max(m, n):
+        return False
+    if not x or not y:
+        return True
+    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(p) < len(q):
+        p, q = q, p
+    if len(p) > len(q):  # ranges of the finer one fall into those of the coarser
+        p = p.reshape(len(q), -1).sum(axis=1)
+    return 9 * int(np.minimum(p, q).sum()) >= 4 * (m + n)
+
+
+def do_link(x: bytes, y: bytes) -> bool:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if not len(p) or not len(q):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return 9 * int(np.count_nonzero(q[at] == p)) >= 4 * (len(p) + len(q))
+
+
+def _survivors(rows: list[tuple], p: int, q: int) -> Iterator[tuple[int, int]]:
+    """Pairs of blocks p and q (rows: block, id, root, n, histogram) with different roots that may link."""
+    left, right = [r for r in rows if r[0] == p], [r for r in rows if r[0] == q]
+    slots = sorted({len(r[4]) for r in rows if r[4]})
+    folded = {}
+    for k in slots:  # sizes within 0.8 have as many slots, or twice as many
+        same = [r for r in right if len(r[4]) in (k, 2 * k)]
+        if same:
+            folded[k] = same, np.array([np.frombuffer(r[4], np.uint8).astype(np.int32).reshape(k, -1).sum(axis=1) for r in same])
+    for _, i, root, n, h in left:
+        if not h:
+            yield from ((i, j) for _, j, other, m, _ in right if other != root and i != j and may_link(n, m, b"", b""))
+            continue
+        own = np.frombuffer(h, np.uint8).astype(np.int32)
+        yield from ((i, j) for _, j, other, m, g in right if not g and other != root and may_link(n, m, b"", b""))
+        for k in (len(own), len(own) // 2):
+            if k not in folded:
+                continue
+            others, matrix = folded[k]
+            common = np.minimum(own.reshape(k, -1).sum(axis=1), matrix).sum(axis=1)
+            for (_, j, other, m, g), c in zip(others, common):
+                if other != root and (k == len(own) or len(g) == k) and 5 * min(m, n) >= 4 * max(m, n) and 9 * c >= 4 * (m + n):
+                    yield i, j
+
+
+def crossing(apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs with a common signature and different roots that may link.  Documents with a common
+    signature share its representative, so they are compared by representative: block by block, without a row for a pair that cannot link."""
+    ids = apart.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    d = blocked(apart, histograms(_among(docs, ids)).withColumnRenamed("doc_id", "id"))
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "id", "root", "n", "histogram"))))
+        found = {(max(i, j), min(i, j)) for i, j in _survivors(rows, p, q)}
+        a, b = zip(*found) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return d.groupBy("rep", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that occur in the pairs."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    some = maybe_in(docs, "doc_id", bitmap(ids, "doc_id")).join(ids, "doc_id", "left_semi")
-    sets = shingle_sets(some)
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y"))
+    return maybe_in(docs, "doc_id", bitmap(ids, "doc_id")).join(ids, "doc_id")
 
+
+def _both(pairs: DataFrame, of: DataFrame, names: list[str]) -> DataFrame:
+    """The pairs with their two documents' columns, x_ and y_."""
+    side = lambda key, mark: of.select(F.col("doc_id").alias(key), *[F.col(c).alias(mark + c) for c in names])
+    return (pairs.join(side("a", "x_"), "a").join(side("b", "y_"), "b")
+            .select("a", "b", *[mark + c for c in names for mark in ("x_", "y_")]))
+
+
+def _passing(both: DataFrame, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n, common = len(p) + len(q), 0
-                if 5 * min(len(p), len(q)) >= 4 * max(len(p), len(q)):
-                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    common = int(np.count_nonzero(q[at] == p))
-                keep.append(9 * common >= 4 * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [test(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets link: bounded by the histograms first, then compared."""
+    near = _both(pairs, histograms(_among(docs, pairs)), ["n", "histogram"])
+    near = stored(_passing(near, may_link), "near")
+    return _passing(_both(near, shingle_sets(_among(docs, near)), ["set"]), do_link)
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     d = _texts(docs, text, key)
@@ -207,8 +299,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     named = info.filter("doc_id is not null and digest is not null")
     same = (named.join(named.groupBy("digest").agg(F.min("doc_id").alias("b")), "digest")
             .filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
-    sizes = named.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("same"))
+    known = (named.join(firsts, "digest").groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+             .select(F.col("doc_id").alias("id"),  # a repeated doc_id may hold several sets: it stays itself
+                     F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("doc_id")).alias("same")))
     final = grouped_links(signed(d, frequent(first)).withColumnRenamed("doc_id", "id"),
-                          lambda pairs: stored(linked(pairs, d), "links"), same, sizes.withColumnRenamed("doc_id", "id"))
+                          lambda pairs: stored(linked(pairs, d), "links"), lambda apart: crossing(apart, d), same, known)
     return (info.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))

@@ -4,7 +4,7 @@ import re
 
 import cases
 
-from carecheck.llm import jaccard_join, language_id, line_dedup
+from carecheck.llm import common, jaccard_join, language_id, line_dedup
 from carecheck.llm.common import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -54,6 +54,7 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch):
     for least in (16, 2, 1):  # whatever counts as frequent, the links are the same
         monkeypatch.setattr(jaccard_join, "HOT_LEAST", least)
         monkeypatch.setattr(jaccard_join, "BATCH_HOT", min(3, least))
+        monkeypatch.setattr(common, "BLOCK", 5 if least < 16 else 256)  # several blocks, or one
         for rows in (near_copies(), [r for r in cases.ROWS if r[0] is not None]):
             sets = {r[0]: word_shingles(r[1]) for r in rows}
             want = roots(sets, lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
@@ -94,6 +95,42 @@ def test_line_dedup_equals_all_pairs(spark, small):
         assert left.get(i, "") == (rest if i in left else "") and (i in left or not rest.strip())
 
 
+def test_lines_of_one_family_on_both_sides_of_the_threshold(spark, monkeypatch):
+    # variants of one line, some too far from the smallest to link with it but near each other
+    monkeypatch.setattr(common, "BLOCK", 4)
+    words = [f"word{i:03d}x" for i in range(60)]
+    lines = []
+    for k in range(24):
+        w = list(words)
+        for e in range(k % 12):
+            w[(5 * e + 7 * (k // 12)) % 60] = f"edit{k // 12}{e:02d}z"
+        lines.append(" ".join(w) + f" end{k:02d}")
+    docs = cases.docs(spark, [(i, x, None, None, None) for i, x in enumerate(lines)])
+    sets = [line_shingles(x) for x in lines]
+    want = roots(range(24), lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    got = {r.doc_id for r in line_dedup.line_dedup(docs).collect() if r.n_dropped}
+    assert got == {i for i in range(24) if want[i] != i}
+
+
+def test_histograms_never_rule_out_a_link():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(5, 600), dtype=np.uint64) * np.uint64(2))
+        sets, rows = [], []
+        for i in range(12):
+            kept = base[rng.random(len(base)) < rng.choice([0.98, 0.9, 0.8])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, len(base) // 6 + 1), dtype=np.uint64)])))
+            rows.append((i % 2, i, i, len(sets[i]), jaccard_join.histogram(sets[i]) if i % 5 else b""))
+        for p, q in ((0, 1), (0, 0), (1, 1)):
+            got = {frozenset(x) for x in jaccard_join._survivors(rows, p, q)}
+            for i in range(p, 12, 2):
+                for j in range(q, 12, 2):
+                    may = jaccard_join.may_link(len(sets[i]), len(sets[j]), rows[i][4], rows[j][4])
+                    assert i == j or (frozenset((i, j)) in got) == may
+                    assert may or not jaccard_join.do_link(sets[i].tobytes(), sets[j].tobytes())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
