@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import bitmap, grouped_links, maybe_in, stored
+from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
 
 SHINGLE_CHARS = 12
 ROWS, BANDS = 4, 10
@@ -52,7 +52,7 @@ def _distinct_lines(docs: DataFrame, text: str, some: DataFrame | None = None) -
     lines = docs.select(F.explode(_lines(F.col(text))).alias("line")).filter(_has_word(F.col("line")))
     lines = lines.select(F.unhex(F.md5("line")).alias("id"), "line")
     if some is not None:
-        lines = maybe_in(lines, "id", bitmap(some, "id")).join(some, "id", "left_semi")
+        lines = maybe_in(lines, "id", bitmap(some, "id")).join(some, "id")
     return lines.dropDuplicates(["id"])
 
 
@@ -65,13 +65,36 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
     return low.select(F.explode(F.array(*keys)).alias("sig"), "id")
 
 
+def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """``id, set`` of some lines: their shingles' hashes."""
+    ids = stored(ids.distinct(), "line-candidates")
+    return _distinct_lines(docs, text, ids).select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set"))
+
+
+def _link(x: Column, y: Column) -> Column:
+    """Is the Jaccard similarity of two sets 0.8 or more?  Sizes rule most out."""
+    m, n = F.size(x), F.size(y)
+    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (9 * F.size(F.array_intersect(x, y)) >= 4 * (m + n))
+
+
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Those of ``pairs(a, b)`` whose lines' shingle sets have a Jaccard similarity of 0.8 or more."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-candidates")
-    sets = _distinct_lines(docs, text, ids).select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set"))
+    """Those of ``pairs(a, b)`` whose lines link."""
+    sets = _sets(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"))
-    return stored(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "line-links")
+    return stored(both.filter(_link(F.col("x"), F.col("y"))).select("a", "b"), "line-links")
+
+
+def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(a, b)``: lines of different roots with a common band that link.  Two blocks of lines (512 at most) are
+    compared inside one row, so pairs that do not link make no rows."""
+    d = blocked(apart, _sets(docs, text, apart.select("id")))
+    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "id", "root", "set")).alias("l"))
+    left, right = F.filter("l", lambda x: x["block"] == F.col("p")), F.filter("l", lambda y: y["block"] == F.col("q"))
+    found = F.flatten(F.transform(left, lambda x: F.transform(
+        F.filter(F.col("right"), lambda y: (x["root"] != y["root"]) & _link(x["set"], y["set"])),
+        lambda y: F.struct(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")))))
+    return near.withColumn("right", right).select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -81,7 +104,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> t
         _lines(F.col(text)), lambda x: F.when(_has_word(x), F.unhex(F.md5(x)))).alias("lines")), "lines")
     occ = (rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.posexplode("lines").alias("no", "id"))
            .filter("id is not null"))
-    comps = grouped_links(bands(docs, text), lambda pairs: similar(pairs, docs, text))
+    comps = grouped_links(bands(docs, text), lambda pairs: similar(pairs, docs, text), lambda apart: crossing(apart, docs, text))
     first = occ.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"))
     roots = first.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keep = stored(roots.groupBy("root").agg(F.min("first").alias("keep")).join(roots.select("id", "root"), "root")
