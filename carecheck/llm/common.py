@@ -161,12 +161,15 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     stars = stored(stars, "stars")
     first = verify(stars)
     comps = stored(components(first if edges is None else first.unionByName(edges)), "components")
-    apart = groups.filter("members > 2").select("sig", "rep", "id")
-    if same is not None:
-        apart = apart.join(same, "id").select("sig", "rep", F.col("same").alias("id")).distinct()
-    apart = (apart.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    roots = comps.withColumnRenamed("node", "same")
+    if same is not None:  # small tables first, so that the groups' rows move once to find their root
+        roots = same.join(roots, "same", "left").select("id", "same", F.coalesce("root", "same").alias("root"))
+    else:
+        roots = roots.select(F.col("same").alias("id"), "same", "root")
+    apart = (groups.filter("members > 2").select("sig", "rep", "id").join(roots, "id", "left")
+             .select("sig", "rep", F.coalesce("same", "id").alias("id"), F.coalesce("root", "id").alias("root"))
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
-             .filter("low <> high").drop("low", "high"))
+             .filter("low <> high").select("sig", "rep", "id", "root").distinct())
     rest = cross(stored(apart, "apart")).join(stars, ["a", "b"], "left_anti")
     more = verify(stored(rest, "rest"))
     return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
