@@ -148,8 +148,8 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
 
     Each group is first linked to its smallest id, so a group whose members belong together costs one pair
     a member.  Members that this leaves in different components are then compared with each other across
-    components, so no link is lost: ``cross(apart)`` gives at least all such pairs that link, from
-    ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
+    components, so no link is lost: ``cross(apart)`` gives links (of ids or of roots) that join the same
+    components as all such links, from ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
     is compared."""
     by_sig = W.partitionBy("sig")
     groups = stored(rows.withColumn("rep", F.min("id").over(by_sig)).withColumn("members", F.count(F.lit(1)).over(by_sig))
@@ -170,6 +170,5 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
              .select("sig", "rep", F.coalesce("same", "id").alias("id"), F.coalesce("root", "id").alias("root"))
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
              .filter("low <> high").select("sig", "rep", "id", "root").distinct())
-    rest = cross(stored(apart, "apart")).join(stars, ["a", "b"], "left_anti")
-    more = verify(stored(rest, "rest"))
+    more = cross(stored(apart, "apart"))
     return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

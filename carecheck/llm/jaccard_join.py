@@ -304,6 +304,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
              .select(F.col("doc_id").alias("id"),  # a repeated doc_id may hold several sets: it stays itself
                      F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("doc_id")).alias("same")))
     final = grouped_links(signed(d, frequent(first)).withColumnRenamed("doc_id", "id"),
-                          lambda pairs: stored(linked(pairs, d), "links"), lambda apart: crossing(apart, d), same, known)
+                          lambda pairs: stored(linked(pairs, d), "links"),
+                          lambda apart: linked(stored(crossing(apart, d), "rest"), d), same, known)
     return (info.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))

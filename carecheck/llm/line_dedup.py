@@ -86,15 +86,21 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(a, b)``: lines of different roots with a common band that link.  Two blocks of lines (512 at most) are
-    compared inside one row, so pairs that do not link make no rows."""
+    """``(a, b)``: roots of lines that have a common band and link.  Two blocks of lines (512 at most) are
+    compared inside one row, which yields each pair of roots once: pairs of lines make no rows."""
     d = blocked(apart, _sets(docs, text, apart.select("id")))
-    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "id", "root", "set")).alias("l"))
-    left, right = F.filter("l", lambda x: x["block"] == F.col("p")), F.filter("l", lambda y: y["block"] == F.col("q"))
-    found = F.flatten(F.transform(left, lambda x: F.transform(
-        F.filter(F.col("right"), lambda y: (x["root"] != y["root"]) & _link(x["set"], y["set"])),
-        lambda y: F.struct(F.greatest(x["id"], y["id"]).alias("a"), F.least(x["id"], y["id"]).alias("b")))))
-    return near.withColumn("right", right).select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
+    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "root", "set")).alias("l"))
+    near = near.select("p", "q", F.filter("l", lambda x: x["block"] == F.col("p")).alias("left"),
+                       F.filter("l", lambda y: y["block"] == F.col("q")).alias("right"))
+
+    def links(x: Column) -> Column:  # within one block every two lines once
+        others = F.filter(F.col("right"), lambda y: ((x["root"] < y["root"]) | ((x["root"] > y["root"]) & (F.col("p") < F.col("q"))))
+                          & _link(x["set"], y["set"]))
+        return F.array_distinct(F.transform(others, lambda y: F.struct(F.greatest(x["root"], y["root"]).alias("a"),
+                                                                       F.least(x["root"], y["root"]).alias("b"))))
+
+    found = F.array_distinct(F.flatten(F.transform("left", links)))
+    return near.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
