@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in Spark SQL functions only.
 
-A line's shingles are the ``SHINGLE_CHARS`` characters from each word's start,
-lower-cased.  Distinct lines get one minimum per permutation (a hash of the
+A line's shingles are the ``SHINGLE_CHARS`` characters from every character
+position of the whole line, lower-cased (a shorter line is its one shingle).  Distinct lines get one minimum per permutation (a hash of the
 shingle, permuted by exclusive or with a constant; one aggregate per
 permutation over the exploded shingles, in the partitions the distinct lines
 already lie in), ``ROWS`` minima make a band.  Lines with a common band are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
 
-SHINGLE_CHARS = 12
+SHINGLE_CHARS = 5
 ROWS, BANDS = 4, 10
 NONE = -(1 << 63)  # stands for a null doc_id
 _MASKS = [((0x9E3779B97F4A7C15 * (k + 1)) ^ ((0x9E3779B97F4A7C15 * (k + 1)) >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) - (1 << 63)
@@ -43,8 +43,9 @@ def _has_word(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    start = r"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{0,%d}))" % (SHINGLE_CHARS - 1)
-    return F.regexp_extract_all(F.lower(line), F.lit(start), F.lit(1))
+    low = F.lower(line)
+    each = F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{%d}))." % SHINGLE_CHARS), F.lit(1))  # one code point on at a time
+    return F.when(F.length(low) < SHINGLE_CHARS, F.array(low)).otherwise(each)
 
 
 def _distinct_lines(docs: DataFrame, text: str, some: DataFrame | None = None) -> DataFrame:
