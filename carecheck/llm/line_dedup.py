@@ -2,7 +2,8 @@
 
 A line's shingles are the ``SHINGLE_CHARS`` characters from every character
 position of the whole line, lower-cased (a shorter line is its one shingle).  Distinct lines get one minimum per permutation (a hash of the
-shingle, permuted by exclusive or with a constant; one aggregate per
+shingle, taken apart by a constant of the permutation and hashed again, so that
+the minima do not depend on each other; one aggregate per
 permutation over the exploded shingles, in the partitions the distinct lines
 already lie in), ``ROWS`` minima make a band.  Lines with a common band are
 compared exactly (Jaccard similarity of their shingle sets of 0.8 or more),
@@ -57,19 +58,28 @@ def _distinct_lines(docs: DataFrame, text: str, some: DataFrame | None = None) -
     return lines.dropDuplicates(["id"])
 
 
+def minima(h: Column) -> list[Column]:
+    """The least value of each permutation of the hashes ``h``.  (Under the exclusive or alone the minima of a
+    small set would depend on each other.)"""
+    return [F.min(F.xxhash64(h.bitwiseXOR(F.lit(m)))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
+
+
 def bands(docs: DataFrame, text: str = "text") -> DataFrame:
     """``sig, id``: the bands of every distinct line."""
     each = _distinct_lines(docs, text).select("id", F.explode(shingles(F.col("line"))).alias("s"))
     h = each.select("id", F.xxhash64("s").alias("h"))
-    low = h.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)])
+    low = h.groupBy("id").agg(*minima(F.col("h")))
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return low.select(F.explode(F.array(*keys)).alias("sig"), "id")
 
 
-def _sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """``id, set`` of some lines: their shingles' hashes."""
-    ids = stored(ids.distinct(), "line-candidates")
-    return _distinct_lines(docs, text, ids).select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set"))
+def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """``id, line`` of some lines: the text moves, its set of hashes would take eight times the room."""
+    return _distinct_lines(docs, text, stored(ids.distinct(), "line-candidates"))
+
+
+def _set(line: Column) -> Column:
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
 
 
 def _link(x: Column, y: Column) -> Column:
@@ -80,27 +90,31 @@ def _link(x: Column, y: Column) -> Column:
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines link."""
-    sets = _sets(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"))
-    return stored(both.filter(_link(F.col("x"), F.col("y"))).select("a", "b"), "line-links")
+    lines = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    both = (pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+            .join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
+    sets = F.array(F.struct(_set(F.col("x")).alias("x"), _set(F.col("y")).alias("y")))  # each made once
+    return stored(both.filter(F.exists(sets, lambda p: _link(p["x"], p["y"]))).select("a", "b"), "line-links")
 
 
 def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``(a, b)``: roots of lines that have a common band and link.  Two blocks of lines (512 at most) are
     compared inside one row, which yields each pair of roots once: pairs of lines make no rows."""
-    d = blocked(apart, _sets(docs, text, apart.select("id")))
-    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "root", "set")).alias("l"))
-    near = near.select("p", "q", F.filter("l", lambda x: x["block"] == F.col("p")).alias("left"),
-                       F.filter("l", lambda y: y["block"] == F.col("q")).alias("right"))
+    d = blocked(apart, _texts(docs, text, apart.select("id")))
+    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "root", "line")).alias("l"))
+
+    def of(block: str) -> Column:
+        return F.transform(F.filter("l", lambda x: x["block"] == F.col(block)),
+                           lambda x: F.struct(x["root"].alias("root"), _set(x["line"]).alias("set")))
 
-    def links(x: Column) -> Column:  # within one block every two lines once
-        others = F.filter(F.col("right"), lambda y: ((x["root"] < y["root"]) | ((x["root"] > y["root"]) & (F.col("p") < F.col("q"))))
+    def links(x: Column, right: Column) -> Column:  # within one block every two lines once
+        others = F.filter(right, lambda y: ((x["root"] < y["root"]) | ((x["root"] > y["root"]) & (F.col("p") < F.col("q"))))
                           & _link(x["set"], y["set"]))
         return F.array_distinct(F.transform(others, lambda y: F.struct(F.greatest(x["root"], y["root"]).alias("a"),
                                                                        F.least(x["root"], y["root"]).alias("b"))))
 
-    found = F.array_distinct(F.flatten(F.transform("left", links)))
+    sides = F.array(F.struct(of("p").alias("left"), of("q").alias("right")))  # each made once
+    found = F.array_distinct(F.flatten(F.flatten(F.transform(sides, lambda s: F.transform(s["left"], lambda x: links(x, s["right"]))))))
     return near.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
 
 

@@ -1,6 +1,7 @@
 """Line dedup against all pairs, with shingles defined here: every 5 characters of the whole line."""
 
 import cases
+from pyspark.sql import functions as F
 from test_similarity import roots
 
 from carecheck.llm import common, line_dedup
@@ -52,3 +53,24 @@ def test_family_of_lines_around_the_threshold_in_several_blocks(spark, monkeypat
     sets = [whole_line_shingles(x) for x in lines]
     want = roots(range(24), lambda a, b: linked(sets[a], sets[b]))
     assert dropped(spark, lines) == {i for i in range(24) if want[i] != i}
+
+
+def test_measured_recall_of_short_lines_at_the_threshold(spark):
+    trials, rows = 2000, []
+    for size in (5, 10, 20, 60):  # of the union; a tenth of it is only on the left, a tenth only on the right
+        for t in range(trials):
+            one = size // 10
+            for i in range(size):
+                rows += [(size, t, side, f"{size}-{t}-{i}") for side in (0, 1)
+                         if not (i < one and side or one <= i < 2 * one and not side or size == 5 and i == 0 and side)]
+    shingles = spark.createDataFrame(rows, "size int, t int, side int, s string")
+    low = shingles.groupBy("size", "t", "side").agg(*line_dedup.minima(F.xxhash64("s")))
+    met: dict = {}
+    for r in low.collect():
+        met.setdefault((r[0], r[1]), []).append(r[3:])
+    n = line_dedup.ROWS
+    for size in (5, 10, 20, 60):
+        hits = sum(any(x[b * n:b * n + n] == y[b * n:b * n + n] for b in range(line_dedup.BANDS))
+                   for (k, _), (x, y) in met.items() if k == size)
+        print(size, hits / trials)
+        assert hits >= 0.99 * trials  # 0.995 expected of independent permutations
