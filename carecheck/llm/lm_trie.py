@@ -10,8 +10,8 @@ stays local, and no task or driver ever holds the corpus vocabulary.
 
 Model.  Tokens are lower-cased words and one end per document.  Interpolated:
 ``p(w|h) = L c(hw)/c(h) + (1 - L) p(w|shorter h)`` down to the additively
-smoothed unigram, n-grams of two or more words seen fewer than ``MIN_COUNT``
-times pruned.
+smoothed unigram.  No n-gram is pruned (``MIN_COUNT`` is 1), so that ``c(h)`` is
+the sum of ``c(hw)`` and each context's probabilities sum to 1.
 
 Trie.  For its own n-grams a block builds the levels of the global model: the
 entry (context, word) of a level is the number ``context * V + word``, context
@@ -42,8 +42,8 @@ from carecheck.llm.common import stored
 from carecheck.llm.shingles import mix, word_hashes
 
 U = np.uint64
-ORDER = 2
-MIN_COUNT = 2
+ORDER = 3
+MIN_COUNT = 1  # nothing is pruned: each context's probabilities sum to 1
 LAMBDA = 0.6
 ADD = 0.1
 BLOCK_CHARS = 8_000_000
@@ -179,21 +179,15 @@ class Grams:
         return c
 
 
-def _pack(values: np.ndarray, planes: int = 8) -> bytes:
-    """The most significant ``planes`` bytes of 64-bit numbers, byte plane by byte plane, compressed: sorted
-    hashes share their top planes, small counts have empty ones."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T[:planes]))
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, compressed: sorted hashes share their top planes, small counts
+    have empty ones."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T))
 
 
-def _unpack(raw: bytes, planes: int = 8) -> np.ndarray:
-    m = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(planes, -1)
-    full = np.zeros((m.shape[1], 8), np.uint8)
-    full[:, :planes] = m.T
-    return full.view(">u8").ravel().astype(np.uint64)
-
-
-def _planes(n: int) -> int:
-    return 8 if n == 0 else 6
+def _unpack(raw: bytes) -> np.ndarray:
+    m = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(m.T).view(">u8").ravel().astype(np.uint64)
 
 
 ASK = "range int, block int, n int, keys binary, counts binary"
@@ -211,7 +205,7 @@ def _asks(docs: DataFrame, ranges: int, order: int) -> DataFrame:
             by = np.argsort(g.keys[n], kind="stable") if n == 0 else slice(None)
             keys, counts = g.keys[n][by], g.counts(n, train)[by]
             cut = np.concatenate(([0], np.searchsorted(keys, _bounds(ranges)), [len(keys)]))
-            rows += [(r, block, n, _pack(keys[a:b], _planes(n)), _pack(counts[a:b]))
+            rows += [(r, block, n, _pack(keys[a:b]), _pack(counts[a:b]))
                      for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "block", "n", "keys", "counts"])
@@ -231,7 +225,7 @@ def _answers(asks: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for n in np.unique(order):
             at = np.flatnonzero(order == n)
-            keys = [_unpack(table.column("keys")[int(i)].as_py(), _planes(n)) for i in at]
+            keys = [_unpack(table.column("keys")[int(i)].as_py()) for i in at]
             counts = [_unpack(table.column("counts")[int(i)].as_py()) for i in at]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
