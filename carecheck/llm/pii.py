@@ -3,12 +3,13 @@ terms around them.
 
 Patterns find the protected entities (email, ip, card, phone).  Corpus
 co-occurrence then tells how strongly a nearby term reveals an entity: with
-contexts counted over the whole corpus, pointwise mutual information
+documents counted over the whole corpus, pointwise mutual information
 ``log2(p(term, entity) / (p(term) p(entity)))`` is held against the entity's
 information content ``-log2 p(entity)``.  A term that gives away at least
-``GENERALISE`` of it is generalised where it stands near that entity, at least
-``REMOVE`` of it removed.  A term needs ``MIN_SUPPORT`` different contexts with
-the entity, so that a single document's wording is not evidence.
+``GENERALISE`` of it is generalised wherever it stands in a document with that
+entity, at least ``REMOVE`` of it removed.  Entities are rare, so no fixed
+number of contexts is asked for: as many different contexts with the entity as
+the term has must be unlikely (below ``CHANCE``) if the two were independent.
 
 Everything is Spark SQL functions: no Python on the data path.  Rows that move
 are context terms around entities and counts; term counts of the corpus are
@@ -20,6 +21,8 @@ row by row; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = r"\p{L}{3,}"
 
 CONTEXT_CHARS = 200  # to each side, within the line
-MIN_SUPPORT = 3
+CHANCE = 0.001
 GENERALISE, REMOVE = 0.9, 1.0
 
 SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -112,32 +115,49 @@ def contexts(found: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
     """``entity, term, share``: how much of the entity's information content the term gives away."""
-    joint = (near.groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("support"))
-             .filter(F.col("support") >= MIN_SUPPORT))
+    joint = (near.groupBy("entity", "term", "rid").agg(F.min("ctx").alias("ctx"))
+             .groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("support")))
     joint = stored(joint, "pii-joint")
-    n_e = (found.filter("t is not null").select(F.explode(F.concat(*[_each(k, _entity) for k in KINDS])).alias("entity"))
+    n_e = (found.filter("t is not null").select(F.explode(F.concat(*[_each(k, _entity) for k in KINDS])).alias("entity"), "rid").distinct()
         .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    total = lines.agg(F.count(F.lit(1)).alias("n_all"))
-    terms = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
+    total = docs.agg(F.count(F.lit(1)).alias("n_all"))
+    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = maybe_in(terms, "term", bitmap(joint, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     c = (joint.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total)))  # total: one row
     pmi = F.log2(F.col("n_et") * F.col("n_all") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     ic = F.log2(F.col("n_all") / F.col("n_e"))
-    return (c.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("share"))
+    expected = F.col("n_e") * F.greatest("n_t", "n_et") / F.col("n_all")
+    # Chernoff's bound of a Poisson count of ``support`` or more; below its mean there is no evidence
+    tail = F.col("support") * (1 + F.log(expected / F.col("support"))) - expected
+    return (c.filter((F.col("support") > expected) & (tail <= math.log(CHANCE)))
+            .select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("share"))
             .filter(F.col("share") >= GENERALISE))
 
 
+def _everywhere(found: DataFrame, told: DataFrame) -> DataFrame:
+    """``rid, terms``: the disclosing terms of a row's entities, at every place in its text outside the entities."""
+    spans = F.concat(*[F.col(k) for k in KINDS])
+    own = (found.filter("t is not null")
+           .select("rid", F.explode(F.array_distinct(F.concat(*[_each(k, _entity) for k in KINDS]))).alias("entity")))
+    shares = (own.join(told, "entity").groupBy("rid", "term").agg(F.max("share").alias("share"))
+              .groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")))
+    d = found.select("rid", "t", spans.alias("spans")).join(shares, "rid")
+    here = F.filter(match_spans(F.col("t"), TERM), lambda y: F.map_contains_key("shares", F.lower(y["m"]))
+                    & ~F.exists("spans", lambda z: (z["s"] < y["e"]) & (y["s"] < z["e"])))
+    marks = F.transform(here, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.when(
+        F.element_at("shares", F.lower(y["m"])) >= REMOVE, "remove").otherwise("generalise").alias("m")))
+    return d.select("rid", F.sort_array(marks).alias("terms"))
+
+
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, t, email, ip, card, phone, terms``: spans of every row, ``terms`` an array of
     ``(s, e, m)`` with m ``generalise`` or ``remove``; t only where there are spans."""
     found = find(docs, text, key)
     near = stored(contexts(found), "pii-near")
     told = disclosures(docs, found, near, text)
-    marked = (near.join(told, ["entity", "term"]).groupBy("rid", "s", "e").agg(F.max("share").alias("share"))
-              .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
-                  "s", "e", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("m")))).alias("terms")))
+    marked = _everywhere(found, stored(told, "pii-told"))
     return (found.join(marked, "rid", "left")
             .withColumn("terms", F.coalesce("terms", F.array().cast(SPANS))).drop("rid"))
 
