@@ -14,7 +14,3 @@ def spark():
                   spark__checkpoint__dir=tempfile.mkdtemp(prefix="carecheck-test-ckpt-"))
     yield s
     s.stop()
-
-
-def rows(df):
-    return [r.asDict() for r in df.collect()]

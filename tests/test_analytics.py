@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from carecheck.operators import analytics as A
 from carecheck.plans.quantiles import quantiles
-from conftest import rows
+from helpers import rows
 
 
 def series(spark, ys):

@@ -9,7 +9,7 @@ from carecheck.operators import rules as R
 from carecheck.operators import validate as V
 from carecheck.plans.rowindex import with_row_index
 from carecheck.sources import io as S
-from conftest import rows
+from helpers import rows
 
 
 def test_row_index_dense(spark):

@@ -1,7 +1,7 @@
 """Compliance engine, templates, rule catalog (FIXTURES F16-F22)."""
 from carecheck.operators import compliance as C
 from carecheck.operators import rulesets as RS
-from conftest import rows
+from helpers import rows
 
 F16_COLS = ("patient_name string, ssn string, email string, phone string, diagnosis_code string, lab_code string, "
             "procedure_code string, race string, religion string, genetic_info string, username string, "

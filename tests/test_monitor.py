@@ -2,7 +2,7 @@
 from datetime import datetime, timedelta
 
 from carecheck.operators import monitor as M
-from conftest import rows
+from helpers import rows
 
 VT = "array<struct<standard:string,severity:string,field:string,message:string>>"
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from carecheck.operators import phi as H
-from conftest import rows
+from helpers import rows
 
 
 def test_hash_value_fixed_salt(spark):

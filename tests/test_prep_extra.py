@@ -10,7 +10,7 @@ from carecheck.operators import rulesets as RS
 from carecheck.operators import rules as R
 from carecheck.operators import validate as V
 from carecheck.sources import io as S
-from conftest import rows
+from helpers import rows
 
 
 def test_p1_p3(spark):

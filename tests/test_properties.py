@@ -11,7 +11,7 @@ from carecheck.operators.rules import duplicate_count
 from carecheck.plans.quantiles import exact_quantiles
 from carecheck.plans.rowindex import rank_in_group, with_row_index
 from carecheck.plans.running import running_sums
-from conftest import rows
+from helpers import rows
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 small_vals = st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.5, 7.0, float("nan")]),

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 from carecheck.operators import rules as R
 from carecheck.operators import validate as V
 from carecheck.plans.aggplan import Check
-from conftest import rows
+from helpers import rows
 
 
 def issues(spark, data, schema, rule_list):

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from carecheck.operators import monitor as M
 from carecheck.streaming import monitor as SM
-from conftest import rows
+from helpers import rows
 
 
 def _write_split(spark, recs, parts):
