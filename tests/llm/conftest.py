@@ -1,9 +1,5 @@
-import os
-import sys
-
 import pytest
 
-sys.path[:0] = [os.path.dirname(__file__)]
 SMALL = "/root/testdata/sf0.001"
 
 
