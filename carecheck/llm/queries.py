@@ -3,7 +3,8 @@ production parameters to its whole table, ``(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
-from carecheck.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_trie, mixing, pii, piece_tokens, quality, secrets
+from carecheck.llm import (exact_dedup, jaccard_join, language_id, line_dedup, lm_trie, merkle, mixing, pii, piece_tokens, quality,
+                           resample, secrets, sharding)
 
 
 def _t(spark, d, name):
@@ -56,6 +57,20 @@ def op10_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(_t(spark, d, "documents"))
 
 
+def op11_importance_resampling(spark, d):
+    return resample.resample(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+def op12_merkle_manifest(spark, d):
+    return merkle.proofs(_t(spark, d, "documents"))
+
+
+def op13_sharding(spark, d):
+    return sharding.sharded(_t(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_mixing, op5_secrets,
-                                   op6_language_id, op7_lm_scoring, op8_quality, op9_line_dedup, op10_exact_dedup)}
-ORACLES = {"op4_mixing": mixing.ORACLE, "op8_quality": quality.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+                                   op6_language_id, op7_lm_scoring, op8_quality, op9_line_dedup, op10_exact_dedup, op11_importance_resampling,
+                                   op12_merkle_manifest, op13_sharding)}
+ORACLES = {"op4_mixing": mixing.ORACLE, "op8_quality": quality.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE,
+           "op11_importance_resampling": resample.ORACLE}

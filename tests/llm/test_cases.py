@@ -3,7 +3,8 @@
 import cases
 import pytest
 
-from carecheck.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_trie, mixing, pii, piece_tokens, quality, secrets
+from carecheck.llm import (exact_dedup, jaccard_join, language_id, line_dedup, lm_trie, merkle, mixing, pii, piece_tokens, quality,
+                           resample, secrets, sharding)
 from carecheck.llm.queries import piece_model
 
 OPERATORS = {
@@ -17,6 +18,8 @@ OPERATORS = {
     "quality": quality.quality,
     "lines": line_dedup.line_dedup,
     "exact": exact_dedup.exact_dedup,
+    "resample": lambda d: resample.resample(d, d),
+    "merkle": merkle.proofs,
 }
 
 
@@ -27,9 +30,9 @@ def test_awkward_rows_and_clashing_columns(spark, name):
     assert cases.collected(OPERATORS[name](cases.clashing(spark))) == plain
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("name", [*OPERATORS, "sharding"])
 def test_empty_table(spark, name):
-    out = OPERATORS[name](cases.empty(spark))
+    out = (OPERATORS | {"sharding": sharding.sharded})[name](cases.empty(spark))
     assert out.collect() == []
 
 
