@@ -262,3 +262,50 @@ def proofs(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     return (cut.withColumn("doc_id", F.col("doc_id").cast("bigint")).groupBy("k", "block").cogroup(blocks.groupBy("k", "block"))
             .applyInArrow(prove, "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, "
                                  "folded_root string, verified boolean"))
+
+
+_LEAF = " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in FIELDS)
+_CRC_BYTE = "lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], {_CRC_BYTE})) AS tab),
+d AS (SELECT doc_id, source, {_LEAF} AS whole, {_LEAF.replace("text", "replace(text, chr(10), '')")} AS bare,
+             xor(list_reduce([4294967295] || list_transform(range(length(CAST(doc_id AS VARCHAR))),
+                 lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k + 1 AS BIGINT), 1)) AS BIGINT)),
+                 lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS code
+      FROM documents, crc),
+l AS (SELECT doc_id, source, sha256(whole) AS leaf, CASE WHEN code % 2 = 0 THEN sha256(bare) ELSE sha256(whole) END AS changed FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             row_number() OVER (ORDER BY source, doc_id, leaf) AS n FROM l),
+lv(source, level, pos, h) AS (
+  SELECT source, 0, pos, leaf FROM p
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS c FROM lv) WHERE c > 1 GROUP BY source, level, pos // 3),
+heights AS (SELECT source, max(level) AS height FROM lv GROUP BY source),
+subs AS (SELECT lv.source, h AS subroot, height, row_number() OVER (ORDER BY encode(lv.source) NULLS FIRST) - 1 AS pos
+         FROM lv JOIN heights t ON lv.source IS NOT DISTINCT FROM t.source AND lv.level = t.height),
+top(level, pos, h) AS (
+  SELECT 0, pos, subroot FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS c FROM top) WHERE c > 1 GROUP BY level, pos // 3),
+root AS (SELECT h AS root, level AS height FROM top ORDER BY level DESC LIMIT 1),
+-- one tree for all: levels of the sources' trees first, those over the subroots from level 1000 on
+node AS (SELECT source, level, pos, h FROM lv UNION ALL SELECT NULL, 1000 + level, pos, h FROM top),
+up(n, source, slot, height, level, pos, cur, proof) AS (
+  SELECT p.n, p.source, s.pos, s.height, CASE WHEN s.height = 0 THEN 1000 ELSE 0 END,
+         CASE WHEN s.height = 0 THEN s.pos ELSE p.pos END, changed, ''
+  FROM p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT n, any_value(u.source), any_value(slot), any_value(height),
+         CASE WHEN u.level + 1 = any_value(height) THEN 1000 ELSE u.level + 1 END,
+         CASE WHEN u.level + 1 = any_value(height) THEN any_value(slot) ELSE any_value(u.pos) // 3 END,
+         sha256(string_agg(CASE WHEN x.pos = u.pos THEN cur ELSE h END, '' ORDER BY x.pos)),
+         any_value(proof) || coalesce(string_agg(h, '' ORDER BY x.pos) FILTER (x.pos <> u.pos), '')
+  FROM up u JOIN node x ON u.level = x.level AND u.pos // 3 = x.pos // 3 AND (u.level >= 1000 OR u.source IS NOT DISTINCT FROM x.source)
+  WHERE u.level < 1000 + (SELECT height FROM root)
+  GROUP BY n, u.level),
+names AS (SELECT p.n, p.doc_id, p.leaf, s.subroot FROM p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM up JOIN names USING (n), root WHERE up.level = 1000 + root.height
+"""

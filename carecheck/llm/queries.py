@@ -73,4 +73,4 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard
                                    op6_language_id, op7_lm_scoring, op8_quality, op9_line_dedup, op10_exact_dedup, op11_importance_resampling,
                                    op12_merkle_manifest, op13_sharding)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op8_quality": quality.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE,
-           "op11_importance_resampling": resample.ORACLE}
+           "op11_importance_resampling": resample.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

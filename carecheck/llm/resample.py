@@ -166,12 +166,12 @@ def drawn(docs: DataFrame, target: DataFrame, key: str = "doc_id", **kw) -> Data
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
-crc AS (SELECT list_transform(range(256), i -> list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0],
-               (c, x) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
 v AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
 h AS (SELECT word, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(word))),
-               k -> CAST('0x' || substr(hex(encode(word)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)),
-               (a, x) -> xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM v, crc),
+               lambda k: CAST('0x' || substr(hex(encode(word)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)),
+               lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM v, crc),
 dw AS (SELECT doc_id, unnest(w) AS word FROM d),
 s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (word) GROUP BY bucket),
 t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN h USING (word) GROUP BY bucket),
