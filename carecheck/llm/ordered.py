@@ -15,11 +15,11 @@ def numbered(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     """``df`` with ``at``, its 0-based position in ``order`` within ``by`` (columns without nulls), and
     ``total``, the number of rows there.  Rows that tie in ``by`` and ``order`` are numbered arbitrarily.
 
-    One range shuffle sorts the rows (a salt lets equal rows spread over several ranges), they are written
-    with their partition and row number, and the counts of earlier partitions shift these into positions.
+    ``df`` is written first, as a range shuffle reads its input twice.  The shuffle sorts the rows (a salt lets
+    equal rows spread over several ranges), they are written with their partition and row number, and the counts of earlier partitions shift these into positions.
     The counts have one row per partition and group."""
     salt = F.monotonically_increasing_id()
-    d = df.withColumn("_salt", salt).repartitionByRange(*by, *order, "_salt").sortWithinPartitions(*by, *order)
+    d = stored(df, name).withColumn("_salt", salt).repartitionByRange(*by, *order, "_salt").sortWithinPartitions(*by, *order)
     d = stored(d.drop("_salt").withColumns({"_part": F.spark_partition_id(),
                                             "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))}), name)
     sums = d.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
