@@ -2,7 +2,8 @@
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries": {...}, "sf"}.
 ``BENCH_ONLY=name1,name2`` times a subset (for iterating).
-Each query is timed end to end (plan + execute); results are collected when
+Each query is timed end to end (plan + execute), the median of $BENCH_REPEATS (3)
+runs counts; results are collected when
 small or written to the ``noop`` sink when row-sized.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -17,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 
 def main():
@@ -96,10 +99,13 @@ def main():
         d = SF_DIR
     times = {}
     for name, fn in work.items():
-        t0 = time.time()
-        fn()
-        times[name] = round(time.time() - t0, 3)
-        spark.catalog.clearCache()
+        runs = []
+        for _ in range(REPEATS):
+            t0 = time.time()
+            fn()
+            runs.append(time.time() - t0)
+            spark.catalog.clearCache()
+        times[name] = round(statistics.median(runs), 3)
     sf = os.path.basename(d.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))

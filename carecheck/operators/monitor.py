@@ -6,11 +6,12 @@ The run log has one row per validation run::
     duration_s double, metrics map<string,double>,
     violations array<struct<standard,severity,field,message>>
 
-Order-dependent monitors (running failure rate, last-3 degradation, last-100
-history, inactivity gaps) use range-partitioned positions and equi-joins on
-position -- never a global single-partition window -- so one metric holding a
-third of all samples still spreads over many tasks.  ``streaming.monitor``
-holds the Structured Streaming twins.
+Order-dependent monitors (running failure rate, last-3 degradation, inactivity
+gaps) sort the log into written range partitions once and look back with ``lag``
+inside a partition plus a halo of the last rows of earlier ones -- never a
+global single-partition window or a self-join -- so one metric holding a third
+of all samples still spreads over many tasks.  ``streaming.monitor`` holds the
+Structured Streaming twins.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carecheck.functions import patterns as P
-from carecheck.operators.analytics import _dense_rank_in_group
-from carecheck.plans.rowindex import with_row_index
-from carecheck.plans.running import running_sums
+from carecheck.plans.rowindex import earlier_rows, ranges
+from carecheck.plans.running import add_running_sums
 
 RUN_LOG_SCHEMA = ("run_id string, ts timestamp, is_valid boolean, n_rows bigint, n_issues bigint, "
                   "duration_s double, metrics map<string,double>, "
@@ -63,11 +63,12 @@ def run_stats(run_log: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
 
 def running_stats(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """M1 (per record) and M5 input: running totals after each run in (ts, run_id)
-    order; ``pos`` is the run's 0-based position (one sort serves M1, M5, M8)."""
-    r = running_sums(run_log.select("run_id", "ts", "is_valid", "duration_s"), ["ts", "run_id"], {
-        "total": F.lit(1), "failed": (~F.col("is_valid")).cast("int"), "time": F.col("duration_s")},
-        num_partitions)
-    return r.select("run_id", "ts", (F.col("cum_total") - 1).cast("long").alias("pos"),
+    order; ``pos`` is the run's 0-based position, ``prev_ts`` the time of the run
+    before (one sort serves M1, M5, M8)."""
+    d = ranges(run_log.select("run_id", "ts", "is_valid", "duration_s"), ["ts", "run_id"], num_partitions)
+    r = add_running_sums(earlier_rows(d, ["ts"], 1), {
+        "total": F.lit(1), "failed": (~F.col("is_valid")).cast("int"), "time": F.col("duration_s")})
+    return r.select("run_id", "ts", F.col("prev1.ts").alias("prev_ts"), (F.col("cum_total") - 1).cast("long").alias("pos"),
                     F.col("cum_total").cast("long").alias("total_validations"),
                     F.col("cum_failed").cast("long").alias("failed_validations"),
                     (F.col("cum_total") - F.col("cum_failed")).cast("long").alias("successful_validations"),
@@ -116,21 +117,11 @@ def issue_volume_alerts(run_log: DataFrame) -> DataFrame:
         F.create_map(F.lit("total_issues"), F.col("n_issues").cast("string"))))
 
 
-def _positioned_samples(run_log: DataFrame, num_partitions: int | None) -> DataFrame:
-    """Samples with their 0-based position within the metric, in (ts, run_id) order."""
-    s = metric_samples(run_log)
-    return _dense_rank_in_group(s, "metric", ["ts", "run_id"], num_partitions).withColumn(
-        "pos", F.col("__x").cast("long")).drop("__x")
-
-
 def degradation_alerts(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """M4: sample value minus the sample two before it (same metric) < -0.1.
-
-    The "two before" lookup is an equi-join on (metric, pos) = (metric, pos-2):
-    hash-partitioned on both keys, so a dominant metric is still spread."""
-    s = _positioned_samples(run_log, num_partitions)
-    prev = s.select("metric", (F.col("pos") + 2).alias("pos"), F.col("value").alias("prev_value"))
-    j = s.join(prev, ["metric", "pos"]).withColumn("trend", F.col("value") - F.col("prev_value"))
+    """M4: sample value minus the sample two before it (same metric) < -0.1."""
+    d = ranges(metric_samples(run_log).select("metric", "run_id", "ts", "value"), ["metric", "ts", "run_id"], num_partitions)
+    j = earlier_rows(d, ["value"], 2, "metric").withColumn("prev_value", F.col("prev2.value"))
+    j = j.withColumn("trend", F.col("value") - F.col("prev_value"))
     j = j.where(F.col("trend") < P.DEGRADATION_DROP)
     sev = F.when(F.col("trend") > P.DEGRADATION_HIGH, "medium").otherwise("high")
     return j.select(*_alert(
@@ -153,12 +144,10 @@ def history(run_log: DataFrame, keep: int = P.HISTORY_LENGTH) -> DataFrame:
 
 def inactivity_alerts(run_log: DataFrame, num_partitions: int | None = None,
                       gap_seconds: int = P.INACTIVITY_SECONDS, stats: DataFrame | None = None) -> DataFrame:
-    """M8 (batch): a gap of more than ``gap_seconds`` between consecutive runs
-    (equi-join of each run with the run at the previous position)."""
-    idx = (stats.select("run_id", "ts", "pos") if stats is not None else
-           with_row_index(run_log.select("run_id", "ts"), ["ts", "run_id"], "pos", num_partitions))
-    prev = idx.select((F.col("pos") + 1).alias("pos"), F.col("ts").alias("prev_ts"))
-    j = idx.join(prev, "pos").withColumn(
+    """M8 (batch): a gap of more than ``gap_seconds`` between consecutive runs."""
+    idx = stats if stats is not None else earlier_rows(
+        ranges(run_log.select("run_id", "ts"), ["ts", "run_id"], num_partitions), ["ts"], 1).withColumn("prev_ts", F.col("prev1.ts"))
+    j = idx.withColumn(
         "__gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp")))
     j = j.where(F.col("__gap") > gap_seconds)
     return j.select(*_alert(

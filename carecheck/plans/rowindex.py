@@ -1,29 +1,31 @@
-"""Positions of rows in a user-given order, without a global window.
+"""Positions, running sums and earlier rows in a user-given order, without a global window.
 
 The reference numbers rows by position; Spark has no implicit order, so every
 position-based operator takes ``order_by``; a hash of the row breaks ties.
 
-1. Identical rows become one row with a weight (``groupBy`` all columns,
-   counted per task first), so a row that makes up a third of the table is one
-   row from here on.
-2. Spark range-partitions and writes the weighted rows to the shared folder
-   together with their partition's number.  The written table fixes the
-   partitioning, so later steps and recomputed tasks see the same one.
-3. A window inside each partition adds up the weights in order; the
-   partitions' totals (one row each) give the offsets.
-4. A weight above ``PIECE`` is cut into pieces of so many copies, which are
-   dealt out to all tasks; then the copies become rows again.
+1. ``ranges``: Spark range-partitions the rows by the order, the hash and a
+   salt, so that a row or key that makes up a third of the table is cut like
+   any other; they are sorted and written to the shared folder with their
+   partition's number and their row number in it.  That is the only time the
+   payload moves, and the written table fixes the partitioning for all later
+   steps and recomputed tasks.
+2. Counts or sums of the partitions (one row per partition and group) give the
+   offsets: ``positions`` adds them to the row numbers, ``sums_before`` to a
+   running sum inside the partition.
+3. ``earlier_rows``: ``lag`` inside a partition, and for its first rows a halo
+   of the last rows of earlier partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carecheck.session import shared_table
 
-TIE = "__tie_h"
-PIECE = 4096
+TIE, PART, ROW = "__tie_h", "__p", "__r"
+_IN_PARTITION = (1 << 33) - 1  # the bits of monotonically_increasing_id that count within a partition
 
 
 def _q(name: str) -> str:
@@ -38,60 +40,100 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return n or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def weighted_ranges(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
-    """The distinct rows of ``df`` with ``__w`` (copies), the tie-breaking hash and ``__p``, a partition
-    number that increases in the order of ``keys`` and the hash; a written table."""
-    tied = df.withColumn(TIE, F.xxhash64(*_cols(df.columns)))
-    once = tied.groupBy(*_cols(tied.columns)).agg(F.count(F.lit(1)).alias("__w"))
-    return shared_table(once.repartitionByRange(_partitions(df, num_partitions), *_cols(keys), F.col(TIE))
-                        .withColumn("__p", F.spark_partition_id()), "ranges")
-
-
-def expanded(df: DataFrame) -> DataFrame:
-    """Every weighted row as often as it counts, ``__j`` numbering its copies from 0.  Only rows heavier
-    than a piece are moved to other tasks first."""
-    first = F.lit(0).cast("long")
-    heavy = df.where(F.col("__w") > PIECE).withColumn("__from", F.explode(F.sequence(first, F.col("__w") - 1, F.lit(PIECE).cast("long"))))
-    pieces = df.where(F.col("__w") <= PIECE).withColumn("__from", first).unionByName(heavy.repartition(_partitions(df, None)))
-    last = F.least(F.col("__from") + PIECE, F.col("__w")) - 1
-    return pieces.withColumn("__j", F.explode(F.sequence("__from", last))).drop("__from", "__w")
-
-
-def _local(keys: list[str], extra: tuple = ()):
-    return (Window.partitionBy("__p", *_cols(extra)).orderBy(*_cols(keys), F.col(TIE))
-            .rowsBetween(Window.unboundedPreceding, -1))
-
-
-def prefix_sums(ranges: DataFrame, sums: dict[str, Column], keys: list[str], group: str | None = None) -> DataFrame:
-    """Adds each name of ``sums``: the sum of its expression over all rows before, in the order of ``keys``
-    (within ``group``)."""
-    by = (group,) if group else ()
-    part = ranges.groupBy("__p", *_cols(by)).agg(*[F.sum(e).alias(f"__t{i}") for i, e in enumerate(sums.values())])
-    upto = Window.partitionBy(*_cols(by)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select(F.col("__p").alias("__op"), *[F.col(_q(g)).alias("__og") for g in by],
-                          *[F.coalesce(F.sum(f"__t{i}").over(upto), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))])
-    here = ranges.withColumns({f"__s{i}": F.coalesce(F.sum(e).over(_local(keys, by)), F.lit(0)) for i, e in enumerate(sums.values())})
-    on = F.col("__p") == F.col("__op")
-    if group:
-        on = on & F.col(_q(group)).eqNullSafe(F.col("__og"))
-    out = here.join(offsets, on)
-    out = out.withColumns({name: F.col(f"__o{i}") + F.col(f"__s{i}") for i, name in enumerate(sums)})
-    return out.drop("__op", "__og", *[f"__{x}{i}" for x in "os" for i in range(len(sums))])
+def _hashable(t: T.DataType) -> bool:
+    """Can Spark hash values of this type?"""
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of the row; columns that Spark cannot hash (maps) enter as JSON."""
+    parts = [F.col(_q(f.name)) if _hashable(f.dataType) else F.to_json(F.struct(F.col(_q(f.name)))) for f in df.schema.fields]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
+def ranges(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` as a written table with ``TIE``, ``PART`` and ``ROW``: ordering by (PART, ROW) orders by
+    ``keys`` and the hash."""
+    tied = df.withColumn(TIE, row_hash(df)).withColumn("__salt", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(_partitions(df, num_partitions), *_cols(keys), F.col(TIE), F.col("__salt")).drop("__salt")
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))
+    return shared_table(dealt.sortWithinPartitions(*_cols(keys), F.col(TIE)).withColumns({PART: F.spark_partition_id(), ROW: here}), "ranges")
+
+
+def _joined(d: DataFrame, per_part: DataFrame, group: str | None) -> DataFrame:
+    """``d`` with the columns of ``per_part(PART, group, ...)``; without a group that is one row per partition."""
+    if group is None:
+        return d.join(F.broadcast(per_part), PART)
+    p = per_part.withColumnRenamed(PART, "__op").withColumnRenamed(group, "__og")
+    on = (F.col(PART) == F.col("__op")) & F.col(_q(group)).eqNullSafe(F.col("__og"))
+    return d.join(p, on).drop("__op", "__og")
+
+
+def _offsets(d: DataFrame, sums: dict[str, Column], group: str | None) -> DataFrame:
+    """Per partition (and group) each sum over all earlier partitions, and ``__first``, its first row number."""
+    by = _cols([group] if group else [])
+    part = d.groupBy(PART, *by).agg(F.min(ROW).alias("__first"), *[F.sum(e).alias(n) for n, e in sums.items()])
+    upto = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return part.select(PART, *by, "__first", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(n) for n in sums])
+
+
+def positions(d: DataFrame, name: str, group: str | None = None) -> DataFrame:
+    """The 0-based position of each row of a ``ranges`` table (within ``group``, the first of its keys)."""
+    out = _joined(d, _offsets(d, {"__n": F.lit(1)}, group), group)
+    return out.withColumn(name, F.col(ROW) - F.col("__first") + F.col("__n")).drop("__first", "__n")
+
+
+def sums_before(d: DataFrame, sums: dict[str, Column], group: str | None = None) -> DataFrame:
+    """Adds each name of ``sums``: the sum of its expression over all earlier rows (within ``group``)."""
+    names = {n: f"__o{i}" for i, n in enumerate(sums)}
+    here = Window.partitionBy(PART, *_cols([group] if group else [])).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    out = _joined(d, _offsets(d, {names[n]: e for n, e in sums.items()}, group), group)
+    return (out.withColumns({n: F.coalesce(F.sum(e).over(here), F.lit(0)) + F.col(names[n]) for n, e in sums.items()})
+            .drop("__first", *names.values()))
+
+
+def earlier_rows(d: DataFrame, values: list[str], back: int, group: str | None = None) -> DataFrame:
+    """Adds ``prev1`` .. ``prev<back>``: the struct of ``values`` of the row so many rows earlier (within
+    ``group``), null where there is none.
+
+    The last ``back`` rows that each partition has of a group are its edge (``back`` rows per partition and
+    group); a window over the edges gives every partition the rows that precede it."""
+    by = _cols([group] if group else [])
+    ends = d.groupBy(PART, *by).agg(F.min(ROW).alias("__first"), F.max(ROW).alias("__last"))
+    v = F.struct(*_cols(values))
+    edge = (_joined(d.select(PART, ROW, *by, v.alias("__v")), ends, group).where(F.col(ROW) > F.col("__last") - back))
+    along = Window.partitionBy(*by).orderBy(PART, ROW)
+    halo = (edge.withColumns({f"__h{k}": F.lag("__v", k).over(along) for k in range(1, back + 1)})
+            .where(F.col(ROW) == F.greatest(F.col("__first"), F.col("__last") - (back - 1)))
+            .select(PART, *by, "__first", *[f"__h{k}" for k in range(1, back + 1)]))
+    out = _joined(d, halo, group)
+    at, inside = F.col(ROW) - F.col("__first"), Window.partitionBy(PART, *by).orderBy(ROW)
+    prev = {}
+    for k in range(1, back + 1):
+        c = F.lag(v, k).over(inside)
+        for i in range(k):
+            c = F.when(at == i, F.col(f"__h{k - i}")).otherwise(c)
+        prev[f"prev{k}"] = c
+    return out.withColumns(prev).drop("__first", *[f"__h{k}" for k in range(1, back + 1)])
+
+
+def plain(d: DataFrame) -> DataFrame:
+    """Without the columns that ``ranges`` added."""
+    return d.drop(TIE, PART, ROW)
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
     """``df`` with the 0-based position of each row in the given order."""
-    ranges = weighted_ranges(df, order_by, num_partitions)
-    out = expanded(prefix_sums(ranges, {name: F.col("__w")}, order_by))
-    return out.withColumn(name, F.col(_q(name)) + F.col("__j")).drop("__p", "__j", TIE)
+    return plain(positions(ranges(df, order_by, num_partitions), name))
 
 
 def rank_in_group(df: DataFrame, group: str, order: list[str], name: str = "__x",
                   num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row within ``group`` by ``order``; a group of any size spreads over many
     partitions.  A null group is a group too."""
-    keys = [group, *order]
-    ranges = weighted_ranges(df, keys, num_partitions)
-    out = expanded(prefix_sums(ranges, {name: F.col("__w")}, keys, group))
-    return out.withColumn(name, F.col(_q(name)) + F.col("__j")).drop("__p", "__j", TIE)
+    return plain(positions(ranges(df, [group, *order], num_partitions), name, group))

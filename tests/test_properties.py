@@ -75,21 +75,42 @@ def test_running_sums(spark, recs, parts):
 
 def test_hot_rows_and_keys_are_dealt_out(spark):
     # a third identical rows, and three distinct keys only: balanced parts, every position once
-    from carecheck.plans.rowindex import PIECE, expanded, weighted_ranges
+    from carecheck.plans.rowindex import PART, ranges
     same = spark.range(0, 30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k")
-    w = weighted_ranges(same, ["k"], 8)
-    sizes = [r["n"] for r in w.groupBy("__p").agg(F.count("*").alias("n")).collect()]
-    assert max(sizes) <= 2 * sum(sizes) / 8 and w.agg(F.max("__w")).first()[0] == 10_001
-    pieces = expanded(w).where("k = 7").groupBy(F.floor(F.col("__j") / PIECE)).count().collect()
-    assert len(pieces) == 3
+    d = ranges(same, ["k"], 8)
+    sizes = [r["n"] for r in d.groupBy(PART).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * sum(sizes) / 8 and sum(sizes) == 30_000
+    assert d.where("k = 7").select(PART).distinct().count() >= 3
     assert sorted(r["i"] for r in rows(with_row_index(same, ["k"], "i", num_partitions=8))) == list(range(30_000))
     few = spark.range(0, 9000).selectExpr("id % 3 AS k", "id")
-    sizes = [r["count"] for r in weighted_ranges(few, ["k"], 8).groupBy("__p").count().collect()]
+    sizes = [r["count"] for r in ranges(few, ["k"], 8).groupBy(PART).count().collect()]
     assert max(sizes) <= 2 * 9000 / 8
     got = {r["id"]: r["x"] for r in rows(rank_in_group(few, "k", ["id"], "x", num_partitions=8))}
     assert got == {i: i // 3 for i in range(9000)}
 
 
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]), st.integers(0, 9)), max_size=50), st.integers(1, 12), st.integers(1, 3))
+def test_earlier_rows_across_partitions(spark, recs, parts, back):
+    from carecheck.plans.rowindex import earlier_rows, ranges
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(recs)], "g string, v long, uid long")
+    for group in (None, "g"):
+        keys = ["g", "v", "uid"] if group else ["v", "uid"]
+        got = {r["uid"]: [p and p["uid"] for p in (r[f"prev{k}"] for k in range(1, back + 1))]
+               for r in earlier_rows(ranges(df, keys, parts), ["uid"], back, group).collect()}
+        want = {}
+        for g in {r[0] for r in recs} if group else [0]:
+            ids = [i for _, i in sorted((v, i) for i, (gg, v) in enumerate(recs) if not group or gg == g)]
+            want |= {u: [ids[n - k] if n >= k else None for k in range(1, back + 1)] for n, u in enumerate(ids)}
+        assert got == want
+
+
+def test_positions_of_rows_that_hold_maps(spark):
+    df = spark.range(0, 60).selectExpr("id % 4 AS k", "map('a', id % 3) AS m", "array(map('b', id % 2)) AS am", "id AS uid")
+    got = rows(with_row_index(df, ["k"], "i", num_partitions=5))
+    assert sorted(r["i"] for r in got) == list(range(60)) and [r["k"] for r in sorted(got, key=lambda r: r["i"])] == [i // 15 for i in range(60)]
+
+
 def test_rank_in_group_with_null_group(spark):
     df = spark.createDataFrame([(None, 3, 0), (None, 1, 1), ("a", 2, 2), ("a", 1, 3)], "g string, v long, uid long")
     out = {r["uid"]: r["x"] for r in rows(rank_in_group(df, "g", ["v", "uid"], "x", num_partitions=2))}
