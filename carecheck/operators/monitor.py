@@ -120,8 +120,12 @@ def issue_volume_alerts(run_log: DataFrame) -> DataFrame:
 def degradation_alerts(run_log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """M4: sample value minus the sample two before it (same metric) < -0.1."""
     d = ranges(metric_samples(run_log).select("metric", "run_id", "ts", "value"), ["metric", "ts", "run_id"], num_partitions)
-    j = earlier_rows(d, ["value"], 2, "metric").withColumn("prev_value", F.col("prev2.value"))
-    j = j.withColumn("trend", F.col("value") - F.col("prev_value"))
+    return degradations(earlier_rows(d, ["value"], 2, "metric"))
+
+
+def degradations(samples: DataFrame) -> DataFrame:
+    """M4 alerts of samples that know the one two before them (``prev2``)."""
+    j = samples.withColumn("prev_value", F.col("prev2.value")).withColumn("trend", F.col("value") - F.col("prev_value"))
     j = j.where(F.col("trend") < P.DEGRADATION_DROP)
     sev = F.when(F.col("trend") > P.DEGRADATION_HIGH, "medium").otherwise("high")
     return j.select(*_alert(
@@ -147,7 +151,12 @@ def inactivity_alerts(run_log: DataFrame, num_partitions: int | None = None,
     """M8 (batch): a gap of more than ``gap_seconds`` between consecutive runs."""
     idx = stats if stats is not None else earlier_rows(
         ranges(run_log.select("run_id", "ts"), ["ts", "run_id"], num_partitions), ["ts"], 1).withColumn("prev_ts", F.col("prev1.ts"))
-    j = idx.withColumn(
+    return gaps(idx, gap_seconds)
+
+
+def gaps(runs: DataFrame, gap_seconds: int = P.INACTIVITY_SECONDS) -> DataFrame:
+    """M8 alerts of runs that know the time of the run before them (``prev_ts``)."""
+    j = runs.withColumn(
         "__gap", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp")))
     j = j.where(F.col("__gap") > gap_seconds)
     return j.select(*_alert(

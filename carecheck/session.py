@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the state store of transformWithState
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # broadcast only what has a checked size bound; 10 MB is Spark's default
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }

@@ -1,18 +1,12 @@
-"""Structured Streaming twins of the batch monitors.
+"""Structured Streaming twins of the batch monitors: M1, M6, M7, M13, and the
+streaming validation that writes the run log.  ``streaming.stateful`` has the
+monitors that keep state (M3, M4, M5, M8, M9) and M10.
 
-Input: a streaming run log (``operators.monitor.RUN_LOG_SCHEMA`` plus an
-optional ``source`` column naming the validated table).  The reference has
-no watermark; here the event time is ``ts`` with an explicit watermark
-(default 10 minutes), which bounds state for the inactivity timer.
+Input: a streaming run log (``operators.monitor.RUN_LOG_SCHEMA`` plus a
+``source`` column naming the validated table where a monitor works by source).
 
 * M1  ``run_stats_stream``  -- global streaming aggregate (one state row).
 * M6/M7 ``stateless_alerts`` -- filters, no state.
-* M2-M4 ``degradation_stream`` -- ``applyInPandasWithState`` keyed by metric;
-  state = the last two samples, so each new sample is compared with the one
-  two before it, across micro-batches.
-* M5/M8 ``source_stream`` -- keyed by source; state = running totals and the
-  last run time; an event-time timeout one hour after the last run raises the
-  inactivity alert once the watermark passes it.
 * M13 ``alert_callback`` -- ``foreachBatch`` hook, errors in the callback are
   logged and swallowed.
 """
@@ -20,29 +14,14 @@ no watermark; here the event time is ``ts`` with an explicit watermark
 from __future__ import annotations
 
 import logging
-from typing import Callable, Iterator
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from carecheck.functions import patterns as P
 from carecheck.operators import monitor as M
 
 log = logging.getLogger(__name__)
 
-ALERT_SCHEMA = T.StructType([
-    T.StructField("alert_id", T.StringType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("alert_type", T.StringType()), T.StructField("severity", T.StringType()),
-    T.StructField("message", T.StringType()), T.StructField("details", T.MapType(T.StringType(), T.StringType())),
-])
-
-
-def with_event_time(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-
 
 def run_stats_stream(stream: DataFrame) -> DataFrame:
     """M1: running totals; write with outputMode ``complete`` or ``update``."""
@@ -54,100 +33,6 @@ def stateless_alerts(stream: DataFrame) -> DataFrame:
     return M.critical_violation_alerts(stream).unionByName(M.issue_volume_alerts(stream))
 
 
-# --------------------------------------------------------------------------
-# M2-M4
-# --------------------------------------------------------------------------
-_DEG_STATE = T.StructType([
-    T.StructField("v1", T.DoubleType()), T.StructField("v2", T.DoubleType()), T.StructField("n", T.LongType())])
-
-
-def _degradation(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (metric,) = key
-    prev = list(state.get) if state.exists else [None, None, 0]
-    v1, v2, n = prev  # v1 = two samples back, v2 = previous sample
-    out = []
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "run_id"])
-    for row in batch.itertuples(index=False):
-        if n >= 2 and v1 is not None:
-            trend = row.value - v1
-            if trend < P.DEGRADATION_DROP:
-                out.append({
-                    "alert_id": f"quality_degradation:{metric}:{row.run_id}", "ts": row.ts,
-                    "alert_type": "quality_degradation",
-                    "severity": "medium" if trend > P.DEGRADATION_HIGH else "high",
-                    "message": f"Quality degradation detected in {metric}",
-                    "details": {"metric": metric, "trend": str(trend), "current_value": str(row.value),
-                                "previous_value": str(v1)}})
-        v1, v2, n = v2, row.value, n + 1
-    state.update((v1, v2, n))
-    yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
-
-
-def degradation_stream(stream: DataFrame) -> DataFrame:
-    """M4 across micro-batches; within a micro-batch samples are ordered by (ts, run_id)."""
-    samples = stream.select("run_id", "ts", F.explode("metrics").alias("metric", "value"))
-    return samples.groupBy("metric").applyInPandasWithState(
-        _degradation, ALERT_SCHEMA, _DEG_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# --------------------------------------------------------------------------
-# M5, M8
-# --------------------------------------------------------------------------
-_SRC_STATE = T.StructType([
-    T.StructField("total", T.LongType()), T.StructField("failed", T.LongType()),
-    T.StructField("last_ts", T.TimestampType())])
-
-
-def _source(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (source,) = key
-    cols = [f.name for f in ALERT_SCHEMA.fields]
-    if state.hasTimedOut:
-        total, failed, last_ts = state.get
-        state.remove()
-        yield pd.DataFrame([{
-            "alert_id": f"system_error:inactivity:{source}:{pd.Timestamp(last_ts).isoformat()}",
-            "ts": pd.Timestamp(last_ts) + pd.Timedelta(seconds=P.INACTIVITY_SECONDS),
-            "alert_type": "system_error", "severity": "medium",
-            "message": "No validation activity detected in the last hour",
-            "details": {"last_validation_time": pd.Timestamp(last_ts).isoformat(), "inactive_duration_hours": "1"}}],
-            columns=cols)
-        return
-    total, failed, last_ts = state.get if state.exists else (0, 0, None)
-    out = []
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "run_id"])
-    gap = pd.Timedelta(seconds=P.INACTIVITY_SECONDS)
-    for row in batch.itertuples(index=False):
-        if last_ts is not None and pd.Timestamp(row.ts) - pd.Timestamp(last_ts) > gap:
-            out.append({"alert_id": f"system_error:inactivity:{row.run_id}", "ts": row.ts,
-                        "alert_type": "system_error", "severity": "medium",
-                        "message": "No validation activity detected in the last hour",
-                        "details": {"previous_validation": str(pd.Timestamp(last_ts)),
-                                    "gap_seconds": str(int((pd.Timestamp(row.ts) - pd.Timestamp(last_ts)).total_seconds()))}})
-        total += 1
-        failed += 0 if row.is_valid else 1
-        rate = failed / max(1, total)
-        if rate > P.FAILURE_RATE_LIMIT:
-            out.append({"alert_id": f"anomaly_detected:failure_rate:{row.run_id}", "ts": row.ts,
-                        "alert_type": "anomaly_detected", "severity": "high",
-                        "message": f"High validation failure rate detected: {rate:.1%}",
-                        "details": {"failure_rate": str(rate), "total_validations": str(total),
-                                    "failed_validations": str(failed)}})
-        last_ts = row.ts if last_ts is None or row.ts > last_ts else last_ts
-    state.update((total, failed, last_ts))
-    state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + P.INACTIVITY_SECONDS * 1000)
-    yield pd.DataFrame(out, columns=cols)
-
-
-def source_stream(stream: DataFrame) -> DataFrame:
-    """M5 (running failure rate per source) and M8 (event-time inactivity).
-    Needs a watermark on ``ts`` (see ``with_event_time``) and a ``source``
-    column: one key for the whole stream would be one task."""
-    if "source" not in stream.columns:
-        raise ValueError("the run log needs a source column")
-    return stream.select("source", "run_id", "ts", "is_valid").groupBy("source").applyInPandasWithState(
-        _source, ALERT_SCHEMA, _SRC_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # --------------------------------------------------------------------------
 # M13
 # --------------------------------------------------------------------------
@@ -201,35 +86,3 @@ def validate_stream(stream: DataFrame, rules: list, run_log_path: str, issues_pa
 def read_run_log(spark, run_log_path: str) -> DataFrame:
     """The run log written by ``validate_stream``, one row per run."""
     return spark.read.parquet(run_log_path).drop("run")
-
-
-# --------------------------------------------------------------------------
-# M2/M3: bounded per-metric history
-# --------------------------------------------------------------------------
-HISTORY_SCHEMA = T.StructType([
-    T.StructField("metric", T.StringType()),
-    T.StructField("history", T.ArrayType(T.StructType([
-        T.StructField("run_id", T.StringType()), T.StructField("ts", T.TimestampType()),
-        T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())]))),
-])
-_HIST_STATE = T.StructType([T.StructField("history", HISTORY_SCHEMA["history"].dataType)])
-
-
-def _history(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (metric,) = key
-    hist = list(state.get[0]) if state.exists and state.get[0] is not None else []
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "run_id"])
-    for row in batch.itertuples(index=False):
-        hist.append((row.run_id, row.ts, float(row.value), row.status))
-    hist = [tuple(h) for h in hist[-P.HISTORY_LENGTH:]]
-    state.update((hist,))
-    yield pd.DataFrame({"metric": [metric], "history": [hist]})
-
-
-def history_stream(stream: DataFrame) -> DataFrame:
-    """M3: the last 100 samples (with M2 status) per metric; state is at most
-    100 samples per metric.  Write with outputMode ``update``."""
-    samples = M.metric_samples(stream).select("metric", "run_id", F.col("ts").cast("timestamp").alias("ts"),
-                                              "value", "status")
-    return samples.groupBy("metric").applyInPandasWithState(
-        _history, HISTORY_SCHEMA, _HIST_STATE, "update", GroupStateTimeout.NoTimeout)

@@ -37,28 +37,6 @@ def _stream(spark, d):
     return src
 
 
-def test_degradation_stream_matches_batch(spark):
-    vals = [0.9, 0.85, 0.7, 0.95, 0.8, 0.6, 0.9, 0.9, 0.5, 0.6, 0.3, 0.9]
-    recs = [(i, True, 0, {"completeness": v, "accuracy": 1 - v / 2}) for i, v in enumerate(vals)]
-    df, d = _write_split(spark, recs, 4)
-    out = _run(spark, SM.degradation_stream(_stream(spark, d)), "deg_stream")
-    batch = M.degradation_alerts(df)
-    assert sorted(r["alert_id"] for r in rows(out)) == sorted(r["alert_id"] for r in rows(batch))
-    assert len(rows(batch)) > 0
-
-
-def test_source_stream_failure_rate_and_inactivity(spark):
-    recs = [(0, False, 0, {}), (1, True, 0, {}), (2, True, 0, {}), (3, True, 0, {}),
-            (200, True, 0, {}), (400, True, 0, {})]
-    df, d = _write_split(spark, recs, 3)
-    out = rows(_run(spark, SM.source_stream(SM.with_event_time(_stream(spark, d).selectExpr("*", "'a' AS source"), "1 minute")), "src_stream"))
-    fr = sorted(r["alert_id"] for r in out if r["alert_id"].startswith("anomaly_detected"))
-    assert fr == sorted(r["alert_id"] for r in rows(M.failure_rate_alerts(df)))
-    gaps = sorted(r["alert_id"] for r in out if r["alert_type"] == "system_error")
-    assert gaps == sorted(r["alert_id"] for r in rows(M.inactivity_alerts(df))) == [
-        "system_error:inactivity:4", "system_error:inactivity:5"]
-
-
 def test_run_stats_and_callback(spark):
     recs = [(i, i % 4 != 0, 12 if i % 5 == 0 else 0, {}) for i in range(20)]
     df, d = _write_split(spark, recs, 2)
@@ -101,17 +79,3 @@ def test_validate_stream_feeds_run_log(spark):
         assert len(ids) == len(set(ids)) == 6
         assert spark.read.parquet(os.path.join(out, "issues")).count() == 6
         shutil.rmtree(os.path.join(out, "ck2"))
-
-
-def test_history_stream_matches_batch(spark):
-    recs = [(i, True, 0, {"completeness": (i % 17) / 17, "accuracy": 0.9}) for i in range(130)]
-    df, d = _write_split(spark, recs, 3)
-    out = rows(_run(spark, SM.history_stream(_stream(spark, d)), "hist_stream", "update"))
-    last = {}
-    for r in out:  # update mode: the latest row per metric is the current history
-        last[r["metric"]] = r["history"]
-    batch = rows(M.history(df))
-    for metric in ("completeness", "accuracy"):
-        want = sorted((r["run_id"], r["status"]) for r in batch if r["metric"] == metric)
-        assert sorted((h["run_id"], h["status"]) for h in last[metric]) == want
-        assert len(last[metric]) == 100
