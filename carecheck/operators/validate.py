@@ -231,43 +231,48 @@ def batch_validate(df: DataFrame, rules: list[Rule], order_by: list[str], batch_
 
 
 def _batched(data: DataFrame, rules: list[Rule], batch_size: int, progress=None) -> tuple[DataFrame, DataFrame]:
-    spark = data.sparkSession
-    payload = data.drop("__row", "batch_num")
     counts = data.groupBy("batch_num").agg(F.count(F.lit(1)).alias("__n"))
     start = F.col("batch_num") * batch_size
     batches = counts.select("batch_num", start.alias("start_row"), (start + F.col("__n")).alias("end_row"))
+    issues = issues_by(data.drop("__row"), batches.select("batch_num"), rules, "batch_num", progress)
+    return issues, _with_counts(batches, issues)
+
+
+def issues_by(data: DataFrame, groups: DataFrame, rules: list[Rule], key: str, progress=None) -> DataFrame:
+    """The issues of each group of ``data[key]`` on its own; ``groups`` has the column ``key`` with one row per group."""
+    spark = data.sparkSession
+    payload = data.drop(key)
     checks, frames = [], []
     for k, r in enumerate(rules):
         try:
             if isinstance(r, DataQualityChecker):
                 checks.extend(r.missing_checks(payload))
                 if r.duplicates:
-                    d = duplicate_count(data.drop("__row"), ["batch_num"])
-                    frames.append(d.where("n_duplicates > 0").select(
-                        "batch_num", F.lit("duplicates").alias("check_id"), F.lit(r.name).alias("rule_name"),
+                    frames.append(duplicate_count(data, [key]).where("n_duplicates > 0").select(
+                        key, F.lit("duplicates").alias("check_id"), F.lit(r.name).alias("rule_name"),
                         F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("column_name"),
                         F.lit("duplicates").alias("metric"), F.col("n_duplicates").cast("long").alias("n_affected"),
                         F.lit(None).cast("long").alias("n_rows"),
                         F.format_string("Found %d duplicate rows", "n_duplicates").alias("message"), *no_cell()))
             elif isinstance(r, CustomValidator):
-                frames.extend(_user_batches(data, r, batches))
+                frames.extend(_user_batches(data, r, groups, key))
             else:
                 p = r.plan(payload)
                 if isinstance(r, RowCheck):  # a user's predicate: run now, so that only it can fail
-                    frames.append(shared_table(compile_checks_by(data, p.checks, ["batch_num"]), "issues"))
+                    frames.append(shared_table(compile_checks_by(data, p.checks, [key]), "issues"))
                 else:
                     checks.extend(p.checks)
-                # schema-level findings are the same in every batch
+                # schema-level findings are the same in every group
                 static = list(p.frames) + ([issue_rows(spark, p.rows)] if p.rows else [])
-                frames.extend(_per_batch(batches, f) for f in static)
-        except Exception as e:  # noqa: BLE001 - a failing rule is an issue of every batch
-            frames.append(_per_batch(batches, issue_rows(spark, [_failure_row(r.name, e, isinstance(r, CustomValidator))])))
+                frames.extend(_per_batch(groups, f, key) for f in static)
+        except Exception as e:  # noqa: BLE001 - a failing rule is an issue of every group
+            frames.append(_per_batch(groups, issue_rows(spark, [_failure_row(r.name, e, isinstance(r, CustomValidator))]), key))
         if progress:
             progress(getattr(r, "name", type(r).__name__), k + 1, len(rules))
-    parts = ([compile_checks_by(data, checks, ["batch_num"])] if checks else []) + frames
-    issues = (union_all([p.select("batch_num", *ISSUE_COLUMNS) for p in parts]) if parts
-              else empty_issues(spark).select(F.lit(0).cast("long").alias("batch_num"), *ISSUE_COLUMNS))
-    return issues, _with_counts(batches, issues)
+    parts = ([compile_checks_by(data, checks, [key])] if checks else []) + frames
+    if parts:
+        return union_all([p.select(key, *ISSUE_COLUMNS) for p in parts])
+    return empty_issues(spark).select(F.lit(None).cast(groups.schema[key].dataType).alias(key), *ISSUE_COLUMNS)
 
 
 def _with_counts(batches: DataFrame, issues: DataFrame) -> DataFrame:
@@ -278,27 +283,27 @@ def _with_counts(batches: DataFrame, issues: DataFrame) -> DataFrame:
                     (~F.coalesce("__err", F.lit(False))).alias("is_valid")))
 
 
-def _user_batches(data: DataFrame, r: CustomValidator, batches: DataFrame) -> list[DataFrame]:
-    """A user function's issues per batch, written as they are found."""
+def _user_batches(data: DataFrame, r: CustomValidator, groups: DataFrame, key: str) -> list[DataFrame]:
+    """A user function's issues per group, written as they are found."""
     if r.by_batch is not None:
-        out = r.by_batch(data.drop("__row"))
-        return [] if out is None else [shared_table(conform_issues(out, r.name, r.severity, ("batch_num",)), "issues")]
+        out = r.by_batch(data)
+        return [] if out is None else [shared_table(conform_issues(out, r.name, r.severity, (key,)), "issues")]
     frames = []
-    for b in [x["batch_num"] for x in batches.select("batch_num").orderBy("batch_num").toLocalIterator()]:
-        number = F.lit(b).cast("long").alias("batch_num")
+    for b in [x[key] for x in groups.orderBy(key).toLocalIterator()]:
+        number = F.lit(b).cast(groups.schema[key].dataType).alias(key)
         try:
-            for f in r.plan(data.where(F.col("batch_num") == b).drop("__row", "batch_num")).frames:
+            for f in r.plan(data.where(F.col(key) == b).drop(key)).frames:
                 frames.append(shared_table(f.select(number, *ISSUE_COLUMNS), "issues"))
-        except Exception as e:  # noqa: BLE001 - whatever the function raises, for this batch alone
+        except Exception as e:  # noqa: BLE001 - whatever the function raises, for this group alone
             frames.append(issue_rows(data.sparkSession, [_failure_row(r.name, e, True)]).select(number, *ISSUE_COLUMNS))
     return frames
 
 
-def _per_batch(batches: DataFrame, frame: DataFrame) -> DataFrame:
-    """Repeat schema-level issue rows (at most a few per column) in each batch:
-    the rows become one array value (scalar subquery) inlined per batch."""
+def _per_batch(groups: DataFrame, frame: DataFrame, key: str) -> DataFrame:
+    """Repeat schema-level issue rows (at most a few per column) in each group:
+    the rows become one array value (scalar subquery) inlined per group."""
     arr = frame.agg(F.collect_list(F.struct(*ISSUE_COLUMNS)).alias("a")).scalar()
-    return batches.select("batch_num", F.inline(arr))
+    return groups.select(key, F.inline(arr))
 
 
 # --------------------------------------------------------------------------

@@ -13,7 +13,7 @@ position-based operator takes ``order_by``; a hash of the row breaks ties.
    offsets: ``positions`` adds them to the row numbers, ``sums_before`` to a
    running sum inside the partition.
 3. ``earlier_rows``: ``lag`` inside a partition, and for its first rows a halo
-   of the last rows of earlier partitions.
+   of the last rows of earlier partitions; ``filled`` carries the last value over.
 """
 
 from __future__ import annotations
@@ -121,6 +121,18 @@ def earlier_rows(d: DataFrame, values: list[str], back: int, group: str | None =
     return out.withColumns(prev).drop("__first", *[f"__h{k}" for k in range(1, back + 1)])
 
 
+def filled(d: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the last value that is not null at or before each row."""
+    d = d.withColumn("__v", value)
+    part = d.where("__v is not null").groupBy(PART).agg(F.max_by("__v", ROW).alias("__end"))
+    part = d.select(PART).distinct().join(F.broadcast(part), PART, "left")  # one row per partition
+    upto = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = part.select(PART, F.last("__end", ignorenulls=True).over(upto).alias("__carry"))
+    here = Window.partitionBy(PART).orderBy(ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.join(F.broadcast(carry), PART).withColumn(name, F.coalesce(F.last("__v", ignorenulls=True).over(here), F.col("__carry")))
+            .drop("__v", "__carry"))
+
+
 def plain(d: DataFrame) -> DataFrame:
     """Without the columns that ``ranges`` added."""
     return d.drop(TIE, PART, ROW)
