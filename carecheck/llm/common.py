@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not paths]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    while paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and
     survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- spans
+MATCHES = 512  # matches of a text whose positions are added up one by one
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of all leftmost non-overlapping matches, in code
     points.  The text between matches (``split``) and the matches themselves
     (``regexp_extract_all``) come from the same left-to-right search, so the
-    running sum of their lengths gives the positions; linear in the text.
-    ``pattern`` must not match the empty string."""
+    running sum of their lengths gives the positions.  It runs over blocks of
+    ``MATCHES`` matches and then inside each block, as appending to one array
+    of all would copy it for every match; linear in any text that has less
+    than some millions of matches.  ``pattern`` must not match the empty string."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("int").alias("at"),
-                    F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    spans = "array<struct<s:int,e:int,m:string>>"
+
+    def grown(acc, length):  # the running sums so far, the last one first in reach
+        return F.struct((acc["at"] + length).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def step(acc, x):
         s = acc["at"] + F.length(x["g"])
@@ -61,8 +93,24 @@ def match_spans(text: Column, pattern: str) -> Column:
         return F.struct(e.alias("at"),
                         F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
+    def length(block):
+        return F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["m"]))
+
+    def block_spans(blocks):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(F.transform(blocks, length), zero, grown, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])))
+
+    def blocks(pairs):
+        first = F.sequence(F.lit(1), F.size(pairs), F.lit(MATCHES))
+        return F.when(F.size(pairs) > 0, F.transform(first, lambda k: F.slice(pairs, k, MATCHES))).otherwise(F.array())
+
+    def once(value, f):  # what is used several times is made once
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.coalesce(once(pairs, lambda p: once(blocks(p), block_spans)), F.array().cast(spans))
 
 
 # ---------------------------------------------------------------- prefilter
@@ -152,8 +200,10 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     components as all such links, from ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
     is compared."""
     by_sig = W.partitionBy("sig")
+    # a group of two is its one link: neither its signature nor its smallest id is needed again
     groups = stored(rows.withColumn("rep", F.min("id").over(by_sig)).withColumn("members", F.count(F.lit(1)).over(by_sig))
-                    .filter("members > 1"), "groups")
+                    .filter("members > 2 or (members = 2 and id <> rep)")
+                    .select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
     stars = groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     if same is not None:
         stars = (stars.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").filter("x <> y")
@@ -166,7 +216,7 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
         roots = same.join(roots, "same", "left").select("id", "same", F.coalesce("root", "same").alias("root"))
     else:
         roots = roots.select(F.col("same").alias("id"), "same", "root")
-    apart = (groups.filter("members > 2").select("sig", "rep", "id").join(roots, "id", "left")
+    apart = (groups.filter("sig is not null").select("sig", "rep", "id").join(roots, "id", "left")
              .select("sig", "rep", F.coalesce("same", "id").alias("id"), F.coalesce("root", "id").alias("root"))
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
              .filter("low <> high").select("sig", "rep", "id", "root").distinct())
