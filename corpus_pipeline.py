@@ -7,11 +7,13 @@ pass through each stage as its operator's docstring says.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carecheck.llm import jaccard_join, language_id, line_dedup, mixing, piece_tokens
-from carecheck.llm.common import stored
+from carecheck.llm.common import discard, recorded, shared_dir
 from carecheck.llm.queries import piece_model
 
 ORACLE_SQL = None  # automata, MinHash and the tokenizer have no SQL form; tests hold the stages against brute force
@@ -46,17 +48,36 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_tokens.training_tokens(docs, piece_model())
 
 
+_left: list[str] = []  # tables that earlier steps of this driver wrote for themselves
+
+
+def step(stage):
+    """``stage``, which first deletes the intermediate tables of the stages before it: what they returned, its
+    input, has been written by then."""
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        with recorded() as own:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(own)
+        return out
+
+    return run_step
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("ngram_jaccard_join", dedup_documents),
-    ("mixing", mix_sources),
-    ("sentencepiece", tokenize),
+    ("language_id", step(identify_language)),
+    ("line_dedup", step(dedup_lines)),
+    ("ngram_jaccard_join", step(dedup_documents)),
+    ("mixing", step(mix_sources)),
+    ("sentencepiece", step(tokenize)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
