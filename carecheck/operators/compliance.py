@@ -313,6 +313,29 @@ def standards_report(df: DataFrame, issues: DataFrame, standards: list[str] | No
     return both.select(F.inline(F.array(*structs)))
 
 
+def merged_report(df: DataFrame, issues: DataFrame, report: ComplianceReport, standards: list[str] | None = None,
+                  template: str | None = None) -> DataFrame:
+    """C18 in full: ``part, name, score, n``.  The rows (part ``standard``) of ``standards_report``, with those
+    that the engine scores itself taken from ``report`` (hipaa, gdpr, fda and the three coding standards as
+    ``medical_coding``: their mean score and summed count); one row ``overall`` (name: the risk level, n: all
+    violations) and, with a template, one row ``template``."""
+    engine = report.scores()
+    coding = F.col("standard").isin(*P.CODING_CHECKS)
+    own = engine.where(~coding).select("standard", "score", F.col("violations_count").alias("n"))
+    own = own.unionByName(engine.where(coding).agg(F.avg("score").alias("score"), F.sum("violations_count").alias("n"))
+                          .select(F.lit("medical_coding").alias("standard"), "score", "n"))
+    rest = standards_report(df, issues, standards).where(~F.col("standard").isin("hipaa", "gdpr", "fda"))
+    rows = own.unionByName(rest.select("standard", "score", F.col("n_issues").alias("n")))
+    total = report.overall()
+    out = (rows.select(F.lit("standard").alias("part"), F.col("standard").alias("name"), "score", F.col("n").cast("long").alias("n"))
+           .unionByName(total.select(F.lit("overall").alias("part"), F.col("risk_level").alias("name"), F.col("overall_score").alias("score"),
+                                     F.col("total_violations").cast("long").alias("n"))))
+    if template is None:
+        return out
+    return out.unionByName(total.select(F.lit("template").alias("part"), F.lit(template).alias("name"),
+                                        F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n")))
+
+
 def cli_standards_report(issues: DataFrame) -> DataFrame:
     """C20: per-standard issue counts from messages (both ICD-10 spellings, Quirk 15)."""
     msg = F.col("message")

@@ -9,6 +9,8 @@ one aggregation by the orchestrator.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -202,3 +204,70 @@ def rule_exists(store: DataFrame, ruleset: str, rule_id: str) -> bool:
 def load_rules(store: DataFrame, ruleset: str = "custom") -> list[CustomRule]:
     """Chosen rule rows (small) compiled for the compliance engine."""
     return rules_from_rows(store.where(F.col("ruleset") == ruleset).collect())
+
+
+class RuleStore:
+    """A rule table in a folder that several writers change safely.
+
+    Every change is one commit: a folder ``v<number>`` with the rows that it
+    adds (a deleted rule is a row without a pattern).  The rows are written to
+    a folder of their own first and then renamed to the next number; the
+    rename fails when another writer has taken that number, and the change is
+    tried again on top of it (this needs a file system whose folder renames
+    are atomic, as HDFS and local ones are).  Readers take a snapshot: the commits up to a
+    number, the highest one winning by (ruleset, rule_id)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._at = jvm.Path
+        self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The number of the last commit; 0 before any."""
+        if not self._fs.exists(self._at(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
+        return max([0, *[int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]])
+
+    def _commits(self, version: int) -> DataFrame:
+        if not version:
+            return empty_rule_store(self.spark)
+        return self.spark.read.schema(empty_rule_store(self.spark).schema).parquet(*[f"{self.path}/v{k:012d}" for k in range(1, version + 1)])
+
+    def snapshot(self, version: int | None = None) -> DataFrame:
+        """The rules as of a commit (the last one if not given)."""
+        rows = self._commits(self.version() if version is None else version)
+        w = Window.partitionBy("ruleset", "rule_id").orderBy(F.col("version").desc())
+        return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1 and pattern is not null").drop("__rn")
+
+    def _commit(self, rows, retries: int = 20) -> int:
+        """``rows(version)`` gives the rows of a commit, None when there is nothing to do."""
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        for _ in range(retries):
+            number = self.version() + 1
+            new = rows(number)
+            if new is None:
+                return 0
+            new.coalesce(1).write.mode("overwrite").parquet(staged)  # the rows of one change
+            target = self._at(f"{self.path}/v{number:012d}")
+            # renaming into an existing folder would move below it: the number must be free and stay so
+            if not self._fs.exists(target) and self._fs.rename(self._at(staged), target):
+                below = self._at(target, staged.rsplit("/", 1)[-1])
+                if not self._fs.exists(below):
+                    return number
+                self._fs.rename(below, self._at(staged))  # another writer was there first
+        raise RuntimeError("the rule store is changed by others all the time")
+
+    def upsert(self, rules: list[CustomRule], ruleset: str = "custom") -> int:
+        """Adds or replaces rules by name; the commit's number."""
+        return self._commit(lambda number: rule_rows(self.spark, rules, ruleset, number))
+
+    def delete(self, rule_id: str, ruleset: str = "custom") -> bool:
+        """Removes a rule by name; False when there is none (the reference answers 404)."""
+        def gone(number):
+            if not rule_exists(self.snapshot(number - 1), ruleset, rule_id):
+                return None
+            return self.spark.createDataFrame([(ruleset, rule_id, None, None, None, None, None, number)], RULE_CATALOG_SCHEMA)
+
+        return bool(self._commit(gone))

@@ -1601,3 +1601,6 @@ def q_covid_clean(spark, d):
                   for i, r in enumerate(P.AUDIT_FIXED_RECOMMENDATIONS)))
 def q_audit_recs(spark, d):
     return H.audit_recommendations(H.plaintext_audit(_t(spark, d, "pages"))[0])
+
+
+from carecheck import registry_more  # noqa: E402,F401 - registers its queries here

@@ -111,18 +111,20 @@ def result_json(issues: DataFrame) -> DataFrame:
         F.count_if(s == "warning").alias("warning_count"), F.count_if(s == "info").alias("info_count"))
 
 
-def result_document(issues: DataFrame) -> DataFrame:
-    """K1: one JSON text with validity, counts and the issue list.  The list
+def result_document(issues: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """K1: one JSON text with validity, counts, the issue list and, when given,
+    the one-row ``summary`` (``validate.summarize``).  The list
     is bounded by the number of checks (not by the data) for a single
     validation; batch validations should write ``issues`` as a table instead."""
     s = F.col("severity")
+    more = [] if summary is None else [summary.select(F.struct(*summary.columns)).scalar().alias("summary")]
     return issues.agg(
         F.to_json(F.struct(
             (~F.coalesce(F.bool_or(s == "error"), F.lit(False))).alias("is_valid"),
             F.count(F.lit(1)).alias("total_issues"), F.count_if(s == "error").alias("error_count"),
             F.count_if(s == "warning").alias("warning_count"), F.count_if(s == "info").alias("info_count"),
             F.collect_list(F.struct("severity", "message", F.col("column_name").alias("column"),
-                                    F.col("rule_name"), "row", "value")).alias("issues"))).alias("json"))
+                                    F.col("rule_name"), "row", "value")).alias("issues"), *more)).alias("json"))
 
 
 def write_issues(issues: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
