@@ -9,6 +9,7 @@ pseudonyms (A1a/A1d), which use the distributed row index.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
 from carecheck.plans.rowindex import with_row_index
+from carecheck.session import shared_table
 
 
 def _found(t: Column, pat: str) -> Column:
@@ -30,12 +32,13 @@ def phi_inventory(df: DataFrame, patterns: dict[str, str] | None = None, k: int
     """H1: (column_name, phi_type, pattern, instances, sample_values) for every
     (column, type) with at least one matching row.
 
-    Pass 1 is one fused aggregate of all (column, type) counts.  Its result
-    has a fixed size (one integer per column and PHI type, independent of the
-    data volume) and is used to plan pass 2, which evaluates only the
-    predicates that matched somewhere and takes their first ``k`` values by
-    ``order_by`` (default: by value) with a partial per-task top-k before the
-    shuffle."""
+    With ``order_by`` every pattern is evaluated once per value: one scan writes
+    the keys of rows with any hit and, per column, a bit for each type.  Counts
+    and the keys of each check's first ``k`` rows (a partial top-k per task)
+    come from that table; the values are then read for these few rows only
+    (``k`` per column and type, which bounds the broadcast).  Without
+    ``order_by`` the first values are the smallest ones: one scan counts, a
+    second one evaluates the patterns that matched somewhere."""
     spark = df.sparkSession
     patterns = patterns or P.HIPAA_PHI_PATTERNS
     checks = []
@@ -43,20 +46,53 @@ def phi_inventory(df: DataFrame, patterns: dict[str, str] | None = None, k: int
         t = E.as_text(f.name, f.dataType)
         for ptype, pat in patterns.items():
             checks.append((f.name, ptype, pat, _found(t, pat), t))
-    counts = df.agg(*[F.count_if(h).alias(f"c{i}") for i, (_, _, _, h, _) in enumerate(checks)]).first()
-    live = [(c, pt, pat, h, t, int(counts[f"c{i}"])) for i, (c, pt, pat, h, t) in enumerate(checks)
+    hits = _hits(df, checks, order_by) if order_by else None
+    counts = (df.agg(*[F.count_if(h).alias(f"c{i}") for i, (_, _, _, h, _) in enumerate(checks)]) if hits is None else
+              hits.agg(*[F.count_if(_bit(i)).alias(f"c{i}") for i in range(len(checks))])).first()
+    live = [(c, pt, pat, h, t, int(counts[f"c{i}"]), i) for i, (c, pt, pat, h, t) in enumerate(checks)
             if counts[f"c{i}"]]
     schema = "column_name string, phi_type string, pattern string, instances long"
-    inv = spark.createDataFrame([(c, pt, pat, n) for c, pt, pat, _, _, n in live], schema)
+    inv = spark.createDataFrame([(c, pt, pat, n) for c, pt, pat, _, _, n, _ in live], schema)
     if not live:
         return inv.withColumn("sample_values", F.lit(None).cast("array<string>"))
-    samples = _first_values(df, [(f"{c}\u0000{pt}", h, t) for c, pt, _, h, t, _ in live], k, order_by)
+    few = df if hits is None else _first_rows(df, hits, [i for *_, i in live], k, order_by)
+    samples = _first_values(few, [(f"{c}\u0000{pt}", h, t) for c, pt, _, h, t, _, _ in live], k, order_by)
     samples = samples.select(F.split_part("__cid", F.lit("\u0000"), F.lit(1)).alias("column_name"),
                              F.split_part("__cid", F.lit("\u0000"), F.lit(2)).alias("phi_type"),
                              "sample_values")
     return inv.join(F.broadcast(samples), ["column_name", "phi_type"], "left")
 
 
+BITS = 62  # checks per integer of the hit table
+
+
+def _bit(i: int) -> Column:
+    return F.col(f"__b{i // BITS}").bitwiseAND(F.lit(1 << i % BITS)) != 0
+
+
+def _hits(df: DataFrame, checks: list[tuple], order_by: list[str]) -> DataFrame:
+    """The keys of the rows that meet any check, with a bit for each check; a written table."""
+    words = []
+    for lo in range(0, len(checks), BITS):
+        one = [F.when(h, F.lit(1 << n)).otherwise(F.lit(0)) for n, (_, _, _, h, _) in enumerate(checks[lo:lo + BITS])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), [x.cast("long") for x in one]).alias(f"__b{lo // BITS}"))
+    keys = [F.col(E.quote(o)).alias(f"__k{n}") for n, o in enumerate(order_by)]
+    any_hit = reduce(lambda a, b: a | b, [F.col(f"__b{n}") != 0 for n in range(len(words))])
+    return shared_table(df.select(*keys, *words).where(any_hit), "phi-hits")
+
+
+def _first_rows(df: DataFrame, hits: DataFrame, checks: list[int], k: int, order_by: list[str]) -> DataFrame:
+    """The rows of ``df`` that can be among the first ``k`` of a check."""
+    from pyspark.sql import Window
+    keys = [F.col(f"__k{n}") for n in range(len(order_by))]
+    met = F.filter(F.array(*[F.when(_bit(i), F.lit(i)) for i in checks]), lambda x: x.isNotNull())
+    each = hits.select(*keys, F.explode(met).alias("__check"))
+    w = Window.partitionBy("__check").orderBy(*keys)
+    first = each.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).select(*keys).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(E.quote(o)).eqNullSafe(F.col(f"__k{n}")) for n, o in enumerate(order_by)])
+    return df.join(F.broadcast(first), same, "left_semi")  # k rows per check at most
+
+
 def _first_values(df: DataFrame, items: list[tuple[str, Column, Column]], k: int,
                   order_by: list[str] | None) -> DataFrame:
     """For each (id, predicate, value): first ``k`` values where predicate holds."""

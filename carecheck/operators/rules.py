@@ -13,6 +13,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carecheck.functions import exprs as E
 from carecheck.functions import patterns as P
@@ -274,7 +275,9 @@ def parse_timestamp(name: str, dt, formats: list[str] | None = None) -> Column:
     if E.is_temporal(dt):
         return c.cast("timestamp")
     if E.is_numeric(dt):
-        return F.timestamp_micros((E.clean(name, dt) / 1000).cast("long"))
+        return F.timestamp_micros((E.clean(name, dt) / 1000).try_cast("long"))  # beyond the range of times: NULL
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.BooleanType)):
+        raise TypeError(f"{dt.simpleString()} is not convertible to a date")
     text = c.cast("string")
     fmts = formats or DEFAULT_DATE_FORMATS
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in fmts]
@@ -293,35 +296,48 @@ class DateValidator(Rule):
         self.min_date, self.max_date, self.formats = min_date, max_date, formats
 
     def plan(self, df: DataFrame) -> RulePlan:
+        """A column whose checks cannot be planned or whose format is no format becomes an ``error`` of its
+        own (V10d); the other columns proceed in the same scan.  While it runs no check can fail: values go
+        through ``try_`` functions and count as invalid where they do not parse."""
         types = {f.name: f.dataType for f in df.schema.fields}
-        checks = []
+        out = RulePlan()
         for col in self.date_columns:
             if col not in types:
                 continue
-            ts = parse_timestamp(col, types[col], self.formats)
-            raw = F.col(E.quote(col))
-            checks.append(Check(
-                check_id=f"date_invalid:{col}", rule_name=self.name, column=col, metric="invalid_date",
-                agg=F.count_if(raw.isNotNull() & ts.isNull()), severity="error",
-                message=lambda n, rows, col=col: F.format_string(
-                    "Column '%s' has %d invalid date values", F.lit(col), n)))
-            if self.min_date:
-                lo = F.to_timestamp(F.lit(self.min_date))
-                day = self.min_date[:10]
-                checks.append(Check(
-                    check_id=f"date_min:{col}", rule_name=self.name, column=col, metric="before_min",
-                    agg=F.count_if(ts < lo), severity="warning",
-                    message=lambda n, rows, col=col, day=day: F.format_string(
-                        f"Column '%s' has %d dates before {day}", F.lit(col), n)))
-            if self.max_date:
-                hi = F.to_timestamp(F.lit(self.max_date))
-                day = self.max_date[:10]
+            try:
+                ts = parse_timestamp(col, types[col], self.formats)
+                own = self._column_checks(col, ts)
+                df.select(*[c.agg for c in own])  # analysis, no job
+                self._bounds_and_formats(df)
+                out.checks += own
+            except Exception as e:  # noqa: BLE001 - whatever is wrong with this column
+                text = str(e).splitlines()[0] if str(e) else repr(e)
+                out.rows.append((f"date_failed:{col}", self.name, "error", col, "failure", None, None,
+                                 f"Failed to validate dates in column '{col}': {text}", None))
+        return out
+
+    def _bounds_and_formats(self, df: DataFrame) -> None:
+        """Raises where a bound is no time or a format cannot be used: constants, evaluated without a job."""
+        probes = [F.to_timestamp(F.lit(x)) for x in (self.min_date, self.max_date) if x]
+        probes += [F.try_to_timestamp(F.lit("2000-01-01"), F.lit(f)) for f in self.formats or []]
+        if probes:
+            df.sparkSession.sql("SELECT 1").select(*probes).collect()
+
+    def _column_checks(self, col: str, ts: Column) -> list[Check]:
+        raw = F.col(E.quote(col))
+        checks = [Check(
+            check_id=f"date_invalid:{col}", rule_name=self.name, column=col, metric="invalid_date",
+            agg=F.count_if(raw.isNotNull() & ts.isNull()), severity="error",
+            message=lambda n, rows: F.format_string("Column '%s' has %d invalid date values", F.lit(col), n))]
+        for bound, name, word, op in ((self.min_date, "min", "before", lambda a, b: a < b), (self.max_date, "max", "after", lambda a, b: a > b)):
+            if bound:
+                day = bound[:10]
                 checks.append(Check(
-                    check_id=f"date_max:{col}", rule_name=self.name, column=col, metric="after_max",
-                    agg=F.count_if(ts > hi), severity="warning",
-                    message=lambda n, rows, col=col, day=day: F.format_string(
-                        f"Column '%s' has %d dates after {day}", F.lit(col), n)))
-        return RulePlan(checks=checks)
+                    check_id=f"date_{name}:{col}", rule_name=self.name, column=col, metric=f"{word}_{name}",
+                    agg=F.count_if(op(ts, F.to_timestamp(F.lit(bound)))), severity="warning",
+                    message=lambda n, rows, word=word, day=day: F.format_string(
+                        f"Column '%s' has %d dates {word} {day}", F.lit(col), n)))
+        return checks
 
 
 # --------------------------------------------------------------------------

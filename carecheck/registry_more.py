@@ -372,3 +372,18 @@ def q_revalidated_leaves(spark, d):
     none = V.issues_by(now.limit(0).withColumn("leaf", F.lit("")), now.limit(0).select(F.lit("").alias("leaf")), rules, "leaf")
     issues, tree, _ = X.revalidate_leaves(old, rules, ["o_orderkey"], X.empty_tree(spark), none, _LEAF)
     return X.revalidate_leaves(now, rules, ["o_orderkey"], tree, X.shared_table(issues, "issues"), _LEAF)[0].select("leaf", "n_affected")
+
+
+_FAULTS = ["o_orderkey", "o_orderdate AS ship", "o_totalprice * 1e300 AS number", "substr(CAST(o_orderdate AS STRING), 1, 10) AS day"]
+
+
+@query("date_faults", "SELECT check_id, severity, column_name, CAST(n AS BIGINT) AS n_affected FROM ("
+       "SELECT 'date_failed:visits' AS check_id, 'error' AS severity, 'visits' AS column_name, NULL AS n UNION ALL "
+       "SELECT 'date_invalid:number', 'error', 'number', count(number) FROM " + _sql_derive("orders", _FAULTS) + " UNION ALL "
+       "SELECT 'date_min:ship', 'warning', 'ship', count_if(ship < TIMESTAMP '1995-01-01') FROM " + _sql_derive("orders", _FAULTS) + " UNION ALL "
+       "SELECT 'date_min:day', 'warning', 'day', count_if(CAST(day AS TIMESTAMP) < TIMESTAMP '1995-01-01') FROM " + _sql_derive("orders", _FAULTS)
+       + ") WHERE n IS NULL OR n > 0")
+def q_date_faults(spark, d):
+    """V10d: a column that holds no dates is an error, numbers beyond any time are invalid, the other columns proceed."""
+    df = _derive(spark, d, "orders", _FAULTS).withColumn("visits", F.array("ship"))
+    return V.validate(df, [R.DateValidator(["visits", "number", "ship", "day", "absent"], "1995-01-01")]).issues.select(*FOUND)
