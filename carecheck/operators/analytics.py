@@ -2,7 +2,7 @@
 T1-T2, statistical summary X1-X5, chart aggregates G1-G4.
 
 Two passes at most: pass 1 computes quantile bounds for the numeric columns
-(one distributed sort, see ``plans.quantiles``); pass 2 is one fused
+(one written range partition, see ``plans.quantiles``); pass 2 is one fused
 aggregate for everything else, reading the bounds from a broadcast one-row
 table.  Results are DataFrames of metrics / anomalies / trends.
 """
@@ -97,8 +97,10 @@ class Profile:
     """Lazy holder for the fused pass-2 aggregate of a table."""
 
     def __init__(self, df: DataFrame, time_column: str | None = None, as_of: str | None = None,
-                 exact: bool = True, strict: bool = True):
+                 exact: bool = True, strict: bool = True, json_columns: list[str] | None = None):
+        """``json_columns`` hold JSON values, whose types Q2 and N3 compare; other columns have one type each."""
         self.df = df
+        self.json_columns = list(json_columns or [])
         self.types = _types(df)
         self.num = numeric_columns(df, strict)
         self.dts = datetime_columns(df)
@@ -112,6 +114,8 @@ class Profile:
             aggs.append(F.count_if(E.is_missing(f.name, f.dataType)).alias(f"__m{i}"))
         for i, c in enumerate(self.num):
             aggs.append(F.count_if(F.coalesce(_outlier(c, self.types[c], i, b), F.lit(False))).alias(f"__o{i}"))
+        for i, c in enumerate(self.json_columns):  # a set of type names: bounded
+            aggs.append(F.collect_set(_value_type(c)).alias(f"__j{i}"))
         if self.dts:
             aggs.append(F.max(F.col(E.quote(self.dts[0]))).alias("__tmax"))
         self.one = df.agg(*aggs)
@@ -126,8 +130,8 @@ class Profile:
         return 1 - F.try_divide(total.cast("double"), (F.col("__rows") * nf).cast("double"))
 
     def _consistency(self) -> Column:
-        # typed Spark columns hold one value type each (see ``consistency`` for JSON text)
-        return F.lit(1.0)
+        mixed = [F.when(F.size(f"__j{i}") > 1, 0.5).otherwise(0.0) for i in range(len(self.json_columns))]
+        return F.lit(1.0) - _sum(mixed) / len(self.fields) if mixed else F.lit(1.0)
 
     def _accuracy(self) -> Column:
         nf = len(self.fields)
@@ -197,6 +201,14 @@ class Profile:
                                 F.lit(f.name), share * 100).alias("description"),
                 F.lit("Investigate data collection process for this column").alias("recommendation"),
                 rows.alias("n_affected"), ((nonnull > 0) & (share > 0.2)).alias("__on")))
+            if f.name in self.json_columns:
+                found = F.array_sort(F.col(f"__j{self.json_columns.index(f.name)}"))
+                structs.append(F.struct(
+                    F.lit(f.name).alias("column_name"), F.lit("data_type_mismatch").alias("anomaly_type"),
+                    F.lit("medium").alias("severity"),
+                    F.format_string("Mixed data types detected in column '%s': %s", F.lit(f.name), F.array_join(found, ", ")).alias("description"),
+                    F.lit("Standardize data types for consistency").alias("recommendation"),
+                    nonnull.alias("n_affected"), (F.size(found) > 1).alias("__on")))
         if not structs:
             return self.df.sparkSession.createDataFrame(
                 [], "column_name string, anomaly_type string, severity string, description string, "
@@ -220,11 +232,15 @@ def severity_for(metric: str, value: Column) -> Column:
 # --------------------------------------------------------------------------
 # N3 / Q2 on semi-structured values
 # --------------------------------------------------------------------------
+def _value_type(column: str) -> Column:
+    return F.schema_of_variant(F.try_parse_json(F.col(E.quote(column))))
+
+
 def value_type_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, value_type, n) for string columns holding JSON values."""
     cols = columns or string_columns(df)
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.schema_of_variant(F.try_parse_json(F.col(E.quote(c)))).alias("value_type"))
+                             _value_type(c).alias("value_type"))
                     for c in cols])
     return (df.select(F.explode(arr).alias("s")).where(F.col("s.value_type").isNotNull())
             .groupBy("s.column_name", "s.value_type").agg(F.count(F.lit(1)).alias("n")))
@@ -434,11 +450,11 @@ def issues_per_column(issues: DataFrame) -> DataFrame:
 # Full report
 # --------------------------------------------------------------------------
 def full_report(df: DataFrame, time_column: str | None = None, tie_breaker: list[str] | None = None,
-                as_of: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
+                as_of: str | None = None, exact: bool = True, json_columns: list[str] | None = None) -> dict[str, DataFrame]:
     """Quality metrics (with overall score), anomalies, trends and the
     statistical summaries of one table, as DataFrames.  The quantile pass is
     shared by the metrics and anomalies (one ``Profile``)."""
-    p = Profile(df, time_column, as_of, exact)
+    p = Profile(df, time_column, as_of, exact, json_columns=json_columns)
     cat, top = categorical_summary(df)
     return {
         "quality_metrics": p.metrics(),

@@ -251,6 +251,29 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
     return ComplianceReport(one, structs, vhits, total, template, F.col("__rows"), fda_rows)
 
 
+def rule_violations(df: DataFrame, rules: DataFrame, polarity: str = "match") -> DataFrame:
+    """C13 for rule sets of any size: the CUSTOM violations of ``rules`` (rows of ``RULE_CATALOG_SCHEMA``).
+
+    One expression per rule and column would make a plan of a million expressions.  Here the plan is the
+    same for any number of rules: each distinct (column, value) pair meets the rules whose field pattern
+    fits the column (a join on the column, both sides by rows) and the pattern is a column of that join.
+    Partial aggregation keeps one row per rule and column and task.  Values are de-duplicated first, so a
+    frequent value is tried once."""
+    text = [F.struct(F.lit(f.name).alias("field"), E.as_text(f.name, f.dataType).alias("value")) for f in df.schema.fields]
+    fields = df.sparkSession.createDataFrame([(f.name,) for f in df.schema.fields], "field string")  # the schema
+    fits = F.col("field_pattern").isNull() | F.regexp_like("field", F.concat(F.lit("(?i)"), F.coalesce("field_pattern", F.lit(""))))
+    r = rules.select("rule_id", "description", "pattern", "severity", "field_pattern", "recommendation").distinct()
+    targets = r.select(F.explode(F.array(*[F.lit(f.name) for f in df.schema.fields])).alias("field"), "rule_id", "pattern", "field_pattern").where(fits)
+    targets = targets.join(F.broadcast(fields), "field").select("field", "rule_id", F.concat(F.lit(E.rx("")), "pattern").alias("pattern"))
+    values = df.select(F.explode(F.array(*text)).alias("x")).select("x.*").where("value is not null").distinct()
+    met = F.regexp_like("value", "pattern")
+    hits = values.join(targets, "field").where(met if polarity == "match" else ~met).select("rule_id", "field").distinct()
+    return hits.join(r, "rule_id").select(
+        F.lit("CUSTOM").alias("standard"), "rule_id", "severity", "field",
+        F.concat(F.lit("Custom rule '"), "rule_id", F.lit("' violation: "), F.coalesce("description", F.lit(""))).alias("message"),
+        F.coalesce("recommendation", F.lit(P.DEFAULT_CUSTOM_RECOMMENDATION)).alias("recommendation"))
+
+
 def sum_cols(cols: list[Column]) -> Column:
     out = cols[0]
     for c in cols[1:]:

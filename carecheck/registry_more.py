@@ -16,8 +16,9 @@ from carecheck.operators import phi as H
 from carecheck.operators import prep
 from carecheck.operators import rules as R
 from carecheck.operators import rulesets as RS
+from carecheck.operators import sketches as K
 from carecheck.operators import validate as V
-from carecheck.registry import (_COMPAT_VALUES, _ORD_NULLS, _RL, DOC_COLS, ORACLE_PHI_VALUE, _actions, _derive, _pandas_type_sql, _scores_sql,
+from carecheck.registry import (_COMPAT_VALUES, _ORD_NULLS, _RL, DOC_COLS, JSON_MIX, ORACLE_PHI_VALUE, _actions, _derive, _pandas_type_sql, _scores_sql,
                                 _sql_derive, _t, _violations_sql, _widened_type_sql, query, rm, run_log, sq)
 from carecheck.session import shared_dir
 from carecheck.sources import io as S
@@ -387,3 +388,68 @@ def q_date_faults(spark, d):
     """V10d: a column that holds no dates is an error, numbers beyond any time are invalid, the other columns proceed."""
     df = _derive(spark, d, "orders", _FAULTS).withColumn("visits", F.array("ship"))
     return V.validate(df, [R.DateValidator(["visits", "number", "ship", "day", "absent"], "1995-01-01")]).issues.select(*FOUND)
+
+
+# ==========================================================================
+# C13 as rows, X3/X4 from sketches, X5
+# ==========================================================================
+@query("rule_rows", _violations_sql("documents", DOC_COLS, _STORED, builtin=False))
+def q_rule_rows(spark, d):
+    """Rules joined as rows, for rule sets too large to compile."""
+    return C.rule_violations(_t(spark, d, "documents"), RS.rule_rows(spark, _STORED))
+
+
+_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("merged_sketches", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n_rows, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS low, max({c}) AS high, "
+    "true AS quantiles_within, CAST(NULL AS VARCHAR) AS top_value, CAST(NULL AS BIGINT) AS top_n FROM lineitem" for c in _LI) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}', (SELECT count(*) FROM lineitem), NULL, NULL, NULL, NULL, true, v, n FROM (SELECT {c} AS v, count(*) AS n FROM lineitem GROUP BY 1 "
+    "ORDER BY n DESC LIMIT 1)" for c in ("l_returnflag", "l_linestatus")) + ")")
+def q_merged_sketches(spark, d):
+    """One sketch per year of shipment, stored and merged; the quantiles' ranks are held against a count."""
+    t = _t(spark, d, "lineitem").select(*_LI, "l_returnflag", "l_linestatus", "l_shipdate")
+    path = _folder(spark, "sketches")
+    years = [r[0] for r in t.select(F.year("l_shipdate").alias("y")).distinct().collect()]  # a batch each
+    for y in years:
+        K.sketch(t.where(F.year("l_shipdate").eqNullSafe(F.lit(y))).drop("l_shipdate"), str(y)).write.mode("append").parquet(path)
+    m = K.merge(spark.read.parquet(path))
+    num, (_, top) = K.numeric_summary(m), K.categorical_summary(m, 1)
+    q = {r["column_name"]: r for r in num.collect()}  # one row per column
+    n = F.count(F.lit(1))
+    ok = [F.struct(F.lit(c).alias("column_name"), _within(c, q[c], n).alias("ok")) for c in _LI]
+    ok = t.agg(F.array(*ok).alias("a")).select(F.inline("a"))
+    rows = m.select("column_name", "n_rows", F.round("mean", 4).alias("mean"), "low", "high").join(
+        num.select("column_name", F.round("std", 4).alias("std")), "column_name", "left").join(ok, "column_name", "left").join(
+        top.select("column_name", F.col("value").alias("top_value"), F.col("n").alias("top_n")), "column_name", "left")
+    return rows.select("column_name", "n_rows", "mean", "std", "low", "high", F.coalesce("ok", F.lit(True)).alias("quantiles_within"), "top_value", "top_n")
+
+
+def _within(c: str, q, n):
+    """Do the ranks of the quartiles lie within the stated error?"""
+    ok = F.lit(True)
+    for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
+        ok = ok & (F.count_if(F.col(c) < q[name]) <= (p + K.RANK_ERROR) * n) & (F.count_if(F.col(c) <= q[name]) >= (p - K.RANK_ERROR) * n)
+    return ok
+
+
+_MIXED = _sql_derive("events", JSON_MIX)
+
+
+@query("full_report", "SELECT 'anomaly' AS part, column_name AS name, 'data_type_mismatch' AS kind, n AS value FROM (SELECT column_name, count(t) * 1.0 AS n FROM "
+       f"(SELECT 'payload' AS column_name, json_type(payload) AS t FROM {_MIXED} UNION ALL SELECT 'props', json_type(props) FROM {_MIXED}) "
+       "GROUP BY 1 HAVING count(DISTINCT t) > 1) UNION ALL SELECT 'metric', 'consistency', 'value', round((3 - 0.5 * count(*)) / 3.0, 6) FROM (SELECT column_name "
+       f"FROM (SELECT 'payload' AS column_name, json_type(payload) AS t FROM {_MIXED} UNION ALL SELECT 'props', json_type(props) FROM {_MIXED}) GROUP BY 1 "
+       f"HAVING count(DISTINCT t) > 1) UNION ALL SELECT 'info', 'rows', 'value', count(*) FROM {_MIXED} UNION ALL "
+       f"SELECT 'values', 'payload', 'distinct', count(DISTINCT payload) FROM {_MIXED}")
+def q_full_report(spark, d):
+    """Parts of the full report, with Q2 and N3 on columns of JSON values."""
+    df = _derive(spark, d, "events", JSON_MIX)
+    r = A.full_report(df, as_of="2024-02-01 00:00:00", json_columns=["payload", "props"])
+    part = lambda p, name, kind, v: [F.lit(p).alias("part"), name.alias("name"), kind.alias("kind"), F.round(v.cast("double"), 6).alias("value")]
+    out = r["anomalies"].where("anomaly_type = 'data_type_mismatch'").select(*part("anomaly", F.col("column_name"), F.col("anomaly_type"), F.col("n_affected")))
+    out = out.unionByName(r["quality_metrics"].where("metric = 'consistency'").select(*part("metric", F.col("metric"), F.lit("value"), F.col("value"))))
+    out = out.unionByName(r["dataset_info"].select(*part("info", F.lit("rows"), F.lit("value"), F.col("rows"))))
+    return out.unionByName(r["categorical_summary"].where("column_name = 'payload'").select(
+        *part("values", F.col("column_name"), F.lit("distinct"), F.col("unique_values"))))
