@@ -2,12 +2,16 @@
 
 Column-name checks (required columns, expected types, PHI-by-name, FDA
 signature/audit fields, dtype histograms) are queries over this table, so the
-same checks run as one DataFrame job over thousands of tables.  The table is
-built from schemas only (metadata), never from data.
+same checks run as one DataFrame job over thousands of tables.  Each table
+under audit contributes one aggregate: its rows and how many values each column
+holds, beside the facts of its schema.  (A bare schema can be listed too; its
+counts are null.)
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +26,31 @@ COLUMNS_SCHEMA = T.StructType([
     T.StructField("data_type", T.StringType()),
     T.StructField("pandas_type", T.StringType()),
     T.StructField("widened_type", T.StringType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("n_values", T.LongType()),
 ])
 
 
 def columns_table(spark: SparkSession, tables: dict[str, DataFrame | T.StructType]) -> DataFrame:
-    rows = []
+    """One row per column with ``n_rows`` and ``n_values`` (neither null nor NaN) of its table: one aggregate
+    per table, whose single row becomes one row per column."""
+    def facts(tname: str, i: int, f: T.StructField) -> tuple:
+        return tname, f.name, i, f.dataType.simpleString(), E.pandas_dtype(f.dataType), E.widened_dtype(f.dataType)
+
+    rows, parts = [], []
     for tname, t in tables.items():
-        schema = t if isinstance(t, T.StructType) else t.schema
-        for i, f in enumerate(schema.fields):
-            rows.append((tname, f.name, i, f.dataType.simpleString(),
-                         E.pandas_dtype(f.dataType), E.widened_dtype(f.dataType)))
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+        if isinstance(t, T.StructType):
+            rows += [(*facts(tname, i, f), None, None) for i, f in enumerate(t.fields)]
+            continue
+        fields = t.schema.fields
+        if fields:
+            one = t.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(~E.is_missing(f.name, f.dataType)).alias(f"__v{i}") for i, f in enumerate(fields)])
+            structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(COLUMNS_SCHEMA.names, facts(tname, i, f))],
+                                F.col("__n").alias("n_rows"), F.col(f"__v{i}").alias("n_values")) for i, f in enumerate(fields)]
+            parts.append(one.select(F.inline(F.array(*structs))))
+    if rows or not parts:
+        parts.append(spark.createDataFrame(rows, COLUMNS_SCHEMA))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def type_compat_table(spark: SparkSession) -> DataFrame:

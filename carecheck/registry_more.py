@@ -18,6 +18,7 @@ from carecheck.operators import rules as R
 from carecheck.operators import rulesets as RS
 from carecheck.operators import sketches as K
 from carecheck.operators import validate as V
+from carecheck.plans import catalog
 from carecheck.registry import (_COMPAT_VALUES, _ORD_NULLS, _RL, DOC_COLS, JSON_MIX, ORACLE_PHI_VALUE, _actions, _derive, _pandas_type_sql, _scores_sql,
                                 _sql_derive, _t, _violations_sql, _widened_type_sql, query, rm, run_log, sq)
 from carecheck.session import shared_dir
@@ -453,3 +454,14 @@ def q_full_report(spark, d):
     out = out.unionByName(r["dataset_info"].select(*part("info", F.lit("rows"), F.lit("value"), F.col("rows"))))
     return out.unionByName(r["categorical_summary"].where("column_name = 'payload'").select(
         *part("values", F.col("column_name"), F.lit("distinct"), F.col("unique_values"))))
+
+
+_COLUMN_SETS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": _ORDERS,
+                "documents": DOC_COLS, "labels": ["doc_id", "quality", "toxic"]}
+
+
+@query("column_fill", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values FROM {t}" for t, cs in _COLUMN_SETS.items() for c in cs))
+def q_column_fill(spark, d):
+    """The columns table: rows and values of every column of several tables."""
+    return catalog.columns_table(spark, {t: _t(spark, d, t) for t in _COLUMN_SETS}).select("table_name", "column_name", "n_rows", "n_values")
