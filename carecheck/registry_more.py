@@ -465,3 +465,15 @@ _COLUMN_SETS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal",
 def q_column_fill(spark, d):
     """The columns table: rows and values of every column of several tables."""
     return catalog.columns_table(spark, {t: _t(spark, d, t) for t in _COLUMN_SETS}).select("table_name", "column_name", "n_rows", "n_values")
+
+
+@query("report_in_rule_order", f"SELECT row_number() OVER (ORDER BY starts_with(check_id, 'required') DESC, check_id) AS number, upper(severity) AS severity "
+       f"FROM ({rule_rows_sql(_QUALITY, 'orders', _ORDERS[:5] + [_ORD_NULLS[-1]], [])})")
+def q_report_order(spark, d):
+    """K3: issues numbered in the order of the rules."""
+    df = _derive(spark, d, "orders", _ORDERS[:5] + [_ORD_NULLS[-1]])
+    rules = [R.SchemaValidator(["o_region"], {}), R.DataQualityChecker()]
+    res = V.validate(df, rules)
+    form = r"^(\d+)\. \[(\w+)\]"
+    lines = S.report_lines(res.issues, V.severity_counts(res.issues), rules=rules).where(F.col("line").rlike(form))
+    return lines.select(F.regexp_extract("line", form, 1).cast("bigint").alias("number"), F.regexp_extract("line", form, 2).alias("severity"))

@@ -133,10 +133,17 @@ def write_issues(issues: DataFrame, path: str, fmt: str = "parquet", mode: str =
 
 
 def report_lines(issues: DataFrame, counts: DataFrame, order_by: list[str] | None = None,
-                 timestamp: str = "") -> DataFrame:
+                 timestamp: str = "", rules: list | None = None) -> DataFrame:
     """K3: the text report as ordered lines ``(line_no, line)``: header, status,
     the four counts, then per issue a numbered line and its location line.
-    Issue numbering uses the distributed row index over ``order_by``."""
+    Issue numbering uses the distributed row index over ``order_by``; with
+    ``rules`` (rule objects or names) issues come in the order of the rules
+    that found them, those of other rules last."""
+    if rules and not order_by:
+        names = F.array(*[F.lit(r if isinstance(r, str) else r.name) for r in rules])
+        place = F.array_position(names, F.col("rule_name"))
+        issues = issues.withColumn("__rule", F.when(place > 0, place).otherwise(len(rules) + 1))
+        order_by = ["__rule", "check_id"]
     order_by = order_by or ["severity", "check_id"]
     from carecheck.plans.rowindex import with_row_index
     numbered = with_row_index(issues, order_by, "__i")
@@ -165,12 +172,12 @@ def report_lines(issues: DataFrame, counts: DataFrame, order_by: list[str] | Non
     return head.unionByName(body)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """K3 sink: the report lines as one text file, in line order.  A report
-    has a few lines per issue (bounded by the checks, not by the data), so a
-    single output file is appropriate."""
-    lines.orderBy("line_no").select(F.coalesce("line", F.lit("")).alias("value")).coalesce(1) \
-        .write.mode("overwrite").text(path)
+def write_report(lines: DataFrame, path: str, files: int = 1) -> None:
+    """K3 sink: the report lines as text, in line order within and across the files.  The report of one
+    validation has a few lines per issue (bounded by the checks, not by the data) and is one file; the issues
+    of batches grow with the data, give them ``files``."""
+    lines.repartitionByRange(files, "line_no").sortWithinPartitions("line_no") \
+        .select(F.coalesce("line", F.lit("")).alias("value")).write.mode("overwrite").text(path)
 
 
 def compliance_json(scores: DataFrame) -> DataFrame:
