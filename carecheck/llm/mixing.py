@@ -61,10 +61,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
                     F.least(F.col("cap").cast("double"), F.col("weight") * F.col("found.level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "text", source: str = "source",
-        key: str = "doc_id", buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, skey, size, source_size, target, epochs, picked, taken`` (and the
-    input row as the struct ``row`` with ``carry``)."""
+def _keyed(docs: DataFrame, weights_by_doc: DataFrame | None, text: str, source: str, key: str, carry: bool = False) -> DataFrame:
+    """``doc_id, skey, size, k`` of every input row, and the row itself as the struct ``row`` with ``carry``."""
     row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
     d = docs.select(*row, F.col(key).alias("doc_id"), F.col(source).cast("string").alias("skey"),
                     F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
@@ -75,9 +73,14 @@ def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "t
     else:
         d = (d.join(weights_by_doc, "doc_id", "left")
              .withColumn("weight", F.coalesce("weight", F.lit(1.0))))
-    d = d.withColumn("k", -F.log(u) / F.col("weight"))
-    d = d.withColumn("bucket", F.floor((1 - F.exp(-F.col("k"))) * buckets).cast("int")).drop("weight")
-    d = stored(d, "mix-keys")
+    return d.withColumn("k", -F.log(u) / F.col("weight")).drop("weight")
+
+
+def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "text", source: str = "source",
+        key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """One row per input row: ``doc_id, skey, size, k, source_size, target, epochs, picked, taken``."""
+    d = _keyed(docs, weights_by_doc, text, source, key)
+    d = stored(d.withColumn("bucket", F.floor((1 - F.exp(-F.col("k"))) * buckets).cast("int")), "mix-keys")
     sums = stored(d.groupBy("skey", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
     per_source = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")))
     before = F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -86,13 +89,13 @@ def mix(docs: DataFrame, weights_by_doc: DataFrame | None = None, text: str = "t
             .select("a.skey", "a.bucket", "earlier", "source_size", "target"))
     plan = (plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
             .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")))
-    row = ["row"] if carry else []
     j = (d.alias("d").join(plan.alias("p"), F.col("d.skey").eqNullSafe(F.col("p.skey")) & (F.col("d.bucket") == F.col("p.bucket")))
-         .select(*row, "doc_id", "d.skey", "d.bucket", "size", "k", "earlier", "source_size", "target", "epochs", "budget"))
-    inner = W.partitionBy("skey", "bucket").orderBy("k", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+         .select("doc_id", "d.skey", "d.bucket", "size", "k", "earlier", "source_size", "target", "epochs", "budget"))
+    inner = (W.partitionBy("skey", "bucket").orderBy("k", F.col("doc_id").asc_nulls_first(), "size")
+             .rowsBetween(W.unboundedPreceding, -1))
     start = F.col("earlier") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     j = j.withColumn("picked", (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("budget")))
-    return j.select(*row, "doc_id", "skey", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picked",
+    return j.select("doc_id", "skey", "size", "k", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "picked",
                     (F.col("size") * (F.col("epochs") + F.col("picked").cast("int"))).cast("bigint").alias("taken"))
 
 
@@ -101,11 +104,37 @@ def mixing(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def cuts(m: DataFrame) -> DataFrame:
+    """``skey, epochs, cut, part``, one row per source: the rows picked beyond the epochs are those up to ``cut``
+    in the order of (k, doc_id, size), as the prefix sum grows with it.  Of rows alike in all three at the cut only
+    ``part`` are picked; null where all of them are."""
+    at = F.struct("k", "doc_id", "size")
+    d = m.filter("size > 0").withColumn("at", at)
+    ends = d.groupBy("skey").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("picked"), F.col("at"))).alias("cut"))
+    tie = d.groupBy("skey", "at").agg(F.count(F.lit(1)).alias("n"), F.count_if("picked").alias("part")).filter("part > 0 and part < n")
+    return (ends.alias("e").join(tie.alias("t"), F.col("e.skey").eqNullSafe(F.col("t.skey")), "left")
+            .select("e.skey", "epochs", "cut", "part"))
+
+
 def mixed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The mix itself: every document's row as often as it is taken."""
-    m = mix(docs, None if labels is None else quality_weights(labels), carry=True)
-    times = (F.col("epochs") + F.col("picked").cast("int")) * (F.col("size") > 0).cast("int")
-    return m.withColumn("_times", times).filter("_times > 0").select("row", F.explode(F.sequence(F.lit(1), "_times"))).select("row.*")
+    """The mix itself: every document's row as often as it is taken.  Only the cut of each source comes back
+    from the prefix sums, so the texts move at most once, to meet their label."""
+    weights = None if labels is None else quality_weights(labels)
+    c = stored(cuts(mix(docs, weights)), "mix-cuts")
+
+    def placed(part: DataFrame, cut: DataFrame) -> DataFrame:
+        d = _keyed(part, weights, "text", "source", "doc_id", carry=True).filter("size > 0").withColumn("at", F.struct("k", "doc_id", "size"))
+        return d.alias("d").join(cut.alias("c"), F.col("d.skey").eqNullSafe(F.col("c.skey")))
+
+    below = (F.col("at") < F.col("cut")) | ((F.col("at") <= F.col("cut")) & F.col("part").isNull())
+    d = placed(docs, c).withColumn("_times", F.col("epochs") + F.coalesce(below, F.lit(False)).cast("int"))
+    whole = d.filter("_times > 0").select("row", F.explode(F.sequence(F.lit(1), "_times"))).select("row.*")
+    split = c.filter("part is not null")
+    ids = split.select(F.col("cut.doc_id").alias("_cut")).distinct()
+    alike = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_cut")), "left_semi")
+    at_cut = placed(alike, split).filter((F.col("at") <= F.col("cut")) & (F.col("at") >= F.col("cut")))
+    rank = F.row_number().over(W.partitionBy("d.skey").orderBy(F.xxhash64("row.text")))
+    return whole.unionByName(at_cut.withColumn("_rank", rank).filter("_rank <= part").select("row.*"))
 
 
 ORACLE = rf"""
