@@ -1,18 +1,19 @@
-"""Fuzzy line dedup by MinHash, in Spark SQL functions only.
+"""Fuzzy line dedup by MinHash.
 
 A line's shingles are the ``SHINGLE_CHARS`` characters from every character
-position of the whole line, lower-cased (a shorter line is its one shingle).  Distinct lines get one minimum per permutation (a hash of the
-shingle, taken apart by a constant of the permutation and hashed again, so that
-the minima do not depend on each other; one aggregate per
-permutation over the exploded shingles, in the partitions the distinct lines
-already lie in), ``ROWS`` minima make a band.  Lines with a common band are
+position of the whole line, lower-cased (a shorter line is its one shingle).
+Distinct lines, named by their MD5, get one minimum per permutation of their
+shingles' hashes; ``ROWS`` minima make a band.  Lines with a common band are
 compared exactly (Jaccard similarity of their shingle sets of 0.8 or more),
 distributed union-find makes components, and of each component the first
 occurrence by (doc_id, line number) stays.
 
+Spark splits, deduplicates, groups and joins the lines; shingles, minima and
+comparisons are numpy over Arrow batches, as the form in SQL functions alone
+took more than four times the processor time allowed (figures in the README).
+
 At similarity 0.8 a pair shares a band with probability
-``1 - (1 - 0.8^ROWS)^BANDS`` = 0.995; equal lines always meet.  Lines are
-named by their MD5.
+``1 - (1 - 0.8^ROWS)^BANDS`` = 0.995; equal lines always meet.
 
 Cases: lines without a word are kept and not compared; null text has no line;
 a null doc_id ranks below every number; rows of a repeated doc_id share their
@@ -22,16 +23,27 @@ decisions; an empty table gives an empty result; extra columns are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
+from carecheck.llm.shingles import mix
 
+U = np.uint64
 SHINGLE_CHARS = 5
 ROWS, BANDS = 4, 10
 NONE = -(1 << 63)  # stands for a null doc_id
-_MASKS = [((0x9E3779B97F4A7C15 * (k + 1)) ^ ((0x9E3779B97F4A7C15 * (k + 1)) >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) - (1 << 63)
-          for k in range(ROWS * BANDS)]
+CHUNK = 1 << 17           # characters hashed at a time (a longer line alone); cost only
+GROUP_SHINGLES = 1 << 22  # hashes of a group of lines compared at a time; memory bound only
+GROUP_COLUMNS = 4096
+_FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | U(1)
+_SEATS = mix(np.arange(901, 901 + SHINGLE_CHARS, dtype=np.uint64)) | U(1)
+_ROW_SEATS = mix(np.arange(951, 951 + ROWS, dtype=np.uint64)) | U(1)
+_SHORT = mix(np.arange(971, 971 + SHINGLE_CHARS + 1, dtype=np.uint64))
 _BLANK = " \t\x0b\f\r"
 
 
@@ -43,34 +55,77 @@ def _has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(_BLANK))) > 0
 
 
-def shingles(line: Column) -> Column:
-    low = F.lower(line)
-    each = F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{%d}))." % SHINGLE_CHARS), F.lit(1))  # one code point on at a time
-    return F.when(F.length(low) < SHINGLE_CHARS, F.array(low)).otherwise(each)
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lines' shingles, position by position, and how many each line has."""
+    low = [x.lower() for x in lines]
+    size = np.fromiter(map(len, low), np.int64, len(low))
+    code = np.frombuffer("".join(x.ljust(SHINGLE_CHARS, "\0") for x in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = code.astype(np.uint64)
+    n = len(code) - SHINGLE_CHARS + 1
+    total = code[:n] * _SEATS[0]
+    for j in range(1, SHINGLE_CHARS):
+        total += code[j:n + j] * _SEATS[j]
+    room = np.maximum(size, SHINGLE_CHARS)
+    ends = np.cumsum(room)
+    short = size < SHINGLE_CHARS  # their padding counts as such by their size
+    total[(ends - room)[short]] += _SHORT[size[short]]
+    inside = np.ones(n + SHINGLE_CHARS, bool)
+    for j in range(1, SHINGLE_CHARS):
+        inside[ends - j] = False
+    return mix(total[inside[:n]]), room - SHINGLE_CHARS + 1
+
+
+def minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[permutation, line] the least value of each permutation of the line's hashes.  A permutation multiplies
+    the mixed hash by an odd number of its own."""
+    out = np.empty((len(_FACTORS), len(starts)), np.uint64)
+    moved = np.empty_like(h)
+    for k, factor in enumerate(_FACTORS):
+        np.multiply(h, factor, out=moved)
+        np.minimum.reduceat(moved, starts, out=out[k])
+    return out
+
+
+def _chunks(lines: list[str]) -> Iterator[list[str]]:
+    a, held = 0, 0
+    for b, x in enumerate(lines):
+        if held and held + len(x) > CHUNK:
+            yield lines[a:b]
+            a, held = b, 0
+        held += len(x)
+    if held:
+        yield lines[a:]
+
+
+def line_bands(lines: list[str]) -> np.ndarray:
+    """[line, band] the name of each band."""
+    out = []
+    for part in _chunks(lines):
+        h, n = shingle_hashes(part)
+        m = minima(h, np.cumsum(n) - n).reshape(BANDS, ROWS, len(part))
+        rows = (mix(m) * _ROW_SEATS[:, None]).sum(axis=1, dtype=np.uint64)
+        out.append(mix(rows + _FACTORS[:BANDS, None]).T)
+    return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
 
 
 def _distinct_lines(docs: DataFrame, text: str, some: DataFrame | None = None) -> DataFrame:
-    """``id, line``: one row per distinct line (only those that may be in ``some``)."""
+    """``id, line``: one row per distinct line (only those in ``some``)."""
     lines = docs.select(F.explode(_lines(F.col(text))).alias("line")).filter(_has_word(F.col("line")))
-    lines = lines.select(F.unhex(F.md5("line")).alias("id"), "line")
-    if some is not None:
-        lines = maybe_in(lines, "id", bitmap(some, "id")).join(some, "id")
-    return lines.dropDuplicates(["id"])
-
-
-def minima(h: Column) -> list[Column]:
-    """The least value of each permutation of the hashes ``h``.  (Under the exclusive or alone the minima of a
-    small set would depend on each other.)"""
-    return [F.min(F.xxhash64(h.bitwiseXOR(F.lit(m)))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
+    if some is None:
+        return lines.distinct().select(F.unhex(F.md5("line")).alias("id"), "line")
+    lines = maybe_in(lines.select(F.unhex(F.md5("line")).alias("id"), "line"), "id", bitmap(some, "id"))
+    return lines.distinct().join(some, "id")
 
 
 def bands(docs: DataFrame, text: str = "text") -> DataFrame:
     """``sig, id``: the bands of every distinct line."""
-    each = _distinct_lines(docs, text).select("id", F.explode(shingles(F.col("line"))).alias("s"))
-    h = each.select("id", F.xxhash64("s").alias("h"))
-    low = h.groupBy("id").agg(*minima(F.col("h")))
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return low.select(F.explode(F.array(*keys)).alias("sig"), "id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = line_bands(b.column(1).to_pylist())
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids], names=["sig", "id"])
+
+    return _distinct_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
 
 
 def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
@@ -78,14 +133,17 @@ def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     return _distinct_lines(docs, text, stored(ids.distinct(), "line-candidates"))
 
 
-def _set(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+def _set(line: str) -> np.ndarray:
+    return np.unique(shingle_hashes([line])[0])
 
 
-def _link(x: Column, y: Column) -> Column:
-    """Is the Jaccard similarity of two sets 0.8 or more?  Sizes rule most out."""
-    m, n = F.size(x), F.size(y)
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (9 * F.size(F.array_intersect(x, y)) >= 4 * (m + n))
+def do_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Is the Jaccard similarity of two sorted sets 0.8 or more?  Sizes rule most out."""
+    m, n = len(x), len(y)
+    if 5 * min(m, n) < 4 * max(m, n):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    return 9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * (m + n)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,29 +151,73 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     lines = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
-    sets = F.array(F.struct(_set(F.col("x")).alias("x"), _set(F.col("y")).alias("y")))  # each made once
-    return stored(both.filter(F.exists(sets, lambda p: _link(p["x"], p["y"]))).select("a", "b"), "line-links")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last, right = [], None, None
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if y != last:  # rows come sorted by b
+                    last, right = y, _set(y)
+                keep.append(do_link(_set(x), right))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "line-links")
+
+
+def in_common(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each line's set and, for each two lines, how many shingles they share.  Many long lines are
+    counted by parts of the hashes' domain, so that no more than about ``GROUP_SHINGLES`` are held."""
+    passes = 1 + sum(map(len, lines)) // GROUP_SHINGLES
+    sizes, common = np.zeros(len(lines), np.int64), np.zeros((len(lines), len(lines)), np.int64)
+    for k in range(passes):
+        sets = []
+        for x in lines:
+            h = shingle_hashes([x])[0]
+            sets.append(np.unique(h[h % U(passes) == U(k)] if passes > 1 else h))
+        n = np.array([len(x) for x in sets])
+        sizes += n
+        names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1  # the others are in no intersection
+        number = np.cumsum(shared) - 1
+        use = shared[column]
+        line, column = np.repeat(np.arange(len(lines)), n)[use], number[column[use]]
+        order = np.argsort(column, kind="stable")
+        line, column = line[order], column[order]
+        for at in range(0, int(shared.sum()), GROUP_COLUMNS):
+            a, b = np.searchsorted(column, (at, at + GROUP_COLUMNS))
+            has = np.zeros((len(lines), min(GROUP_COLUMNS, int(shared.sum()) - at)), np.float32)
+            has[line[a:b], column[a:b] - at] = 1
+            common += (has @ has.T).astype(np.int64)
+    return sizes, common
+
+
+def linked_roots(lines: list[str], block: np.ndarray, root: np.ndarray, p: int, q: int) -> set[tuple[int, int]]:
+    """Pairs of roots (as numbers, the larger first) of which two lines, one of block p and one of q, link."""
+    n, common = in_common(lines)
+    link = (9 * common >= 4 * (n[:, None] + n)) & (block[:, None] == p) & (block == q) & (root[:, None] != root)
+    i, j = np.nonzero(link)
+    return set(zip(np.maximum(root[i], root[j]).tolist(), np.minimum(root[i], root[j]).tolist()))
 
 
 def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``(a, b)``: roots of lines that have a common band and link.  Two blocks of lines (512 at most) are
     compared inside one row, which yields each pair of roots once: pairs of lines make no rows."""
     d = blocked(apart, _texts(docs, text, apart.select("id")))
-    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "root", "line")).alias("l"))
-
-    def of(block: str) -> Column:
-        return F.transform(F.filter("l", lambda x: x["block"] == F.col(block)),
-                           lambda x: F.struct(x["root"].alias("root"), _set(x["line"]).alias("set")))
+    near = d.groupBy("rep", "p", "q").agg(F.collect_list(F.struct("block", "root", "line")).alias("l")).select("p", "q", "l")
 
-    def links(x: Column, right: Column) -> Column:  # within one block every two lines once
-        others = F.filter(right, lambda y: ((x["root"] < y["root"]) | ((x["root"] > y["root"]) & (F.col("p") < F.col("q"))))
-                          & _link(x["set"], y["set"]))
-        return F.array_distinct(F.transform(others, lambda y: F.struct(F.greatest(x["root"], y["root"]).alias("a"),
-                                                                       F.least(x["root"], y["root"]).alias("b"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, cut = b.column(2).flatten(), b.column(2).offsets.to_numpy()
+            cut = cut - cut[0]
+            block, lines = cells.field("block").to_numpy(), cells.field("line")
+            names = cells.field("root").dictionary_encode()
+            root, named, found = names.indices.to_numpy(), names.dictionary, set()
+            for p, q, s, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cut[:-1], cut[1:]):
+                found |= linked_roots(lines.slice(s, e - s).to_pylist(), block[s:e], root[s:e], p, q)
+            x, y = (named.take(pa.array([f[k] for f in found], pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
 
-    sides = F.array(F.struct(of("p").alias("left"), of("q").alias("right")))  # each made once
-    found = F.array_distinct(F.flatten(F.flatten(F.transform(sides, lambda s: F.transform(s["left"], lambda x: links(x, s["right"]))))))
-    return near.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
+    return near.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -126,11 +228,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> t
     occ = (rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.posexplode("lines").alias("no", "id"))
            .filter("id is not null"))
     comps = grouped_links(bands(docs, text), lambda pairs: similar(pairs, docs, text), lambda apart: crossing(apart, docs, text))
-    first = occ.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"))
-    roots = first.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = occ.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("times"))
+    roots = (first.join(comps.withColumnRenamed("node", "id"), "id", "left").filter("times > 1 or root is not null")
+             .select("id", "first", F.coalesce("root", "id").alias("root")))  # any other line stays
+    roots = stored(roots, "line-roots")
     keep = stored(roots.groupBy("root").agg(F.min("first").alias("keep")).join(roots.select("id", "root"), "root")
                   .select("id", "keep"), "kept-lines")
-    gone = occ.join(keep, "id").filter(F.struct("doc", "no") != F.col("keep"))
+    gone = maybe_in(occ, "id", bitmap(keep, "id")).join(keep, "id").filter(F.struct("doc", "no") != F.col("keep"))
     return rows, gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("dropped"))
 
 

@@ -1,7 +1,7 @@
 """Line dedup against all pairs, with shingles defined here: every 5 characters of the whole line."""
 
 import cases
-from pyspark.sql import functions as F
+import numpy as np
 from test_similarity import roots
 
 from carecheck.llm import common, line_dedup
@@ -55,22 +55,29 @@ def test_family_of_lines_around_the_threshold_in_several_blocks(spark, monkeypat
     assert dropped(spark, lines) == {i for i in range(24) if want[i] != i}
 
 
-def test_measured_recall_of_short_lines_at_the_threshold(spark):
-    trials, rows = 2000, []
+def test_measured_recall_of_short_lines_at_the_threshold():
+    trials, rng = 2000, np.random.default_rng(5)
     for size in (5, 10, 20, 60):  # of the union; a tenth of it is only on the left, a tenth only on the right
-        for t in range(trials):
-            one = size // 10
-            for i in range(size):
-                rows += [(size, t, side, f"{size}-{t}-{i}") for side in (0, 1)
-                         if not (i < one and side or one <= i < 2 * one and not side or size == 5 and i == 0 and side)]
-    shingles = spark.createDataFrame(rows, "size int, t int, side int, s string")
-    low = shingles.groupBy("size", "t", "side").agg(*line_dedup.minima(F.xxhash64("s")))
-    met: dict = {}
-    for r in low.collect():
-        met.setdefault((r[0], r[1]), []).append(r[3:])
-    n = line_dedup.ROWS
-    for size in (5, 10, 20, 60):
-        hits = sum(any(x[b * n:b * n + n] == y[b * n:b * n + n] for b in range(line_dedup.BANDS))
-                   for (k, _), (x, y) in met.items() if k == size)
+        hits, one = 0, size // 10
+        for _ in range(trials):
+            union = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size, dtype=np.uint64)
+            x, y = (union[:size - one], union[one:]) if size > 5 else (union, union[1:])
+            low = line_dedup.minima(np.concatenate((x, y)), np.array([0, len(x)])).reshape(line_dedup.BANDS, line_dedup.ROWS, 2)
+            hits += bool((low[:, :, 0] == low[:, :, 1]).all(axis=1).any())
         print(size, hits / trials)
         assert hits >= 0.99 * trials  # 0.995 expected of independent permutations
+
+
+def test_shared_shingles_are_counted_alike_in_parts(monkeypatch):
+    lines = ["ab", "ac", "AB", "x" * 40, "abcde", "abcdefgh" * 9, "abcdefgi" * 9, "é" * 3 + "漢字" * 4] + [f"line {i} of words" * 3 for i in range(9)]
+    sets = [whole_line_shingles(x) for x in lines]
+    for held, columns in ((1 << 22, 4096), (20, 7)):
+        monkeypatch.setattr(line_dedup, "GROUP_SHINGLES", held)
+        monkeypatch.setattr(line_dedup, "GROUP_COLUMNS", columns)
+        n, common = line_dedup.in_common(lines)
+        assert n.tolist() == [len(s) for s in sets]
+        assert all(common[i, j] == len(x & y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+    h, n = line_dedup.shingle_hashes(lines)
+    assert n.tolist() == [max(1, len(x) - 4) for x in lines]
+    every = [s for x in lines for s in ([x.lower()] if len(x) < 5 else [x.lower()[i:i + 5] for i in range(len(x) - 4)])]
+    assert len(set(every)) == len(set(h.tolist())) and len(dict(zip(every, h.tolist()))) == len(set(zip(every, h.tolist())))
