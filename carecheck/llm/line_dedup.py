@@ -133,17 +133,28 @@ def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     return _distinct_lines(docs, text, stored(ids.distinct(), "line-candidates"))
 
 
-def _set(line: str) -> np.ndarray:
-    return np.unique(shingle_hashes([line])[0])
-
-
-def do_link(x: np.ndarray, y: np.ndarray) -> bool:
-    """Is the Jaccard similarity of two sorted sets 0.8 or more?  Sizes rule most out."""
-    m, n = len(x), len(y)
-    if 5 * min(m, n) < 4 * max(m, n):
-        return False
-    both = np.sort(np.concatenate((x, y)))
-    return 9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * (m + n)
+PAIR_BITS = 10  # pairs compared in one sort; their hashes keep 53 bits
+
+
+def do_link(xs: list[str], ys: list[str]) -> np.ndarray:
+    """For each pair: is the Jaccard similarity of its two sets 0.8 or more?  One sort by (pair, hash, side)."""
+    low = 64 - PAIR_BITS
+    out, a, held = [], 0, 0
+    for b in range(1, len(xs) + 1):
+        held += len(xs[b - 1]) + len(ys[b - 1])
+        if b < len(xs) and b - a < 1 << PAIR_BITS and held + len(xs[b]) + len(ys[b]) <= CHUNK:
+            continue
+        k = b - a
+        h, n = shingle_hashes(xs[a:b] + ys[a:b])
+        tag = np.tile(np.arange(k, dtype=np.uint64) << U(low), 2)
+        tag[k:] |= U(1)
+        key = np.sort((h >> U(PAIR_BITS + 1) << U(1)) | np.repeat(tag, n))
+        key = key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
+        pair = (key >> U(low)).astype(np.int64)
+        common = np.bincount(pair[1:][key[1:] >> U(1) == key[:-1] >> U(1)], minlength=k)
+        out.append(9 * common >= 4 * np.bincount(pair, minlength=k))
+        a, held = b, 0
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -154,12 +165,8 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, last, right = [], None, None
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if y != last:  # rows come sorted by b
-                    last, right = y, _set(y)
-                keep.append(do_link(_set(x), right))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = do_link(b.column(2).to_pylist(), b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "line-links")
 
@@ -168,21 +175,25 @@ def in_common(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The size of each line's set and, for each two lines, how many shingles they share.  Many long lines are
     counted by parts of the hashes' domain, so that no more than about ``GROUP_SHINGLES`` are held."""
     passes = 1 + sum(map(len, lines)) // GROUP_SHINGLES
+    bits = U(len(lines).bit_length())  # of a key hold the line, the others its hash
     sizes, common = np.zeros(len(lines), np.int64), np.zeros((len(lines), len(lines)), np.int64)
     for k in range(passes):
-        sets = []
-        for x in lines:
-            h = shingle_hashes([x])[0]
-            sets.append(np.unique(h[h % U(passes) == U(k)] if passes > 1 else h))
-        n = np.array([len(x) for x in sets])
-        sizes += n
-        names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times > 1  # the others are in no intersection
-        number = np.cumsum(shared) - 1
+        parts, at = [], 0
+        for part in _chunks(lines):
+            h, n = shingle_hashes(part)
+            key = h >> bits << bits | np.repeat(np.arange(at, at + len(part), dtype=np.uint64), n)
+            parts.append(key[h % U(passes) == U(k)] if passes > 1 else key)
+            at += len(part)
+        key = np.sort(np.concatenate(parts))
+        key = key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
+        line = (key & ((U(1) << bits) - U(1))).astype(np.int64)
+        sizes += np.bincount(line, minlength=len(lines))
+        name = key >> bits
+        first = np.concatenate((name[:1] == name[:1], name[1:] != name[:-1]))
+        column = np.cumsum(first) - 1
+        shared = np.bincount(column) > 1  # the others are in no intersection
         use = shared[column]
-        line, column = np.repeat(np.arange(len(lines)), n)[use], number[column[use]]
-        order = np.argsort(column, kind="stable")
-        line, column = line[order], column[order]
+        line, column = line[use], (np.cumsum(shared) - 1)[column[use]]
         for at in range(0, int(shared.sum()), GROUP_COLUMNS):
             a, b = np.searchsorted(column, (at, at + GROUP_COLUMNS))
             has = np.zeros((len(lines), min(GROUP_COLUMNS, int(shared.sum()) - at)), np.float32)

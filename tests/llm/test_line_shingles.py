@@ -77,6 +77,11 @@ def test_shared_shingles_are_counted_alike_in_parts(monkeypatch):
         n, common = line_dedup.in_common(lines)
         assert n.tolist() == [len(s) for s in sets]
         assert all(common[i, j] == len(x & y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+    xs, ys = zip(*((x, y) for x in lines for y in lines))
+    want = [linked(x, y) for x in sets for y in sets]
+    for chars in (1 << 17, 60, 1):
+        monkeypatch.setattr(line_dedup, "CHUNK", chars)
+        assert line_dedup.do_link(list(xs), list(ys)).tolist() == want
     h, n = line_dedup.shingle_hashes(lines)
     assert n.tolist() == [max(1, len(x) - 4) for x in lines]
     every = [s for x in lines for s in ([x.lower()] if len(x) < 5 else [x.lower()[i:i + 5] for i in range(len(x) - 4)])]
