@@ -2,13 +2,13 @@
 
 A line's shingles are the ``SHINGLE_CHARS`` characters from every character
 position of the whole line, lower-cased (a shorter line is its one shingle).
-Distinct lines, named by their MD5, get one minimum per permutation of their
+Lines, named by their MD5, get one minimum per permutation of their
 shingles' hashes; ``ROWS`` minima make a band.  Lines with a common band are
 compared exactly (Jaccard similarity of their shingle sets of 0.8 or more),
 distributed union-find makes components, and of each component the first
 occurrence by (doc_id, line number) stays.
 
-Spark splits, deduplicates, groups and joins the lines; shingles, minima and
+Spark splits, names, groups and joins the lines; shingles, minima and
 comparisons are numpy over Arrow batches, as the form in SQL functions alone
 took more than four times the processor time allowed (figures in the README).
 
@@ -38,6 +38,7 @@ SHINGLE_CHARS = 5
 ROWS, BANDS = 4, 10
 NONE = -(1 << 63)  # stands for a null doc_id
 CHUNK = 1 << 17           # characters hashed at a time (a longer line alone); cost only
+SEEN = 1 << 18            # names of lines a task remembers (some 20 MB); cost only
 GROUP_SHINGLES = 1 << 22  # hashes of a group of lines compared at a time; memory bound only
 GROUP_COLUMNS = 4096
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | U(1)
@@ -108,29 +109,37 @@ def line_bands(lines: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
 
 
-def _distinct_lines(docs: DataFrame, text: str, some: DataFrame | None = None) -> DataFrame:
-    """``id, line``: one row per distinct line (only those in ``some``)."""
+def _named_lines(docs: DataFrame, text: str) -> DataFrame:
+    """``id, line``: every line that has a word."""
     lines = docs.select(F.explode(_lines(F.col(text))).alias("line")).filter(_has_word(F.col("line")))
-    if some is None:
-        return lines.distinct().select(F.unhex(F.md5("line")).alias("id"), "line")
-    lines = maybe_in(lines.select(F.unhex(F.md5("line")).alias("id"), "line"), "id", bitmap(some, "id"))
-    return lines.distinct().join(some, "id")
+    return lines.select(F.unhex(F.md5("line")).alias("id"), "line")
 
 
 def bands(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``sig, id``: the bands of every distinct line."""
+    """``sig, id``: the bands of every line.  A task signs a line once (as far as it remembers, ``SEEN`` lines);
+    the lines of different tasks are not brought together for that: a repeated row changes no link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            names = line_bands(b.column(1).to_pylist())
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
+            new = []
+            for i, name in enumerate(b.column(0).to_pylist()):
+                if name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = b.take(pa.array(new, pa.int64()))
+            names = line_bands(fresh.column(1).to_pylist())
+            ids = fresh.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids], names=["sig", "id"])
 
-    return _distinct_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
+    return _named_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
 
 
 def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     """``id, line`` of some lines: the text moves, its set of hashes would take eight times the room."""
-    return _distinct_lines(docs, text, stored(ids.distinct(), "line-candidates"))
+    some = stored(ids.distinct(), "line-candidates")
+    return maybe_in(_named_lines(docs, text), "id", bitmap(some, "id")).dropDuplicates(["id"]).join(some, "id")
 
 
 PAIR_BITS = 10  # pairs compared in one sort; their hashes keep 53 bits
