@@ -251,6 +251,22 @@ def compliance_report(df: DataFrame, custom_rules: list[CustomRule] | None = Non
     return ComplianceReport(one, structs, vhits, total, template, F.col("__rows"), fda_rows)
 
 
+PART_BYTES = 16 << 20  # of a column's values that meet its rules in one task
+
+
+def dealt_values(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(values, parts)``: the distinct ``field, value`` of all columns, each with its ``part`` by hash, and one row
+    ``field, parts`` per column: how many parts of about ``PART_BYTES`` its values make."""
+    text = [F.struct(F.lit(f.name).alias("field"), E.as_text(f.name, f.dataType).alias("value")) for f in df.schema.fields]
+    sizes = df.agg(*[F.sum(F.octet_length(x["value"])).alias(f"_{i}") for i, x in enumerate(text)])
+    parts = sizes.select(F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("field"), F.greatest(F.lit(1), F.ceil(F.coalesce(f"_{i}", F.lit(0)) / PART_BYTES)).alias("parts"))
+        for i, f in enumerate(df.schema.fields)])))
+    values = df.select(F.explode(F.array(*text)).alias("x")).select("x.*").where("value is not null").distinct()
+    part = F.pmod(F.xxhash64("value"), F.col("parts")).alias("part")
+    return values.join(F.broadcast(parts), "field").select("field", "value", part), parts  # parts: one row per column
+
+
 def rule_violations(df: DataFrame, rules: DataFrame, polarity: str = "match") -> DataFrame:
     """C13 for rule sets of any size: the CUSTOM violations of ``rules`` (rows of ``RULE_CATALOG_SCHEMA``).
 
@@ -258,16 +274,16 @@ def rule_violations(df: DataFrame, rules: DataFrame, polarity: str = "match") ->
     same for any number of rules: each distinct (column, value) pair meets the rules whose field pattern
     fits the column (a join on the column, both sides by rows) and the pattern is a column of that join.
     Partial aggregation keeps one row per rule and column and task.  Values are de-duplicated first, so a
-    frequent value is tried once."""
-    text = [F.struct(F.lit(f.name).alias("field"), E.as_text(f.name, f.dataType).alias("value")) for f in df.schema.fields]
-    fields = df.sparkSession.createDataFrame([(f.name,) for f in df.schema.fields], "field string")  # the schema
+    frequent value is tried once.  A large column's values are dealt into parts, each of which meets all rules
+    of the column, so that no task reads a whole column."""
+    values, parts = dealt_values(df)
     fits = F.col("field_pattern").isNull() | F.regexp_like("field", F.concat(F.lit("(?i)"), F.coalesce("field_pattern", F.lit(""))))
     r = rules.select("rule_id", "description", "pattern", "severity", "field_pattern", "recommendation").distinct()
     targets = r.select(F.explode(F.array(*[F.lit(f.name) for f in df.schema.fields])).alias("field"), "rule_id", "pattern", "field_pattern").where(fits)
-    targets = targets.join(F.broadcast(fields), "field").select("field", "rule_id", F.concat(F.lit(E.rx("")), "pattern").alias("pattern"))
-    values = df.select(F.explode(F.array(*text)).alias("x")).select("x.*").where("value is not null").distinct()
+    targets = targets.join(F.broadcast(parts), "field").select(
+        "field", "rule_id", F.concat(F.lit(E.rx("")), "pattern").alias("pattern"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     met = F.regexp_like("value", "pattern")
-    hits = values.join(targets, "field").where(met if polarity == "match" else ~met).select("rule_id", "field").distinct()
+    hits = values.join(targets, ["field", "part"]).where(met if polarity == "match" else ~met).select("rule_id", "field").distinct()
     return hits.join(r, "rule_id").select(
         F.lit("CUSTOM").alias("standard"), "rule_id", "severity", "field",
         F.concat(F.lit("Custom rule '"), "rule_id", F.lit("' violation: "), F.coalesce("description", F.lit(""))).alias("message"),

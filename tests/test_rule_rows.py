@@ -21,6 +21,21 @@ def test_rule_rows_equal_the_compiled_form(spark):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
 
 
+def test_a_large_column_is_dealt_into_parts_that_meet_all_its_rules(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_BYTES", 500)
+    df = spark.createDataFrame([(i, f"note {i} " + "x" * 40, "same" if i % 9 else None) for i in range(300)], "k long, note string, kind string")
+    sizes = {}
+    for r in C.dealt_values(df)[0].collect():
+        sizes.setdefault(r["field"], {}).setdefault(r["part"], []).append(r["value"])
+    assert len(sizes["note"]) > 20 and max(map(len, sizes["note"].values())) < 60 and sum(map(len, sizes["note"].values())) == 300
+    assert sizes["kind"].popitem()[1] == ["same"]
+    rules = [C.CustomRule(f"r{i}", f"^note {i} ", field_pattern="note") for i in (0, 17, 299)] + [C.CustomRule("any", "same"), C.CustomRule("no", "^note 300 ")]
+    for polarity in ("match", "nonmatch"):
+        want = C.compliance_report(df, rules, polarity=polarity).violations.where("standard = 'CUSTOM'")
+        got = C.rule_violations(df, rule_rows(spark, rules), polarity).select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+
+
 def test_thousands_of_rules_over_hundreds_of_columns_plan_in_seconds(spark):
     df = spark.range(0, 20).select(*[F.concat(F.lit(f"c{i}-"), F.col("id") % 3).alias(f"col{i:03d}") for i in range(200)])
     rules = rule_rows(spark, [C.CustomRule(f"r{k}", f"^c{k % 200}-{k % 4}$", "d", "low", f"col{k % 200:03d}") for k in range(5000)])
