@@ -6,7 +6,9 @@ Lines, named by their MD5, get one minimum per permutation of their
 shingles' hashes; ``ROWS`` minima make a band.  Lines with a common band are
 compared exactly (Jaccard similarity of their shingle sets of 0.8 or more),
 distributed union-find makes components, and of each component the first
-occurrence by (doc_id, line number) stays.
+occurrence by (doc_id, line number) stays.  Odd sketches (Mitzenmacher, Pagh
+and Pham) rule out pairs before texts move; they bound how much two sets
+differ, so they rule out no link.
 
 Spark splits, names, groups and joins the lines; shingles, minima and
 comparisons are numpy over Arrow batches, as the form in SQL functions alone
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +139,65 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
     return _named_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
 
 
+SKETCH_WORDS = 4  # 64 bits each
+_SKETCH = "id binary, n int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+
+def sketch(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each line's set of shingles and its odd sketch, [line, word]: each shingle of the set flips one
+    bit.  What two sets share cancels out, so two sketches differ in no more bits than the sets in shingles."""
+    sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, SKETCH_WORDS), np.uint64)]
+    bits = 64 * SKETCH_WORDS
+    for part in _chunks(lines):
+        h, n = shingle_hashes(part)
+        # one sort by (line, hash); a chunk has less than 2 ** 18 lines, their hashes keep 46 bits
+        key = np.sort(np.repeat(np.arange(len(part), dtype=np.uint64) << U(46), n) | h >> U(18))
+        key = key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
+        line = (key >> U(46)).astype(np.int64)
+        flips = np.bincount(line * bits + (key % U(bits)).astype(np.int64), minlength=len(part) * bits)
+        sizes.append(np.bincount(line, minlength=len(part)))
+        maps.append(np.packbits((flips & 1).astype(bool), bitorder="little").view("<u8").reshape(-1, SKETCH_WORDS).astype(np.uint64))
+    return np.concatenate(sizes), np.concatenate(maps)
+
+
+def apart_at_least(x: list[Column], y: list[Column]) -> Column:
+    """In how many bits two sketches differ: at least so many shingles are in one set only."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:])), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
+def sketches(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """``id, n, s0, ...`` of some lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            new = []
+            for i, name in enumerate(b.column(0).to_pylist()):
+                if name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = b.take(pa.array(new, pa.int64()))
+            n, maps = sketch(fresh.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([fresh.column(0), pa.array(n, pa.int32()), *map(pa.array, maps.view(np.int64).T.copy())],
+                                             names=["id", "n", *SKETCH_COLUMNS])
+
+    some = stored(ids.distinct(), "line-candidates")
+    found = maybe_in(_named_lines(docs, text), "id", bitmap(some, "id")).mapInArrow(run, _SKETCH)
+    one = found.groupBy("id").agg(*[F.max(c).alias(c) for c in ["n", *SKETCH_COLUMNS]])  # equal rows
+    return stored(one.join(some, "id"), "sketches")
+
+
+def may_link(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that their sketches do not rule out.  At similarity 0.8 or more, at most a ninth of
+    the two sets' sizes together are shingles of one set only, so no link is lost."""
+    x, y = (marks.select(*[F.col(c).alias(side + c) for c in ("id", "n", *SKETCH_COLUMNS)]) for side in ("a_", "b_"))
+    both = pairs.join(x, F.col("a") == F.col("a_id")).join(y, F.col("b") == F.col("b_id"))
+    differ = apart_at_least(*[[F.col(side + c) for c in SKETCH_COLUMNS] for side in ("a_", "b_")])
+    return both.filter(9 * differ <= F.col("a_n") + F.col("b_n")).select("a", "b")
+
+
 def _texts(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
     """``id, line`` of some lines: the text moves, its set of hashes would take eight times the room."""
     some = stored(ids.distinct(), "line-candidates")
@@ -168,6 +230,7 @@ def do_link(xs: list[str], ys: list[str]) -> np.ndarray:
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines link."""
+    pairs = stored(pairs, "line-pairs")
     lines = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
@@ -219,6 +282,42 @@ def linked_roots(lines: list[str], block: np.ndarray, root: np.ndarray, p: int,
     return set(zip(np.maximum(root[i], root[j]).tolist(), np.minimum(root[i], root[j]).tolist()))
 
 
+def with_partner(marks: np.ndarray, size: np.ndarray, block: np.ndarray, root: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Which lines of blocks p and q may link to one of the other block and another root, by their sketches."""
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    differ = np.zeros((len(left), len(right)), np.int64)
+    for k in range(marks.shape[1]):
+        differ += np.bitwise_count(marks[left, None, k] ^ marks[None, right, k])
+    may = (9 * differ <= size[left, None] + size[right]) & (root[left, None] != root[right])
+    return np.union1d(left[may.any(axis=1)], right[may.any(axis=0)])
+
+
+def with_partners(apart: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those rows ``rep, id, root`` of ``apart`` that may link to a row of the same rep and another root."""
+    d = blocked(apart, marks)
+    root = F.when(F.col("root") != F.col("id"), F.col("root")).alias("root")  # a line without a link is its own
+    cell = F.struct("block", "id", root, "n", *SKETCH_COLUMNS)
+    near = d.groupBy("rep", "p", "q").agg(F.collect_list(cell).alias("l")).filter(F.size("l") > 1).select("rep", "p", "q", "l")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, cut = b.column(3).flatten(), b.column(3).offsets.to_numpy()
+            cut = cut - cut[0]
+            block, size = cells.field("block").to_numpy(), cells.field("n").to_numpy().astype(np.int64)
+            roots = pc.coalesce(cells.field("root"), cells.field("id"))
+            root = roots.dictionary_encode().indices.to_numpy()
+            maps = np.stack([cells.field(c).to_numpy().view(np.uint64) for c in SKETCH_COLUMNS], axis=1)
+            found, group = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, (p, q, s, e) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), cut[:-1], cut[1:])):
+                found.append(s + with_partner(maps[s:e], size[s:e], block[s:e], root[s:e], p, q))
+                group.append(np.full(len(found[-1]), i))
+            at = pa.array(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(group))), cells.field("id").take(at), roots.take(at)],
+                                             names=["rep", "id", "root"])
+
+    return stored(near.mapInArrow(run, "rep binary, id binary, root binary").distinct(), "line-partners")
+
+
 def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``(a, b)``: roots of lines that have a common band and link.  Two blocks of lines (512 at most) are
     compared inside one row, which yields each pair of roots once: pairs of lines make no rows."""
@@ -247,7 +346,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> t
         _lines(F.col(text)), lambda x: F.when(_has_word(x), F.unhex(F.md5(x)))).alias("lines")), "lines")
     occ = (rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.posexplode("lines").alias("no", "id"))
            .filter("id is not null"))
-    comps = grouped_links(bands(docs, text), lambda pairs: similar(pairs, docs, text), lambda apart: crossing(apart, docs, text))
+    marks: list[DataFrame] = []  # the sketches of all ids in groups: each is in one of the pairs
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        marks.append(sketches(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        return similar(may_link(pairs, marks[0]), docs, text)
+
+    comps = grouped_links(bands(docs, text), verify, lambda apart: crossing(with_partners(apart, marks[0]), docs, text))
     first = occ.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("times"))
     roots = (first.join(comps.withColumnRenamed("node", "id"), "id", "left").filter("times > 1 or root is not null")
              .select("id", "first", F.coalesce("root", "id").alias("root")))  # any other line stays

@@ -86,3 +86,38 @@ def test_shared_shingles_are_counted_alike_in_parts(monkeypatch):
     assert n.tolist() == [max(1, len(x) - 4) for x in lines]
     every = [s for x in lines for s in ([x.lower()] if len(x) < 5 else [x.lower()[i:i + 5] for i in range(len(x) - 4)])]
     assert len(set(every)) == len(set(h.tolist())) and len(dict(zip(every, h.tolist()))) == len(set(zip(every, h.tolist())))
+
+
+def test_sketches_rule_out_most_unlinked_pairs_and_no_link():
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    lines = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(400)] + ["-" * 90, "-" * 40, "", "ab", "abc ", "\U0001F600" * 9]
+    near = []
+    for x in lines:
+        y = list(x) or ["q"]
+        for _ in range(rng.integers(0, 5)):
+            y[rng.integers(len(y))] = "Z"
+        near.append("".join(y))
+    xs, ys = lines + lines, near + lines[7:] + lines[:7]
+    (n, a), (m, b) = line_dedup.sketch(xs), line_dedup.sketch(ys)
+    may = 9 * np.bitwise_count(a ^ b).astype(int).sum(axis=1) <= n + m
+    links = np.array([linked(whole_line_shingles(x), whole_line_shingles(y)) for x, y in zip(xs, ys)])
+    assert not (links & ~may).any() and links.sum() > 200 and may.sum() < 1.5 * links.sum()
+
+
+def test_only_lines_that_may_link_move_their_texts(spark, monkeypatch):
+    """Lines of one band that their sketches tell apart are not compared by their texts."""
+    lines = [" ".join(str(k * 7919 + j) for k in range(20)) + f" end{i}" for j in (1234, 56789) for i in range(3)]
+    docs = cases.docs(spark, [(i, x, None, None, None) for i, x in enumerate(lines)])
+    ids = line_dedup._named_lines(docs, "text").select("id", "line")
+    name = {r.line: bytes(r.id) for r in ids.collect()}
+    marks = line_dedup.sketches(docs, "text", ids.select("id"))
+    all_pairs = ids.select(ids.id.alias("a")).crossJoin(ids.select(ids.id.alias("b"))).filter("a > b")
+    want = {tuple(sorted((name[x], name[y]))) for x in lines for y in lines if x < y and x[:4] == y[:4]}
+    assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in line_dedup.may_link(all_pairs, marks).collect()} == want
+    apart = ids.selectExpr("unhex(md5('one')) AS rep", "id", "id AS root")
+    far = apart.filter(apart.id.isin(name[lines[0]], name[lines[3]]))
+    for block in (1, 256):
+        monkeypatch.setattr(common, "BLOCK", block)
+        assert {bytes(r.id) for r in line_dedup.with_partners(apart, marks).collect()} == set(name.values())
+        assert line_dedup.with_partners(far, marks).count() == 0
