@@ -5,7 +5,8 @@ each).  A block reports each of its distinct n-grams once, with its count in
 the block's training documents (0 where only other documents have it), as
 sorted 64-bit hashes packed by hash range.  Each hash range adds up all blocks'
 counts and answers every block with the global counts of its own n-grams, in
-the order asked.  So a frequent n-gram costs one entry per block, no count
+the order asked.  The longest n-grams are counted after the others, so that not
+all messages are on disk at once.  So a frequent n-gram costs one entry per block, no count
 stays local, and no task or driver ever holds the corpus vocabulary.
 
 Model.  Tokens are lower-cased words and one end per document.  Interpolated:
@@ -147,9 +148,10 @@ class Trie:
 
 # ------------------------------------------------------------- n-grams of a block
 class Grams:
-    """Distinct n-grams of a block's texts per order, and each token's place among them."""
+    """Distinct n-grams of a block's texts per order, and each token's place among them; none for orders less than
+    ``least``."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, least: int = 1):
         words = list(word_hashes(texts))
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)  # with the end
         start = np.array([BEGIN], np.uint64)
@@ -166,6 +168,10 @@ class Grams:
         for n in range(1, order + 1):
             if n > 1:  # older word in front
                 key = mix(key * U(0xD1342543DE82EF95) + flat[self.token - (n - 1)] * U(2 * n + 1))
+            if n < least:
+                self.keys.append(None)
+                self.place.append(None)
+                continue
             k, p = np.unique(key, return_inverse=True)
             if n == 1:
                 k = np.append(k, BEGIN)  # its count is the number of texts
@@ -194,14 +200,14 @@ ASK = "range int, block int, n int, keys binary, counts binary"
 ANSWER = "block int, range int, n int, counts binary, tokens bigint, words bigint"
 
 
-def _asks(docs: DataFrame, ranges: int, order: int) -> DataFrame:
-    """Each block's distinct n-grams by hash range."""
+def _asks(docs: DataFrame, ranges: int, order: int, least: int = 1) -> DataFrame:
+    """Each block's distinct n-grams of ``least`` to ``order`` words by hash range."""
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        g = Grams(table.column("text").to_pylist(), order)
+        g = Grams(table.column("text").to_pylist(), order, least)
         train = ~np.array(table.column("held_out").to_pylist(), bool)
         rows = []
-        for n in range(order):
+        for n in range(least - 1, order):
             by = np.argsort(g.keys[n], kind="stable") if n == 0 else slice(None)
             keys, counts = g.keys[n][by], g.counts(n, train)[by]
             cut = np.concatenate(([0], np.searchsorted(keys, _bounds(ranges)), [len(keys)]))
@@ -243,6 +249,13 @@ def _answers(asks: DataFrame) -> DataFrame:
     return asks.groupBy("range").applyInArrow(run, ANSWER)
 
 
+def _counted(docs: DataFrame, ranges: int, order: int) -> DataFrame:
+    """The answers to all blocks.  A query that has ended leaves no message behind."""
+    parts = [(1, order - 1), (order, order)] if order > 1 else [(1, 1)]
+    found = [stored(_answers(_asks(docs, ranges, most, least)), "lm-counts") for least, most in parts]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def build(g: Grams, counts: list[np.ndarray], tokens: int, words: int) -> tuple[Trie, np.ndarray, list[np.ndarray]]:
     """The global model's trie over the block's n-grams; the unigrams' log10 probabilities; for each
     distinct n-gram (order 2 and up) its (context n-gram's place, last word's place)."""
@@ -310,7 +323,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: i
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, ranges = max(8, chars // BLOCK_CHARS), max(8, chars // RANGE_CHARS)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    answers = stored(_answers(_asks(d.select("block", "text", "held_out"), ranges, order)), "lm-counts")
+    answers = _counted(d.select("block", "text", "held_out"), ranges, order)
     n = answers.filter("block is null").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     tokens, words = n["tokens"] or 0, n["words"] or 0
     schema = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

@@ -40,3 +40,14 @@ def test_hashes_travel_whole():
     keys = np.array([1, 0x1234567890ABCDEF, 0x1234567890ABCDEE, 2**64 - 1], np.uint64)
     assert lm_trie._unpack(lm_trie._pack(keys)).tolist() == keys.tolist()
     assert not hasattr(lm_trie, "_planes")
+
+
+def test_messages_of_the_longest_grams_are_counted_apart_and_alike(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    d = cases.docs(spark, [(i, t, None, None, None) for i, t in enumerate(TEXTS)]).select(
+        (F.col("doc_id") % 3).cast("int").alias("block"), "text", lm_trie.is_held_out().alias("held_out"))
+    want = cases.collected(lm_trie._answers(lm_trie._asks(d, 4, 3)))
+    asks, seen = lm_trie._asks, []
+    monkeypatch.setattr(lm_trie, "_asks", lambda docs, ranges, order, least: seen.append((least, order)) or asks(docs, ranges, order, least))
+    assert cases.collected(lm_trie._counted(d, 4, 3)) == want and seen == [(1, 2), (3, 3)]
+    assert {r.n for r in asks(d, 4, 3, 3).collect()} == {2}
