@@ -58,11 +58,30 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run meanwhile delete their shuffle files when they end; else the files stay until the driver
+    happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and
     survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     for paths in _recorders:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -159,9 +178,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     each node hooks its larger (smaller) neighbours to its smallest neighbour.
     All grouping is ``min`` with map-side combine, so a component of any size
     is never gathered in one task.  Rounds are logarithmic; each is written to
-    the shared folder."""
-    e = stored(edges.filter("a is not null and b is not null and a <> b")
-               .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    the shared folder and deleted after the next one."""
+    with recorded() as own:
+        e = stored(edges.filter("a is not null and b is not null and a <> b")
+                   .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def mark(d):
         r = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -171,14 +191,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        spent = own[:]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
+        with recorded() as made:
+            large = stored(large, "large")
+        spent += made
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = stored(small, "small")
+        with recorded() as own:
+            e = stored(small, "small")
+        discard(edges.sparkSession, spent)
         now = mark(e)
         if now == seen:
             break
@@ -200,17 +225,24 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     components as all such links, from ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
     is compared."""
     by_sig = W.partitionBy("sig")
-    # a group of two is its one link: neither its signature nor its smallest id is needed again
-    groups = stored(rows.withColumn("rep", F.min("id").over(by_sig)).withColumn("members", F.count(F.lit(1)).over(by_sig))
-                    .filter("members > 2 or (members = 2 and id <> rep)")
-                    .select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
+    # a group of two is its one link: neither its signature nor its smallest id is needed again; copies of one id
+    # are no group
+    with recorded() as spent:
+        groups = stored(rows.withColumns({"rep": F.min("id").over(by_sig), "last": F.max("id").over(by_sig),
+                                          "members": F.count(F.lit(1)).over(by_sig)})
+                        .filter("rep <> last and (members > 2 or id <> rep)")
+                        .select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
     stars = groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     if same is not None:
         stars = (stars.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").filter("x <> y")
                  .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    stars = stored(stars, "stars")
+    with recorded() as own:
+        stars = stored(stars, "stars")
     first = verify(stars)
-    comps = stored(components(first if edges is None else first.unionByName(edges)), "components")
+    with recorded() as rounds:
+        links = components(first if edges is None else first.unionByName(edges))
+    comps = stored(links, "components")
+    discard(rows.sparkSession, own + rounds)
     roots = comps.withColumnRenamed("node", "same")
     if same is not None:  # small tables first, so that the groups' rows move once to find their root
         roots = same.join(roots, "same", "left").select("id", "same", F.coalesce("root", "same").alias("root"))
@@ -220,5 +252,7 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
              .select("sig", "rep", F.coalesce("same", "id").alias("id"), F.coalesce("root", "id").alias("root"))
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
              .filter("low <> high").select("sig", "rep", "id", "root").distinct())
-    more = cross(stored(apart, "apart"))
+    apart = stored(apart, "apart")
+    discard(rows.sparkSession, spent)
+    more = cross(apart)
     return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

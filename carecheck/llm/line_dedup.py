@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
+from carecheck.llm.common import bitmap, blocked, discard, grouped_links, maybe_in, recorded, stored
 from carecheck.llm.shingles import mix
 
 U = np.uint64
@@ -44,6 +44,7 @@ CHUNK = 1 << 17           # characters hashed at a time (a longer line alone); c
 SEEN = 1 << 18            # names of lines a task remembers (some 20 MB); cost only
 GROUP_SHINGLES = 1 << 22  # hashes of a group of lines compared at a time; memory bound only
 GROUP_COLUMNS = 4096
+PAIRS = 1 << 15           # pairs of sketches compared at a time, or those of one group; cost only
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | U(1)
 _SEATS = mix(np.arange(901, 901 + SHINGLE_CHARS, dtype=np.uint64)) | U(1)
 _ROW_SEATS = mix(np.arange(951, 951 + ROWS, dtype=np.uint64)) | U(1)
@@ -139,7 +140,7 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
     return _named_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
 
 
-SKETCH_WORDS = 4  # 64 bits each
+SKETCH_WORDS = 16  # 64 bits each, a power of two; sets of some 2,000 shingles still tell each other apart
 _SKETCH = "id binary, n int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH_WORDS)]
 
@@ -148,16 +149,17 @@ def sketch(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The size of each line's set of shingles and its odd sketch, [line, word]: each shingle of the set flips one
     bit.  What two sets share cancels out, so two sketches differ in no more bits than the sets in shingles."""
     sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, SKETCH_WORDS), np.uint64)]
-    bits = 64 * SKETCH_WORDS
     for part in _chunks(lines):
         h, n = shingle_hashes(part)
         # one sort by (line, hash); a chunk has less than 2 ** 18 lines, their hashes keep 46 bits
         key = np.sort(np.repeat(np.arange(len(part), dtype=np.uint64) << U(46), n) | h >> U(18))
         key = key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
-        line = (key >> U(46)).astype(np.int64)
-        flips = np.bincount(line * bits + (key % U(bits)).astype(np.int64), minlength=len(part) * bits)
-        sizes.append(np.bincount(line, minlength=len(part)))
-        maps.append(np.packbits((flips & 1).astype(bool), bitorder="little").view("<u8").reshape(-1, SKETCH_WORDS).astype(np.uint64))
+        sizes.append(np.bincount((key >> U(46)).astype(np.int64), minlength=len(part)))
+        word = key >> U(46 - SKETCH_WORDS.bit_length() + 1)  # by line and the hash's highest bits, so in order
+        first = np.flatnonzero(np.concatenate((word[:1] == word[:1], word[1:] != word[:-1])))
+        flips = np.zeros(len(part) * SKETCH_WORDS, np.uint64)
+        flips[word[first].astype(np.int64)] = np.bitwise_xor.reduceat(U(1) << (key & U(63)), first)
+        maps.append(flips.reshape(-1, SKETCH_WORDS))
     return np.concatenate(sizes), np.concatenate(maps)
 
 
@@ -183,10 +185,13 @@ def sketches(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([fresh.column(0), pa.array(n, pa.int32()), *map(pa.array, maps.view(np.int64).T.copy())],
                                              names=["id", "n", *SKETCH_COLUMNS])
 
-    some = stored(ids.distinct(), "line-candidates")
+    with recorded() as spent:
+        some = stored(ids.distinct(), "line-candidates")
     found = maybe_in(_named_lines(docs, text), "id", bitmap(some, "id")).mapInArrow(run, _SKETCH)
     one = found.groupBy("id").agg(*[F.max(c).alias(c) for c in ["n", *SKETCH_COLUMNS]])  # equal rows
-    return stored(one.join(some, "id"), "sketches")
+    out = stored(one.join(some, "id"), "sketches")
+    discard(docs.sparkSession, spent)
+    return out
 
 
 def may_link(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -230,8 +235,9 @@ def do_link(xs: list[str], ys: list[str]) -> np.ndarray:
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines link."""
-    pairs = stored(pairs, "line-pairs")
-    lines = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    with recorded() as spent:
+        pairs = stored(pairs, "line-pairs")
+        lines = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
 
@@ -240,7 +246,9 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
             keep = do_link(b.column(2).to_pylist(), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "line-links")
+    out = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "line-links")
+    discard(docs.sparkSession, spent)
+    return out
 
 
 def in_common(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,14 +290,34 @@ def linked_roots(lines: list[str], block: np.ndarray, root: np.ndarray, p: int,
     return set(zip(np.maximum(root[i], root[j]).tolist(), np.minimum(root[i], root[j]).tolist()))
 
 
-def with_partner(marks: np.ndarray, size: np.ndarray, block: np.ndarray, root: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Which lines of blocks p and q may link to one of the other block and another root, by their sketches."""
-    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-    differ = np.zeros((len(left), len(right)), np.int64)
-    for k in range(marks.shape[1]):
-        differ += np.bitwise_count(marks[left, None, k] ^ marks[None, right, k])
-    may = (9 * differ <= size[left, None] + size[right]) & (root[left, None] != root[right])
-    return np.union1d(left[may.any(axis=1)], right[may.any(axis=0)])
+def may_link_at(marks: np.ndarray, size: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The lines among pairs (i, j) of another root that their sizes and sketches do not rule out."""
+    use = (root[i] != root[j]) & (9 * np.abs(size[i] - size[j]) <= size[i] + size[j])
+    i, j = i[use], j[use]
+    differ = np.zeros(len(i), np.int64)
+    for a, b in ((0, SKETCH_WORDS // 4), (SKETCH_WORDS // 4, SKETCH_WORDS)):  # a part of the sketch rules out most
+        differ += np.bitwise_count(marks[i, a:b] ^ marks[j, a:b]).sum(axis=1, dtype=np.int64)
+        use = 9 * differ <= size[i] + size[j]
+        i, j, differ = i[use], j[use], differ[use]
+    return np.union1d(i, j)
+
+
+def with_partner(marks: np.ndarray, size: np.ndarray, block: np.ndarray, root: np.ndarray, groups: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Which lines of groups (p, q, first line, end) may link to one of their group's other block (the same one
+    where p is q) and another root.  Pairs of many groups are compared at a time."""
+    out, ahead, held = [np.zeros(0, np.int64)], [], 0
+    for k, (p, q, s, e) in enumerate(groups, 1):
+        if p == q:
+            i, j = np.triu_indices(e - s, 1)
+        else:
+            left, right = np.flatnonzero(block[s:e] == p), np.flatnonzero(block[s:e] == q)
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        ahead.append((i + s, j + s))
+        held += len(i)
+        if held >= PAIRS or k == len(groups):
+            out.append(may_link_at(marks, size, root, *map(np.concatenate, zip(*ahead))))
+            ahead, held = [], 0
+    return np.unique(np.concatenate(out))
 
 
 def with_partners(apart: DataFrame, marks: DataFrame) -> DataFrame:
@@ -307,12 +335,9 @@ def with_partners(apart: DataFrame, marks: DataFrame) -> DataFrame:
             roots = pc.coalesce(cells.field("root"), cells.field("id"))
             root = roots.dictionary_encode().indices.to_numpy()
             maps = np.stack([cells.field(c).to_numpy().view(np.uint64) for c in SKETCH_COLUMNS], axis=1)
-            found, group = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, (p, q, s, e) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), cut[:-1], cut[1:])):
-                found.append(s + with_partner(maps[s:e], size[s:e], block[s:e], root[s:e], p, q))
-                group.append(np.full(len(found[-1]), i))
-            at = pa.array(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(group))), cells.field("id").take(at), roots.take(at)],
+            found = with_partner(maps, size, block, root, list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), cut[:-1], cut[1:])))
+            group, at = pa.array(np.searchsorted(cut, found, side="right") - 1), pa.array(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(group), cells.field("id").take(at), roots.take(at)],
                                              names=["rep", "id", "root"])
 
     return stored(near.mapInArrow(run, "rep binary, id binary, root binary").distinct(), "line-partners")
@@ -342,17 +367,20 @@ def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(rows, drops)``: rows has ``doc_id, lines`` (the MD5 of each line, null without a word) of every
     input row; drops has ``doc, dropped`` (sorted line numbers from 0) where any line goes."""
-    rows = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.transform(
-        _lines(F.col(text)), lambda x: F.when(_has_word(x), F.unhex(F.md5(x)))).alias("lines")), "lines")
-    occ = (rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.posexplode("lines").alias("no", "id"))
-           .filter("id is not null"))
     marks: list[DataFrame] = []  # the sketches of all ids in groups: each is in one of the pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
         marks.append(sketches(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
         return similar(may_link(pairs, marks[0]), docs, text)
 
-    comps = grouped_links(bands(docs, text), verify, lambda apart: crossing(with_partners(apart, marks[0]), docs, text))
+    with recorded() as spent:
+        links = grouped_links(bands(docs, text), verify, lambda apart: crossing(with_partners(apart, marks[0]), docs, text))
+    comps = stored(links, "line-components")
+    discard(docs.sparkSession, spent)
+    rows = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.transform(
+        _lines(F.col(text)), lambda x: F.when(_has_word(x), F.unhex(F.md5(x)))).alias("lines")), "lines")
+    occ = (rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.posexplode("lines").alias("no", "id"))
+           .filter("id is not null"))
     first = occ.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("times"))
     roots = (first.join(comps.withColumnRenamed("node", "id"), "id", "left").filter("times > 1 or root is not null")
              .select("id", "first", F.coalesce("root", "id").alias("root")))  # any other line stays

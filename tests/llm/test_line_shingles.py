@@ -1,5 +1,9 @@
 """Line dedup against all pairs, with shingles defined here: every 5 characters of the whole line."""
 
+import os
+import re
+import time
+
 import cases
 import numpy as np
 from test_similarity import roots
@@ -121,3 +125,47 @@ def test_only_lines_that_may_link_move_their_texts(spark, monkeypatch):
         monkeypatch.setattr(common, "BLOCK", block)
         assert {bytes(r.id) for r in line_dedup.with_partners(apart, marks).collect()} == set(name.values())
         assert line_dedup.with_partners(far, marks).count() == 0
+
+
+def test_sketches_tell_long_lines_apart(spark):
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 900)) for _ in range(40)]
+    n, marks = line_dedup.sketch(lines)
+    differ = np.bitwise_count(marks[:, None] ^ marks).astype(int).sum(axis=2)
+    assert ((9 * differ <= n + n[:, None]) == np.eye(40, dtype=bool)).all()
+
+
+def test_groups_compared_together_give_the_partners_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefghij"), 160)) for _ in range(6)]
+    lines = [b[:k] + "#" + b[k:] for b in base for k in (7, 20, 33, 46)] * 3
+    n, marks = line_dedup.sketch(lines)
+    block, root = np.arange(len(lines)) % 2, np.arange(len(lines)) // 2 % 5
+    groups = [(0, 0, 0, 0), (1, 1, 0, 1), (0, 1, 1, 30), (1, 1, 30, 31), (0, 1, 31, 71)]
+    want = {i for p, q, s, e in groups for i in range(s, e) for j in range(s, e) if i != j and root[i] != root[j]
+            and (p == q or block[i] != block[j]) and 9 * int(np.bitwise_count(marks[i] ^ marks[j]).sum()) <= n[i] + n[j]}
+    assert len(want) > 20
+    for pairs in (1, 100, 1 << 15):
+        monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+        assert line_dedup.with_partner(marks, n, block, root, groups).tolist() == sorted(want)
+
+
+def test_files_that_nothing_reads_any_more_are_deleted(spark):
+    lines = [f"a line of words that comes again and again {i % 7} times and ends in {i // 7}" for i in range(40)]
+    docs = cases.docs(spark, [(i, x, None, None, None) for i, x in enumerate(lines)])
+    with common.recorded() as paths:
+        out = line_dedup.line_dedup(docs)
+    left = {re.sub("^llm-|-[0-9a-f]{32}$", "", os.path.basename(p)) for p in paths if os.path.exists(p.removeprefix("file://"))}
+    assert out.count() == 40 and left == {"lines", "line-components", "line-roots", "kept-lines"}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+    setting, before = spark.conf.get(common.CLEANUP, None), files()
+    rows = common.stored(spark.range(1000).repartition(3, "id"), "some")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) == setting and rows.count() == 1000
