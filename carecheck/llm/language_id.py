@@ -36,6 +36,7 @@ DOC_CHARS = 4096
 TRAIN_CHARS = 32_768
 SEGMENT = 512
 PIECE_CHARS = 1 << 20  # characters handled at a time; memory bound only
+ROWS = 1024               # documents handled and returned at a time; memory bound only
 UNSEEN, SPACE = 0, 1   # symbols; letters of the training texts follow
 
 
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _parser(texts_b.value, name)
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             lang, score = p.predict(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=[*b.schema.names, "lang_pred", "score"])
