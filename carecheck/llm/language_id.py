@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from carecheck.llm.worker import give_back, held
+
 SAMPLE_DOCS = 64
 DOC_CHARS = 4096
 TRAIN_CHARS = 32_768
@@ -177,28 +179,19 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str =
     return {k: " ".join(v) for k, v in out.items()}
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
-def _parser(texts: dict[str, str], name: str) -> Parser:
-    if name not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[name] = Parser(texts)
-    return _PARSERS[name]
-
-
 def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` with columns ``lang_pred, score`` added (they replace columns of these names)."""
     texts_b = docs.sparkSession.sparkContext.broadcast(texts)
-    name = hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
+    name = "parser " + hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
     base = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _parser(texts_b.value, name)
+        p = held(name, lambda: Parser(texts_b.value))
         for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             lang, score = p.predict(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=[*b.schema.names, "lang_pred", "score"])
+        give_back()
 
     schema = base.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
     return base.mapInArrow(run, schema)

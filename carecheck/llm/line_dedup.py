@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from carecheck.llm.common import bitmap, blocked, discard, grouped_links, maybe_in, recorded, stored
 from carecheck.llm.shingles import mix
+from carecheck.llm.worker import in_arrow
 
 U = np.uint64
 SHINGLE_CHARS = 5
@@ -137,7 +138,7 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
             ids = fresh.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids], names=["sig", "id"])
 
-    return _named_lines(docs, text).mapInArrow(run, "sig bigint, id binary")
+    return in_arrow(_named_lines(docs, text), run, "sig bigint, id binary")
 
 
 SKETCH_WORDS = 16  # 64 bits each, a power of two; sets of some 2,000 shingles still tell each other apart
@@ -187,7 +188,7 @@ def sketches(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
 
     with recorded() as spent:
         some = stored(ids.distinct(), "line-candidates")
-    found = maybe_in(_named_lines(docs, text), "id", bitmap(some, "id")).mapInArrow(run, _SKETCH)
+    found = in_arrow(maybe_in(_named_lines(docs, text), "id", bitmap(some, "id")), run, _SKETCH)
     one = found.groupBy("id").agg(*[F.max(c).alias(c) for c in ["n", *SKETCH_COLUMNS]])  # equal rows
     out = stored(one.join(some, "id"), "sketches")
     discard(docs.sparkSession, spent)
@@ -246,7 +247,7 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
             keep = do_link(b.column(2).to_pylist(), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    out = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "line-links")
+    out = stored(in_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary"), "line-links")
     discard(docs.sparkSession, spent)
     return out
 
@@ -340,7 +341,7 @@ def with_partners(apart: DataFrame, marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(group), cells.field("id").take(at), roots.take(at)],
                                              names=["rep", "id", "root"])
 
-    return stored(near.mapInArrow(run, "rep binary, id binary, root binary").distinct(), "line-partners")
+    return stored(in_arrow(near, run, "rep binary, id binary, root binary").distinct(), "line-partners")
 
 
 def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -361,7 +362,7 @@ def crossing(apart: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
             x, y = (named.take(pa.array([f[k] for f in found], pa.int32())) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
 
-    return near.mapInArrow(run, "a binary, b binary").distinct()
+    return in_arrow(near, run, "a binary, b binary").distinct()
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

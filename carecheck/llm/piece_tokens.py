@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carecheck.llm.worker import give_back, held
+
 SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 CACHE_WORDS = 1_000_000  # words kept per worker; memory bound only
@@ -200,28 +202,18 @@ class Codec:
         return raw.removeprefix(b" ").decode(errors="replace")  # the space put before every text goes
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(model: tuple, name: str) -> Codec:
-    """One codec per worker process and model."""
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(model)
-    return _CODECS[name]
-
-
 def _mapped(docs: DataFrame, model_path: str, schema: str, columns) -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(read_model(model_path))
-    name = hashlib.sha256(repr(model.value).encode()).hexdigest()
+    name = "codec " + hashlib.sha256(repr(model.value).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model.value, name)
+        c = held(name, lambda: Codec(model.value))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             cols = columns(c, (t.as_py() for t in texts))
             yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", *[f"c{i}" for i in range(len(cols))]])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
