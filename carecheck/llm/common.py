@@ -214,10 +214,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
 
 
+def without_gaps(rows: DataFrame) -> DataFrame:
+    """``sig, id, n`` with ``part``, which grows along the sizes of a signature wherever the next larger size is
+    more than 5/4 of the one before: a link across that would take a similarity of 0.8 of sets more unequal
+    than that.  Rows alone in their part go."""
+    by_size = W.partitionBy("sig").orderBy("n")
+    gap = F.coalesce(4 * F.col("n") > 5 * F.lag("n").over(by_size), F.lit(True))
+    last = F.coalesce(4 * F.lead("n").over(by_size) > 5 * F.col("n"), F.lit(True))
+    parts = F.sum(F.col("gap").cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (rows.withColumns({"gap": gap, "last": last}).withColumn("part", parts - 1)
+            .filter("not (gap and last)").drop("gap", "last"))
+
+
 def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None,
                   same: DataFrame | None = None) -> DataFrame:
     """Components ``(node, root)`` of the links that ``verify(pairs)`` confirms among ids with a common
-    signature; rows: ``sig, id``; ``edges(a, b)``: links known beforehand.
+    signature; rows: ``sig, id``; ``edges(a, b)``: links known beforehand.  Where rows also have ``n``, the size
+    of the id's set, sets of similarity 0.8 or more are what links: ids of one signature are then taken as
+    several groups wherever their sizes leave a gap that no link crosses.
 
     Each group is first linked to its smallest id, so a group whose members belong together costs one pair
     a member.  Members that this leaves in different components are then compared with each other across
@@ -225,14 +239,19 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     components as all such links, from ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
     is compared."""
     by_sig = W.partitionBy("sig")
-    # a group of two is its one link: neither its signature nor its smallest id is needed again; copies of one id
-    # are no group
+    group = by_sig
+    if "n" in rows.columns:
+        rows, group = without_gaps(rows), W.partitionBy("sig", "part")
+    # a group of two is its one link: its signature is not needed again; copies of one id are no group; the smallest
+    # id is compared with all others at once, so it is in no row of its own
     with recorded() as spent:
-        groups = stored(rows.withColumns({"rep": F.min("id").over(by_sig), "last": F.max("id").over(by_sig),
-                                          "members": F.count(F.lit(1)).over(by_sig)})
-                        .filter("rep <> last and (members > 2 or id <> rep)")
-                        .select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
-    stars = groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+        rows = (rows.withColumns({"rep": F.min("id").over(group), "last": F.max("id").over(group),
+                                  "members": F.count(F.lit(1)).over(group)})
+                .filter("rep <> last and id <> rep"))
+        if "n" in rows.columns:  # the parts of a signature are signatures from here on
+            rows = rows.withColumn("sig", F.when(F.col("part") > 0, F.xxhash64("sig", "part")).otherwise(F.col("sig")))
+        groups = stored(rows.select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
+    stars = groups.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     if same is not None:
         stars = (stars.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").filter("x <> y")
                  .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())

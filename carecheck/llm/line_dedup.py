@@ -103,15 +103,31 @@ def _chunks(lines: list[str]) -> Iterator[list[str]]:
         yield lines[a:]
 
 
-def line_bands(lines: list[str]) -> np.ndarray:
-    """[line, band] the name of each band."""
-    out = []
+def set_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The lines' sets of shingles, one sorted key (line, hash) each; a chunk has less than 2 ** 18 lines, their
+    hashes keep 46 bits."""
+    key = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << U(46), n) | h >> U(18))
+    return key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
+
+
+def set_sizes(key: np.ndarray, lines: int) -> np.ndarray:
+    return np.bincount((key >> U(46)).astype(np.int64), minlength=lines)
+
+
+def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """[line, band] the name of each band, and the size of each line's set of shingles."""
+    out, sizes = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)]
     for part in _chunks(lines):
         h, n = shingle_hashes(part)
         m = minima(h, np.cumsum(n) - n).reshape(BANDS, ROWS, len(part))
         rows = (mix(m) * _ROW_SEATS[:, None]).sum(axis=1, dtype=np.uint64)
         out.append(mix(rows + _FACTORS[:BANDS, None]).T)
-    return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
+        sizes.append(set_sizes(set_keys(h, n), len(part)))
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def line_bands(lines: list[str]) -> np.ndarray:
+    return signed(lines)[0]
 
 
 def _named_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -121,8 +137,9 @@ def _named_lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def bands(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``sig, id``: the bands of every line.  A task signs a line once (as far as it remembers, ``SEEN`` lines);
-    the lines of different tasks are not brought together for that: a repeated row changes no link."""
+    """``sig, id, n``: the bands of every line and the size of its set.  A task signs a line once (as far as it
+    remembers, ``SEEN`` lines); the lines of different tasks are not brought together for that: a repeated row
+    changes no link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
@@ -134,11 +151,12 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             fresh = b.take(pa.array(new, pa.int64()))
-            names = line_bands(fresh.column(1).to_pylist())
+            names, sizes = signed(fresh.column(1).to_pylist())
             ids = fresh.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids], names=["sig", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids,
+                                              pa.array(np.repeat(sizes, BANDS), pa.int32())], names=["sig", "id", "n"])
 
-    return in_arrow(_named_lines(docs, text), run, "sig bigint, id binary")
+    return in_arrow(_named_lines(docs, text), run, "sig bigint, id binary, n int")
 
 
 SKETCH_WORDS = 16  # 64 bits each, a power of two; sets of some 2,000 shingles still tell each other apart
@@ -152,10 +170,8 @@ def sketch(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, SKETCH_WORDS), np.uint64)]
     for part in _chunks(lines):
         h, n = shingle_hashes(part)
-        # one sort by (line, hash); a chunk has less than 2 ** 18 lines, their hashes keep 46 bits
-        key = np.sort(np.repeat(np.arange(len(part), dtype=np.uint64) << U(46), n) | h >> U(18))
-        key = key[np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))]
-        sizes.append(np.bincount((key >> U(46)).astype(np.int64), minlength=len(part)))
+        key = set_keys(h, n)
+        sizes.append(set_sizes(key, len(part)))
         word = key >> U(46 - SKETCH_WORDS.bit_length() + 1)  # by line and the hash's highest bits, so in order
         first = np.flatnonzero(np.concatenate((word[:1] == word[:1], word[1:] != word[:-1])))
         flips = np.zeros(len(part) * SKETCH_WORDS, np.uint64)
