@@ -45,12 +45,14 @@ from pyspark.sql import functions as F
 
 from carecheck.llm.common import bitmap, blocked, grouped_links, maybe_in, stored
 from carecheck.llm.shingles import mix, shingle_set, word_hashes
+from carecheck.llm.worker import in_arrow
 
 U = np.uint64
 HOT_SHARE = 1 / 1000   # of the documents hold a shingle that counts as frequent
 HOT_LEAST = 16         # documents at least
 HOT_MOST = 1_000_000   # frequent shingles broadcast at most (8 MB); cost only, see above
 BATCH_HOT = 3          # times within a batch that make a shingle worth counting
+HELD = 1024            # documents of a batch whose texts or sets are held at a time; memory bound only
 
 
 def band_starts(most: int) -> list[int]:
@@ -114,8 +116,26 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, HELD) for k in range(0, batch.num_rows, HELD))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    return zip(batch.column(0).to_pylist(), map(shingle_set, word_hashes(batch.column(1).to_pylist())))
+    for part in _parts(batch):
+        yield from zip(part.column(0).to_pylist(), map(shingle_set, word_hashes(part.column(1).to_pylist())))
+
+
+def repeated(every: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values found at least ``BATCH_HOT`` times and how often; ``every`` is emptied."""
+    if not every:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    x = np.concatenate(every)
+    every.clear()
+    x.sort()
+    least = BATCH_HOT - 1
+    last = x[least:][x[least:] == x[:len(x) - least]]  # where a run has come to so many
+    hot = last[np.concatenate((last[:1] == last[:1], last[1:] != last[:-1]))]
+    return hot, np.searchsorted(x, hot, "right") - np.searchsorted(x, hot, "left")
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -128,8 +148,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 every.append(s)
-            hot, times = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, U), np.zeros(0, int))
-            hot, times = hot[times >= BATCH_HOT], times[times >= BATCH_HOT]
+            hot, times = repeated(every)
             a, b = len(ids), len(hot)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids + [None] * b, pa.int64()), pa.array(n + [None] * b, pa.int64()),
@@ -138,7 +157,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64), pa.int64())])],
                 names=["doc_id", "n_shingles", "digest", "hot", "times"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, hot bigint, times bigint")
+    return in_arrow(docs, run, "doc_id bigint, n_shingles bigint, digest binary, hot bigint, times bigint")
 
 
 def frequent(first: DataFrame) -> np.ndarray:
@@ -151,32 +170,37 @@ def frequent(first: DataFrame) -> np.ndarray:
 
 
 def signed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``sig, doc_id``: second pass; identical sets of one batch are signed by their smallest doc_id."""
+    """``sig, doc_id``: second pass; identical sets of one batch are signed once, by one of their doc_ids."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[bytes, tuple[int, np.ndarray]] = {}
-            for i, s in _sets(batch):
-                if i is not None and len(s):
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    first[d] = (min(i, first[d][0]), first[d][1]) if d in first else (i, signatures(s, shared.value))
-            if first:
-                sigs = np.concatenate([s for _, s in first.values()])
-                ids = np.repeat(np.array([i for i, _ in first.values()], np.int64), [len(s) for _, s in first.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids)], names=["sig", "doc_id"])
-
-    return docs.mapInArrow(run, "sig bigint, doc_id bigint")
+            seen: set[bytes] = set()
+            for part in _parts(batch):
+                ids, sigs = [], []
+                for i, s in _sets(part):
+                    if i is not None and len(s):
+                        d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                        if d not in seen:
+                            seen.add(d)
+                            ids.append(i)
+                            sigs.append(signatures(s, shared.value))
+                if ids:
+                    rows = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(rows)],
+                                                     names=["sig", "doc_id"])
+
+    return in_arrow(docs, run, "sig bigint, doc_id bigint")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, set``: the sorted set as little-endian 64-bit hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             ids, sets = zip(*((i, s.tobytes()) for i, s in _sets(batch)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-    return docs.mapInArrow(run, "doc_id bigint, set binary")
+    return in_arrow(docs, run, "doc_id bigint, set binary")
 
 
 def histogram(values: np.ndarray) -> bytes:
@@ -191,12 +215,12 @@ def histogram(values: np.ndarray) -> bytes:
 def histograms(docs: DataFrame) -> DataFrame:
     """``doc_id, n, histogram``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             ids, n, h = zip(*((i, len(s), histogram(s)) for i, s in _sets(batch)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())],
                                              names=["doc_id", "n", "histogram"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, histogram binary")
+    return in_arrow(docs, run, "doc_id bigint, n bigint, histogram binary")
 
 
 def may_link(m: int, n: int, x: bytes, y: bytes) -> bool:
@@ -277,11 +301,11 @@ def _both(pairs: DataFrame, of: DataFrame, names: list[str]) -> DataFrame:
 
 def _passing(both: DataFrame, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             keep = [test(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_arrow(both, run, "a bigint, b bigint").distinct()
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
