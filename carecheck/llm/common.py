@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,14 +223,30 @@ def without_gaps(rows: DataFrame) -> DataFrame:
     gap = F.coalesce(4 * F.col("n") > 5 * F.lag("n").over(by_size), F.lit(True))
     last = F.coalesce(4 * F.lead("n").over(by_size) > 5 * F.col("n"), F.lit(True))
     parts = F.sum(F.col("gap").cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (rows.withColumns({"gap": gap, "last": last}).withColumn("part", parts - 1)
-            .filter("not (gap and last)").drop("gap", "last"))
+    return (rows.withColumns({"gap": gap, "last": last}).filter("not (gap and last)")
+            .withColumn("part", parts - 1).drop("gap", "last"))
 
 
-def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None,
+def _groups(rows: DataFrame) -> DataFrame:
+    """``sig, id, rep`` of the ids that share a signature with a smaller id, the smallest one being ``rep``."""
+    group = W.partitionBy("sig")
+    if "n" in rows.columns:
+        rows, group = without_gaps(rows), W.partitionBy("sig", "part")
+    # a group of two is its one link: its signature is not needed again; copies of one id are no group; the smallest
+    # id is compared with all others at once, so it is in no row of its own
+    rows = (rows.withColumns({"rep": F.min("id").over(group), "last": F.max("id").over(group),
+                              "members": F.count(F.lit(1)).over(group)})
+            .filter("rep <> last and id <> rep"))
+    if "n" in rows.columns:  # the parts of a signature are signatures from here on
+        rows = rows.withColumn("sig", F.when(F.col("part") > 0, F.xxhash64("sig", "part")).otherwise(F.col("sig")))
+    return rows.select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep")
+
+
+def grouped_links(rows: DataFrame | list[DataFrame], verify, cross, edges: DataFrame | None = None,
                   same: DataFrame | None = None) -> DataFrame:
     """Components ``(node, root)`` of the links that ``verify(pairs)`` confirms among ids with a common
-    signature; rows: ``sig, id``; ``edges(a, b)``: links known beforehand.  Where rows also have ``n``, the size
+    signature; rows: ``sig, id``, or several such tables that have no signature in common, of which one at a time
+    is shuffled; ``edges(a, b)``: links known beforehand.  Where rows also have ``n``, the size
     of the id's set, sets of similarity 0.8 or more are what links: ids of one signature are then taken as
     several groups wherever their sizes leave a gap that no link crosses.
 
@@ -238,19 +255,10 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     components, so no link is lost: ``cross(apart)`` gives links (of ids or of roots) that join the same
     components as all such links, from ``sig, rep, id, root``.  ``same(id, same)`` may name one id for all ids of equal content; only that one
     is compared."""
-    by_sig = W.partitionBy("sig")
-    group = by_sig
-    if "n" in rows.columns:
-        rows, group = without_gaps(rows), W.partitionBy("sig", "part")
-    # a group of two is its one link: its signature is not needed again; copies of one id are no group; the smallest
-    # id is compared with all others at once, so it is in no row of its own
+    tables = rows if isinstance(rows, list) else [rows]
+    spark, by_sig = tables[0].sparkSession, W.partitionBy("sig")
     with recorded() as spent:
-        rows = (rows.withColumns({"rep": F.min("id").over(group), "last": F.max("id").over(group),
-                                  "members": F.count(F.lit(1)).over(group)})
-                .filter("rep <> last and id <> rep"))
-        if "n" in rows.columns:  # the parts of a signature are signatures from here on
-            rows = rows.withColumn("sig", F.when(F.col("part") > 0, F.xxhash64("sig", "part")).otherwise(F.col("sig")))
-        groups = stored(rows.select(F.when(F.col("members") > 2, F.col("sig")).alias("sig"), "id", "rep"), "groups")
+        groups = reduce(DataFrame.unionByName, [stored(_groups(t), "groups") for t in tables])
     stars = groups.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     if same is not None:
         stars = (stars.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").filter("x <> y")
@@ -261,7 +269,7 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
     with recorded() as rounds:
         links = components(first if edges is None else first.unionByName(edges))
     comps = stored(links, "components")
-    discard(rows.sparkSession, own + rounds)
+    discard(spark, own + rounds)
     roots = comps.withColumnRenamed("node", "same")
     if same is not None:  # small tables first, so that the groups' rows move once to find their root
         roots = same.join(roots, "same", "left").select("id", "same", F.coalesce("root", "same").alias("root"))
@@ -272,6 +280,6 @@ def grouped_links(rows: DataFrame, verify, cross, edges: DataFrame | None = None
              .withColumn("low", F.min("root").over(by_sig)).withColumn("high", F.max("root").over(by_sig))
              .filter("low <> high").select("sig", "rep", "id", "root").distinct())
     apart = stored(apart, "apart")
-    discard(rows.sparkSession, spent)
+    discard(spark, spent)
     more = cross(apart)
     return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

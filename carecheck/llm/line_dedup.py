@@ -15,7 +15,9 @@ comparisons are numpy over Arrow batches, as the form in SQL functions alone
 took more than four times the processor time allowed (figures in the README).
 
 At similarity 0.8 a pair shares a band with probability
-``1 - (1 - 0.8^ROWS)^BANDS`` = 0.995; equal lines always meet.
+``1 - (1 - 0.8^ROWS)^BANDS`` = 0.996; equal lines always meet.  Lines of the
+similarity s meet by chance with about ``BANDS * s^ROWS``; such pairs grow with
+the square of the input, so a band has enough rows to make them few.
 
 Cases: lines without a word are kept and not compared; null text has no line;
 a null doc_id ranks below every number; rows of a repeated doc_id share their
@@ -39,7 +41,8 @@ from carecheck.llm.worker import in_arrow
 
 U = np.uint64
 SHINGLE_CHARS = 5
-ROWS, BANDS = 4, 10
+ROWS, BANDS = 5, 14
+PASSES = 2                # over the lines, each for a part of the bands: a bound on disk only
 NONE = -(1 << 63)  # stands for a null doc_id
 CHUNK = 1 << 17           # characters hashed at a time (a longer line alone); cost only
 SEEN = 1 << 18            # names of lines a task remembers (some 20 MB); cost only
@@ -58,7 +61,7 @@ def _lines(text: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(_BLANK))) > 0
+    return F.ltrim(line, F.lit(_BLANK)) != ""
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +84,12 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[inside[:n]]), room - SHINGLE_CHARS + 1
 
 
-def minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def minima(h: np.ndarray, starts: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
     """[permutation, line] the least value of each permutation of the line's hashes.  A permutation multiplies
     the mixed hash by an odd number of its own."""
-    out = np.empty((len(_FACTORS), len(starts)), np.uint64)
+    out = np.empty((len(factors), len(starts)), np.uint64)
     moved = np.empty_like(h)
-    for k, factor in enumerate(_FACTORS):
+    for k, factor in enumerate(factors):
         np.multiply(h, factor, out=moved)
         np.minimum.reduceat(moved, starts, out=out[k])
     return out
@@ -114,14 +117,15 @@ def set_sizes(key: np.ndarray, lines: int) -> np.ndarray:
     return np.bincount((key >> U(46)).astype(np.int64), minlength=lines)
 
 
-def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """[line, band] the name of each band, and the size of each line's set of shingles."""
-    out, sizes = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)]
+def signed(lines: list[str], of: range = range(BANDS)) -> tuple[np.ndarray, np.ndarray]:
+    """[line, band] the name of each band ``of`` all, and the size of each line's set of shingles."""
+    out, sizes = [np.zeros((0, len(of)), np.uint64)], [np.zeros(0, np.int64)]
+    factors = _FACTORS[of.start * ROWS:of.stop * ROWS]
     for part in _chunks(lines):
         h, n = shingle_hashes(part)
-        m = minima(h, np.cumsum(n) - n).reshape(BANDS, ROWS, len(part))
+        m = minima(h, np.cumsum(n) - n, factors).reshape(len(of), ROWS, len(part))
         rows = (mix(m) * _ROW_SEATS[:, None]).sum(axis=1, dtype=np.uint64)
-        out.append(mix(rows + _FACTORS[:BANDS, None]).T)
+        out.append(mix(rows + _FACTORS[of.start:of.stop, None]).T)
         sizes.append(set_sizes(set_keys(h, n), len(part)))
     return np.concatenate(out), np.concatenate(sizes)
 
@@ -136,8 +140,8 @@ def _named_lines(docs: DataFrame, text: str) -> DataFrame:
     return lines.select(F.unhex(F.md5("line")).alias("id"), "line")
 
 
-def bands(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``sig, id, n``: the bands of every line and the size of its set.  A task signs a line once (as far as it
+def bands(docs: DataFrame, text: str = "text", of: range = range(BANDS)) -> DataFrame:
+    """``sig, id, n``: the bands (``of`` all) of every line and the size of its set.  A task signs a line once (as far as it
     remembers, ``SEEN`` lines); the lines of different tasks are not brought together for that: a repeated row
     changes no link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +155,10 @@ def bands(docs: DataFrame, text: str = "text") -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             fresh = b.take(pa.array(new, pa.int64()))
-            names, sizes = signed(fresh.column(1).to_pylist())
-            ids = fresh.column(0).take(pa.array(np.repeat(np.arange(len(names)), BANDS)))
+            names, sizes = signed(fresh.column(1).to_pylist(), of)
+            ids = fresh.column(0).take(pa.array(np.repeat(np.arange(len(names)), len(of))))
             yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), ids,
-                                              pa.array(np.repeat(sizes, BANDS), pa.int32())], names=["sig", "id", "n"])
+                                              pa.array(np.repeat(sizes, len(of)), pa.int32())], names=["sig", "id", "n"])
 
     return in_arrow(_named_lines(docs, text), run, "sig bigint, id binary, n int")
 
@@ -391,7 +395,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> t
         return similar(may_link(pairs, marks[0]), docs, text)
 
     with recorded() as spent:
-        links = grouped_links(bands(docs, text), verify, lambda apart: crossing(with_partners(apart, marks[0]), docs, text))
+        cut = [BANDS * k // PASSES for k in range(PASSES + 1)]
+        links = grouped_links([bands(docs, text, range(a, b)) for a, b in zip(cut, cut[1:])], verify, lambda apart: crossing(with_partners(apart, marks[0]), docs, text))
     comps = stored(links, "line-components")
     discard(docs.sparkSession, spent)
     rows = stored(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.transform(
